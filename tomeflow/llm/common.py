@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Used only where the session names no shared folder, as in tests.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints/tomeflow"
@@ -56,7 +57,7 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
+def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | T.StructType) -> DataFrame:
     """fn over each Arrow batch; None gives no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,3 +80,22 @@ def hash_sample(df: DataFrame, key: str, bound: int) -> DataFrame:
 def as_bytes(col: pa.Array) -> list[bytes | None]:
     """UTF-8 bytes of a string column, without decoding."""
     return col.cast(pa.large_binary() if pa.types.is_large_string(col.type) else pa.binary()).to_pylist()
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or name with underscores before it until no column of df has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def with_column(df: DataFrame, inputs: list[str], fn: Callable[..., pa.Array], name: str, ddl: str) -> DataFrame:
+    """df with one more column, which fn makes from the input columns' Arrow arrays; all other columns pass unchanged."""
+    schema = T.StructType([*df.schema.fields, T.StructField(name, T._parse_datatype_string(ddl))])
+    at, names = [df.columns.index(c) for c in inputs], [*df.columns, name]
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*b.columns, fn(*(b.column(i) for i in at))], names)
+
+    return arrow_map(df, run, schema)
