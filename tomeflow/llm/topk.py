@@ -6,7 +6,7 @@ at every node. Queries come in blocks. The most that a query can score in a box
 max(q * low, q * high). A block descends a tree level by level, dropping (query, node) pairs whose bound is below the
 query's kth score so far; then each query visits its leaves best first until the next leaf's bound is below its kth score.
 That score is carried from shard to shard of a task. Pairs of a block and a chain of shards are the tasks, so no task holds
-more than one block and `CHAIN` shards, whatever the table's size.
+more than one block and `CHAIN` shards, whatever the table's size; chains are shorter while there are fewer tasks than cores.
 
 Defined cases: a vector that is null or holds a null or non-finite component takes no part, nor does a row without an id;
 vectors of other lengths than the query's are no candidates; rows that share the query's id are its own; identical rows
@@ -174,10 +174,11 @@ def top_k(embeddings: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddi
     queries = rows.where(F.col("id") % query_step == 0)
     shards = max(1, math.ceil(rows.count() / shard_rows))
     blocks = max(1, math.ceil(queries.count() / block_queries))
-    chains = math.ceil(shards / CHAIN)
+    chain = max(1, min(CHAIN, shards * blocks // (2 * embeddings.sparkSession.sparkContext.defaultParallelism)))
+    chains = math.ceil(shards / chain)
     numbers = lambda n: F.sequence(F.lit(0), F.lit(n - 1))
     deal = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    right = rows.withColumn("shard", deal(shards)).withColumn("chain", (F.col("shard") / CHAIN).cast("int")).withColumn("block", F.explode(numbers(blocks)))
+    right = rows.withColumn("shard", deal(shards)).withColumn("chain", (F.col("shard") / chain).cast("int")).withColumn("block", F.explode(numbers(blocks)))
     left = queries.withColumn("block", deal(blocks)).withColumn("chain", F.explode(numbers(chains)))
 
     def run(q: pa.Table, v: pa.Table) -> pa.Table:
