@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, as_bytes, written
+from .common import arrow_map, as_bytes, free_name, with_column, written
 
 SEED = 42
 SHINGLE_WORDS = 3
@@ -59,12 +59,15 @@ def _majority(digests: bytes) -> bytes:
     return np.packbits(bits.sum(axis=0, dtype=np.int64) * 2 > len(bits)).tobytes()
 
 
+def _fp_array(texts: pa.Array) -> pa.Array:
+    return pa.array(np.frombuffer(b"".join(fingerprint(t) for t in as_bytes(texts)), ">u8").astype(np.uint64).view(np.int64), pa.int64())
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp (the fingerprint as a signed long)."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        fps = np.frombuffer(b"".join(fingerprint(t) for t in as_bytes(b.column(1))), ">u8").astype(np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+        return pa.RecordBatch.from_arrays([b.column(0), _fp_array(b.column(1))], ["doc_id", "fp"])
 
     return arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, fp long")
 
@@ -238,12 +241,17 @@ def components(edges: DataFrame) -> DataFrame:
     return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
 
 
+def _rooted(fps: DataFrame, bucket_rows: int) -> DataFrame:
+    """fp, first (smallest doc_id that isn't null), root (a fingerprint that names the component), for distinct fp."""
+    firsts = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-first")
+    roots = written(components(link_edges(firsts, bucket_rows)), "simhash-roots")
+    return firsts.join(roots, firsts.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """doc_id, fingerprint, component_id, one row for each input row."""
     fps = written(fingerprints(docs, id_col, text_col), "simhash-fp")
-    firsts = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-first")
-    roots = written(components(link_edges(firsts, bucket_rows)), "simhash-roots")
-    rooted = firsts.join(roots, firsts.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    rooted = _rooted(fps, bucket_rows)
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
     # One row for each fingerprint on the right; a fingerprint that many documents share is a skewed join, which Spark splits.
@@ -252,3 +260,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id",
     )
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """docs, all columns, with one row of each component: the one with the smallest id (a row without an id only where no
+    other is there); of rows that share that id and fingerprint any one."""
+    fps = written(fingerprints(docs, id_col, text_col), "simhash-fp")
+    rooted = _rooted(fps, bucket_rows)
+    best = rooted.groupBy("root").agg(F.min(F.struct(F.col("first").isNull(), "first", "fp")).alias("b"))
+    kept = written(best.select(F.col("b.first").alias("keep_id"), F.col("b.fp").alias("keep_fp")), "simhash-kept")
+    fp = free_name(docs, "fp")
+    marked = with_column(docs, [text_col], lambda t: _fp_array(t), fp, "bigint")
+    out = marked.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("keep_id")) & (F.col(fp) == F.col("keep_fp")), "left_semi")
+    repeated = fps.join(kept, fps.doc_id.eqNullSafe(F.col("keep_id")) & (fps.fp == F.col("keep_fp")), "left_semi").groupBy("doc_id", "fp").count().where("count > 1")
+    if repeated.take(1):
+        out = out.dropDuplicates([id_col, fp])
+    return out.drop(fp)
