@@ -1,0 +1,5 @@
+"""Fitting material into a token budget."""
+
+from .compile import fit_blobs, trim_related
+
+__all__ = ["fit_blobs", "trim_related"]
