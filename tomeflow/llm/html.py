@@ -43,7 +43,7 @@ HOLDERS = frozenset(
 )
 BOILERPLATE = frozenset("aside button dialog footer form menu nav search".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
-#: Words of a class or id, split at anything but letters and at a change of case.
+#: Words of a class or id, split at anything but letters and at a change of case, or all its words together.
 NAMES = frozenset(
     "ad ads advert advertisement advertising advertisements adverts banner breadcrumb breadcrumbs byline comment comments consent cookie cookies "
     "disclaimer disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice overlay pager pagination popup promo promos "
@@ -78,8 +78,11 @@ def _is_boilerplate(name: str, attributes: str, inside_article: bool) -> bool:
         key, value = key.lower(), value.strip("\"'")
         if key == "role" and value.lower() in ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true":
             return True
-        if key in ("class", "id") and any(w.lower() in NAMES for w in _WORD.findall(value)):
-            return True
+        if key in ("class", "id"):
+            for v in value.split():
+                parts = [w.lower() for w in _WORD.findall(v)]
+                if "".join(parts) in NAMES or not NAMES.isdisjoint(parts):
+                    return True
     return False
 
 
