@@ -57,13 +57,22 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | T.StructType) -> DataFrame:
-    """fn over each Arrow batch; None gives no rows."""
+#: Python makes objects of about so many bytes of Arrow data at a time, whatever a batch's rows are.
+SLICE_BYTES = 4 << 20
+
+
+def slices(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    step = max(1, b.num_rows * SLICE_BYTES // max(1, b.nbytes))
+    for i in range(0, b.num_rows, step):
+        yield b.slice(i, step)
+
+
+def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | T.StructType) -> DataFrame:
+    """fn over Arrow batches of a bounded size, which have rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if (out := fn(b)) is not None:
-                yield out
+            yield from map(fn, slices(b))
 
     return df.mapInArrow(run, schema)
 

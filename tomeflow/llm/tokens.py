@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import fresh_path
+from .common import fresh_path, slices
 
 VOCABULARY_FILE = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: The byte-level BPE pre-tokenizer pattern that goes with the vocabulary (fixed value).
@@ -68,7 +68,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary_file: str = VOCABULARY_F
             chunk = f"c{part:06d}_{files:04d}"
             return pa.RecordBatch.from_arrays([pa.array(["tokens", "ids"]), pa.array([chunk, chunk]), pa.array([tokens, known], pa.binary())], ["kind", "chunk", "value"])
 
-        for b in batches:
+        for b in (x for whole in batches for x in slices(whole)):
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 own = (np.array(encode(t), np.int64) + 1).astype("<u2").tobytes() + b"\0\0" if t else b"\0\0"
                 parts.append(own)
