@@ -1,0 +1,78 @@
+import os
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tomeflow.llm import tokens
+
+here = pytest.mark.skipif(not os.path.exists(tokens.VOCABULARY_FILE), reason="no vocabulary file here")
+
+
+def scanned(spark, tmp_path, arrays, dtype="<u2", end=0, block_bytes=16):
+    for i, a in enumerate(arrays):
+        np.array(a, dtype).tofile(tmp_path / f"{i}.bin")
+    files = spark.read.format("binaryFile").load(str(tmp_path)).select("path", "content")
+    out = {}
+    for r in tokens.count_tokens(files, end, dtype, block_bytes).collect():
+        out.setdefault(int(os.path.basename(r.path).split(".")[0]), {})[r.ordinal] = r.n_tokens
+    return {f: [n for _, n in sorted(d.items())] for f, d in out.items()}
+
+
+def loop(a, end=0):
+    out, n = [], 0
+    for x in a:
+        if x == end:
+            out.append(n)
+            n = 0
+        else:
+            n += 1
+    return out + [n] * (n > 0)
+
+
+@pytest.mark.parametrize("block_bytes", [2, 6, 16, 1 << 20])
+def test_scan_equals_a_loop(spark, tmp_path, block_bytes):
+    rng = np.random.default_rng(0)
+    arrays = [rng.integers(0, k, n) for k, n in ((2, 50), (5, 200), (1000, 300), (3, 1))]
+    arrays += [[0], [0, 0, 0], [7] * 40, [7] * 40 + [0], [0] + [7] * 40, [1, 0, 2]]
+    assert scanned(spark, tmp_path, arrays, block_bytes=block_bytes) == {i: loop(a) for i, a in enumerate(arrays)}
+
+
+def test_other_id_widths_and_separators(spark, tmp_path):
+    a = [5, 70_000, 99, 0, 1, 99]
+    assert scanned(spark, tmp_path, [a], "<u4", 99, 8) == {0: loop(a, 99)}
+
+
+def test_empty_and_torn_files(spark, tmp_path):
+    (tmp_path / "0.bin").write_bytes(b"")
+    (tmp_path / "1.bin").write_bytes(b"\1\0\0\0\2")  # a byte too many: not a token
+    files = spark.read.format("binaryFile").load(str(tmp_path)).select("path", "content")
+    assert [(os.path.basename(r.path), r.n_tokens) for r in tokens.count_tokens(files).collect()] == [("1.bin", 1)]
+
+
+@here
+def test_round_trip(spark):
+    with open(tokens.VOCABULARY_FILE, "rb") as f:
+        encode = tokens.encoder(f.read()).encode_ordinary
+    rows = [(i, f"Some prose {i}, élan 😀 {'x' * i}\n") for i in range(60)] + [(100, None), (101, ""), (None, "a null id"), (5, "Some prose"), (102, "long " * 40_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("CHUNK", F.lit(1)).withColumn("kind", F.lit("clash")).repartition(5)
+    want = sorted((i if i is not None else -1, len(encode(t or ""))) for i, t in rows)
+    assert sorted((r.doc_id if r.doc_id is not None else -1, r.n_tokens) for r in tokens.document_tokens(df).collect()) == want
+
+
+@here
+def test_files_hold_tokens_and_nothing_else(spark, tmp_path):
+    with open(tokens.VOCABULARY_FILE, "rb") as f:
+        encoding = tokens.encoder(f.read())
+    texts = ["one two", "", "three é"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    tokens.write_tokens(df, str(tmp_path / "t"), file_bytes=10)
+    data = b"".join(r.content for r in spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(tmp_path / "t/kind=tokens")).orderBy("path").collect())
+    ids = np.frombuffer(data, "<u2").astype(int)
+    docs = [list(d) for d in np.split(ids, np.flatnonzero(ids == 0) + 1) if len(d)]
+    assert [encoding.decode([x - 1 for x in d[:-1]]) for d in docs] == texts
+
+
+@here
+def test_empty_table(spark):
+    assert tokens.document_tokens(spark.createDataFrame([], "doc_id long, text string")).count() == 0
