@@ -15,7 +15,7 @@ PAGE = '---\ntype: concept\ntitle: A\nsources:\n  - resource: "/raw/r1"\ntags: [
 
 @pytest.fixture
 def root(tmp_path):
-    for d in ("raw/deeper", "wiki/concepts/sub", "wiki/entities", ".okf"):
+    for d in ("raw/deeper", "wiki/concepts/sub", "wiki/entities", ".vault"):
         (tmp_path / d).mkdir(parents=True)
     (tmp_path / "raw/r1.md").write_text("---\nchecksum: x\n---\n\n# Raw one\ntext")
     (tmp_path / "raw/deeper/r2.md").write_text("not read")
@@ -90,7 +90,7 @@ def test_paths_and_registry(tmp_path):
     paths.save_registry(file, {"b": {"path": '/x "q"', "description": "d", "is_default": True}, "a": {"path": "/y"}})
     v = paths.registry(file)
     assert list(v) == ["a", "b"] and v["b"]["is_default"] and v["b"]["path"] == '/x "q"'
-    (tmp_path / "vault/.okf").mkdir(parents=True)
+    (tmp_path / "vault/.vault").mkdir(parents=True)
     (tmp_path / "vault/in/here").mkdir(parents=True)
     assert paths.resolve_vault("a", "/", v) == "/y"
     assert paths.resolve_vault(None, str(tmp_path / "vault/in/here"), v) == str(tmp_path / "vault")

@@ -105,6 +105,7 @@ def link_fix_jobs(broken: DataFrame, provenance: DataFrame, blobs: DataFrame) ->
     return pages.join(sources, "slug", "left").select("slug", "n_pages", F.coalesce("n_sources", F.lit(0)).cast("long").alias("n_sources"), F.col("n_sources").isNotNull().alias("ready"))
 
 
+# The lines of a report, in the order of its parts.
 _TITLES = {
     "pending_compile": ("Pending compile ({n} source(s) not compiled at their current content):", "  {page}"),
     "broken_link": ("Broken links ({n}):", "  {page} -> [[{target}]] (target does not exist)"),

@@ -8,7 +8,8 @@ from pathlib import Path, PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
 
-MARKER = ".okf"
+#: The folder that marks a vault's root; callers with vaults of another make give their own.
+MARKER = ".vault"
 
 
 def normalise_uri(source: str) -> str:
@@ -60,12 +61,12 @@ def registry_table(spark: SparkSession, vaults: dict[str, dict]) -> DataFrame:
     return spark.createDataFrame(rows, "name string, path string, description string, is_default boolean")
 
 
-def resolve_vault(flag: str | None, cwd: str, vaults: dict[str, dict]) -> str:
+def resolve_vault(flag: str | None, cwd: str, vaults: dict[str, dict], marker: str = MARKER) -> str:
     """A registered name or a path; else the nearest folder above cwd with the marker; else the default."""
     if flag:
         return vaults[flag]["path"] if flag in vaults else flag
     for d in (Path(cwd), *Path(cwd).parents):
-        if (d / MARKER).is_dir():
+        if (d / marker).is_dir():
             return str(d)
     for v in vaults.values():
         if v.get("is_default"):

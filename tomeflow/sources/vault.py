@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 
-PAGE_FIELDS = "slug string, type string, title string, description string, id string, okf_version string, timestamp string, tags array<string>, sources array<string>, body string, parse_error string"
+PAGE_FIELDS = "slug string, type string, title string, description string, id string, version string, timestamp string, tags array<string>, sources array<string>, body string, parse_error string"
 LOCAL = ("md", "txt", "pdf", "docx")
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
@@ -56,7 +56,8 @@ def parse_page(content: str) -> dict:
         if not isinstance(meta, dict) or not all(isinstance(meta.get(k), str) for k in ("type", "title")):
             raise ValueError("type and title are required")
         sources = [s["resource"] for s in meta.get("sources") or []]
-        optional = {k: None if meta.get(k) is None else str(meta[k]) for k in ("description", "id", "okf_version", "timestamp")}
+        optional = {k: None if meta.get(k) is None else str(meta[k]) for k in ("description", "id", "timestamp")}
+        optional["version"] = next((str(v) for k, v in meta.items() if str(k).endswith("_version") and v is not None), None)
         tags = [str(t) for t in meta.get("tags") or []]
     except Exception as e:
         return {"parse_error": f"bad front matter: {str(e).splitlines()[0]}"}
