@@ -82,5 +82,5 @@ def test_labels_of_one_class_or_none(spark, labels, want):
 
 def test_features():
     f = quality.text_features("AB ab 12!\nAB ab 12!\né|")
-    assert f.shape == (quality.TEXT_FEATURES,) and f[1] > 0 and f[13] == pytest.approx(1 / 3)
+    assert f.shape == (quality.TEXT_FEATURES,) and f[1] > 0 and f[14] == pytest.approx(1 / 3)
     assert not quality.text_features(None).any()

@@ -1,7 +1,7 @@
 """Document quality by co-training two views.
 
 The text view sees `TEXT_FEATURES` numbers of the content (shares of kinds of characters, lengths, repetition); the page
-view sees the metadata only: source, language and length. Each is an additive logistic model over decile bins (or hash
+view sees the metadata only: source, language and length. Each is an additive logistic model over quantile bins (or hash
 buckets) of its features. From the labelled sample both views are fitted; then, for `ROUNDS` rounds, each labels the
 documents of an unlabelled pool of which it is surest, in the classes' known proportion, and they become training rows of
 the other. Each view's log-odds are then calibrated on a fifth of the labels, kept out of the fit (Platt scaling), and
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +33,11 @@ SAMPLE_ROWS = 20_000
 ROUNDS = 5
 #: Pseudo-labels that a view gives in a round, and the least probability of each.
 PER_ROUND, SURE = 500, 0.95
-BINS = 10
+#: Bins end at these quantiles; junk is rare, so they are narrow at both ends.
+QUANTILES = np.array([0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.98, 0.99])
 SOURCE_BUCKETS, LANG_BUCKETS = 256, 32
 KEEP = 0.5
-TEXT_FEATURES = 14
+TEXT_FEATURES = 15
 
 _CLASSES = np.zeros((256, 9), np.float64)  # symbols, !, |, upper, lower, digits, beyond ASCII, white space, stops
 for _c in range(256):
@@ -52,7 +54,8 @@ def text_features(text: str | None) -> np.ndarray:
     n = max(1, len(w))
     lines = raw.split(b"\n")
     top = Counter(w).most_common(1)[0][1] / n if w else 0.0
-    return np.array([*shares, np.log1p(len(w)), sum(map(len, w)) / n, top if n > 20 else 0.0, len(set(w)) / n if n > 20 else 1.0, 1 - len(set(lines)) / len(lines)])
+    again = sum(map(eq, w, w[1:])) / n
+    return np.array([*shares, again, np.log1p(len(w)), sum(map(len, w)) / n, top if n > 20 else 0.0, len(set(w)) / n if n > 20 else 1.0, 1 - len(set(lines)) / len(lines)])
 
 
 def page_features(source: str | None, lang: str | None, n_chars: int | None) -> tuple[int, int, float]:
@@ -61,12 +64,12 @@ def page_features(source: str | None, lang: str | None, n_chars: int | None) ->
 
 
 class Binner:
-    """One-hot columns: decile bins of numbers, and given buckets."""
+    """One-hot columns: quantile bins of numbers, and given buckets."""
 
     def __init__(self, numbers: np.ndarray, buckets: tuple[int, ...] = ()):
-        self.edges = [np.unique(np.quantile(x, np.arange(1, BINS) / BINS)) if len(x) else np.zeros(0) for x in numbers.T]
+        self.edges = [np.unique(np.quantile(x, QUANTILES)) if len(x) else np.zeros(0) for x in numbers.T]
         self.buckets = buckets
-        sizes = [BINS + 1] * len(self.edges) + [b + 1 for b in buckets]
+        sizes = [len(QUANTILES) + 1] * len(self.edges) + [b + 1 for b in buckets]
         self.offsets = np.cumsum([0, *sizes])
 
     @property
