@@ -29,6 +29,12 @@ def test_short_article_without_surge():
     assert html.main_text(page("<p>Be.</p><p>It &lt;is&gt;.</p>")) == "Be.\nIt <is>."
 
 
+def test_page_without_an_article_element():
+    body = f"<body><div class='top'>My site</div><div>Menu here</div><h1>Title</h1><p>Be.</p><p>{LONG}</p><p>{LONG}</p><p>End.</p><div>Links</div><div>a</div><div>b</div><div>c</div></body>"
+    text = html.main_text(body)
+    assert f"Title\nBe.\n{LONG.strip()}\n{LONG.strip()}\nEnd." in text and "My site" not in text and not text.endswith("c")
+
+
 def test_adverts_and_comments_inside_the_article_go():
     inner = f"<p>{LONG}</p><div class='ad'>Buy</div><p>{LONG}</p><div class='newsletter-signup'>Join</div><div id=comments><p>{LONG * 4}</p></div><p>End</p>"
     assert html.main_text(page(inner)) == f"{LONG.strip()}\n{LONG.strip()}\nEnd"

@@ -54,7 +54,14 @@ def written(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Removes the files of a written table that nothing reads any more."""
+    drop_path(df.sparkSession, df._written_to)
 
 
 #: Python makes objects of about so many bytes of Arrow data at a time, whatever a batch's rows are.
@@ -77,13 +84,14 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sch
     return df.mapInArrow(run, schema)
 
 
-def hash_sample(df: DataFrame, key: str, bound: int) -> DataFrame:
-    """About `bound` rows at most, chosen by a hash of the key alone, so the choice is the same on every run."""
+def hash_sample(df: DataFrame, key: list[str], bound: int) -> DataFrame:
+    """About `bound` different rows at most, chosen by a hash of the key columns, so the choice is the same on every run.
+    Copies of a row are chosen or left together."""
     n = df.count()
     if n <= bound:
         return df
     step = math.ceil(n / bound)
-    return df.where(F.pmod(F.xxhash64(F.col(key)), F.lit(step)) == 0)
+    return df.where(F.pmod(F.xxhash64(*key), F.lit(step)) == 0)
 
 
 def as_bytes(col: pa.Array) -> list[bytes | None]:

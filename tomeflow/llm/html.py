@@ -5,8 +5,8 @@ that holds it and whether it lies in boilerplate (by element, role, or a word of
 sum of text lengths over the window of `WINDOW` lines that it begins; boilerplate counts as empty. A region surges where a
 block exceeds `SURGE` characters with text in the blocks after it, and dives where the next blocks are empty; the region
 with the most text is the main one. Sums over a window smooth the edges, so the region's limits are then moved to those of
-the innermost sectioning element (or article, main, body) that holds all its lines: short first and last lines stay. A page
-with no surge gives the lines of its article or main element, or else all lines that aren't boilerplate.
+the innermost sectioning element (or article, main, body) that holds all its lines: short first and last lines stay. Where
+only the body holds them, the region and what stands directly in the body are kept. A page with no surge gives the lines of its article or main element, or else all lines that aren't boilerplate.
 
 Defined cases: null or empty html gives an empty text; unclosed elements, comments and scripts run to the end of their
 parent or the page; text outside any element counts as a block; repeated rows give repeated rows; extra columns are
@@ -189,7 +189,16 @@ def main_text(html: str | None) -> str:
             h = h.parent
         return h is limit
 
-    return "\n".join(t for t, h in lines if not h.boiler and held(h))
+    if limit.name not in ("", "body"):
+        return "\n".join(t for t, h in lines if not h.boiler and held(h))
+    # Nothing smaller than the page holds the region: short lines at its edges and beyond, in elements of their own, stay out.
+    aside = lambda i: lines[i][1] is not limit and lengths[i] <= SURGE
+    first, after = found
+    while first < after and aside(first):
+        first += 1
+    while first < after and aside(after - 1):
+        after -= 1
+    return "\n".join(t for i, (t, h) in enumerate(lines) if not h.boiler and (first <= i < after or h is limit))
 
 
 def _within_article(h: _Holder | None) -> bool:

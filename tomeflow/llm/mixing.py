@@ -111,16 +111,17 @@ def mix(docs: DataFrame, budget: int | None = None, target_entropy: float = TARG
     n, block, place = (free_name(docs, c) for c in ("n_tokens", "block", "place"))
     tokens = written(docs.select("doc_id", "source", token_estimate(F.col("text")).alias("tokens")), "mix-tokens")
     todo = written(plan(tokens, budget, target_entropy, max_repeats, seed), "mix-plan")
-    todo = todo.select(F.struct("*").alias("_plan"))
-    rows = docs.join(todo, docs.source.eqNullSafe(F.col("_plan.source"))).withColumn(n, token_estimate(F.col("text")))
-
-    blocks = F.sequence(F.lit(0).cast("long"), F.col("_plan.whole") - 1)
-    whole = rows.where("_plan.whole > 0").withColumn(block, F.explode(blocks)).withColumn(place, _key(seed, F.col(block), F.col("doc_id")))
-    last = rows.withColumn(block, F.col("_plan.whole")).withColumn(place, _key(seed, F.col("_plan.whole"), F.col("doc_id")))
-    last = last.withColumn("_range", _range(F.col(place)))
-    inside = last.where("_range < _plan.edge")
-    order = W.partitionBy("_plan.source").orderBy(place, "doc_id", n).rowsBetween(W.unboundedPreceding, 0)
-    at_edge = last.where("_range = _plan.edge").withColumn("_sum", F.sum(n).over(order)).where("_sum <= _plan.rest")
+    p, hidden, passed = (free_name(docs, c) for c in ("plan", "range", "passed"))
+    todo = todo.select(F.struct("*").alias(p))
+    rows = docs.join(todo, docs.source.eqNullSafe(F.col(f"{p}.source"))).withColumn(n, token_estimate(F.col("text")))
+
+    blocks = F.sequence(F.lit(0).cast("long"), F.col(f"{p}.whole") - 1)
+    whole = rows.where(F.col(f"{p}.whole") > 0).withColumn(block, F.explode(blocks)).withColumn(place, _key(seed, F.col(block), F.col("doc_id")))
+    last = rows.withColumn(block, F.col(f"{p}.whole")).withColumn(place, _key(seed, F.col(f"{p}.whole"), F.col("doc_id")))
+    last = last.withColumn(hidden, _range(F.col(place)))
+    inside = last.where(F.col(hidden) < F.col(f"{p}.edge"))
+    order = W.partitionBy(f"{p}.source").orderBy(place, "doc_id", n).rowsBetween(W.unboundedPreceding, 0)
+    at_edge = last.where(F.col(hidden) == F.col(f"{p}.edge")).withColumn(passed, F.sum(n).over(order)).where(F.col(passed) <= F.col(f"{p}.rest"))
     columns = [*docs.columns, n, block, place]
     pick = lambda d: d.select(*[F.col(f"`{c}`") for c in columns])
     return pick(whole).unionByName(pick(inside)).unionByName(pick(at_edge))

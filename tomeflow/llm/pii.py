@@ -9,7 +9,7 @@ number that is recognised in one place lends its label to its repeats, however f
 gives marginals, and runs of tokens with one label at `LEAST` or more become spans where no base span is.
 
 Weights are fitted by pseudo-likelihood on labels from the base patterns. The statistics are counts of a bounded number of
-(shapes, labels) combinations over about `SAMPLE_DOCS` documents with digits, chosen by a hash of the id.
+(shapes, labels) combinations over about `SAMPLE_DOCS` documents with digits, chosen by a hash of id and text.
 
 Defined cases: null text is empty; without any digit or @ the field has no node; offsets are code points; a null id stays
 null; repeated rows give repeated rows; extra columns are ignored (or kept, by `mask`).
@@ -320,7 +320,7 @@ def _statistics(b: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> Weights:
-    some = hash_sample(docs.where(F.col(text_col).rlike("[0-9@]")).select(F.col(id_col).alias("id"), F.col(text_col).alias("t")), "id", sample_docs)
+    some = hash_sample(docs.where(F.col(text_col).rlike("[0-9@]")).select(F.col(id_col).alias("id"), F.col(text_col).alias("t")), ["id", "t"], sample_docs)
     stats = arrow_map(some.select("t"), _statistics, ", ".join(f"{c} long" for c in (*_COLUMNS, "n")))
     rows = sorted(tuple(r) for r in stats.groupBy(*_COLUMNS).agg(F.sum("n").alias("n")).collect())
     data = np.array(rows, np.int64).reshape(-1, 11)

@@ -7,8 +7,8 @@ documents of an unlabelled pool of which it is surest, in the classes' known pro
 the other. Each view's log-odds are then calibrated on a fifth of the labels, kept out of the fit (Platt scaling), and
 both are combined by weights that are fitted on the same fifth. Every document is scored.
 
-Fitting uses at most about `SAMPLE_ROWS` labelled rows and as many unlabelled ones, chosen by a hash of the id; what
-reaches the driver of each is a fixed number of numbers.
+Fitting uses at most about `SAMPLE_ROWS` labelled rows and as many unlabelled ones, chosen by a hash; what reaches the driver
+of each is a fixed number of numbers, and rows with the same numbers count once.
 
 Defined cases: a null or empty text has zero features; a null source, language or length is a bucket of its own; labels
 with a null id or label, or without a document, are ignored; without labels of both classes every document scores the share
@@ -85,11 +85,15 @@ class Binner:
         return np.stack(cols, axis=1).astype(np.int64) if cols else np.zeros((len(numbers), 0), np.int64)
 
 
-def logistic(cols: np.ndarray, y: np.ndarray, width: int, ridge: float = 1.0, steps: int = 12) -> np.ndarray:
-    """Newton's method for one-hot columns and a bias (last weight)."""
+def logistic(cols: np.ndarray, y: np.ndarray, binner: Binner, ridge: float = 1.0, steps: int = 12) -> np.ndarray:
+    """Newton's method for one-hot columns and a bias (last weight). The penalty is on the steps from a number's bin to the
+    next, so that a rare bin leans on its neighbours."""
+    width, numbers = binner.width, [slice(a, z) for a, z in zip(binner.offsets, binner.offsets[1:], strict=False)][: len(binner.edges)]
     w = np.zeros(width + 1)
     x = np.zeros((len(y), width + 1))
     np.put_along_axis(x, cols, 1.0, axis=1)
+    for s in numbers:
+        x[:, s] = np.cumsum(x[:, s][:, ::-1], axis=1)[:, ::-1]
     x[:, -1] = 1.0
     penalty = np.full(width + 1, ridge)
     penalty[-1] = 1e-6
@@ -100,6 +104,8 @@ def logistic(cols: np.ndarray, y: np.ndarray, width: int, ridge: float = 1.0, st
         w += np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-6:
             break
+    for s in numbers:
+        w[s] = np.cumsum(w[s])
     return w
 
 
@@ -155,10 +161,8 @@ def co_train(t: np.ndarray, p: np.ndarray, y: np.ndarray, pool_t: np.ndarray, po
     extra_y: list[list[np.ndarray]] = [[], []]
     left = np.ones(len(pool_t), bool)
     good = y[~held].mean()
-    widths = [text.width, page.width]
-
     def fitted(v: int) -> np.ndarray:
-        return logistic(np.vstack([cols[v], *extra[v]]), np.concatenate([y[~held], *extra_y[v]]), widths[v])
+        return logistic(np.vstack([cols[v], *extra[v]]), np.concatenate([y[~held], *extra_y[v]]), (text, page)[v])
 
     for _ in range(rounds):
         for v in (0, 1):
@@ -198,12 +202,12 @@ def _numbers(df: DataFrame) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     known = labels.select(F.col("doc_id").alias("id"), (F.col("quality") > 0).cast("long").alias("y")).dropna()
-    sample = F.broadcast(hash_sample(known, "id", sample_rows))
+    sample = F.broadcast(hash_sample(known.distinct(), ["id"], sample_rows))
     parts = docs.select(F.col("doc_id").alias("id"), "text", "source", "lang", F.col("n_chars").cast("long").alias("n_chars"))
     order = ["y", "text", "source", "lang", "n_chars"]
-    labelled = sorted((tuple(r.t), tuple(r.p), r.y) for r in _numbers(parts.join(sample, "id").select(order)).collect())
-    free = hash_sample(parts, "id", sample_rows).join(sample.select("id"), "id", "left_anti").withColumn("y", F.lit(0).cast("long"))
-    pool = sorted((tuple(r.t), tuple(r.p)) for r in _numbers(free.select(order)).collect())
+    labelled = sorted((tuple(r.t), tuple(r.p), r.y) for r in _numbers(parts.join(sample, "id").select(order)).distinct().collect())
+    free = hash_sample(parts, ["id", "text", "source"], sample_rows).join(sample.select("id"), "id", "left_anti").withColumn("y", F.lit(0).cast("long"))
+    pool = sorted((tuple(r.t), tuple(r.p)) for r in _numbers(free.select(order)).distinct().collect())
     # Order by a hash of the row, so that the held-out fifth is like the rest.
     labelled.sort(key=lambda r: xxhash.xxh64_intdigest(repr(r)))
     t, p = np.array([r[0] for r in labelled]).reshape(-1, TEXT_FEATURES), np.array([r[1] for r in labelled]).reshape(-1, 3)

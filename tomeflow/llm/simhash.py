@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, as_bytes, free_name, with_column, written
+from .common import arrow_map, as_bytes, discard, free_name, with_column, written
 
 SEED = 42
 SHINGLE_WORDS = 3
@@ -234,7 +234,9 @@ def components(edges: DataFrame) -> DataFrame:
         large = written(large, "components")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        e = written(small.where("u <> v").distinct(), "components")
+        old, e = e, written(small.where("u <> v").distinct(), "components")
+        discard(old)
+        discard(large)
         if (now := mark(e)) == before:
             break
         before = now
@@ -271,8 +273,8 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kept = written(best.select(F.col("b.first").alias("keep_id"), F.col("b.fp").alias("keep_fp")), "simhash-kept")
     fp = free_name(docs, "fp")
     marked = with_column(docs, [text_col], lambda t: _fp_array(t), fp, "bigint")
-    out = marked.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("keep_id")) & (F.col(fp) == F.col("keep_fp")), "left_semi")
-    repeated = fps.join(kept, fps.doc_id.eqNullSafe(F.col("keep_id")) & (fps.fp == F.col("keep_fp")), "left_semi").groupBy("doc_id", "fp").count().where("count > 1")
+    out = marked.join(kept, marked[id_col].cast("long").eqNullSafe(kept.keep_id) & (marked[fp] == kept.keep_fp), "left_semi")
+    repeated = fps.join(kept, fps.doc_id.eqNullSafe(kept.keep_id) & (fps.fp == kept.keep_fp), "left_semi").groupBy("doc_id", "fp").count().where("count > 1")
     if repeated.take(1):
         out = out.dropDuplicates([id_col, fp])
     return out.drop(fp)

@@ -12,12 +12,13 @@ document counts as toxic. Every document
 is scored.
 
 Defined cases: a null or empty text has no word and gets the base severity; labels with a null id or label, or without a
-document, are ignored; repeated labels count as often as they stand; without labels of both kinds nothing is toxic; extra
+document, are ignored; a label that is repeated counts once; without labels of both kinds nothing is toxic; extra
 columns are ignored (or kept, by `with_severity`).
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,7 +36,9 @@ LEAST_Z = 5.0
 #: An indicator is this many times more common in toxic than in clean texts, and stands in so many toxic ones.
 INDICATOR_RATIO, INDICATOR_TEXTS = 8.0, 3
 #: Lengths, in bytes, of the beginnings of words that are features too.
-PREFIXES = (3, 4, 5)
+PREFIXES = (3, 4, 5, 6, 7)
+#: Two words or more that begin with the same so many bytes are one more feature: families whose members are rare.
+FAMILY = 6
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
@@ -45,7 +48,8 @@ def words(text: str | None) -> set[bytes]:
 
 
 def features(found: set[bytes]) -> set[bytes]:
-    return found.union(*({w[:k] + b"*" for w in found if len(w) > k} for k in PREFIXES))
+    families = Counter([w[:FAMILY] for w in found if len(w) > FAMILY])
+    return found.union(*({w[:k] + b"*" for w in found if len(w) > k} for k in PREFIXES), {p + b"**" for p, n in families.items() if n > 1})
 
 
 @dataclass
@@ -65,9 +69,11 @@ def _above(z: np.ndarray, t: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z[:, None] - t[None, :], -40, 40)))
 
 
-def fit(rows: np.ndarray, cols: np.ndarray, grade: np.ndarray, n_words: int, steps: int = 400, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and thresholds from the (row, column) pairs that are set. Thresholds are a first one and positive gaps."""
+def fit(rows: np.ndarray, cols: np.ndarray, grade: np.ndarray, n_words: int, weight: np.ndarray | None = None, steps: int = 400, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and thresholds from the (row, column) pairs that are set, and the rows' weights. Thresholds are a first one and
+    positive gaps."""
     n = len(grade)
+    share = np.full(n, 1 / n) if weight is None else weight / weight.sum()
     w, first, gaps = np.zeros(n_words), np.zeros(1), np.zeros(GRADES - 2)
     params = [w, first, gaps]
     m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
@@ -78,10 +84,10 @@ def fit(rows: np.ndarray, cols: np.ndarray, grade: np.ndarray, n_words: int, ste
         p = np.maximum(c[np.arange(n), grade] - c[np.arange(n), grade + 1], 1e-9)
         slope = c * (1 - c)  # of each sigmoid; none at both ends
         up, down = slope[np.arange(n), grade] / p, slope[np.arange(n), grade + 1] / p
-        dz = -(up - down) / n
+        dz = -(up - down) * share
         dt = np.zeros(GRADES + 1)
-        np.add.at(dt, grade, up / n)
-        np.add.at(dt, grade + 1, -down / n)
+        np.add.at(dt, grade, up * share)
+        np.add.at(dt, grade + 1, -down * share)
         dt = dt[1:GRADES]
         grads = [np.bincount(cols, dz[rows], n_words) + decay * w, np.array([dt.sum()]), np.exp(gaps) * np.cumsum(dt[::-1])[::-1][1:]]
         for i, (x, g) in enumerate(zip(params, grads, strict=True)):
@@ -90,18 +96,18 @@ def fit(rows: np.ndarray, cols: np.ndarray, grade: np.ndarray, n_words: int, ste
     return w, first[0] + np.concatenate([[0.0], np.cumsum(np.exp(gaps))])
 
 
-def best_cut(severity: np.ndarray, toxic: np.ndarray) -> float:
+def best_cut(severity: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> float:
     """The middle one of the severities whose F1 is the best but for 0.002."""
     grid = np.round(np.arange(0.1, 1.5, 0.05), 2)
     said = severity[:, None] >= grid
-    f1 = 2 * (said & toxic[:, None]).sum(axis=0) / np.maximum(1, said.sum(axis=0) + toxic.sum())
+    f1 = 2 * weight @ (said & toxic[:, None]) / np.maximum(1, weight @ said + weight @ toxic)
     good = grid[f1 >= f1.max() - 0.002]
     return float(good[(len(good) - 1) // 2])
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> Model:
     known = labels.select(F.col("doc_id").alias("id"), (F.col("toxic") > 0).cast("long").alias("toxic")).dropna()
-    sample = hash_sample(known, "id", sample_rows)
+    sample = hash_sample(known.distinct(), ["id"], sample_rows)
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         found = [sorted(words(t)) for t in b.column(1).to_pylist()]
@@ -131,18 +137,20 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         hits = [sum(not indicators.isdisjoint(features({w})) for w in ws) for ws in found]
         return pa.RecordBatch.from_arrays([b.column(0), pa.array(hits, pa.int64()), pa.array(at, pa.list_(pa.int32()))], ["toxic", "hits", "at"])
 
-    data = sorted((int(r.toxic), int(r.hits), tuple(r["at"])) for r in arrow_map(rows, pick, "toxic long, hits long, at array<int>").collect())
-    toxic, hits = np.array([t for t, _, _ in data], bool), np.array([h for _, h, _ in data])
-    r = np.repeat(np.arange(len(data)), [len(a) for _, _, a in data])
-    c = np.array([x for _, _, a in data for x in a], np.int64)
+    picked = arrow_map(rows, pick, "toxic long, hits long, at array<int>").groupBy("toxic", "hits", "at").agg(F.count("*").alias("n"))
+    data = sorted((int(r.toxic), int(r.hits), tuple(r["at"]), int(r.n)) for r in picked.collect())
+    toxic, hits, n = (np.array([row[i] for row in data]) for i in (0, 1, 3))
+    toxic = toxic.astype(bool)
+    r = np.repeat(np.arange(len(data)), [len(row[2]) for row in data])
+    c = np.array([x for row in data for x in row[2]], np.int64)
     grade = np.where(toxic, 1 + (hits >= 2) + (hits >= 4), 0)
-    held = np.arange(len(data)) % 5 == 0
+    held = np.random.default_rng(0).permutation(len(data)) % 5 == 0
     inner = ~held[r]
     renumber = np.cumsum(~held) - 1
-    w, t = fit(renumber[r[inner]], c[inner], grade[~held], len(vocabulary))
+    w, t = fit(renumber[r[inner]], c[inner], grade[~held], len(vocabulary), n[~held].astype(float))
     severity = _above(np.bincount(r, w[c], len(data)), t).sum(axis=1)
-    cut = best_cut(severity[held], toxic[held])
-    w, t = fit(r, c, grade, len(vocabulary))
+    cut = best_cut(severity[held], toxic[held], n[held].astype(float))
+    w, t = fit(r, c, grade, len(vocabulary), n.astype(float))
     return Model(vocabulary, w, t, cut)
 
 
