@@ -7,8 +7,7 @@ Features are words and, for inflected and compounded forms, their first bytes.
 
 The labels say toxic or not. Words far more common in toxic than in clean labelled texts are indicators, and a toxic text's
 grade is 1, 2 or 3 as it holds at most one, two or three, or more of them. Fitting uses at most about `SAMPLE_ROWS` labelled
-rows, chosen by a hash of the id; a fifth of them, kept out of a first fit, sets the severity from which a
-document counts as toxic. Every document
+rows, chosen by a hash of the id. A document counts as toxic from an expected severity of `CUT`. Every document
 is scored.
 
 Defined cases: a null or empty text has no word and gets the base severity; labels with a null id or label, or without a
@@ -31,8 +30,10 @@ from .common import arrow_map, free_name, hash_sample, with_column, written
 SAMPLE_ROWS = 20_000
 VOCABULARY = 2_048
 GRADES = 4
-#: A feature is in the vocabulary only if its shares in toxic and clean texts differ by so many standard errors.
-LEAST_Z = 5.0
+#: Well below a half, as the penalty on weights draws all severities down; clean texts lie near the base severity.
+CUT = 0.3
+#: A feature is in the vocabulary only if so many toxic texts have it, and by so many standard errors more often than clean ones.
+LEAST_TEXTS, LEAST_Z = 5, 5.0
 #: An indicator is this many times more common in toxic than in clean texts, and stands in so many toxic ones.
 INDICATOR_RATIO, INDICATOR_TEXTS = 8.0, 3
 #: Lengths, in bytes, of the beginnings of words that are features too.
@@ -57,7 +58,7 @@ class Model:
     vocabulary: dict[bytes, int]
     weights: np.ndarray
     thresholds: np.ndarray
-    cut: float
+    cut: float = CUT
 
     def severities(self, texts: list[str | None]) -> np.ndarray:
         find, w = self.vocabulary, self.weights
@@ -96,15 +97,6 @@ def fit(rows: np.ndarray, cols: np.ndarray, grade: np.ndarray, n_words: int, wei
     return w, first[0] + np.concatenate([[0.0], np.cumsum(np.exp(gaps))])
 
 
-def best_cut(severity: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> float:
-    """The middle one of the severities whose F1 is the best but for 0.002."""
-    grid = np.round(np.arange(0.1, 1.5, 0.05), 2)
-    said = severity[:, None] >= grid
-    f1 = 2 * weight @ (said & toxic[:, None]) / np.maximum(1, weight @ said + weight @ toxic)
-    good = grid[f1 >= f1.max() - 0.002]
-    return float(good[(len(good) - 1) // 2])
-
-
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> Model:
     known = labels.select(F.col("doc_id").alias("id"), (F.col("toxic") > 0).cast("long").alias("toxic")).dropna()
     sample = hash_sample(known.distinct(), ["id"], sample_rows)
@@ -117,7 +109,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = written(arrow_map(texts, run, "toxic long, words array<binary>"), "toxic-words")
     n_toxic, n_clean = (int(x or 0) for x in rows.select(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first())
     if not n_toxic or not n_clean:
-        return Model({}, np.zeros(0), np.full(GRADES - 1, 40.0), 0.5)
+        return Model({}, np.zeros(0), np.full(GRADES - 1, 40.0))
 
     def spread(b: pa.RecordBatch) -> pa.RecordBatch:
         found = [sorted(features(set(ws))) for ws in b.column(1).to_pylist()]
@@ -126,7 +118,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     counts = arrow_map(rows, spread, "toxic long, words array<binary>").select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
     mean = (F.col("t") + F.col("c")) / (n_toxic + n_clean)
     z = (F.col("t") / n_toxic - F.col("c") / n_clean) / F.sqrt(mean * (1 - mean) * (1 / n_toxic + 1 / n_clean) + 1e-12)
-    chosen = counts.where("t + c >= 3").withColumn("z", F.round(F.abs(z), 9)).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "word").limit(VOCABULARY).collect()
+    chosen = counts.where(F.col("t") >= LEAST_TEXTS).withColumn("z", F.round(z, 9)).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "word").limit(VOCABULARY).collect()
     vocabulary = {bytes(r.word): i for i, r in enumerate(chosen)}
     ratio = [(r.t + 0.5) / (n_toxic + 1) / ((r.c + 0.5) / (n_clean + 1)) for r in chosen]
     indicators = {bytes(r.word) for q, r in zip(ratio, chosen, strict=True) if q >= INDICATOR_RATIO and r.t >= INDICATOR_TEXTS}
@@ -144,14 +136,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     r = np.repeat(np.arange(len(data)), [len(row[2]) for row in data])
     c = np.array([x for row in data for x in row[2]], np.int64)
     grade = np.where(toxic, 1 + (hits >= 2) + (hits >= 4), 0)
-    held = np.random.default_rng(0).permutation(len(data)) % 5 == 0
-    inner = ~held[r]
-    renumber = np.cumsum(~held) - 1
-    w, t = fit(renumber[r[inner]], c[inner], grade[~held], len(vocabulary), n[~held].astype(float))
-    severity = _above(np.bincount(r, w[c], len(data)), t).sum(axis=1)
-    cut = best_cut(severity[held], toxic[held], n[held].astype(float))
     w, t = fit(r, c, grade, len(vocabulary), n.astype(float))
-    return Model(vocabulary, w, t, cut)
+    return Model(vocabulary, w, t)
 
 
 def with_severity(docs: DataFrame, model: Model, text_col: str = "text", name: str = "severity") -> tuple[DataFrame, str]:
