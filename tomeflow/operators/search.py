@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -18,14 +19,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import terms
+from ..functions.text import MAX_TERM_BYTES, terms
 
 K1, B = 1.2, 0.75
 RRF_K = 60
 DIGITS = 6
-#: Queries are sent to all tasks in blocks of this many terms at most.
-BLOCK_TERMS = 200_000
+#: Queries are sent to all tasks in blocks; terms times queries of a block are at most so many.
+BLOCK_CELLS = 4_000_000
+CHUNK_DOCS = 256
 SHARD_ROWS = 16_384
+_TERM = re.compile(r"[^\W_]+")
 
 
 def postings(docs: DataFrame, fields: tuple[str, ...] = ("title", "body")) -> DataFrame:
@@ -48,78 +51,96 @@ def top(df: DataFrame, limit: int, *order, by: str = "query_id") -> DataFrame:
     return df.withColumn("rank", F.row_number().over(W.partitionBy(by).orderBy(*order)).cast("int")).where(F.col("rank") <= limit)
 
 
-def _query_blocks(queries: DataFrame) -> Iterator[list[tuple[int, list[str]]]]:
-    block, n = [], 0
-    for r in queries.select("query_id", F.array_distinct(terms(F.col("text"))).alias("t")).toLocalIterator():
-        block.append((r.query_id, r.t))
-        n += len(r.t)
-        if n >= BLOCK_TERMS:
-            yield block
-            block, n = [], 0
-    if block:
-        yield block
+def _words(text: str | None) -> list[str]:
+    """The same terms as text.terms: runs of letters and digits, lower-cased, without those of 40 bytes or more."""
+    found = _TERM.findall(text.lower()) if text else []
+    if any(len(t) > 9 and len(t.encode()) >= MAX_TERM_BYTES for t in found):
+        found = [t for t in found if len(t.encode()) < MAX_TERM_BYTES]
+    return found
+
+
+def _query_blocks(queries: DataFrame) -> Iterator[tuple[list[int], dict[str, int], np.ndarray]]:
+    """(ids, column of each term, which query asks for which term) of blocks whose table has BLOCK_CELLS cells at most."""
+    asked, terms_ = [], set()
+    for r in queries.select("query_id", "text").toLocalIterator():
+        own = set(_words(r.text))
+        if asked and (len(asked) + 1) * len(terms_ | own) > BLOCK_CELLS:
+            yield _block(asked, terms_)
+            asked, terms_ = [], set()
+        asked.append((r.query_id, own))
+        terms_ |= own
+    if asked:
+        yield _block(asked, terms_)
+
+
+def _block(asked: list[tuple[int, set[str]]], terms_: set[str]) -> tuple[list[int], dict[str, int], np.ndarray]:
+    at = {t: i for i, t in enumerate(sorted(terms_))}
+    table = np.zeros((len(at), len(asked)), bool)
+    for q, (_, own) in enumerate(asked):
+        table[[at[t] for t in own], q] = True
+    return [q for q, _ in asked], at, table
 
 
 def bm25(docs: DataFrame, queries: DataFrame, limit: int, fields: tuple[str, ...] = ("title", "body")) -> DataFrame:
     """query_id, path, score (rounded to six digits), rank; documents that share a term with the query, best first, ties by
     path. Scores add up over fields; lengths are exact. A query without terms finds nothing."""
     spark, out = docs.sparkSession, None
-    tokens = docs.select("path", *(terms(F.col(f)).alias(f) for f in fields))
-    stats = tokens.agg(F.count("*").alias("n"), *(F.avg(F.size(f)).alias(f) for f in fields)).first()
-    n, mean = stats["n"], [stats[f] or 1.0 for f in fields]
-    for block in _query_blocks(queries):
-        wanted = sorted({t for _, ts in block for t in ts})
-        if not wanted:
+    texts = docs.select("path", *fields)
+    for ids, at, table in _query_blocks(queries):
+        if not at:
             continue
-        words = spark.sparkContext.broadcast({t: i for i, t in enumerate(wanted)})
+        sent = spark.sparkContext.broadcast((at, table))
 
-        def frequencies(batches: Iterator[pa.RecordBatch], words=words) -> Iterator[pa.RecordBatch]:
-            at = words.value
-            df = np.zeros((len(fields), len(at)), np.int64)
+        def statistics(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            """For each field and term the documents that have it; under -1 the field's length, under -2 all documents."""
+            at = sent.value[0]
+            df = np.zeros((len(fields), len(at) + 2), np.int64)
             for b in batches:
                 for f in range(len(fields)):
-                    for ts in b.column(1 + f).to_pylist():
-                        for t in at.keys() & ts:
-                            df[f, at[t]] += 1
+                    for t in b.column(1 + f).to_pylist():
+                        found = _words(t)
+                        df[f, -1] += len(found)
+                        df[f, -2] += 1
+                        df[f, [at[t] for t in at.keys() & found]] += 1
             f, i = np.nonzero(df)
-            yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(i), pa.array(df[f, i])], ["f", "i", "df"])
-
-        counts = tokens.mapInArrow(frequencies, "f long, i long, df long").groupBy("f", "i").agg(F.sum("df").alias("df"))
-        idf = np.zeros((len(fields), len(wanted)))
-        for r in counts.collect():  # at most a row for each term of the block
-            idf[r.f, r.i] = math.log1p((n - r.df + 0.5) / (r.df + 0.5))
-        asked: dict[str, list[int]] = {}
-        for q, (_, ts) in enumerate(block):
-            for t in ts:
-                asked.setdefault(t, []).append(q)
-        sent = spark.sparkContext.broadcast(({t: (words_i, asked[t]) for words_i, t in enumerate(wanted)}, idf, [q for q, _ in block]))
-
-        def scored(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            at, weight, ids = sent.value
+            yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(np.where(i < len(at), i, i - len(at) - 2)), pa.array(df[f, i])], ["f", "i", "df"])
+
+        df = np.zeros((len(fields), len(at) + 2))
+        for r in texts.mapInArrow(statistics, "f long, i long, df long").groupBy("f", "i").agg(F.sum("df").alias("df")).collect():
+            df[r.f, r.i] = r.df  # at most a row for each term of the block and field
+        n = df[:, -2:-1]
+        mean = np.maximum(df[:, -1], 1) / np.maximum(n[:, 0], 1)
+        idf = spark.sparkContext.broadcast((np.log1p((n - df[:, :-2] + 0.5) / (df[:, :-2] + 0.5)), mean))
+
+        def scored(batches: Iterator[pa.RecordBatch], sent=sent, idf=idf, ids=ids) -> Iterator[pa.RecordBatch]:
+            (at, table), (weight, mean) = sent.value, idf.value
+            table = table.astype(float)
             best: list[list[tuple[float, _Last, str]]] = [[] for _ in ids]
-            for b in batches:
-                paths = b.column(0).to_pylist()
-                columns = [b.column(1 + f).to_pylist() for f in range(len(fields))]
-                for d, path in enumerate(paths):
-                    found: dict[int, float] = {}
-                    for f in range(len(fields)):
-                        ts = columns[f][d]
-                        norm = K1 * (1 - B + B * len(ts) / mean[f])
-                        for t, tf in Counter(t for t in ts if t in at).items():
-                            i, qs = at[t]
-                            s = weight[f, i] * tf * (K1 + 1) / (tf + norm)
-                            for q in qs:
-                                found[q] = found.get(q, 0.0) + s
-                    for q, s in found.items():
-                        heap, item = best[q], (round(s, DIGITS), _Last(path), path)
-                        if len(heap) < limit:
-                            heapq.heappush(heap, item)
-                        elif item > heap[0]:
-                            heapq.heapreplace(heap, item)
+            least = np.zeros(len(ids))
+            for b in (x.slice(i, CHUNK_DOCS) for x in batches for i in range(0, x.num_rows, CHUNK_DOCS)):
+                paths, w = b.column(0).to_pylist(), np.zeros((b.num_rows, len(at)))
+                for f in range(len(fields)):
+                    for d, t in enumerate(b.column(1 + f).to_pylist()):
+                        found = _words(t)
+                        counts = Counter(filter(at.__contains__, found))
+                        if counts:
+                            i = [at[t] for t in counts]
+                            tf = np.fromiter(counts.values(), float, len(counts))
+                            w[d, i] += weight[f, i] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(found) / mean[f]))
+                raw = w @ table
+                scores = np.round(raw, DIGITS)
+                for d, q in zip(*np.nonzero((raw > 0) & (scores >= least)), strict=True):
+                    heap, item = best[q], (float(scores[d, q]), _Last(paths[d]), paths[d])
+                    if len(heap) < limit:
+                        heapq.heappush(heap, item)
+                    elif item > heap[0]:
+                        heapq.heapreplace(heap, item)
+                    if len(heap) == limit:
+                        least[q] = heap[0][0]
             rows = [(ids[q], p, s) for q, heap in enumerate(best) for s, _, p in heap]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.float64())], ["query_id", "path", "score"])
 
-        part = tokens.mapInArrow(scored, "query_id long, path string, score double")
+        part = texts.mapInArrow(scored, "query_id long, path string, score double")
         out = part if out is None else out.unionByName(part)
     if out is None:
         out = spark.createDataFrame([], "query_id long, path string, score double")

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators.ordered import numbered
+from ..sources.vault import spread
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
