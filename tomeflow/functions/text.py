@@ -91,6 +91,11 @@ def estimate_tokens(text: Column) -> Column:
     return F.ceil(F.char_length(text) / CHARS_PER_TOKEN).cast("long")
 
 
+def prompt_tokens(active: Column, superseded: Column, related_tokens: Column) -> Column:
+    """Estimated tokens of a prompt: the source, the version it replaces (if any) and the related pages."""
+    return estimate_tokens(active) + F.coalesce(estimate_tokens(superseded), F.lit(0)) + F.coalesce(related_tokens, F.lit(0))
+
+
 def truncate_to_budget(text: Column, budget: Column) -> Column:
     """At most four characters a token, with a note of how many were cut."""
     limit = (budget * CHARS_PER_TOKEN).cast("int")

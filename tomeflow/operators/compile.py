@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -50,6 +51,42 @@ def prompt(raw_id: Column, active: Column, old_id: Column, superseded: Column, r
     return F.concat(first, second, third, F.lit("Answer with a JSON object of page operations."))
 
 
+def link_fix_prompt(slug: Column, pages: Column, sources: Column) -> Column:
+    """The text that asks for a missing page: its slug, the pages that link to it (array<struct<path,content>>), and what those
+    cite (array<struct<id,content>>)."""
+    fenced = lambda c: F.concat(F.lit("```markdown\n"), c, F.lit("\n```\n\n"))
+    listed = lambda a, key, f: F.array_join(F.transform(a, lambda x: F.concat(F.lit(f"{key}: "), x[f], F.lit("\n"), fenced(x["content"]))), "")
+    return F.concat(
+        F.lit("# Missing page\n[["), slug, F.lit("]] is linked but doesn't exist. Write that page from the sources below and from nothing else.\n\n# Pages that link to it\n"),
+        listed(pages, "path", "path"), F.lit("# Sources they cite\n"), listed(sources, "id", "id"), F.lit("Answer with a JSON object of page operations."),
+    )
+
+
+def compile_sources(sources: DataFrame, synthesise: Callable[[str], str], pages: DataFrame, workers: int = 1, budget: int = text.PROMPT_BUDGET) -> tuple[DataFrame, DataFrame]:
+    """(pages after the run, outcomes source_seq, uri, error) of sources(source_seq, uri, raw_id, active, old_id, superseded,
+    related array<struct<path,content>>). A source whose answer can't be used is an error of its own, and stays pending."""
+    fitted = fit_blobs(sources, budget)
+    jobs = fitted.select("source_seq", "uri", prompt(F.col("raw_id"), F.col("active"), F.col("old_id"), F.col("superseded"), F.col("related")).alias("prompt"))
+    spark = sources.sparkSession
+    path = f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints/tomeflow'}/answers-{uuid.uuid4().hex}"
+    answers = run_jobs(jobs, synthesise, workers).withColumn("valid", payload.operations(F.col("payload"))["valid"])
+    answers.write.parquet(path)  # each source is asked once, whatever reads its answer
+    answers = spark.read.schema(answers.schema).parquet(path)
+    error = F.coalesce("error", F.when(~F.col("valid"), F.lit("the answer isn't a valid payload")))
+    outcomes = jobs.select("source_seq", "uri").join(answers.select("source_seq", error.alias("error")), "source_seq")
+    return apply_operations(pages, parse_results(answers)), outcomes
+
+
+def touched(operations: DataFrame) -> DataFrame:
+    """path of every page that operations name, once."""
+    return operations.select("path").distinct()
+
+
+def publishable(summary: DataFrame, counts: DataFrame) -> bool:
+    """Whether a run may be published: no failed source and no lint error."""
+    return not summary.first().has_errors and not counts.first().failed
+
+
 def parse_results(results: DataFrame) -> DataFrame:
     """source_seq, op_seq, action, path, content of valid payloads; a payload with any bad operation gives none."""
     parsed = results.withColumn("_p", payload.operations(F.col("payload"))).where("_p.valid")

@@ -41,6 +41,11 @@ def postings(docs: DataFrame, fields: tuple[str, ...] = ("title", "body")) -> Da
     return out.select("path", "field", "term", "tf", "doc_len")
 
 
+def write_postings(docs: DataFrame, path: str) -> None:
+    """The whole index anew, sorted by term within files so that a term's rows lie together."""
+    postings(docs).repartition("field", "term").sortWithinPartitions("field", "term").write.mode("overwrite").parquet(path)
+
+
 def term_statistics(postings_: DataFrame) -> DataFrame:
     """field, term, df."""
     return postings_.groupBy("field", "term").agg(F.count("*").alias("df"))
