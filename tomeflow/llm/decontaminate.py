@@ -160,6 +160,29 @@ def with_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
     return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.col(name)), name
 
 
+def oracle_sql() -> str:
+    """The same rows in DuckDB's SQL: every window of every document joined with the windows of the benchmark."""
+    upper, lower = (bytes(range(a, a + 26)).decode() for a in (65, 97))
+    words = f"regexp_extract_all(translate(text, '{upper}', '{lower}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    return f"""
+        WITH iw AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {words} AS w FROM benchmark WHERE text IS NOT NULL),
+        wi AS (
+            SELECT DISTINCT item, size, array_to_string(list_slice(w, i, i + size - 1), ' ') AS g
+            FROM (SELECT item, w, least({WINDOW}, len(w)) AS size, unnest(range(1, greatest(1, len(w) - {WINDOW - 1}) + 1)) AS i FROM iw WHERE len(w) > 0)
+        ), sizes AS (SELECT DISTINCT size FROM wi),
+        dw AS (SELECT row_number() OVER () AS r, doc_id, coalesce({words}, []) AS w FROM documents),
+        dg AS (
+            SELECT r, i, size, array_to_string(list_slice(w, i, i + size - 1), ' ') AS g
+            FROM (SELECT r, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM dw, sizes)
+        ), hi AS (SELECT DISTINCT r, i, size, item FROM dg JOIN wi USING (size, g)),
+        po AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + size)) AS p FROM hi) GROUP BY r),
+        it AS (SELECT r, count(DISTINCT item) AS n_items, array_to_string(list_sort(list(DISTINCT item)), ',') AS items FROM hi GROUP BY r)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+        FROM dw LEFT JOIN po USING (r) LEFT JOIN it USING (r)
+    """
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     df, name = with_contamination(docs.select("doc_id", "text"), benchmark)
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), f"{name}.*")

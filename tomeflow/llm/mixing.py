@@ -96,12 +96,48 @@ def plan(tokens: DataFrame, budget: int | None = None, target_entropy: float = T
 
 
 def _key(seed: int, block: Column, doc_id: Column) -> Column:
-    return F.xxhash64(F.lit(seed), block.cast("long"), doc_id.cast("long"))
+    """The place in a permutation: the first 60 bits of the MD5 of seed, block and id."""
+    named = F.concat_ws(":", F.lit(str(seed)), block.cast("string"), F.coalesce(doc_id.cast("string"), F.lit("")))
+    return F.conv(F.substring(F.md5(named), 1, 15), 16, 10).cast("long")
 
 
 def _range(key: Column) -> Column:
-    """The range of a place in a permutation; places run from the lowest long to the highest."""
-    return (F.shiftright(key, 52) + RANGES // 2).cast("int")
+    """The range of a place; places run from 0 to 2**60 - 1."""
+    return F.shiftright(key, 48).cast("int")
+
+
+def oracle_sql(target_entropy: float = TARGET_ENTROPY, max_repeats: float = MAX_REPEATS, seed: int = SEED) -> str:
+    """The same rows in DuckDB's SQL, for the budget of all tokens: bisection by a recursion, and one window a source."""
+
+    def bisect(name: str, start: str, good: str) -> str:
+        return f"""{name} AS (
+            SELECT 0 AS n, CAST({start} AS DOUBLE) AS low, 1.0::DOUBLE AS high
+            UNION ALL
+            SELECT n + 1, CASE WHEN {good} THEN mid ELSE low END, CASE WHEN {good} THEN high ELSE mid END
+            FROM (SELECT n, low, high, (low + high) / 2 AS mid, sum(pow(p, (low + high) / 2)) AS z, sum(pow(p, (low + high) / 2) * ln(p)) AS zl, max(pow(p, (low + high) / 2 - 1)) AS most
+                  FROM {name}, sh WHERE n < 60 GROUP BY n, low, high)
+        )"""
+
+    return f"""
+        WITH RECURSIVE tk AS (
+            SELECT doc_id, source, coalesce((length(text) + 3) // 4, 0) AS n_tokens FROM documents
+        ), sr AS (SELECT source, sum(n_tokens) AS tokens FROM tk GROUP BY source HAVING sum(n_tokens) > 0),
+        sh AS (SELECT source, CAST(tokens AS DOUBLE) / (SELECT sum(tokens) FROM sr) AS p, tokens FROM sr),
+        whole AS (SELECT -sum(p * ln(p)) AS entropy, {target_entropy} * ln(count(*)) AS goal FROM sh),
+        {bisect("be", "0", "ln(z) - mid * zl / z >= (SELECT goal FROM whole) - 1e-12")},
+        ae AS (SELECT CASE WHEN (SELECT entropy >= goal - 1e-12 FROM whole) THEN 1.0 ELSE (SELECT max(low) FROM be) END AS a),
+        {bisect("br", "0", f"most / z > {max_repeats}")},
+        ar AS (SELECT CASE WHEN (SELECT max(pow(p, (SELECT a FROM ae) - 1)) / sum(pow(p, (SELECT a FROM ae))) FROM sh) > {max_repeats} + 1e-9 THEN (SELECT max(low) FROM br) ELSE (SELECT a FROM ae) END AS a),
+        bu AS (
+            SELECT source, tokens, CAST(floor(pow(p, a) / (SELECT sum(pow(p, a)) FROM sh, ar) * (SELECT CAST(sum(tokens) AS DOUBLE) FROM sr) + 1e-6) AS BIGINT) AS budget FROM sh, ar
+        ), pl AS (SELECT source, CAST(budget // tokens AS BIGINT) AS full_blocks, CAST(budget % tokens AS BIGINT) AS rest FROM bu),
+        ex AS (
+            SELECT doc_id, tk.source, n_tokens, full_blocks, rest, unnest(range(0, full_blocks + 1)) AS block
+            FROM tk JOIN pl ON tk.source IS NOT DISTINCT FROM pl.source
+        ), pc AS (SELECT *, CAST('0x' || substr(md5('{seed}:' || block || ':' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS place FROM ex),
+        cu AS (SELECT *, sum(n_tokens) OVER (PARTITION BY source, block ORDER BY place, doc_id NULLS FIRST, n_tokens ROWS UNBOUNDED PRECEDING) AS used FROM pc)
+        SELECT doc_id, source, CAST(n_tokens AS BIGINT) AS n_tokens, CAST(block AS BIGINT) AS block, place FROM cu WHERE block < full_blocks OR used <= rest
+    """
 
 
 def mix(docs: DataFrame, budget: int | None = None, target_entropy: float = TARGET_ENTROPY, max_repeats: float = MAX_REPEATS, seed: int = SEED) -> DataFrame:

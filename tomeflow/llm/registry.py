@@ -63,7 +63,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pii": op10_pii,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op3_mixing": mixing.oracle_sql(),
     "op4_urls": urls.oracle_sql(),
+    "op7_decontaminate": decontaminate.oracle_sql(),
     "op5_topk": """
         WITH r AS (
             SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
