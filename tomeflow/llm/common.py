@@ -67,7 +67,7 @@ def discard(df: DataFrame) -> None:
 
 
 #: Python makes objects of about so many bytes of Arrow data at a time, whatever a batch's rows are.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def slices(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -82,6 +82,7 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sch
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield from map(fn, slices(b))
+        pa.default_memory_pool().release_unused()  # the worker may live on for other operators' tasks
 
     return df.mapInArrow(run, schema)
 
