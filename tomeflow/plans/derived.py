@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators.ordered import numbered
-from ..sources.vault import spread
+from ..sources.partitions import spread
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -20,13 +20,6 @@ LOCAL = ("md", "txt", "pdf", "docx")
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """df in at least as many partitions as there are cores. A file of one row group is one task, however many cores wait;
-    anything larger already has enough and isn't shuffled."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def raw_files(spark: SparkSession, root: str) -> DataFrame:
     """path, raw_id, title, body of raw/*.md, not of folders below it. An empty or missing folder gives no rows."""
     files = _markdown(spark, f"{root}/raw", recursive=False)
