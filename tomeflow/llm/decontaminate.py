@@ -35,6 +35,7 @@ GROUPS = (WINDOW, 6, 2, 1)
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 STATE = "struct<n_words:bigint,mark:binary,items:array<string>>"
+DIGEST = "struct<n_words:bigint,n_hit:bigint,n_items:bigint,items_sha256:string,contaminated:boolean>"
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -107,7 +108,10 @@ def scan(searchers: list[WuManber], w: list[bytes], mark: bytearray | None, item
     return mark
 
 
-def _pass(broadcast, first: bool) -> Callable[..., pa.Array]:
+def _pass(broadcast, last: bool) -> Callable[..., pa.Array]:
+    """What one block of the benchmark adds to the state; the last one gives the digest instead, so that a stage has no Python
+    worker more than blocks."""
+
     def run(texts: pa.Array, state: pa.Array | None = None) -> pa.Array:
         searchers = _compiled(broadcast) if broadcast is not None else []
         before = state.to_pylist() if state is not None else [None] * len(texts)
@@ -116,12 +120,19 @@ def _pass(broadcast, first: bool) -> Callable[..., pa.Array]:
             w = words_of(t)
             items = set(b["items"]) if b else set()
             mark = scan(searchers, w, bytearray(b["mark"]) if b and b["mark"] else None, items)
-            out.append({"n_words": len(w), "mark": bytes(mark) if mark is not None else None, "items": sorted(items)})
-        return pa.array(out, pa.struct([("n_words", pa.int64()), ("mark", pa.binary()), ("items", pa.list_(pa.string()))]))
+            out.append((len(w), bytes(mark) if mark is not None else None, sorted(items)))
+        if last:
+            return _digest(out)
+        kinds = [("n_words", pa.int64()), ("mark", pa.binary()), ("items", pa.list_(pa.string()))]
+        return _struct(out, kinds)
 
     return run
 
 
+def _struct(rows: list[tuple], kinds: list[tuple[str, pa.DataType]]) -> pa.Array:
+    return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], k) for i, (_, k) in enumerate(kinds)], [n for n, _ in kinds])
+
+
 #: By the block's identity; the block is kept beside its tables, so that no other object gets its identity meanwhile.
 _cache: dict[int, tuple[list, list[WuManber]]] = {}
 
@@ -136,28 +147,27 @@ def _compiled(broadcast) -> list[WuManber]:
     return _cache[id(block)][1]
 
 
-def _digest(state: pa.Array) -> pa.Array:
+def _digest(states: list[tuple[int, bytes | None, list[str]]]) -> pa.Array:
     out = []
-    for s in state.to_pylist():
-        n_hit = int(np.frombuffer(s["mark"], np.uint8).sum()) if s["mark"] else 0
-        sha = hashlib.sha256(",".join(s["items"]).encode()).hexdigest()
-        out.append((s["n_words"], n_hit, len(s["items"]), sha, n_hit > 0 and 20 * n_hit >= s["n_words"]))
-    kinds = [("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_())]
-    return pa.StructArray.from_arrays([pa.array([o[i] for o in out], k) for i, (_, k) in enumerate(kinds)], [n for n, _ in kinds])
+    for n_words, mark, items in states:
+        n_hit = int(np.frombuffer(mark, np.uint8).sum()) if mark else 0
+        sha = hashlib.sha256(",".join(items).encode()).hexdigest()
+        out.append((n_words, n_hit, len(items), sha, n_hit > 0 and 20 * n_hit >= n_words))
+    return _struct(out, [("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_())])
 
 
 def with_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", block_words: int = BLOCK_WORDS, name: str = "contamination") -> tuple[DataFrame, str]:
     """docs with a struct n_words, n_hit, n_items, items_sha256, contaminated; the column's name is returned too."""
     spark, df, state = docs.sparkSession, docs, None
     blocks = [spark.sparkContext.broadcast(b) for b in blocks_of(benchmark, item_id_col, item_text_col, block_words)]
-    for b in blocks or [None]:
-        n = free_name(df, "state")
-        nxt = with_column(df, [text_col, *([state] if state else [])], _pass(b, state is None), n, STATE)
+    name = free_name(docs, name)
+    for k, b in enumerate(blocks or [None], 1):
+        last = k >= len(blocks)
+        n = name if last else free_name(df, "state")
+        nxt = with_column(df, [text_col, *([state] if state else [])], _pass(b, last), n, DIGEST if last else STATE)
         df = nxt.drop(state) if state else nxt
         state = n
-    name = free_name(docs, name)
-    out = with_column(df, [state], _digest, name, "struct<n_words:bigint,n_hit:bigint,n_items:bigint,items_sha256:string,contaminated:boolean>")
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.col(name)), name
+    return df, name
 
 
 def oracle_sql() -> str:
