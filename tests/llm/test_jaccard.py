@@ -1,0 +1,87 @@
+import random
+
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from tomeflow.llm import jaccard, simhash
+
+DOCS = "doc_id long, text string"
+
+
+def brute_set(text):
+    w = (text or "").lower().split()
+    return frozenset(" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def brute_kept(rows):
+    """The smallest id of each component, by trying all pairs."""
+    found = [brute_set(t) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(found):
+        for j, b in enumerate(found[:i]):
+            if a == b or 5 * len(a & b) >= 4 * len(a | b):
+                parent[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[find(i)] = min(d, least.get(find(i), d))
+    return sorted(least.values())
+
+
+def near_copies(rng, n):
+    """Chains and stars of near copies, all with one common line; similarities on both sides of 0.8."""
+    line = "this very common line stands in every single document of the whole table"
+    base = [[f"w{b}x{i}" for i in range(rng.randrange(5, 120))] for b in range(8)]
+    out = []
+    for i in range(n):
+        w = list(rng.choice(base))
+        for _ in range(rng.randrange(5)):
+            w[rng.randrange(len(w))] = f"new{rng.randrange(40)}"
+        out.append((i, " ".join(w) + " " + line))
+        if rng.random() < 0.3:
+            base.append(w)
+    return out + [(n, None), (n + 1, ""), (n + 2, "one two"), (n + 3, "One  two"), (n + 4, "one"), (n + 5, out[0][1])]
+
+
+@pytest.mark.parametrize("seed, bucket_rows", [(1, 8), (2, 3)])
+def test_equals_all_pairs(spark, seed, bucket_rows):
+    rows = near_copies(random.Random(seed), 150)
+    kept = jaccard.keep_first(spark.createDataFrame(rows, DOCS).repartition(7), bucket_rows=bucket_rows)
+    assert sorted(r.doc_id for r in kept.collect()) == brute_kept(rows)
+
+
+def test_stage_finds_near_copies_far_apart_in_bits(spark):
+    words = [f"word{i}" for i in range(100)]
+    text, other = " ".join(words), " ".join([*words[:50], "changed", *words[51:]])
+    fps = [int.from_bytes(simhash.fingerprint(t.encode())) for t in (text, other)]
+    assert (fps[0] ^ fps[1]).bit_count() > simhash.MAX_BITS
+    df = spark.createDataFrame([(1, text, "x"), (2, other, "y"), (3, "quite another text of more than five words", "z")], DOCS + ", FP string")
+    kept = corpus_pipeline.drop_near_duplicates(spark, df, "")
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3]
+
+
+def test_null_ids_and_repeated_rows(spark):
+    rows = [(None, "a b c d e f"), (3, "a b c d e f"), (None, "nobody knows this one at all"), (4, "x y"), (4, "x y"), (4, "p q")]
+    kept = jaccard.keep_first(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted(((r.doc_id or 0), r.text) for r in kept) == [(0, "nobody knows this one at all"), (3, "a b c d e f"), (4, "p q"), (4, "x y")]
+    assert jaccard.keep_first(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_prefixes_and_sketches_lose_no_link():
+    rng = np.random.default_rng(0)
+    for _ in range(300):
+        n = int(rng.integers(1, 80))
+        a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.93], rng.integers(0, 2**63, 3, dtype=np.uint64)]))
+        late = np.sort(rng.permutation(a)[: len(a) // 2])
+        if jaccard.linked(a, b):
+            counts = np.arange(len(late)) + 8
+            assert len(np.intersect1d(jaccard.prefix(a, late, counts), jaccard.prefix(b, late, counts)))
+            x, y = (np.frombuffer(jaccard.sketch(s), np.uint64) for s in (a, b))
+            assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))

@@ -1,0 +1,259 @@
+"""Near copies by the Jaccard similarity of five-word shingles, found exactly.
+
+Two texts link when their sets of shingle hashes (XXH64) have a similarity of 0.8 or more; documents of one connected
+component are near copies. Texts with equal sets are one node.
+
+Links are found by prefixes: under any one order of all shingles, two linked sets share a shingle among the first n -
+ceil(0.8 n) + 1 of each. Shingles that are frequent in a sample come last in that order, the others by hash; the sample
+decides on speed only. Sets meet in a bucket for each shingle of their prefixes. There all pairs are tried: sizes a <= b
+must have a >= 0.8 b, and two sketches, which hold a shingle count's parity for each of `SKETCH_BITS` hash values,
+mustn't differ in more bits than linked sets differ in shingles. In a bucket above `BUCKET_ROWS` each set is first tried
+with the least and the greatest name only; where that doesn't make the bucket one component, as it mostly does a group
+of near copies, all its pairs of different components follow. What is left is verified with the whole sets. No step
+drops a pair that links. A bucket of many sets that don't link takes time with the square of their number.
+
+Defined cases: a text of one to four words is one shingle; null and empty texts have the empty set and are one group.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import arrow_map, as_bytes, discard, written
+from .simhash import components, digests, first_of_each
+
+SHINGLE_WORDS = 5
+SKETCH_BITS = 512
+WIDE_SKETCH_BITS = 4096
+BUCKET_ROWS = 8
+#: Documents in the sample that orders shingles, the count there that makes one frequent, and how many of those are told apart.
+SAMPLE, FREQUENT, MOST_FREQUENT = 20_000, 8, 100_000
+
+
+def shingles(text: bytes | None) -> np.ndarray:
+    """The different shingle hashes, sorted."""
+    return np.unique(np.frombuffer(digests(text, SHINGLE_WORDS), ">u8").astype(np.uint64))
+
+
+def linked(a: np.ndarray, b: np.ndarray) -> bool:
+    return 9 * len(np.intersect1d(a, b, assume_unique=True)) >= 4 * (len(a) + len(b))
+
+
+def prefix(s: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The shingles by which a set meets all that it links to; frequent is sorted."""
+    n = len(s) - (4 * len(s) + 4) // 5 + 1 if len(s) else 0
+    if not len(frequent):
+        return s[:n]
+    at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
+    seen = np.where(frequent[at] == s, counts[at], 0)
+    return s[np.lexsort((s, seen))[:n]]
+
+
+def sketch(s: np.ndarray, bits: int = SKETCH_BITS) -> bytes:
+    return np.packbits(np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).tobytes()
+
+
+def _name(s: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(s.tobytes())
+
+
+def _names(names: list[int]) -> pa.Array:
+    return pa.array(np.array(names, np.uint64).view(np.int64), pa.int64())
+
+
+def _set_names(texts: pa.Array) -> pa.Array:
+    return _names([_name(shingles(t)) for t in as_bytes(texts)])
+
+
+def _read(col: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint64) for x in col.to_pylist()]
+
+
+def sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, fp (names the set), n, sketch, s (the set)."""
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        found = [shingles(t) for t in as_bytes(b.column(1))]
+        columns = [
+            b.column(0),
+            _names([_name(s) for s in found]),
+            pa.array([len(s) for s in found], pa.int32()),
+            pa.array([sketch(s) for s in found], pa.binary()),
+            pa.array([s.tobytes() for s in found], pa.binary()),
+        ]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "n", "sketch", "s"])
+
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return arrow_map(src, run, "doc_id long, fp long, n int, sketch binary, s binary")
+
+
+def _keys(nodes: DataFrame, choose: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """key, n, fp: a row for each chosen shingle of each set."""
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        found = _read(b.column(1))
+        chosen = [choose(s) for s in found]
+        times = [len(c) for c in chosen]
+        n = np.repeat(np.array([len(s) for s in found], np.int32), times)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(chosen).view(np.int64)), pa.array(n), pa.array(np.repeat(b.column(0).to_numpy(), times))], ["key", "n", "fp"])
+
+    return arrow_map(nodes.select("fp", "s"), run, "key long, n int, fp long")
+
+
+def frequent(nodes: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that are frequent in a sample, sorted, and their counts there."""
+    step = max(1, math.ceil(n / SAMPLE))
+    sample = nodes.where(F.pmod(F.xxhash64("fp"), F.lit(step)) == 0)
+    counted = _keys(sample, lambda s: s).groupBy("key").count().where(F.col("count") >= FREQUENT)
+    t = counted.orderBy(F.desc("count"), "key").limit(MOST_FREQUENT).toArrow()
+    keys, counts = t.column("key").to_numpy().view(np.uint64), t.column("count").to_numpy()
+    order = np.argsort(keys)
+    return keys[order], counts[order]
+
+
+def _buckets(df: DataFrame, fn: Callable[[pa.Table], pa.Table], schema: str, then: list[str]) -> DataFrame:
+    """fn over whole buckets, sorted by key (the first column); one that an Arrow batch cuts is carried into the next."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            key = b.column(0).to_numpy()
+            cut = int(np.searchsorted(key, key[-1])) if len(key) else 0
+            if not cut and held and len(key) and held[-1].column(0)[-1].as_py() != key[0]:
+                yield from fn(pa.Table.from_batches(held).combine_chunks()).to_batches()
+                held = []
+            elif cut:
+                yield from fn(pa.Table.from_batches([*held, b.slice(0, cut)]).combine_chunks()).to_batches()
+                held = []
+            if len(key):
+                held.append(b.slice(cut))
+        if held:
+            yield from fn(pa.Table.from_batches(held).combine_chunks()).to_batches()
+
+    return df.repartition("key").sortWithinPartitions("key", *then).mapInArrow(run, schema)
+
+
+def _met(t: pa.Table) -> pa.Table:
+    """The rows of buckets that have another row there of a size that may link. Rows come sorted by key and n."""
+    key, n = t.column("key").to_numpy(), t.column("n").to_numpy().astype(np.int64)
+    near = (key[1:] == key[:-1]) & (5 * n[:-1] >= 4 * n[1:])
+    return t.select(["key", "fp"]).filter(pa.array(np.append(near, False) | np.append(False, near)))
+
+
+def _possible(n: np.ndarray, bits: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether sets a and b may link, by their sizes and sketches."""
+    both = n[a] + n[b]
+    fits = 5 * np.minimum(n[a], n[b]) >= 4 * np.maximum(n[a], n[b])
+    return fits & (np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64) <= both - 2 * ((4 * both + 8) // 9))
+
+
+def _candidates(bucket_rows: int | None) -> Callable[[pa.Table], pa.Table]:
+    """u, v: pairs of a bucket that may link and aren't in one component; with bucket_rows, a larger bucket gives only those
+    with its least and its greatest name. Rows come sorted by key and n."""
+
+    def run(t: pa.Table) -> pa.Table:
+        key, fp, n, comp = (t.column(c).to_numpy() for c in ("key", "fp", "n", "comp"))
+        bits = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(len(fp), -1)
+        n = n.astype(np.int64)
+        left, right = [], []
+
+        def keep(a: np.ndarray, b: np.ndarray) -> None:
+            differ = comp[a] != comp[b]
+            a, b = a[differ], b[differ]
+            for i in range(0, len(a), 1 << 16):
+                x, y = a[i : i + (1 << 16)], b[i : i + (1 << 16)]
+                good = _possible(n, bits, x, y)
+                left.append(x[good])
+                right.append(y[good])
+
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        size = np.diff(np.append(first, len(key)))
+        large = np.zeros(len(first), bool) if bucket_rows is None else size > bucket_rows
+        for a, z in zip(first[large], (first + size)[large], strict=True):
+            for end in (a + fp[a:z].argmin(), a + fp[a:z].argmax()):
+                keep(np.arange(a, z), np.full(z - a, end))
+        at, shift = np.flatnonzero(np.repeat(~large, size)), 1
+        while len(at := at[at + shift < len(fp)]):
+            at = at[(key[at] == key[at + shift]) & (5 * n[at] >= 4 * n[at + shift])]
+            keep(at, at + shift)
+            shift += 1
+        a, b = (fp[np.concatenate(x)] if x else fp[:0] for x in (left, right))
+        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+        return pa.table({"u": pairs[0], "v": pairs[1]})
+
+    return run
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs u, v whose sets link, as a written table."""
+    pairs = written(pairs.where("u <> v").distinct(), "jaccard-pairs")
+    # Written, so that its size is known: the sets aren't shuffled where it is small.
+    needed = written(pairs.select(F.col("u").alias("fp")).union(pairs.select("v")).distinct(), "jaccard-names")
+    some = written(nodes.join(needed, "fp", "left_semi").select("fp", "s"), "jaccard-needed")
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        return b.select(["u", "v"]).filter(pa.array([linked(x, y) for x, y in zip(_read(b.column(2)), _read(b.column(3)), strict=True)], pa.bool_()))
+
+    def widen(b: pa.RecordBatch) -> pa.RecordBatch:
+        found = _read(b.column(1))
+        wide = pa.array([sketch(s, WIDE_SKETCH_BITS) for s in found], pa.binary())
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in found], pa.int32()), wide], ["fp", "n", "s"])
+
+    def near(b: pa.RecordBatch) -> pa.RecordBatch:
+        k = b.num_rows
+        n = np.concatenate([b.column(2).to_numpy(), b.column(3).to_numpy()]).astype(np.int64)
+        bits = np.frombuffer(b"".join([*b.column(4).to_pylist(), *b.column(5).to_pylist()]), np.uint64).reshape(2 * k, -1)
+        return b.select(["u", "v"]).filter(pa.array(_possible(n, bits, np.arange(k), np.arange(k, 2 * k))))
+
+    def both(pairs: DataFrame, of: DataFrame, *columns: str) -> DataFrame:
+        side = lambda name, end: of.select(F.col("fp").alias(name), *(F.col(c).alias(c + end) for c in columns))
+        out = pairs.join(side("u", "1"), "u").join(side("v", "2"), "v")
+        return out.select("u", "v", *(c + end for c in columns for end in "12"))
+
+    # Wide sketches first: of long texts the narrow ones exclude little, and whole sets are costly to send.
+    wide = written(arrow_map(some, widen, "fp long, n int, s binary"), "jaccard-wide")
+    pairs = written(arrow_map(both(pairs, wide, "n", "s"), near, "u long, v long"), "jaccard-near")
+    return written(arrow_map(both(pairs, some, "s"), run, "u long, v long").distinct(), "jaccard-edges")
+
+
+def links(nodes: DataFrame, n: int, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Edges (u, v) whose components are those of the relation 'similarity of 0.8 or more'. Input: fp, n, sketch, s; fp distinct."""
+    late, counts = frequent(nodes, n)
+    keys = _keys(nodes, lambda s: prefix(s, late, counts))
+    met = written(_buckets(keys, _met, "key long, fp long", ["n", "fp"]), "jaccard-met")
+
+    def tried(members: DataFrame, rows: int | None) -> DataFrame:
+        wide = members.join(nodes.select("fp", "n", "sketch"), "fp").select("key", "fp", "n", "comp", "sketch")
+        return _verified(_buckets(wide, _candidates(rows), "u long, v long", ["n", "fp"]), nodes)
+
+    edges = tried(met.withColumn("comp", F.col("fp")), bucket_rows)
+    large = written(met.groupBy("key").count().where(F.col("count") > bucket_rows).select("key"), "jaccard-large")
+    if not large.take(1):
+        return edges
+    roots = written(components(edges), "jaccard-roots")
+    rest = met.join(large, "key", "left_semi").join(roots, met.fp == roots.node, "left").select("key", "fp", F.coalesce("root", "fp").alias("comp"))
+    rest = written(rest, "jaccard-rest")
+    mixed = rest.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("key")
+    return edges.unionByName(tried(rest.join(mixed, "key", "left_semi"), None))
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """docs, all columns, with one row of each component: the one with the smallest id (a row without an id only where no
+    other is there); of rows that share that id and shingles any one."""
+    found = written(sets(docs, id_col, text_col), "jaccard-sets")
+    firsts = written(found.groupBy("fp").agg(F.min("doc_id").alias("first")), "jaccard-first")
+    copies = found.select("doc_id", "fp").join(firsts, "fp").where(~F.col("doc_id").eqNullSafe(F.col("first"))).select(F.col("doc_id").alias("id"), F.col("fp").alias("of"))
+    copies = written(copies.distinct(), "jaccard-copies")
+    nodes = found.join(copies, found.doc_id.eqNullSafe(copies.id) & (found.fp == copies.of), "left_anti")
+    roots = written(components(links(nodes, firsts.count(), bucket_rows)), "jaccard-roots")
+    rooted = firsts.join(roots, firsts.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    fps = written(found.select("doc_id", "fp"), "jaccard-fp")
+    discard(found)
+    return first_of_each(docs, fps, rooted, _set_names, id_col, text_col)

@@ -20,7 +20,7 @@ columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import accumulate
 
@@ -41,17 +41,24 @@ BUCKET_ROWS = 1024
 PIVOTS = np.array([0, *(3 << (2 * j) for j in range(PAIRS))], dtype=np.uint64)
 
 
-def fingerprint(text: bytes | None, words: int = SHINGLE_WORDS, seed: int = SEED) -> bytes:
-    """Eight bytes, most significant first. bytes.lower() and bytes.split() see ASCII letters and ASCII space only."""
+def digests(text: bytes | None, words: int, seed: int = SEED) -> bytes:
+    """XXH64 digests of the text's word shingles, most significant byte first, repeats kept; a text of fewer words is one shingle.
+    bytes.lower() and bytes.split() see ASCII letters and ASCII space only."""
     w = (text or b"").lower().split()
     if not w:
-        return bytes(8)
+        return b""
     if len(w) <= words:
-        return _majority(xxhash.xxh64_digest(b" ".join(w), seed))
+        return xxhash.xxh64_digest(b" ".join(w), seed)
     joined, digest = b" ".join(w), xxhash.xxh64_digest
     after = list(accumulate(map(len, w), lambda a, n: a + n + 1))
     starts = [0, *(x + 1 for x in after)]
-    return _majority(b"".join([digest(joined[a:b], seed) for a, b in zip(starts, after[words - 1 :], strict=False)]))
+    return b"".join([digest(joined[a:b], seed) for a, b in zip(starts, after[words - 1 :], strict=False)])
+
+
+def fingerprint(text: bytes | None, words: int = SHINGLE_WORDS, seed: int = SEED) -> bytes:
+    """Eight bytes, most significant first."""
+    found = digests(text, words, seed)
+    return _majority(found) if found else bytes(8)
 
 
 def _majority(digests: bytes) -> bytes:
@@ -268,12 +275,18 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """docs, all columns, with one row of each component: the one with the smallest id (a row without an id only where no
     other is there); of rows that share that id and fingerprint any one."""
     fps = written(fingerprints(docs, id_col, text_col), "simhash-fp")
-    rooted = _rooted(fps, bucket_rows)
+    return first_of_each(docs, fps, _rooted(fps, bucket_rows), _fp_array, id_col, text_col)
+
+
+def first_of_each(docs: DataFrame, fps: DataFrame, rooted: DataFrame, of_texts: Callable[[pa.Array], pa.Array], id_col: str, text_col: str) -> DataFrame:
+    """keep_first for fingerprints (doc_id, fp) that of_texts makes, and their components (fp, first, root)."""
     best = rooted.groupBy("root").agg(F.min(F.struct(F.col("first").isNull(), "first", "fp")).alias("b"))
     kept = written(best.select(F.col("b.first").alias("keep_id"), F.col("b.fp").alias("keep_fp")), "simhash-kept")
     fp = free_name(docs, "fp")
-    marked = with_column(docs, [text_col], lambda t: _fp_array(t), fp, "bigint")
-    out = marked.join(kept, marked[id_col].cast("long").eqNullSafe(kept.keep_id) & (marked[fp] == kept.keep_fp), "left_semi")
+    marked = with_column(docs, [text_col], of_texts, fp, "bigint")
+    # The rows that go are few, mostly: joined with them, the texts needn't be shuffled.
+    gone = written(fps.join(kept, fps.doc_id.eqNullSafe(kept.keep_id) & (fps.fp == kept.keep_fp), "left_anti").select(F.col("doc_id").alias("gone_id"), F.col("fp").alias("gone_fp")).distinct(), "simhash-gone")
+    out = marked.join(gone, marked[id_col].cast("long").eqNullSafe(gone.gone_id) & (marked[fp] == gone.gone_fp), "left_anti")
     repeated = fps.join(kept, fps.doc_id.eqNullSafe(kept.keep_id) & (fps.fp == kept.keep_fp), "left_semi").groupBy("doc_id", "fp").count().where("count > 1")
     if repeated.take(1):
         out = out.dropDuplicates([id_col, fp])
