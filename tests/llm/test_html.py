@@ -35,6 +35,14 @@ def test_page_without_an_article_element():
     assert f"Title\nBe.\n{LONG.strip()}\n{LONG.strip()}\nEnd." in text and "My site" not in text and not text.endswith("c")
 
 
+def test_all_regions_of_a_page_without_an_article_element_stay():
+    aside = f"<aside><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></aside>"
+    sections = f"<section><h2>One</h2><p>{LONG}</p></section>{aside}<section><h2>Two</h2><p>{LONG * 2}</p><p>End.</p></section>"
+    want = f"One\n{LONG.strip()}\nTwo\n{(LONG * 2).strip()}\nEnd."
+    assert html.main_text(f"<body><div>{sections}</div></body>") == want
+    assert html.main_text(f"<body>{sections}</body>") == want
+
+
 def test_adverts_and_comments_inside_the_article_go():
     inner = f"<p>{LONG}</p><div class='ad'>Buy</div><p>{LONG}</p><div class='newsletter-signup'>Join</div><div id=comments><p>{LONG * 4}</p></div><p>End</p>"
     assert html.main_text(page(inner)) == f"{LONG.strip()}\n{LONG.strip()}\nEnd"

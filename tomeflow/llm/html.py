@@ -143,34 +143,26 @@ def lines_of(html: str) -> list[tuple[str, _Holder]]:
     return lines
 
 
-def region(lengths: list[int], window: int = WINDOW, surge: int = SURGE) -> tuple[int, int] | None:
-    """[first, after) of the region with the most text, None if no block surges."""
+def regions(lengths: list[int], window: int = WINDOW, surge: int = SURGE) -> list[tuple[int, int]]:
+    """[first, after) of each region that surges, in page order."""
     n = len(lengths)
     blocks = [sum(lengths[i : i + window]) for i in range(n)]
-    best, best_text, i = None, 0, 0
+    out, i = [], 0
     while i < n:
         if blocks[i] > surge and any(blocks[i + 1 : i + 1 + window]) or blocks[i] > surge and i == n - 1:
             end = i
             while end < n and blocks[end]:
                 end += 1
-            if (size := sum(lengths[i:end])) > best_text:
-                best, best_text = (i, end), size
+            out.append((i, end))
             i = end
         i += 1
-    return best
+    return out
 
 
-def main_text(html: str | None) -> str:
-    lines = lines_of(html or "")
-    lengths = [0 if h.boiler else len(t) for t, h in lines]
-    found = region(lengths)
-    if found is None:
-        kept = [(t, h) for t, h in lines if not h.boiler]
-        inside = [t for t, h in kept if _within_article(h)]
-        return "\n".join(inside or [t for t, _ in kept])
-    inner = [h for (_, h), n in zip(lines[found[0] : found[1]], lengths[found[0] : found[1]], strict=True) if n]
-    common = inner[0]
-    for h in inner[1:]:
+def _limit(holders: list[_Holder]) -> _Holder:
+    """The article or main that holds all of them, else the innermost sectioning element."""
+    common = holders[0]
+    for h in holders[1:]:
         while h.depth > common.depth:
             h = h.parent
         while common.depth > h.depth:
@@ -183,22 +175,46 @@ def main_text(html: str | None) -> str:
     limit = limit if limit.name in ("article", "main") else common
     while limit.parent is not None and limit.name not in ("article", "main", "section", "div", "body", "td", "center"):
         limit = limit.parent
+    return limit
 
-    def held(h: _Holder) -> bool:
-        while h.depth > limit.depth:
-            h = h.parent
-        return h is limit
-
-    if limit.name not in ("", "body"):
-        return "\n".join(t for t, h in lines if not h.boiler and held(h))
-    # Nothing smaller than the page holds the region: short lines at its edges and beyond, in elements of their own, stay out.
-    aside = lambda i: lines[i][1] is not limit and lengths[i] <= SURGE
-    first, after = found
-    while first < after and aside(first):
-        first += 1
-    while first < after and aside(after - 1):
-        after -= 1
-    return "\n".join(t for i, (t, h) in enumerate(lines) if not h.boiler and (first <= i < after or h is limit))
+
+def _holds(limit: _Holder, h: _Holder) -> bool:
+    while h.depth > limit.depth:
+        h = h.parent
+    return h is limit
+
+
+def main_text(html: str | None) -> str:
+    lines = lines_of(html or "")
+    lengths = [0 if h.boiler else len(t) for t, h in lines]
+    found = regions(lengths)
+    if not found:
+        kept = [(t, h) for t, h in lines if not h.boiler]
+        inside = [t for t, h in kept if _within_article(h)]
+        return "\n".join(inside or [t for t, _ in kept])
+    limits = [_limit([lines[i][1] for i in range(a, z) if lengths[i]]) for a, z in found]
+    best = max(range(len(found)), key=lambda i: sum(lengths[slice(*found[i])]))
+    if limits[best].name in ("article", "main"):
+        found, limits = found[best : best + 1], limits[best : best + 1]
+    page = ("", "body")
+    for i, limit in enumerate(limits):  # up to what holds a region and its neighbour
+        for other in limits[max(0, i - 1) : i] + limits[i + 1 : i + 2]:
+            both = _limit([limit, other])
+            if both.name not in page and both.depth < limits[i].depth:
+                limits[i] = both
+    whole = {id(x): x for x in limits if x.name not in page}.values()
+    loose = [(r, x) for r, x in zip(found, limits, strict=True) if x.name in page]
+    # Nothing smaller than the page holds a loose region: short lines at its edges and beyond, in elements of their own, stay out.
+    inside = set()
+    for (first, after), limit in loose:
+        aside = lambda i: lines[i][1] is not limit and lengths[i] <= SURGE  # noqa: B023, E731
+        while first < after and aside(first):
+            first += 1
+        while first < after and aside(after - 1):
+            after -= 1
+        inside.update(range(first, after))
+    direct = len({id(x) for x in limits}) > 1 or bool(loose)
+    return "\n".join(t for i, (t, h) in enumerate(lines) if not h.boiler and (i in inside or direct and h.name in page or any(_holds(x, h) for x in whole)))
 
 
 def _within_article(h: _Holder | None) -> bool:
