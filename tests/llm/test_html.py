@@ -43,6 +43,15 @@ def test_all_regions_of_a_page_without_an_article_element_stay():
     assert html.main_text(f"<body>{sections}</body>") == want
 
 
+def test_names_around_the_only_article_dont_hide_it():
+    for name in ("has-sidebar", "no-header", "with-comments"):
+        article = f"<article><p>{LONG}</p><div class='ad'>Buy</div></article>"
+        assert html.main_text(f"<body><div class='{name}'>{article}</div></body>") == LONG.strip()
+        assert html.main_text(f"<body><aside class='{name}'>{article}</aside></body>") == ""
+    comments = f"<section class='comments'><article><p>{LONG * 3}</p></article></section>"
+    assert html.main_text(f"<body><article><p>{LONG}</p></article>{comments}</body>") == LONG.strip()
+
+
 def test_adverts_and_comments_inside_the_article_go():
     inner = f"<p>{LONG}</p><div class='ad'>Buy</div><p>{LONG}</p><div class='newsletter-signup'>Join</div><div id=comments><p>{LONG * 4}</p></div><p>End</p>"
     assert html.main_text(page(inner)) == f"{LONG.strip()}\n{LONG.strip()}\nEnd"

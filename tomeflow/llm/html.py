@@ -62,14 +62,19 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 class _Holder:
-    __slots__ = ("name", "parent", "boiler", "depth")
-
-    def __init__(self, name: str, parent: _Holder | None, boiler: bool):
-        self.name, self.parent, self.boiler = name, parent, boiler
+    __slots__ = ("name", "parent", "boiler", "hard", "free", "depth")
+
+    def __init__(self, name: str, parent: _Holder | None, own: bool = False, hard: bool = False, inside_article: bool = False):
+        """boiler: it or what is around it is boilerplate; hard: so by element, role or hidden; free: so whatever the names
+        around the outermost article or main are."""
+        self.name, self.parent = name, parent
+        self.boiler = own or bool(parent and parent.boiler)
+        self.hard = hard or bool(parent and parent.hard)
+        self.free = self.hard if name in ("article", "main") and not inside_article else own or bool(parent and parent.free)
         self.depth = parent.depth + 1 if parent else 0
 
 
-def _is_boilerplate(name: str, attributes: str, inside_article: bool) -> bool:
+def _is_boilerplate(name: str, attributes: str, inside_article: bool, names: bool = True) -> bool:
     if name in BOILERPLATE or (name == "header" and not inside_article):
         return True
     if name in SAFE or "=" not in attributes and "hidden" not in attributes:
@@ -78,7 +83,7 @@ def _is_boilerplate(name: str, attributes: str, inside_article: bool) -> bool:
         key, value = key.lower(), value.strip("\"'")
         if key == "role" and value.lower() in ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true":
             return True
-        if key in ("class", "id"):
+        if names and key in ("class", "id"):
             for v in value.split():
                 parts = [w.lower() for w in _WORD.findall(v)]
                 if "".join(parts) in NAMES or not NAMES.isdisjoint(parts):
@@ -88,7 +93,7 @@ def _is_boilerplate(name: str, attributes: str, inside_article: bool) -> bool:
 
 def lines_of(html: str) -> list[tuple[str, _Holder]]:
     """(text, holder) of each line that has text, in page order."""
-    root = at = _Holder("", None, False)
+    root = at = _Holder("", None)
     lines: list[tuple[str, _Holder]] = []
     text: list[str] = []
     pos, n = 0, len(html)
@@ -133,7 +138,8 @@ def lines_of(html: str) -> list[tuple[str, _Holder]]:
                         articles -= at.name in ("article", "main")
                         at = at.parent
             else:
-                at = _Holder(name, at, at.boiler or _is_boilerplate(name, attributes, articles > 0))
+                own = _is_boilerplate(name, attributes, articles > 0)
+                at = _Holder(name, at, own, own and _is_boilerplate(name, attributes, articles > 0, names=False), articles > 0)
                 articles += name in ("article", "main")
         elif name in BLOCKS:
             flush()
@@ -186,6 +192,11 @@ def _holds(limit: _Holder, h: _Holder) -> bool:
 
 def main_text(html: str | None) -> str:
     lines = lines_of(html or "")
+    if not any(not h.boiler and _within_article(h) for _, h in lines):
+        # The names of what is around the page's only articles or main don't make them boilerplate.
+        for _, h in lines:
+            if _within_article(h):
+                h.boiler = h.free
     lengths = [0 if h.boiler else len(t) for t, h in lines]
     found = regions(lengths)
     if not found:
