@@ -5,7 +5,8 @@ The field adds spans. Its nodes are the white-space tokens that hold a digit or
 kinds); labels are none, email, ip, card, phone. Node potentials come from the token's shape and its neighbours' shapes,
 chain potentials link tokens that stand side by side, and skip potentials link each token with the next one in the
 document that has the same digits (or the same letters), and with the next whose last seven digits are the same - so a
-number that is recognised in one place lends its label to its repeats, however far away. Loopy sum-product message passing
+number that the field recognises in one place lends its label to its repeats, over `ROUNDS` successive repeats at most. Base
+spans don't take part in the messages. Loopy sum-product message passing
 gives marginals, and runs of tokens with one label at `LEAST` or more become spans where no base span is.
 
 Weights are fitted by pseudo-likelihood on labels from the base patterns. The statistics are counts of a bounded number of
