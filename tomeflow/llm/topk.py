@@ -8,7 +8,7 @@ query's kth score so far; then each query visits its leaves best first until the
 That score is carried from shard to shard of a task. Pairs of a block and a chain of shards are the tasks, so no task holds
 more than one block and `CHAIN` shards, whatever the table's size; chains are shorter while there are fewer tasks than cores.
 
-Defined cases: a vector that is null or holds a null or non-finite component takes no part, nor does a row without an id;
+Defined cases: a vector that is null or holds a null or non-finite component, or one of 2**62 or more after scaling, takes no part, nor does a row without an id;
 vectors of other lengths than the query's are no candidates; rows that share the query's id are its own; identical rows
 (id and vector) count once, and where one id has several vectors their lists merge into the k best; a table of k or fewer
 other rows gives them all; a score beyond the range of a long becomes the nearest long; extra columns are ignored.
