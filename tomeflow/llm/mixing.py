@@ -12,8 +12,8 @@ the budget ends is sorted and summed document by document; no source, however la
 
 Tokens are estimated as a quarter of the characters, rounded up.
 
-Defined cases: a null source is a source; documents without tokens (null or empty text) come with every whole block and cost
-nothing; a null id is an id; repeated rows are documents of their own, with neighbouring places; an empty table gives an
+Defined cases: a null source is a source; documents without tokens (null or empty text) come with every whole block of their source and cost
+nothing; a source that has only such documents is left out, as in the SQL; a null id is an id; repeated rows are documents of their own, with neighbouring places; an empty table gives an
 empty mix; extra columns are kept.
 """
 
