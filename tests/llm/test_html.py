@@ -1,5 +1,8 @@
+import random
 import time
+from html.parser import HTMLParser
 
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from tomeflow.llm import html
@@ -73,7 +76,142 @@ def test_odd_markup():
 
 def test_class_words_are_whole():
     inner = f"<p class='lead-in'>{LONG}</p><div class='shadow header-less'><p>x</p></div><div class='adornment'><p>y</p></div><div class='sideBar'>{LONG}</div>"
-    assert html.main_text(page(inner)) == f"{LONG.strip()}\ny"
+    assert html.main_text(page(inner)) == f"{LONG.strip()}\nx\ny"
+
+
+def test_a_name_inside_a_class_is_no_name():
+    for name in ("share-price", "ad-hoc-report", "related-work", "comment-period", "cookie-recipe", "notice-of-sale"):
+        assert html.main_text(page(f"<p>{LONG}</p><div class='{name}'><p>Kept.</p></div>")) == f"{LONG.strip()}\nKept.", name
+    for name in ("ad-box", "relatedLinks", "reader-comments", "cookie_notice", "share buttons"):
+        assert html.main_text(page(f"<p>{LONG}</p><div class='{name}'><p>Gone.</p></div>")) == LONG.strip(), name
+    assert html.main_text(page("<div class='page-header'><h1>T</h1></div><p data-class='ad' title='class=ad'>x</p>")) == "T\nx"
+
+
+def test_what_is_text_of_an_article():
+    inner = f"<p>{LONG}<button>press</button></p><math><mi>x</mi></math><svg><title>t</title><text>label</text></svg><canvas>old</canvas><object>old</object><p>End.</p>"
+    assert html.main_text(page(inner)) == f"{LONG.strip()}\nx\nlabel\nEnd."
+
+
+def test_surge_and_dive_find_the_text_where_nothing_is_marked():
+    """Neither an article nor a name of boilerplate: only the lengths and the empty lines between."""
+    top = "<div><div>My site</div><div><a href='/'>Home</a> <a href='/x'>Another link of the menu that has a very long text, longer than most lines are in menus</a></div></div>"
+    body = f"<h1>Title</h1><p>Be.</p><p>{LONG}</p><div>Short.</div><p>{LONG}</p><p>End.</p>"
+    foot = "<div><div>All rights reserved.</div></div>"
+    assert html.main_text(f"<body>{top}<div>{body}</div>{foot}</body>") == f"Title\nBe.\n{LONG.strip()}\nShort.\n{LONG.strip()}\nEnd."
+    assert html.regions([5, 0, 0, 0, 90, 1, 0, 0, 0, 1], [86] * 11) == [(4, 6)]
+    assert html.regions([1, 1, 1, 1, 90], [86] * 6) == [(0, 5)] and html.regions([0, 0], [0] * 3) == html.regions([], [0]) == []
+
+
+def test_a_sibling_of_an_article_stays_out():
+    assert html.main_text(f"<div><article><p>{LONG}</p><p>End.</p></article><div>Short.</div></div>") == f"{LONG.strip()}\nEnd."
+
+
+class Brute(HTMLParser):
+    """The rule on well-formed pages, from whole paths of ancestors."""
+
+    BOXES = ("article", "div", "section", "body", "nav", "aside", "footer")
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.path, self.ids, self.rows, self.buffer, self.link = [], 0, [], "", ""
+        self.full = set()  # containers that hold containers which aren't boilerplate
+
+    def cut(self):
+        if text := " ".join(self.buffer.split()):
+            if not any(n in ("head", "script", "style") for n, *_ in self.path):
+                self.rows.append((text, [*self.path], len(" ".join(self.link.split()))))
+        self.buffer = self.link = ""
+
+    def handle_starttag(self, tag, attrs):
+        if tag in html.BLOCKS or tag in ("script", "style"):
+            self.cut()
+            if tag != "p":
+                self.ids += 1
+                name = dict(attrs).get("class", "")
+                if tag in ("article", "div", "section", "body") and name != "ad":
+                    self.full.update([i for n, i, _ in self.path if n in self.BOXES][-1:])
+                self.path.append((tag, self.ids, name))
+        elif tag == "br":
+            self.buffer += " "
+        elif tag == "a":
+            self.path.append(("a", 0, ""))
+
+    def handle_endtag(self, tag):
+        if tag in html.BLOCKS or tag in ("script", "style"):
+            self.cut()
+        while tag in [n for n, *_ in self.path] and self.path.pop()[0] != tag:
+            pass
+
+    def handle_data(self, data):
+        self.buffer += data
+        if any(n == "a" for n, *_ in self.path):
+            self.link += data
+
+    def main_text(self, page):
+        self.feed(page)
+        self.close()
+        self.cut()
+        rows = [r for r in self.rows if not any(n in ("nav", "aside", "footer", "header") or c == "ad" for n, _, c in r[1])]
+        boxes = [[(n, i) for n, i, _ in path if n in ("article", "div", "section", "body")] for _, path, _ in rows]
+        boxes = [b[:-1] if len(b) > 2 and b[-1][0] != "article" and b[-1][1] not in self.full else b for b in boxes]
+        within = [any(n == "article" for n, _ in b) for b in boxes]
+        at = []
+        for k, row in enumerate(rows):
+            if k:
+                same = 0
+                while same < min(len(boxes[k]), len(boxes[k - 1])) and boxes[k][same] == boxes[k - 1][same]:
+                    same += 1
+                borders = len(boxes[k]) + len(boxes[k - 1]) - 2 * same
+                if borders and not any(n == "article" for n, _ in boxes[k][:same]):
+                    at += [None] * (3 if same <= 1 or within[k] or within[k - 1] else 2 * borders)
+            at.append(k)
+        size = lambda k: 0 if k is None else len(rows[k][0]) - (0 if within[k] else rows[k][2])
+        sums = [sum(map(size, at[i : i + 3])) for i in range(len(at))]
+        for least in (86, 0):
+            runs, i = [], 0
+            while i < len(at):
+                z = i
+                while z < len(at) and sums[z]:
+                    z += 1
+                if any(sums[x] > (0 if at[x] is not None and within[at[x]] else least) for x in range(i, z)):
+                    while not size(at[i]):
+                        i += 1
+                    runs.append((i, z))
+                i = z + 1
+            if runs:
+                break
+        marked = [r for r in runs if within[at[r[0]]]]
+        if marked:
+            runs = [max(marked, key=lambda r: sum(size(k) for k in at[r[0] : r[1]]))]
+        return "\n".join(rows[k][0] for k in at[runs[0][0] : runs[-1][1]] if k is not None) if runs else ""
+
+
+def random_page(r):
+    def text():
+        t = " ".join(r.choice(("word", "of", "a", "page", "longer", "&amp;")) for _ in range(r.choice((1, 2, 5, 30))))
+        return f"<a href='/x'>{t}</a>" if r.random() < 0.2 else t
+
+    def block(depth):
+        kind = r.choice(("p", "p", "p", "div", "section", "ul", "ad", "nav", "aside", "article", "footer"))
+        if kind == "p" or depth == 0:
+            return f"<p>{text()}<br>{text()}</p>"
+        inner = "".join(block(0 if kind == "ad" else depth - 1) for _ in range(r.randint(1, 4)))
+        if kind == "ul":
+            return f"<ul><li>{text()}</li><li>{text()}</li></ul>"
+        if kind == "ad":
+            return f"<div class='ad'>{inner}</div>"
+        return f"<{kind}>{inner}</{kind}>"
+
+    return "<html><head><title>t</title></head><body>" + "".join(block(4) for _ in range(r.randint(1, 5))) + "</body></html>"
+
+
+def test_against_brute_force_on_all_pages_and_random_ones():
+    pages = pq.read_table("/root/testdata/sf0.001/pages.parquet").column("html").to_pylist()
+    r = random.Random(5)
+    pages += [random_page(r) for _ in range(3_000)]
+    for x in pages:
+        if html.main_text(x) != Brute().main_text(x):
+            raise AssertionError(x)
 
 
 def test_long_pages_in_linear_time():

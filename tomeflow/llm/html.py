@@ -1,16 +1,25 @@
 """Main text of web pages by the distribution of text over line blocks.
 
-Markup is stripped to lines: a block element begins a line, inline elements and <br> don't. Each line keeps the element
-that holds it and whether it lies in boilerplate (by element, role, or a word of its class or id). A line's block is the
-sum of text lengths over the window of `WINDOW` lines that it begins; boilerplate counts as empty. A region surges where a
-block exceeds `SURGE` characters with text in the blocks after it, and dives where the next blocks are empty; the region
-with the most text is the main one. Sums over a window smooth the edges, so the region's limits are then moved to those of
-the innermost sectioning element (or article, main, body) that holds all its lines: short first and last lines stay. Where
-only the body holds them, the region and what stands directly in the body are kept. A page with no surge gives the lines of its article or main element, or else all lines that aren't boilerplate.
+Markup is stripped to lines: a block element begins a line, inline elements and <br> don't. What the page itself marks as
+menu, header, footer, sidebar, notice, advert, form or comments - by element, role, or a class or id that is made of such
+names only - is stripped with the markup. Borders of containers leave empty lines: `WINDOW` at the borders of an article or
+main and where nothing smaller than the page holds both sides, two for each border crossed elsewhere, none inside an
+article. A container without containers is a paragraph of the one around it.
+
+A line's length is its text's, less that of links outside an article. A line's block is the sum of lengths over the
+window of `WINDOW` lines that it begins. The text surges where the sums rise from zero to more than `SURGE` (inside an
+article, to anything; on a page without a surge, everywhere), and dives where they are zero again. Where a surge lies in an
+article or main, the one with the most text is the page's and what lies between it and its dive is kept; otherwise what
+lies between the first surge and the last dive.
+
+What is text: of elements that show something else than their content (iframe, object, video, audio, canvas) the content
+isn't, nor that of script, style, noscript, template, title; button, select and textarea are parts of forms; formulas
+(math) and the texts of drawings (svg) are.
 
 Defined cases: null or empty html gives an empty text; unclosed elements, comments and scripts run to the end of their
-parent or the page; text outside any element counts as a block; repeated rows give repeated rows; extra columns are
-ignored.
+parent or the page; text outside any element counts as a block; very long pages are parsed whole, in time in proportion to
+their length; of surges with equal text the first wins; repeated rows give repeated rows; extra columns are
+ignored, clashing names too; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -26,92 +35,138 @@ from .common import free_name, with_column
 
 WINDOW = 3
 SURGE = 86
+#: Empty lines that a container's border leaves.
+BORDER = 2
 
 # Fixed sets of HTML elements.
 BLOCKS = frozenset(
-    "address article aside blockquote body canvas caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset "
+    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th "
     "thead title tr ul".split()
 )
 #: Elements whose content isn't text of the page.
-SKIPPED = frozenset("script style noscript template svg math iframe object textarea select title head audio video canvas".split())
+SKIPPED = frozenset("script style noscript template iframe object textarea select title head audio video canvas".split())
 #: Of those, the ones whose content isn't markup.
 RAW = frozenset("script style textarea title iframe noscript".split())
-#: Elements that may hold a main text or a boilerplate region; only these are tracked as open.
+#: Elements that are tracked as open.
 HOLDERS = frozenset(
     "article aside blockquote body button center details dialog div dl fieldset figure footer form header main menu nav ol search section table td ul".split()
 )
+#: Of those, the ones whose borders leave empty lines.
+CONTAINERS = frozenset("article aside body center dialog div footer form header main menu nav search section td".split())
+ARTICLES = frozenset("article main".split())
 BOILERPLATE = frozenset("aside button dialog footer form menu nav search".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
-#: Words of a class or id, split at anything but letters and at a change of case, or all its words together.
+#: Names of boilerplate. A class or id is one if it is made of these and of `PLAIN` words only (`ad-box`, `siteFooter`).
 NAMES = frozenset(
-    "ad ads advert advertisement advertising advertisements adverts banner breadcrumb breadcrumbs byline comment comments consent cookie cookies "
-    "disclaimer disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice overlay pager pagination popup promo promos "
-    "promotion related replies reply respond share sharing shares sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget "
-    "widgets".split()
+    "ad ads advert advertisement advertising advertisements adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies "
+    "disclaimer disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo "
+    "promos promotion related replies reply respond share sharing shares sidebar signup skip social sponsor sponsored subscribe subscription toolbar "
+    "widget widgets".split()
+)
+PLAIN = frozenset(
+    "area articles bar block blocks bottom box buttons col column container footer form global group icons inner item items left links list main media "
+    "module outer page panel posts reader readers right row section sections site slot stories thread top unit user users wrap wrapper zone".split()
 )
-#: Never boilerplate by name, however the page calls them.
-SAFE = frozenset("article main body".split())
+#: Names that mean an article's own title inside one.
+TITLES = frozenset("banner header masthead".split())
 
-_TOKEN = re.compile(
+_TAG = re.compile(
     r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)",
     re.S,
 )
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 class _Holder:
-    __slots__ = ("name", "parent", "boiler", "hard", "free", "depth")
+    """An open element. own: it is boilerplate by itself; firm: so by more than its name; articles: those around it."""
 
-    def __init__(self, name: str, parent: _Holder | None, own: bool = False, hard: bool = False, inside_article: bool = False):
-        """boiler: it or what is around it is boilerplate; hard: so by element, role or hidden; free: so whatever the names
-        around the outermost article or main are."""
+    __slots__ = ("name", "parent", "boiler", "firm", "free", "article", "box", "depth", "plain", "page")
+
+    def __init__(self, name: str, parent: _Holder | None, own: bool = False, firm: bool = False):
         self.name, self.parent = name, parent
         self.boiler = own or bool(parent and parent.boiler)
-        self.hard = hard or bool(parent and parent.hard)
-        self.free = self.hard if name in ("article", "main") and not inside_article else own or bool(parent and parent.free)
-        self.depth = parent.depth + 1 if parent else 0
+        self.firm = firm or bool(parent and parent.firm)
+        outermost = name in ARTICLES and not (parent and parent.article)
+        #: Boilerplate, if the names around the outermost article or main don't count.
+        self.free = self.firm if outermost else own or bool(parent and parent.free)
+        self.article = name in ARTICLES or bool(parent and parent.article)
+        self.page = parent is None or name == "body"
+        self.plain = True  # holds no container
+        self.box, self.depth = self, parent.depth + 1 if parent else 0
+        if parent and name not in CONTAINERS:
+            self.box, self.depth = parent.box, parent.depth
+        elif parent and not own:
+            parent.box.plain = False
 
 
-def _is_boilerplate(name: str, attributes: str, inside_article: bool, names: bool = True) -> bool:
-    if name in BOILERPLATE or (name == "header" and not inside_article):
-        return True
-    if name in SAFE or "=" not in attributes and "hidden" not in attributes:
-        return False
-    for key, value in _ATTRIBUTE.findall(attributes):
-        key, value = key.lower(), value.strip("\"'")
-        if key == "role" and value.lower() in ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true":
+class Line:
+    """A line of text: its holder, the characters of its links, and the outermost container between it and the line before."""
+
+    __slots__ = ("text", "holder", "links", "between")
+
+    def __init__(self, text: str, holder: _Holder, links: int, between: _Holder):
+        self.text, self.holder, self.links, self.between = text, holder, links, between
+
+
+def _named(value: str, inside_article: bool) -> bool:
+    for token in value.split():
+        parts = [w.lower() for w in _WORD.findall(token)]
+        names = {"".join(parts)} & NAMES or (set(parts) & NAMES if PLAIN.union(NAMES).issuperset(parts) else set())
+        if names and not (inside_article and names <= TITLES):
             return True
-        if names and key in ("class", "id"):
-            for v in value.split():
-                parts = [w.lower() for w in _WORD.findall(v)]
-                if "".join(parts) in NAMES or not NAMES.isdisjoint(parts):
-                    return True
     return False
 
 
-def lines_of(html: str) -> list[tuple[str, _Holder]]:
-    """(text, holder) of each line that has text, in page order."""
-    root = at = _Holder("", None)
-    lines: list[tuple[str, _Holder]] = []
+def _is_boilerplate(name: str, attributes: str, inside_article: bool) -> tuple[bool, bool]:
+    """(is boilerplate, by more than a name that the page chose)."""
+    if name == "form":  # some pages are one form
+        return True, inside_article
+    if name in BOILERPLATE or (name == "header" and not inside_article):
+        return True, True
+    own = False
+    if name not in ARTICLES and name != "body":
+        for key, value in _ATTRIBUTE.findall(attributes):
+            key, value = key.lower(), value.strip("\"'")
+            if key == "hidden" or key == "role" and value.lower() in ROLES:
+                return True, True
+            own = own or key in ("class", "id") and _named(value, inside_article)
+    return own, False
+
+
+def lines_of(html: str) -> list[Line]:
+    """The lines that have text, in page order."""
+    root = at = between = _Holder("", None)
+    lines: list[Line] = []
     text: list[str] = []
+    links: list[str] = []
+    opened: dict[str, int] = {}
+    in_link = False
     pos, n = 0, len(html)
-    articles = 0
 
     def flush() -> None:
+        nonlocal between, in_link
         if text:
             if line := " ".join(unescape("".join(text)).split()):
-                lines.append((line, at))
+                lines.append(Line(line, at, sum(len(" ".join(unescape(x).split())) for x in links), between))
+                between = at.box
             text.clear()
+            links.clear()
+        in_link = False
+
+    def put(piece: str) -> None:
+        text.append(piece)
+        if in_link:
+            links.append(piece)
 
     while pos < n:
-        m = _TOKEN.search(html, pos)
+        m = _TAG.search(html, pos)
         if m is None:
-            text.append(html[pos:])
+            put(html[pos:])
             break
         if m.start() > pos:
-            text.append(html[pos : m.start()])
+            put(html[pos : m.start()])
         pos = m.end()
         closing, name, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
         if not name:
@@ -126,114 +181,83 @@ def lines_of(html: str) -> list[tuple[str, _Holder]]:
             if name == "head" and end is None:  # an unclosed head ends where the body begins
                 end = re.compile(r"(?=<body\b)", re.I).search(html, pos)
             pos = end.end() if end else n
-            continue
-        if name in HOLDERS:
+        elif name in HOLDERS:
             flush()
-            if closing:
-                h = at
-                while h is not root and h.name != name:
-                    h = h.parent
-                if h is not root:
-                    while at is not h.parent:
-                        articles -= at.name in ("article", "main")
-                        at = at.parent
-            else:
-                own = _is_boilerplate(name, attributes, articles > 0)
-                at = _Holder(name, at, own, own and _is_boilerplate(name, attributes, articles > 0, names=False), articles > 0)
-                articles += name in ("article", "main")
+            if not closing:
+                at = _Holder(name, at, *_is_boilerplate(name, attributes, at.article))
+                opened[name] = opened.get(name, 0) + 1
+            elif opened.get(name):
+                found = False
+                while not found:
+                    found = at.name == name
+                    opened[at.name] -= 1
+                    at = at.parent
+                if at.depth < between.depth:
+                    between = at.box
         elif name in BLOCKS:
             flush()
         elif name == "br":
             text.append(" ")
+        elif name == "a":
+            in_link = not closing
     flush()
     return lines
 
 
-def regions(lengths: list[int], window: int = WINDOW, surge: int = SURGE) -> list[tuple[int, int]]:
-    """[first, after) of each region that surges, in page order."""
-    n = len(lengths)
-    blocks = [sum(lengths[i : i + window]) for i in range(n)]
-    out, i = [], 0
-    while i < n:
-        if blocks[i] > surge and any(blocks[i + 1 : i + 1 + window]) or blocks[i] > surge and i == n - 1:
-            end = i
-            while end < n and blocks[end]:
-                end += 1
-            out.append((i, end))
-            i = end
-        i += 1
-    return out
-
-
-def _limit(holders: list[_Holder]) -> _Holder:
-    """The article or main that holds all of them, else the innermost sectioning element."""
-    common = holders[0]
-    for h in holders[1:]:
-        while h.depth > common.depth:
-            h = h.parent
-        while common.depth > h.depth:
-            common = common.parent
-        while common is not h:
-            common, h = common.parent, h.parent
-    limit = common
-    while limit.parent is not None and limit.name not in ("article", "main"):
-        limit = limit.parent
-    limit = limit if limit.name in ("article", "main") else common
-    while limit.parent is not None and limit.name not in ("article", "main", "section", "div", "body", "td", "center"):
-        limit = limit.parent
-    return limit
+def empty_lines(a: Line, b: Line, between: _Holder) -> int:
+    """How many the markup leaves between two lines; between: the innermost container that holds both."""
+    x, y = (h.parent.box if h.plain and h.name not in ARTICLES and not h.page and not h.parent.box.page else h for h in (a.holder.box, b.holder.box))
+    low = min(between.depth, x.depth, y.depth)
+    borders = x.depth + y.depth - 2 * low
+    if not borders or between.article:
+        return 0
+    return WINDOW if between.page or a.holder.article or b.holder.article else BORDER * borders
 
 
-def _holds(limit: _Holder, h: _Holder) -> bool:
-    while h.depth > limit.depth:
-        h = h.parent
-    return h is limit
+def regions(lengths: list[int], least: list[int], window: int = WINDOW) -> list[tuple[int, int]]:
+    """[surge, dive) of each run of blocks of which one has more than its line's least, in page order."""
+    out, begin, surges, total = [], None, False, sum(lengths[:window])
+    for i in range(len(lengths) + 1):
+        if total:
+            begin = i if begin is None else begin
+            surges = surges or total > least[i]
+        elif begin is not None:
+            while not lengths[begin]:
+                begin += 1
+            if surges:
+                out.append((begin, i))
+            begin, surges = None, False
+        if i < len(lengths):
+            total += (lengths[i + window] if i + window < len(lengths) else 0) - lengths[i]
+    return out
 
 
 def main_text(html: str | None) -> str:
     lines = lines_of(html or "")
-    if not any(not h.boiler and _within_article(h) for _, h in lines):
+    articles = [x for x in lines if x.holder.article]
+    if not any(not x.holder.boiler for x in articles):
         # The names of what is around the page's only articles or main don't make them boilerplate.
-        for _, h in lines:
-            if _within_article(h):
-                h.boiler = h.free
-    lengths = [0 if h.boiler else len(t) for t, h in lines]
-    found = regions(lengths)
-    if not found:
-        kept = [(t, h) for t, h in lines if not h.boiler]
-        inside = [t for t, h in kept if _within_article(h)]
-        return "\n".join(inside or [t for t, _ in kept])
-    limits = [_limit([lines[i][1] for i in range(a, z) if lengths[i]]) for a, z in found]
-    best = max(range(len(found)), key=lambda i: sum(lengths[slice(*found[i])]))
-    if limits[best].name in ("article", "main"):
-        found, limits = found[best : best + 1], limits[best : best + 1]
-    page = ("", "body")
-    for i, limit in enumerate(limits):  # up to what holds a region and its neighbour
-        for other in limits[max(0, i - 1) : i] + limits[i + 1 : i + 2]:
-            both = _limit([limit, other])
-            if both.name not in page and both.depth < limits[i].depth:
-                limits[i] = both
-    whole = {id(x): x for x in limits if x.name not in page}.values()
-    loose = [(r, x) for r, x in zip(found, limits, strict=True) if x.name in page]
-    # Nothing smaller than the page holds a loose region: short lines at its edges and beyond, in elements of their own, stay out.
-    inside = set()
-    for (first, after), limit in loose:
-        aside = lambda i: lines[i][1] is not limit and lengths[i] <= SURGE  # noqa: B023, E731
-        while first < after and aside(first):
-            first += 1
-        while first < after and aside(after - 1):
-            after -= 1
-        inside.update(range(first, after))
-    direct = len({id(x) for x in limits}) > 1 or bool(loose)
-    return "\n".join(t for i, (t, h) in enumerate(lines) if not h.boiler and (i in inside or direct and h.name in page or any(_holds(x, h) for x in whole)))
-
-
-def _within_article(h: _Holder | None) -> bool:
-    while h is not None:
-        if h.name in ("article", "main"):
-            return True
-        h = h.parent
-    return False
+        for x in articles:
+            x.holder.boiler = x.holder.free
+    at: list[Line | None] = []  # lines and empty lines
+    last, between = None, None
+    for x in lines:
+        between = x.between if between is None or x.between.depth < between.depth else between
+        if x.holder.boiler:
+            continue
+        if last is not None:
+            at += [None] * empty_lines(last, x, between)
+        at.append(x)
+        last, between = x, None
+    lengths = [0 if x is None else len(x.text) if x.holder.article else max(0, len(x.text) - x.links) for x in at]
+    found = regions(lengths, [0 if x is not None and x.holder.article else SURGE for x in at] + [0])
+    found = found or regions(lengths, [0] * (len(at) + 1))
+    inside = [(a, z) for a, z in found if at[a].holder.article]
+    if inside:
+        a, z = max(inside, key=lambda r: sum(lengths[slice(*r)]))
+    else:
+        a, z = (found[0][0], found[-1][1]) if found else (0, 0)
+    return "\n".join(x.text for x in at[a:z] if x is not None)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
