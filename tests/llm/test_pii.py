@@ -67,16 +67,96 @@ def test_messages_are_exact_on_trees():
 
 def test_repeats_share_a_label():
     """A token that looks like nothing on its own takes the label of its recognised repeat."""
-    w = pii.Weights(np.zeros((3, pii.SHAPES + 1, pii.K)), np.zeros(pii.K), np.zeros((pii.K, pii.K)), np.eye(pii.K) * 4)
+    w = pii.Weights(np.zeros((3, pii.SHAPES + 1, pii.K)), np.zeros(pii.K), np.zeros((pii.K, pii.K)), np.eye(pii.K) * 6)
     w.node[1, 0, 4] = 6.0  # right after an e-mail address a token is a phone, for this test
     t = "me@x.yz 5557713 and much later 5557713 and 1234567"
     (base, added), = pii.find([t], w)
     assert base[0] == [(0, 7)] and added[3] == [(8, 15), (31, 38)]
+    far = "me@x.yz 5557713 " + "and 5557713 " * 500
+    (_, added), = pii.find([far], w)
+    assert len(added[3]) == 501
 
 
 def test_edges_stay_linear_in_a_hot_group():
     g = pii.graph("5557713 x " * 5_000)
-    assert len(g.spans) == 5_000 and len(g.skip) == 4_999 and not g.chain
+    assert len(g.spans) == 5_000 and len(g.skip) == 5_000 and g.stars == 1 and not g.chain
+
+
+VARIANTS = [
+    ("call +44 20 7946 0958 now", "442079460958", 3),
+    ("call +1 (017) 555-7713 now", "017.555.7713", 3),
+    ("call +1 (017) 555-7713 now", "1 017 555 7713", 3),
+    ("pay 4111111111111111 now", "4111.1111.1111.1111", 2),
+    ("pay 4111 1111 1111 1111 now", "4111/1111/1111/1111", 2),
+    ("host 10.20.30.40 is up", "10-20-30-40", 1),
+    ("host 10.20.30.40 is up", "10[.]20[.]30[.]40", 1),
+    ("mail joe.7@x.example.com", "joe.7@x", 0),
+]
+
+
+def planted(n=400, seed=3):
+    rng = random.Random(seed)
+    out = []
+    for _ in range(n):
+        d = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+        filler = " ".join(rng.choice(("word", "text", f"{d(3)}", f"{d(10)}", f"{d(4)}.{d(4)}", "so")) for _ in range(30))
+        out.append(f"{filler} +1 ({d(3)}) {d(3)}-{d(4)} {filler} 10.{rng.randint(0, 255)}.{rng.randint(0, 255)}.1 {filler} a{d(2)}@m{d(1)}.example.com {filler}")
+    return out
+
+
+def trained(texts):
+    import pyarrow as pa
+
+    b = pii._statistics(pa.RecordBatch.from_arrays([pa.array(texts)], ["t"]))
+    data = np.array([c.to_numpy() for c in b.columns]).T
+    return pii.fit(data[:, :-1], data[:, -1].astype(float))
+
+
+def test_skip_potentials_find_repeats_in_other_notations():
+    texts = planted() + [f"{a} x" for a, _, _ in VARIANTS] * 20
+    w = trained(texts)
+    blind = pii.Weights(w.node, w.bias, w.chain, np.zeros_like(w.skip))
+    hits = without = 0
+    for first, again, kind in VARIANTS:
+        t = f"{first} " + "and so on " * 200 + again + " end"
+        at = t.rindex(again)
+        for weights in (w, blind):
+            (base, added), = pii.find([t], weights)
+            assert base == brute(t)
+            found = {i for a, z in added[kind] for i in range(a, z)} & set(range(at, at + len(again)))
+            if weights is w:
+                hits += len(found) > len(again) // 2
+            else:
+                without += bool(found)
+    assert hits == len(VARIANTS) and without == 0
+
+
+def test_held_out_precision_and_recall_of_added_spans():
+    w = trained(planted() + [f"{a} x" for a, _, _ in VARIANTS] * 20)
+    hit = miss = wrong = 0
+    for t in planted(200, seed=8):
+        g, y = pii.examples(t)
+        p = pii._infer([g], w)
+        got = np.where(p.max(axis=1) >= pii.LEAST, p.argmax(axis=1), 0)
+        free = g.known == 0
+        hit += ((got == y) & (y > 0) & free).sum()
+        miss += ((got != y) & (y > 0) & free).sum()
+        wrong += ((got != y) & (got > 0) & free).sum()
+    assert hit / (hit + miss) > 0.9 and hit / (hit + wrong) > 0.98
+
+
+def test_a_document_gets_the_same_spans_in_any_company():
+    texts = planted(60, seed=4) + [f"{a} and {b}" for a, b, _ in VARIANTS]
+    w = trained(texts)
+    assert pii.find(texts, w) == [pii.find([t], w)[0] for t in texts]
+    graphs = [pii.graph(t) for t in texts]
+    alone = [pii._infer([g], w) for g in graphs]
+    assert np.abs(np.concatenate(alone) - pii._infer(graphs, w)).max() < 1e-9
+
+
+def test_long_tokens_have_their_shape():
+    assert pii._shape("a" * 500 + "@" + "b" * 500 + ".example.com") == 0
+    assert pii._shape("1" * 400) != pii._shape("x" * 400)
 
 
 def test_detect_and_mask(spark):
