@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import payload, text
+from ..sources.partitions import checkpoint_dir
 
 
 def referenced_ids(provenance: DataFrame) -> DataFrame:
@@ -68,7 +69,7 @@ def compile_sources(sources: DataFrame, synthesise: Callable[[str], str], pages:
     fitted = fit_blobs(sources, budget)
     jobs = fitted.select("source_seq", "uri", prompt(F.col("raw_id"), F.col("active"), F.col("old_id"), F.col("superseded"), F.col("related")).alias("prompt"))
     spark = sources.sparkSession
-    path = f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints/tomeflow'}/answers-{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark)}/answers-{uuid.uuid4().hex}"
     answers = run_jobs(jobs, synthesise, workers).withColumn("valid", payload.operations(F.col("payload"))["valid"])
     answers.write.parquet(path)  # each source is asked once, whatever reads its answer
     answers = spark.read.schema(answers.schema).parquet(path)

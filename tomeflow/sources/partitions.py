@@ -1,8 +1,19 @@
-"""Partitions of what is read. Python workers import this module, so it needs nothing but Spark."""
+"""Partitions of what is read, and where intermediate tables go. Python workers import this module, so it needs nothing but Spark."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+#: Used on one machine only, where the session names no shared folder, as in tests.
+LOCAL_CHECKPOINTS = "/tmp/checkpoints/tomeflow"
+
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir of the session, the folder that the driver and all executors share. A cluster must name one."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return found or LOCAL_CHECKPOINTS
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
 """Event logs as streams: the manifest's state, a rate limiter and a circuit breaker.
 
-Each key's state is one small row, however many events it has. Streams order events within a micro-batch by seq and refuse
-those at or below the last one seen. The limiter and the breaker are folds over a table of calls.
+Each key's state is one small row, however many events it has. Streams order a key's events of one micro-batch by seq, in
+memory, and refuse those at or below the last one seen: bound micro-batches by the source's maxFilesPerTrigger or
+maxOffsetsPerTrigger. The limiter and the breaker are folds over a table of calls.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..sources.partitions import checkpoint_dir
+
 OUT_MANIFEST = "uri string, seq long, op string, outcome string, active_hash string"
 STATE_MANIFEST = "seq long, known boolean, active_hash string, compiled_hash string"
 
@@ -54,7 +57,7 @@ def run_to_end(events: DataFrame, transform: Callable[[DataFrame], DataFrame]) -
     """The output of a stream over a table's rows: the table is written once, read as a stream in one trigger, and the
     output written by the file sink, all in the shared folder."""
     spark = events.sparkSession
-    base = f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints/tomeflow'}/stream-{uuid.uuid4().hex}"
+    base = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
     events.write.parquet(f"{base}/in")
     out = transform(spark.readStream.schema(events.schema).parquet(f"{base}/in"))
     run = out.writeStream.format("parquet").option("checkpointLocation", f"{base}/checkpoint").option("path", f"{base}/out").outputMode("append").trigger(availableNow=True).start()
