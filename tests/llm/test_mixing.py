@@ -21,6 +21,7 @@ def brute(rows, key, budget=None, entropy=0.97, repeats=4.0):
     for i, t, s in rows:
         total[s] += count(t)
         docs[s].append((i, count(t)))
+    free = {s for s, n in total.items() if not n}  # comes once, whatever the budget
     total = {s: n for s, n in total.items() if n}
     every = sum(total.values())
     budget = every if budget is None else budget
@@ -42,7 +43,7 @@ def brute(rows, key, budget=None, entropy=0.97, repeats=4.0):
     a = 1.0 if mixed(1.0)[1] >= goal - 1e-12 else bisect(lambda a: mixed(a)[1] >= goal - 1e-12)
     if mixed(a)[2] > repeats + 1e-9:
         a = bisect(lambda a: mixed(a)[2] > repeats)
-    out = []
+    out = [(i, s, 0) for s in free for i, _ in docs[s]]
     for s, w in mixed(a)[0].items():
         whole, left = divmod(math.floor(w * budget + 1e-6), total[s])
         out += [(i, s, b) for b in range(whole) for i, _ in docs[s]]
@@ -83,9 +84,27 @@ def test_ranges_follow_the_order_of_places(spark):
     assert got == sorted(got) and got[0] >= 0 and got[-1] < mixing.RANGES
 
 
-@pytest.mark.parametrize("rows", [[], [(1, None, "a")], [(1, "", None)]])
-def test_nothing_to_mix(spark, rows):
-    assert mixing.mix(spark.createDataFrame(rows, DOCS)).count() == 0
+@pytest.mark.parametrize("rows", [[], [(1, None, "a")], [(1, "", None)], [(1, "", "a"), (2, None, None), (3, "", "a"), (None, None, "b")]])
+def test_documents_without_tokens_come_once(spark, rows):
+    out = mixing.mix(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted(((r.doc_id, r.text, r.source) for r in out), key=repr) == sorted(rows, key=repr)
+    assert all(r.n_tokens == 0 and r.block == 0 for r in out)
+
+
+def test_sources_without_tokens_equal_the_sql(spark, tmp_path):
+    import duckdb
+    import pyarrow.parquet as pq
+
+    pq.write_table(spark.createDataFrame(sample(), DOCS).toArrow(), tmp_path / "d.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d.parquet'")
+    cursor = con.execute(mixing.oracle_sql())
+    names = [c[0] for c in cursor.description]
+    want = [dict(zip(names, r, strict=True)) for r in cursor.fetchall()]
+    got = mixing.mix(spark.createDataFrame(sample(), DOCS)).collect()
+    key = lambda r: repr((r["doc_id"], r["source"], r["n_tokens"], r["block"], r["place"]))
+    assert sorted(map(key, got)) == sorted(map(key, want))
+    assert any(r["source"] == "empty" for r in got)
 
 
 def test_one_source(spark):

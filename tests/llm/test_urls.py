@@ -43,22 +43,41 @@ def test_long_urls(spark):
     assert {r.page_id: r.verdict for r in urls.judge(df).collect()} == {1: "block", 2: "allow"}
 
 
-def test_index_equals_every_expression_on_every_url(spark):
-    """Rules with and without whole tokens, in all positions."""
+@pytest.mark.parametrize("inline", [0, 256])
+def test_index_equals_every_expression_on_every_url(spark, inline):
+    """Rules with and without whole tokens, in all positions; the index as a constant and by joins."""
     rules = [urls.prefix_rule(*r) for r in [("block", "b.c", "/x"), ("allow", "c", "/"), ("block", "q-r.c", "/x/y/"), ("allow", "B.C", "/x/z")]]
-    rules += [urls.pattern_rule(*r) for r in [("block", "^x^"), ("allow", "x/y"), ("block", "*z"), ("block", "^a*r^"), ("allow", "-")]]
+    rules += [urls.pattern_rule(*r) for r in [("block", "^x^"), ("allow", "x/y"), ("block", "*z"), ("block", "^a*r^"), ("allow", "-"), ("block", "^casino^")]]
     parts = ["b.c", "a.b.c", "c", "q-r.c", "z.q"]
-    paths = ["", "/", "/x", "/x/y/1", "/X/z", "/xx", "/x/z", "/a/r/"]
+    paths = ["", "/", "/x", "/x/y/1", "/X/z", "/xx", "/x/z", "/a/r/", "/\u212acasino/", "/\u0130casino", "/CASINO"]
     rows = [(i, f"http://{h}{p}") for i, (h, p) in enumerate((h, p) for h in parts for p in paths)]
-    got = {r.page_id: (r.rule, r.verdict, r.pattern) for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string"), rules).collect()}
+    df = spark.createDataFrame([*rows, rows[0], (-1, None)], "page_id long, url string")
+    out = urls.judge(df, rules, inline_rules=inline).collect()
+    assert len(out) == len(rows) + 2
+    got = {r.page_id: (r.rule, r.verdict, r.pattern) for r in out}
     for i, u in rows:
         subject = u[7:]
-        fit = [r for r in rules if re.search(r.regex, subject)]
+        fit = [r for r in rules if re.search(r.regex, subject, re.A)]
         best = {k: max((r for r in fit if r.kind == k), key=lambda r: (r.length, r.host_length, r.verdict, r.name), default=None) for k in ("prefix", "pattern")}
         p, q = best["prefix"], best["pattern"]
         assert got[i] == (p and p.name, (p or q).verdict if p or q else "allow", q.name if q and not p else None), u
 
 
+def test_rules_from_a_table(spark):
+    rows = [("prefix", "block", "b.c", "/x", None), ("pattern", "allow", None, None, "^x^"), ("prefix", "block", "b.c", "/x", None)]
+    kinds = "kind string, verdict string, host string, path string, pattern string"
+    rules = urls.read_rules(spark.createDataFrame(rows, kinds))
+    assert [(r.kind, r.name, r.verdict) for r in rules] == [("pattern", "^x^", "allow"), ("prefix", "b.c/x", "block")]
+    for bad in [("prefix", "block", None, "/", None), ("pattern", "no", None, None, "x"), (None, "allow", "a", "/", "x"), ("pattern", "allow", None, None, None)]:
+        with pytest.raises(ValueError):
+            urls.read_rules(spark.createDataFrame([bad], kinds))
+
+
+def test_pages_are_read_twice_and_not_shuffled(spark):
+    plan = urls.judge(spark.read.parquet("/root/testdata/sf0.001/pages.parquet"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Exchange" not in plan and "Join" not in plan
+
+
 def test_no_rules(spark):
     df = spark.createDataFrame([(1, "http://example.com/en/")], "page_id long, url string")
     assert urls.judge(df, []).first().verdict == "allow"

@@ -12,10 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.partitions import spread
+from ..sources.partitions import checkpoint_dir, spread
 
-#: Used only where the session names no shared folder, as in tests.
-LOCAL_CHECKPOINTS = "/tmp/checkpoints/tomeflow"
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -24,8 +22,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir of the session."""
-    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS
+    """The folder that the driver and all executors share."""
+    return checkpoint_dir(spark)
 
 
 def fresh_path(spark: SparkSession, what: str) -> str:
@@ -88,13 +86,13 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sch
 
 
 def hash_sample(df: DataFrame, key: list[str], bound: int) -> DataFrame:
-    """About `bound` different rows at most, chosen by a hash of the key columns, so the choice is the same on every run.
+    """About `bound` different rows, chosen by a hash of the key columns, so the choice is the same on every run.
     Copies of a row are chosen or left together."""
     n = df.count()
     if n <= bound:
         return df
-    step = math.ceil(n / bound)
-    return df.where(F.pmod(F.xxhash64(*key), F.lit(step)) == 0)
+    steps = 1 << 40
+    return df.where(F.pmod(F.xxhash64(*key), F.lit(steps)) < math.floor(bound / n * steps))
 
 
 def as_bytes(col: pa.Array) -> list[bytes | None]:

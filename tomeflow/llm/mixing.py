@@ -13,13 +13,16 @@ the budget ends is sorted and summed document by document; no source, however la
 Tokens are estimated as a quarter of the characters, rounded up.
 
 Defined cases: a null source is a source; documents without tokens (null or empty text) come with every whole block of their source and cost
-nothing; a source that has only such documents is left out, as in the SQL; a null id is an id; repeated rows are documents of their own, with neighbouring places; an empty table gives an
-empty mix; extra columns are kept.
+nothing; a source that has only such documents comes as one whole block; very long texts count whole; ties of a place go by id and
+tokens; a null id is an id; repeated rows are documents of their own, with neighbouring places; an empty table gives an empty
+mix; extra columns are kept. A budget above `max_repeats` times all tokens
+repeats all sources alike, with a warning.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -76,11 +79,16 @@ def plan(tokens: DataFrame, budget: int | None = None, target_entropy: float = T
     """source, whole (blocks), edge (the range in which the last block ends), rest (tokens left where that range begins).
 
     tokens: a table doc_id, source, tokens."""
-    sources = written(tokens.groupBy("source").agg(F.sum("tokens").alias("tokens")).where("tokens > 0"), "mix-sources")
+    found = written(tokens.groupBy("source").agg(F.sum("tokens").alias("tokens")), "mix-sources")
+    # Of sources without tokens one whole block, and nothing of the next.
+    free = found.where("tokens = 0").select("source", F.lit(1).cast("long").alias("whole"), F.lit(-1).alias("edge"), F.lit(-1).cast("long").alias("rest"))
+    sources = found.where("tokens > 0")
     total = sources.agg(F.sum("tokens")).first()[0]
     if not total:
-        return sources.select("source", F.lit(0).cast("long").alias("whole"), F.lit(0).alias("edge"), F.lit(0).cast("long").alias("rest"))
+        return free
     budget = total if budget is None else budget
+    if budget > max_repeats * total:
+        warnings.warn(f"a budget of {budget} repeats {total} tokens more than {max_repeats} times", stacklevel=2)
     a, z = exponent(sources, total, budget, target_entropy, max_repeats)
     share = F.floor(F.pow(F.col("tokens") / F.lit(float(total)), F.lit(a)) / F.lit(z) * F.lit(float(budget)) + 1e-6).cast("long")
     budgets = sources.withColumn("budget", share).select("source", F.floor(F.col("budget") / F.col("tokens")).cast("long").alias("whole"), (F.col("budget") % F.col("tokens")).alias("left"))
@@ -92,7 +100,8 @@ def plan(tokens: DataFrame, budget: int | None = None, target_entropy: float = T
     edges = ranges.withColumn("after", after).where(F.col("after") > F.col("left"))
     edge = edges.groupBy("source").agg(F.min(F.struct("range", (F.col("left") - F.col("after") + F.col("tokens")).alias("rest"))).alias("e"))
     edge = edge.select(F.col("source").alias("s"), "e")
-    return budgets.join(edge, budgets.source.eqNullSafe(F.col("s")), "left").select("source", "whole", F.coalesce("e.range", F.lit(0)).alias("edge"), F.coalesce("e.rest", F.lit(0)).cast("long").alias("rest"))
+    paid = budgets.join(edge, budgets.source.eqNullSafe(F.col("s")), "left").select("source", "whole", F.coalesce("e.range", F.lit(0)).alias("edge"), F.coalesce("e.rest", F.lit(0)).cast("long").alias("rest"))
+    return paid.unionByName(free)
 
 
 def _key(seed: int, block: Column, doc_id: Column) -> Column:
@@ -121,7 +130,7 @@ def oracle_sql(target_entropy: float = TARGET_ENTROPY, max_repeats: float = MAX_
     return f"""
         WITH RECURSIVE tk AS (
             SELECT doc_id, source, coalesce((length(text) + 3) // 4, 0) AS n_tokens FROM documents
-        ), sr AS (SELECT source, sum(n_tokens) AS tokens FROM tk GROUP BY source HAVING sum(n_tokens) > 0),
+        ), so AS (SELECT source, sum(n_tokens) AS tokens FROM tk GROUP BY source), sr AS (SELECT * FROM so WHERE tokens > 0),
         sh AS (SELECT source, CAST(tokens AS DOUBLE) / (SELECT sum(tokens) FROM sr) AS p, tokens FROM sr),
         whole AS (SELECT -sum(p * ln(p)) AS entropy, {target_entropy} * ln(count(*)) AS goal FROM sh),
         {bisect("be", "0", "ln(z) - mid * zl / z >= (SELECT goal FROM whole) - 1e-12")},
@@ -130,7 +139,10 @@ def oracle_sql(target_entropy: float = TARGET_ENTROPY, max_repeats: float = MAX_
         ar AS (SELECT CASE WHEN (SELECT max(pow(p, (SELECT a FROM ae) - 1)) / sum(pow(p, (SELECT a FROM ae))) FROM sh) > {max_repeats} + 1e-9 THEN (SELECT max(low) FROM br) ELSE (SELECT a FROM ae) END AS a),
         bu AS (
             SELECT source, tokens, CAST(floor(pow(p, a) / (SELECT sum(pow(p, a)) FROM sh, ar) * (SELECT CAST(sum(tokens) AS DOUBLE) FROM sr) + 1e-6) AS BIGINT) AS budget FROM sh, ar
-        ), pl AS (SELECT source, CAST(budget // tokens AS BIGINT) AS full_blocks, CAST(budget % tokens AS BIGINT) AS rest FROM bu),
+        ), pl AS (
+            SELECT source, CAST(budget // tokens AS BIGINT) AS full_blocks, CAST(budget % tokens AS BIGINT) AS rest FROM bu
+            UNION ALL SELECT source, 1, -1 FROM so WHERE tokens = 0
+        ),
         ex AS (
             SELECT doc_id, tk.source, n_tokens, full_blocks, rest, unnest(range(0, full_blocks + 1)) AS block
             FROM tk JOIN pl ON tk.source IS NOT DISTINCT FROM pl.source
