@@ -2,8 +2,13 @@
 documents go, personal data is masked, and sources are mixed to target weights.
 
 Each stage takes and returns documents with all their columns; the last returns a row for each time that a document is in
-the mix, with n_tokens, block and place besides. A null or empty text is neither toxic nor contaminated; such documents are
-near-duplicates of each other. An empty table stays empty.
+the mix, with n_tokens, block and place besides. The near-duplicates stage searches by SimHash and pivot tables as op1 does, in a wider
+radius, and verifies by the Jaccard similarity of five-word shingles.
+
+Defined cases: a null or empty text is neither toxic nor contaminated; such documents are near-duplicates of each other. Very
+long texts count whole. Of near-duplicates the one with the smallest id stays, of rows that share an id and words the least by their
+other columns; so repeated rows become one. Nulls in other columns don't matter; extra columns pass all stages, and where
+their names clash with new ones, these have underscores before them. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tomeflow.llm import decontaminate, jaccard, mixing, pii, toxicity
+from tomeflow.llm import decontaminate, mixing, near_copies, pii, toxicity
 from tomeflow.llm.common import table, written
 
 
@@ -22,7 +27,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard.keep_first(docs)
+    return near_copies.keep_first(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

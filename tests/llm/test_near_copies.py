@@ -2,9 +2,10 @@ import random
 
 import numpy as np
 import pytest
+import xxhash
 
 import corpus_pipeline
-from tomeflow.llm import jaccard, simhash
+from tomeflow.llm import near_copies, simhash
 
 DOCS = "doc_id long, text string"
 
@@ -14,9 +15,16 @@ def brute_set(text):
     return frozenset(" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
 
 
-def brute_kept(rows):
+def brute_bits(text):
+    """SimHash of the different words, bit by bit."""
+    hs = [xxhash.xxh64_intdigest(w.encode(), 42) for w in set((text or "").lower().split())]
+    return sum((sum(h >> b & 1 for h in hs) * 2 > len(hs)) << b for b in range(64))
+
+
+def brute_kept(rows, max_bits):
     """The smallest id of each component, by trying all pairs."""
     found = [brute_set(t) for _, t in rows]
+    bits = [brute_bits(t) for _, t in rows]
     parent = list(range(len(rows)))
 
     def find(x):
@@ -26,7 +34,7 @@ def brute_kept(rows):
 
     for i, a in enumerate(found):
         for j, b in enumerate(found[:i]):
-            if a == b or 5 * len(a & b) >= 4 * len(a | b):
+            if (bits[i] ^ bits[j]).bit_count() <= max_bits and (a == b or 5 * len(a & b) >= 4 * len(a | b)):
                 parent[find(i)] = find(j)
     least = {}
     for i, (d, _) in enumerate(rows):
@@ -34,7 +42,7 @@ def brute_kept(rows):
     return sorted(least.values())
 
 
-def near_copies(rng, n):
+def texts_of(rng, n):
     """Chains and stars of near copies, all with one common line; similarities on both sides of 0.8."""
     line = "this very common line stands in every single document of the whole table"
     base = [[f"w{b}x{i}" for i in range(rng.randrange(5, 120))] for b in range(8)]
@@ -49,11 +57,32 @@ def near_copies(rng, n):
     return out + [(n, None), (n + 1, ""), (n + 2, "one two"), (n + 3, "One  two"), (n + 4, "one"), (n + 5, out[0][1])]
 
 
-@pytest.mark.parametrize("seed, bucket_rows", [(1, 8), (2, 3)])
-def test_equals_all_pairs(spark, seed, bucket_rows):
-    rows = near_copies(random.Random(seed), 150)
-    kept = jaccard.keep_first(spark.createDataFrame(rows, DOCS).repartition(7), bucket_rows=bucket_rows)
-    assert sorted(r.doc_id for r in kept.collect()) == brute_kept(rows)
+@pytest.mark.parametrize("seed, max_bits, bucket_rows", [(1, 8, 2048), (2, 8, 4), (3, 12, 20)])
+def test_equals_all_pairs(spark, seed, max_bits, bucket_rows):
+    """Small buckets force the least and greatest nodes first, longer keys, and pairs of blocks."""
+    rows = texts_of(random.Random(seed), 150)
+    kept = near_copies.keep_first(spark.createDataFrame(rows, DOCS).repartition(7), max_bits=max_bits, bucket_rows=bucket_rows)
+    assert sorted(r.doc_id for r in kept.collect()) == brute_kept(rows, max_bits)
+
+
+def test_a_dense_group_gives_few_pairs(spark, monkeypatch):
+    """300 near copies of one text, all close to each other: pairs in proportion to the group, not to its square."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join(w if rng.random() > 0.003 else f"x{i}" for w in words)) for i in range(300)]
+    sent = []
+    linked = near_copies.Texts.linked
+    monkeypatch.setattr(near_copies.Texts, "linked", lambda self, pairs: sent.append(pairs.distinct().count()) or linked(self, pairs))
+    for bucket_rows in (2048, 50):
+        sent.clear()
+        kept = near_copies.keep_first(spark.createDataFrame(rows, DOCS), bucket_rows=bucket_rows)
+        assert sorted(r.doc_id for r in kept.collect()) == brute_kept(rows, 8)
+        assert sum(sent) < 6 * len(rows)
+
+
+def test_keys_lengthen_with_the_table():
+    assert near_copies.levels(1) == near_copies.levels(200_000) == 1 and near_copies.levels(10_000_000) == 2
+    assert 3 <= near_copies.levels(10**9) <= 4 and near_copies.levels(10**18) < 20
 
 
 def test_stage_finds_near_copies_far_apart_in_bits(spark):
@@ -68,20 +97,17 @@ def test_stage_finds_near_copies_far_apart_in_bits(spark):
 
 def test_null_ids_and_repeated_rows(spark):
     rows = [(None, "a b c d e f"), (3, "a b c d e f"), (None, "nobody knows this one at all"), (4, "x y"), (4, "x y"), (4, "p q")]
-    kept = jaccard.keep_first(spark.createDataFrame(rows, DOCS)).collect()
+    kept = near_copies.keep_first(spark.createDataFrame(rows, DOCS)).collect()
     assert sorted(((r.doc_id or 0), r.text) for r in kept) == [(0, "nobody knows this one at all"), (3, "a b c d e f"), (4, "p q"), (4, "x y")]
-    assert jaccard.keep_first(spark.createDataFrame([], DOCS)).count() == 0
+    assert near_copies.keep_first(spark.createDataFrame([], DOCS)).count() == 0
 
 
-def test_prefixes_and_sketches_lose_no_link():
+def test_sketches_lose_no_link():
     rng = np.random.default_rng(0)
     for _ in range(300):
         n = int(rng.integers(1, 80))
         a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
         b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.93], rng.integers(0, 2**63, 3, dtype=np.uint64)]))
-        late = np.sort(rng.permutation(a)[: len(a) // 2])
-        if jaccard.linked(a, b):
-            counts = np.arange(len(late)) + 8
-            assert len(np.intersect1d(jaccard.prefix(a, late, counts), jaccard.prefix(b, late, counts)))
-            x, y = (np.frombuffer(jaccard.sketch(s), np.uint64) for s in (a, b))
-            assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
+        if near_copies.linked(a, b):
+            bits = np.frombuffer(near_copies.sketch(a) + near_copies.sketch(b), np.uint64).reshape(2, -1)
+            assert near_copies._possible(np.array([len(a), len(b)]), bits, np.array([0]), np.array([1]))[0]

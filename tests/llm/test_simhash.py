@@ -104,16 +104,33 @@ def test_coordinates_are_a_lower_bound():
     a = rng.integers(0, 2**63, 500, dtype=np.uint64)
     b = a ^ (np.uint64(1) << rng.integers(0, 64, 500, dtype=np.uint64))
     ca, cb = (simhash.coordinates(simhash.pivot_distances(x.view(np.int64))) for x in (a, b))
-    assert ca.min() >= 0 and ca.max() <= 2
+    assert ca.min() >= 0 and ca.max() <= 1
     assert (np.abs(ca.astype(int) - cb).sum(axis=1) <= np.bitwise_count(a ^ b)).all()
 
 
+@pytest.mark.parametrize("max_bits", [2, 8])
+def test_pairs_of_small_and_large_buckets(max_bits):
+    rng = np.random.default_rng(max_bits)
+    key = np.repeat(np.arange(40), [1, 2, 5, 400] * 10)
+    fp = rng.integers(-(2**63), 2**63 - 1, len(key))
+    near = rng.integers(0, len(key), 600)
+    for i in near:
+        fp[i] = fp[rng.choice(np.flatnonzero(key == key[i]))]
+        for bit in rng.integers(0, 63, rng.integers(0, 12)):
+            fp[i] ^= 1 << int(bit)
+    got = {(int(x), int(y)) for a, b in simhash.close_pairs(key, fp, max_bits) for x, y in zip(a, b, strict=True)}
+    u = fp.view(np.uint64)
+    want = {(i, j) for i in range(len(key)) for j in np.flatnonzero((key == key[i]) & (np.bitwise_count(u ^ u[i]) <= max_bits)).tolist() if i < j}
+    assert got == want
+
+
 def test_parts_cover_what_is_free():
     for path in (0, 1, 2 + 3 * 4, 1 + 2 * 4 + 3 * 16):
         p = simhash.parts(path)
         flat = [c for x in p for c in x]
         assert len(flat) == len(set(flat))
-    assert sorted(c for x in simhash.parts(0) for c in x) == list(range(32))
+    for ways in (3, 9):
+        assert sorted(c for x in simhash.parts(0, ways) for c in x) == list(range(64))
 
 
 def test_keep_first_keeps_columns_and_one_of_each_group(spark):
@@ -124,6 +141,22 @@ def test_keep_first_keeps_columns_and_one_of_each_group(spark):
     assert sorted((r.doc_id if r.doc_id is not None else -1, r.FP) for r in kept.collect()) == [(-1, "n"), (1, "y"), (5, "z"), (6, "e")]
 
 
+def test_keep_first_of_repeated_ids(spark):
+    """Of rows that share an id and fingerprint the least one, however the rows are dealt; map columns don't matter."""
+    rows = [(1, "a b c d", "y", {"k": 2}), (1, "a b c d", "x", {"k": 1}), (1, "another text under the id", "q", None), (2, "a b c d", "p", None), (None, None, "b", None), (None, None, "a", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, Row string, m map<string,int>")
+    for n in (1, 5):
+        kept = simhash.keep_first(df.repartition(n))
+        assert kept.columns == df.columns
+        assert sorted(((r.doc_id or 0), r.Row) for r in kept.collect()) == [(0, "a"), (1, "q"), (1, "x")]
+
+
+def test_texts_arent_shuffled_without_repeated_ids(spark):
+    df = spark.createDataFrame([(i, f"text {i % 5} of some words") for i in range(50)], DOCS)
+    plan = simhash.keep_first(df)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "MapInArrow" not in plan
+
+
 def test_components_of_a_long_chain(spark):
     df = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501)], "u long, v long")
     got = {r.node: r.root for r in simhash.components(df).collect()}

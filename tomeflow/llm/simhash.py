@@ -2,20 +2,22 @@
 
 A fingerprint holds, for each of 64 positions, the majority bit of the XXH64 hashes of a text's word shingles. Two
 fingerprints link when they differ in at most two bits; documents of one connected component are near-duplicates.
-
-Links are found through distances to 33 reference fingerprints (pivots): zero, and 32 that have two neighbouring bits
-set. For pivot p_j with bit pair j, (d(x,0) + 2 - d(x,p_j)) / 2 is the number of bits that x sets in that pair, so the
-table of distances gives 32 coordinates c_j in {0,1,2} with sum_j |c_j(x) - c_j(y)| <= d(x,y). A linked pair therefore
-differs in two coordinates at most, and of three parts of the coordinates one agrees. Fingerprints meet in a bucket for
-each part; within a bucket a pair is discarded if any pivot's two distances differ by over two (triangle inequality),
-and survivors are verified bit by bit. A bucket above `bucket_rows` isn't compared: its members move on to three finer
-buckets each, whose keys also hold the next part of the coordinates that are still free - by the same argument no link is
-lost - and so on, for `LEVELS` levels. No stage emits the pairs of a group: a bucket gives one edge for each member
-that has a link there, to its local root.
-
-Defined cases: a null or empty text has fingerprint zero and links like any other; a null doc_id takes part in linking,
-but component_id is the smallest doc_id that isn't null (null if there is none); repeated rows give repeated rows; extra
-columns are ignored; an empty table gives an empty result.
+`near_copies` uses the same tables for a wider search, whose finds it verifies by their texts.
+
+Links are found through distances to 81 reference fingerprints (pivots). Zero and the 64 that have one bit set give 64
+coordinates, (d(x,0) + 1 - d(x,p_j)) / 2, with sum_j |c_j(x) - c_j(y)| = d(x,y); so of b + 1 parts of the coordinates
+one agrees for any pair that differs in b bits at most. Fingerprints meet in a bucket for each part. Within a bucket a pair
+is discarded if its distances to any of 16 more pivots, rows of the Walsh matrix, differ by more than b (triangle inequality;
+these distances are independent of each other for unrelated texts), and survivors are verified bit by bit. A bucket above `bucket_rows` isn't
+compared: its members move on to finer buckets, whose keys also hold the next part of the coordinates that are still free
+- by the same argument no link is lost. After `LEVELS` levels, what is still too large (a dense group of near copies) is dealt out: its
+members fall into blocks by a hash, and each pair of blocks is a bucket. No stage emits the pairs of a group: a bucket
+gives one edge for each member that has a link there, to its local root.
+
+Defined cases: a null or empty text has fingerprint zero and links like any other; very long texts count whole; a null doc_id
+takes part in linking, but component_id is the smallest doc_id that isn't null (null if there is none); ties can't be, as a
+component's smallest id is one; repeated rows give repeated rows; extra columns, with whatever names, are ignored; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -29,16 +31,21 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import arrow_map, as_bytes, discard, free_name, with_column, written
 
 SEED = 42
 SHINGLE_WORDS = 3
 MAX_BITS = 2
-PAIRS = 32
-LEVELS = 6
+BITS = 64
+LEVELS = 3
 BUCKET_ROWS = 1024
-PIVOTS = np.array([0, *(3 << (2 * j) for j in range(PAIRS))], dtype=np.uint64)
+UNITS = np.array([0, *(1 << j for j in range(BITS))], dtype=np.uint64)
+#: Rows of the Walsh matrix: bit i of row j is the parity of i & j.
+WALSH = np.array([sum(((i & j).bit_count() & 1) << i for i in range(BITS)) for j in range(1, 17)], dtype=np.uint64)
+#: Pairs that are tried at a time.
+TILE = 1 << 17
 
 
 def digests(text: bytes | None, words: int, seed: int = SEED) -> bytes:
@@ -82,27 +89,26 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 # ---- candidate buckets from the pivot table ---------------------------------------------------------------------
 
 
-def pivot_distances(fp: np.ndarray) -> np.ndarray:
+def pivot_distances(fp: np.ndarray, pivots: np.ndarray = UNITS) -> np.ndarray:
     """A row for each fingerprint, its Hamming distance to every pivot."""
-    return np.bitwise_count(fp.view(np.uint64)[:, None] ^ PIVOTS[None, :]).astype(np.int8)
+    return np.bitwise_count(fp.view(np.uint64)[:, None] ^ pivots[None, :]).astype(np.int8)
 
 
 def coordinates(dist: np.ndarray) -> np.ndarray:
-    return (dist[:, :1] + 2 - dist[:, 1:]) // 2
+    """From the distances to UNITS."""
+    return (dist[:, :1] + 1 - dist[:, 1:]) // 2
 
 
 @lru_cache(maxsize=None)
-def parts(path: int) -> tuple[tuple[int, ...], ...]:
-    """The three parts of the coordinates that are free after a path: base-3 digits 1..3 from the lowest, first choice first."""
-    free = list(range(PAIRS))
-    digits = []
+def parts(path: int, ways: int = MAX_BITS + 1) -> tuple[tuple[int, ...], ...]:
+    """The parts of the coordinates that are free after a path: digits 1 to ways to the base ways + 1 from the lowest, first choice
+    first."""
+    free = list(range(BITS))
     while path:
-        digits.append(path % 4)
-        path //= 4
-    for d in digits:
-        gone = set(free[d - 1 :: 3])
+        path, d = divmod(path, ways + 1)
+        gone = set(free[d - 1 :: ways])
         free = [c for c in free if c not in gone]
-    return tuple(tuple(free[i::3]) for i in range(3))
+    return tuple(tuple(free[i::ways]) for i in range(ways))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -113,7 +119,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def bucket_keys(fp: np.ndarray, path: np.ndarray, key: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def bucket_keys(fp: np.ndarray, path: np.ndarray, key: np.ndarray, level: int, ways: int = MAX_BITS + 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each member its buckets one level down: (index of the member, path, key). Different buckets that collide in
     a key only cost comparisons."""
     coords = coordinates(pivot_distances(fp)).astype(np.uint64)
@@ -121,14 +127,12 @@ def bucket_keys(fp: np.ndarray, path: np.ndarray, key: np.ndarray, level: int) -
     with np.errstate(over="ignore"):
         for p in np.unique(path):
             at = np.flatnonzero(path == p)
-            for i, part in enumerate(parts(int(p))):
-                if not part:
-                    continue
+            for i, part in enumerate(parts(int(p), ways)):
                 value = np.zeros(len(at), np.uint64)
                 for c in part:
-                    value = value * np.uint64(3) + coords[at, c]
+                    value = value * np.uint64(2) + coords[at, c]
                 index.append(at)
-                paths.append(np.full(len(at), int(p) + (i + 1) * 4**level, np.int64))
+                paths.append(np.full(len(at), int(p) + (i + 1) * (ways + 1) ** level, np.int64))
                 keys.append(_mix(_mix(key[at].view(np.uint64) + np.uint64(i + 1)) + value).view(np.int64))
     if not index:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -146,29 +150,63 @@ def _members(df: DataFrame, level: int) -> DataFrame:
     return arrow_map(df, run, "fp long, path long, key long")
 
 
-def linked_in(key: np.ndarray, fp: np.ndarray, max_bits: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray]:
-    """(fingerprint, root) for each row that has a link in its bucket; rows come sorted by key. The pivot table discards
-    pairs; the rest are verified."""
-    n = len(fp)
-    table = pivot_distances(fp)
-    root = np.arange(n)
-    left, right = [], []
-    at, shift = np.arange(n - 1), 1
-    while len(at := at[at + shift < n]) and len(at := at[key[at] == key[at + shift]]):
+def dealt(members: DataFrame, hot: DataFrame, bucket_rows: int, by: str) -> DataFrame:
+    """members, with a bucket of its own for each pair of blocks where a key is hot (key, count); blocks are dealt by a hash of
+    the column by."""
+    blocks = F.ceil(F.col("count") / bucket_rows).cast("int")
+    pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.xxhash64("key", F.least("block", o), F.greatest("block", o))))
+    over = members.join(hot.select("key", blocks.alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64(F.lit("block"), by), F.col("blocks")).cast("int"))
+    over = over.select(pair.alias("dealt"), *members.columns).drop("key").withColumnRenamed("dealt", "key")
+    return members.join(hot, "key", "left_anti").unionByName(over)
+
+
+def close_pairs(key: np.ndarray, fp: np.ndarray, max_bits: int = MAX_BITS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one bucket that differ in max_bits at most; rows come sorted by key. The pivot table discards pairs, the
+    rest are verified."""
+    bits = fp.view(np.uint64)
+    table = pivot_distances(fp, WALSH).astype(np.uint8)
+    columns, lifted = table.T.copy(), (table + np.uint8(max_bits)).T.copy()
+
+    def verified(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        good = np.bitwise_count(bits[a] ^ bits[b]) <= max_bits
+        return a[good], b[good]
+
+    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(starts, len(key)))
+    large = sizes > 64
+    at, shift = np.flatnonzero(np.repeat(~large, sizes)), 1
+    while len(at := at[at + shift < len(key)]) and len(at := at[key[at] == key[at + shift]]):
         kept = at
-        for j in range(0, table.shape[1], 11):  # a few pivots at a time: most pairs go with the first
-            kept = kept[np.abs(table[kept, j : j + 11] - table[kept + shift, j : j + 11]).max(axis=1) <= max_bits]
-            if not len(kept):
-                break
-        if len(kept):
-            kept = kept[np.bitwise_count(fp[kept].view(np.uint64) ^ fp[kept + shift].view(np.uint64)) <= max_bits]
-            kept = kept[fp[kept] != fp[kept + shift]]
-            left.append(kept)
-            right.append(kept + shift)
+        for j in range(len(WALSH)):  # most pairs go with the first pivots
+            kept = kept[(lifted[j, kept] - columns[j, kept + shift]) <= 2 * max_bits]
+        yield verified(kept, kept + shift)
         shift += 1
-    if not left:
+    difference, good, every = np.empty(TILE, np.uint8), np.empty(TILE, bool), np.empty(TILE, bool)
+    for start, size in zip(starts[large], sizes[large], strict=True):
+        end = start + size
+        for c in range(start, end, 1 << 12):  # tiles that stay in the processor's cache
+            width = min(1 << 12, end - c)
+            height = TILE // width
+            for a in range(start, c + width, height):
+                rows = min(height, c + width - a)
+                d, g, e = (x[: rows * width].reshape(rows, width) for x in (difference, good, every))
+                np.less(np.arange(a, a + rows)[:, None], np.arange(c, c + width)[None, :], out=e)
+                for j in range(len(WALSH)):
+                    np.subtract(lifted[j, a : a + rows, None], columns[j, None, c : c + width], out=d)
+                    np.less_equal(d, np.uint8(2 * max_bits), out=g)
+                    np.logical_and(e, g, out=e)
+                found = np.flatnonzero(e)
+                if len(found):
+                    yield verified(found // width + a, found % width + c)
+
+
+def linked_in(key: np.ndarray, fp: np.ndarray, max_bits: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray]:
+    """(fingerprint, root) for each row that has a link in its bucket; rows come sorted by key."""
+    root = np.arange(len(fp))
+    found = [(a[differ], b[differ]) for a, b in close_pairs(key, fp, max_bits) for differ in [fp[a] != fp[b]]]
+    if not found:
         return fp[:0], fp[:0]
-    a, b = np.concatenate(left), np.concatenate(right)
+    a, b = (np.concatenate(x) for x in zip(*found, strict=True))
     while True:  # the least row of each local component
         low = np.minimum(root[a], root[b])
         was = root.copy()
@@ -202,8 +240,7 @@ def _edges(members: DataFrame) -> DataFrame:
         if len(key):
             yield out(key, fp)
 
-    dealt = members.select("key", "fp").repartition("key").sortWithinPartitions("key", "fp")
-    return dealt.mapInArrow(run, "u long, v long")
+    return members.select("key", "fp").repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "u long, v long")
 
 
 def link_edges(distinct_fps: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -212,12 +249,12 @@ def link_edges(distinct_fps: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataF
     level_in = distinct_fps.select("fp")
     for level in range(LEVELS):
         members = _members(level_in, level)
+        hot = written(members.groupBy("key").count().where(F.col("count") > bucket_rows), "simhash-hot")
+        any_hot = bool(hot.take(1))
         last = level == LEVELS - 1
-        hot = None if last else written(members.groupBy("key").count().where(F.col("count") > bucket_rows).select("key"), "simhash-hot")
-        any_hot = hot is not None and bool(hot.take(1))
-        found = _edges(members.join(hot, "key", "left_anti") if any_hot else members)
+        found = _edges(dealt(members, hot, bucket_rows, "fp") if any_hot and last else members.join(hot, "key", "left_anti") if any_hot else members)
         edges = found if edges is None else edges.unionByName(found)
-        if not any_hot:
+        if not any_hot or last:
             break
         level_in = written(members.join(hot, "key", "left_semi").select("fp", "path", "key"), "simhash-level")
     return edges.distinct()
@@ -273,21 +310,40 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """docs, all columns, with one row of each component: the one with the smallest id (a row without an id only where no
-    other is there); of rows that share that id and fingerprint any one."""
+    other is there); of rows that share that id and fingerprint the least by their other columns."""
     fps = written(fingerprints(docs, id_col, text_col), "simhash-fp")
     return first_of_each(docs, fps, _rooted(fps, bucket_rows), _fp_array, id_col, text_col)
 
 
+def _orderable(t: T.DataType) -> bool:
+    if isinstance(t, T.ArrayType):
+        return _orderable(t.elementType)
+    if isinstance(t, T.StructType):
+        return all(_orderable(f.dataType) for f in t.fields)
+    return not isinstance(t, (T.MapType, T.VariantType))
+
+
 def first_of_each(docs: DataFrame, fps: DataFrame, rooted: DataFrame, of_texts: Callable[[pa.Array], pa.Array], id_col: str, text_col: str) -> DataFrame:
-    """keep_first for fingerprints (doc_id, fp) that of_texts makes, and their components (fp, first, root)."""
+    """keep_first for fingerprints (doc_id, fp) that of_texts makes, and their components (fp, first, root).
+
+    Rows are told apart by their ids; only those whose id occurs more than once are fingerprinted again and shuffled. The ids
+    that go are joined by broadcast while they are small."""
     best = rooted.groupBy("root").agg(F.min(F.struct(F.col("first").isNull(), "first", "fp")).alias("b"))
     kept = written(best.select(F.col("b.first").alias("keep_id"), F.col("b.fp").alias("keep_fp")), "simhash-kept")
-    fp = free_name(docs, "fp")
-    marked = with_column(docs, [text_col], of_texts, fp, "bigint")
-    # The rows that go are few, mostly: joined with them, the texts needn't be shuffled.
-    gone = written(fps.join(kept, fps.doc_id.eqNullSafe(kept.keep_id) & (fps.fp == kept.keep_fp), "left_anti").select(F.col("doc_id").alias("gone_id"), F.col("fp").alias("gone_fp")).distinct(), "simhash-gone")
-    out = marked.join(gone, marked[id_col].cast("long").eqNullSafe(gone.gone_id) & (marked[fp] == gone.gone_fp), "left_anti")
-    repeated = fps.join(kept, fps.doc_id.eqNullSafe(kept.keep_id) & (fps.fp == kept.keep_fp), "left_semi").groupBy("doc_id", "fp").count().where("count > 1")
-    if repeated.take(1):
-        out = out.dropDuplicates([id_col, fp])
-    return out.drop(fp)
+    ids = fps.groupBy("doc_id").agg(F.count("*").alias("rows"), F.min("fp").alias("fp"))
+    stays = ids.doc_id.eqNullSafe(kept.keep_id) & (ids.fp == kept.keep_fp)
+    gone = ids.join(kept, stays & (F.col("rows") == 1), "left_anti").select(F.col("doc_id").alias("gone_id"), (F.col("rows") > 1).alias("again"))
+    gone = written(gone, "simhash-gone")
+    same = docs[id_col].cast("long").eqNullSafe(gone.gone_id)
+    out = docs.join(gone, same, "left_anti")
+    if not gone.where("again").take(1):
+        return out
+    again = gone.where("again")
+    rest = docs.join(again, docs[id_col].cast("long").eqNullSafe(again.gone_id), "left_semi")
+    key, fp, row = (free_name(docs, c) for c in ("key", "fp", "row"))
+    rest = with_column(rest, [text_col], of_texts, fp, "bigint").withColumn(key, F.col(f"`{id_col}`").cast("long"))
+    rest = rest.join(kept, rest[key].eqNullSafe(kept.keep_id) & (rest[fp] == kept.keep_fp), "left_semi")
+    columns = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]
+    order = [c for c, f in zip(columns, docs.schema.fields, strict=True) if _orderable(f.dataType)]
+    one = rest.groupBy(key, fp).agg(F.min_by(F.struct(*columns), F.struct(*order)).alias(row))
+    return out.union(one.select(*[F.col(f"{row}.c{i}").alias(c) for i, c in enumerate(docs.columns)]))
