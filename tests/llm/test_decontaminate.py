@@ -35,13 +35,14 @@ def made(seed):
     return items, docs
 
 
-@pytest.mark.parametrize("seed, block_words", [(0, 250_000), (1, 10), (2, 40)])
-def test_equals_brute_force(spark, seed, block_words):
+@pytest.mark.parametrize("seed, block_words, pass_words", [(0, 250_000, 10**9), (1, 10, 10**9), (2, 40, 10**9), (3, 40, 100)])
+def test_equals_brute_force(spark, seed, block_words, pass_words):
     items, docs = made(seed)
     docs = [d for d in docs if d[0] != 53]
     b = spark.createDataFrame(items, "item_id long, text string")
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("STATE", F.lit(1)).withColumn("contamination", F.lit("x"))
-    out, name = dc.with_contamination(df, b, block_words=block_words)
+    out, name = dc.with_contamination(df, b, block_words=block_words, pass_words=pass_words)
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
     assert out.columns == [*df.columns, name]
     got = sorted((r.doc_id if r.doc_id is not None else -1, *r[name]) for r in out.collect())
     assert got == sorted((i if i is not None else -1, *brute(t, items)) for i, t in docs)

@@ -72,14 +72,28 @@ def test_a_dense_group_gives_few_pairs(spark, monkeypatch):
     rows = [(i, " ".join(w if rng.random() > 0.003 else f"x{i}" for w in words)) for i in range(300)]
     sent = []
     linked = near_copies.Texts.linked
-    monkeypatch.setattr(near_copies.Texts, "linked", lambda self, pairs: sent.append(pairs.distinct().count()) or linked(self, pairs))
-    for bucket_rows in (2048, 50):
+    monkeypatch.setattr(near_copies.Texts, "linked", staticmethod(lambda pairs, sets: sent.append(pairs.distinct().count()) or linked(pairs, sets)))
+    for bucket_rows in (4096, 50):
         sent.clear()
         kept = near_copies.keep_first(spark.createDataFrame(rows, DOCS), bucket_rows=bucket_rows)
         assert sorted(r.doc_id for r in kept.collect()) == brute_kept(rows, 8)
         assert sum(sent) < 6 * len(rows)
 
 
+def test_neighbours_of_large_buckets():
+    rng = np.random.default_rng(1)
+    key = np.repeat(np.arange(4), [3, 700, 20, 900])
+    fp = rng.integers(-(2**63), 2**63 - 1, len(key))
+    for i in range(100, 600):  # a dense group in a large bucket, and scattered pairs
+        fp[i] = fp[99] ^ (1 << int(rng.integers(0, 63)))
+    for i in rng.integers(724, 1600, 60):
+        fp[i] = fp[rng.integers(723, 1600)] ^ 5
+    got = near_copies.with_neighbour(key, fp, 8)
+    u = fp.view(np.uint64)
+    want = [((np.bitwise_count(u ^ u[i]) <= 8) & (key == key[i])).sum() > 1 for i in range(len(key))]
+    assert got.tolist() == want
+
+
 def test_keys_lengthen_with_the_table():
     assert near_copies.levels(1) == near_copies.levels(200_000) == 1 and near_copies.levels(10_000_000) == 2
     assert 3 <= near_copies.levels(10**9) <= 4 and near_copies.levels(10**18) < 20

@@ -95,6 +95,20 @@ def hash_sample(df: DataFrame, key: list[str], bound: int) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(*key), F.lit(steps)) < math.floor(bound / n * steps))
 
 
+def one_label(labels: DataFrame, column: str, name: str) -> DataFrame:
+    """id, name (0 or 1): the label of each doc_id, once. Ids with both labels, or none, aren't in it."""
+    known = labels.select(F.col("doc_id").alias("id"), (F.col(column) > 0).cast("long").alias("y")).dropna()
+    return known.groupBy("id").agg(F.min("y").alias(name), F.max("y").alias("_most")).where(F.col(name) == F.col("_most")).drop("_most")
+
+
+def one_document(docs: DataFrame, sample: DataFrame) -> DataFrame:
+    """docs joined with a bounded sample by id, one row an id: where several documents share it, the one with the least hash of its
+    columns (the least row, where these are equal)."""
+    rest = [c for c in docs.columns if c != "id"]
+    found = docs.join(F.broadcast(sample), "id").groupBy(*sample.columns).agg(F.min(F.struct(F.xxhash64(*rest).alias("_h"), *rest)).alias("_row"))
+    return found.select(*sample.columns, *(F.col(f"_row.{c}").alias(c) for c in rest))
+
+
 def as_bytes(col: pa.Array) -> list[bytes | None]:
     """UTF-8 bytes of a string column, without decoding."""
     return col.cast(pa.large_binary() if pa.types.is_large_string(col.type) else pa.binary()).to_pylist()

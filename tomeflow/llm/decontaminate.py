@@ -3,32 +3,40 @@
 A text's symbols are its words. The patterns are the benchmark's windows: every 13 consecutive words of an item, or the
 whole item where it has fewer. For patterns of at least m words, blocks of B = min(2, m) words end at text position i: the
 shift table says how far the next place is at which a block of a pattern could end, m - B + 1 for a block of no pattern,
-so most of a text is never looked at. Where the shift is zero, the block's hash bucket holds the lengths of the patterns
-whose first m words end so, and the text's words are compared with them directly. Patterns are searched in a few groups of
+so most of a text is never looked at. Where the shift is zero, the block's bucket holds, by their first block, the patterns whose
+first m words end so, and the text is compared with each of these word by word. Patterns are searched in a few groups of
 similar length, so that a short item doesn't shorten the shifts of the long ones.
 
-The benchmark may have any size: it is cut into blocks of `block_words` words, one broadcast each, and every block is
-one more pass of the same stage over the texts.
+The benchmark is cut into blocks of `block_words` words, one broadcast each, and all of them are searched in one pass over the
+texts, block after block: a worker holds the tables of `KEPT` blocks at most, and with more blocks it takes texts of
+`BUFFER_BYTES` at a time, so that tables serve many texts before others take their place. A benchmark above `PASS_WORDS` words,
+which no usual one has, takes a written pass for each part of that size, so that no more is broadcast at once.
 
 Defined cases: null and empty texts have no words; null or empty items have no window; an item without an id counts
-under the empty id; repeated rows of the benchmark count once an id, repeated documents give repeated rows; extra columns
-pass unchanged.
+under the empty id; very long texts are searched whole; patterns that overlap or are equal all count; repeated rows of the
+benchmark count once an id, repeated documents give repeated rows; empty tables give no rows, or no hits; extra columns
+pass unchanged, and where a name clashes the new one has underscores before it.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import as_bytes, free_name, with_column
+from .common import as_bytes, free_name, slices, written
 
 WINDOW = 13
 BLOCK_WORDS = 250_000
+PASS_WORDS = 32_000_000
+KEPT = 2
+BUFFER_BYTES = 16 << 20
 #: Least number of words of the groups in which patterns are searched.
 GROUPS = (WINDOW, 6, 2, 1)
 #: Words are runs of 0-9, a-z and everything beyond ASCII, after A-Z are lower-cased.
@@ -46,31 +54,30 @@ class WuManber:
     """Patterns of m words or more."""
 
     def __init__(self, patterns: dict[tuple[bytes, ...], set[str]]):
-        self.patterns = patterns
         self.m = min(map(len, patterns))
         self.b = min(2, self.m)
         self.jump = self.m - self.b + 1
         self.shift: dict[tuple[bytes, ...], int] = {}
-        lengths: dict[tuple[bytes, ...], set[int]] = {}
-        for p in patterns:
+        #: By the last and the first block of the first m words: (pattern, items that have it).
+        self.bucket: dict[tuple[bytes, ...], dict[tuple[bytes, ...], list[tuple[list[bytes], tuple[str, ...]]]]] = {}
+        for p, items in patterns.items():
             for end in range(self.b, self.m + 1):
                 block = p[end - self.b : end]
                 self.shift[block] = min(self.shift.get(block, self.jump), self.m - end)
-            lengths.setdefault(p[self.m - self.b : self.m], set()).add(len(p))
-        self.bucket = {k: sorted(v) for k, v in lengths.items()}
+            self.bucket.setdefault(p[self.m - self.b : self.m], {}).setdefault(p[: self.b], []).append((list(p), tuple(items)))
 
-    def search(self, w: list[bytes]) -> Iterator[tuple[int, tuple[bytes, ...]]]:
-        """(start, pattern) of every occurrence."""
+    def search(self, w: list[bytes]) -> Iterator[tuple[int, int, tuple[str, ...]]]:
+        """(start, length, items) of every occurrence."""
         i, n, b, m, jump, shift = self.m, len(w), self.b, self.m, self.jump, self.shift.get
         while i <= n:
             block = (w[i - 2], w[i - 1]) if b == 2 else (w[i - 1],)
             if s := shift(block, jump):
                 i += s
                 continue
-            for length in self.bucket[block]:
-                p = tuple(w[i - m : i - m + length])
-                if len(p) == length and p in self.patterns:
-                    yield i - m, p
+            at = i - m
+            for p, items in self.bucket[block].get(tuple(w[at : at + b]), ()):
+                if w[at : at + len(p)] == p:
+                    yield at, len(p), items
             i += 1
 
 
@@ -84,67 +91,102 @@ def compile_block(items: list[tuple[str, list[bytes]]], window: int = WINDOW) ->
     return [WuManber(p) for _, p in sorted(groups.items())]
 
 
-def blocks_of(benchmark: DataFrame, id_col: str, text_col: str, block_words: int) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """The items with words, a block at a time; no more than one block is on the driver at once."""
+def blocks_of(benchmark: DataFrame, id_col: str, text_col: str, block_words: int) -> Iterator[tuple[int, list[tuple[str, bytes]]]]:
+    """(words, items with words) of a block at a time; no more than one block is on the driver at once."""
     block, n = [], 0
     for r in benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("i"), F.col(text_col).alias("t")).toLocalIterator():
-        if w := words_of(r.t.encode() if r.t else None):
-            block.append((r.i, w))
-            n += len(w)
+        t = r.t.encode() if r.t else b""
+        if k := len(words_of(t)):
+            block.append((r.i, t))
+            n += k
             if n >= block_words:
-                yield block
+                yield n, block
                 block, n = [], 0
     if block:
-        yield block
+        yield n, block
 
 
 def scan(searchers: list[WuManber], w: list[bytes], mark: bytearray | None, items: set[str]) -> bytearray | None:
     """Adds what occurs in w to mark (a byte for each word) and items."""
     for s in searchers:
-        for at, p in s.search(w):
+        for at, n, found in s.search(w):
             mark = bytearray(len(w)) if mark is None else mark
-            mark[at : at + len(p)] = b"\1" * len(p)
-            items |= s.patterns[p]
+            mark[at : at + n] = b"\1" * n
+            items.update(found)
     return mark
 
 
-def _pass(broadcast, last: bool) -> Callable[..., pa.Array]:
-    """What one block of the benchmark adds to the state; the last one gives the digest instead, so that a stage has no Python
-    worker more than blocks."""
+#: By the broadcast's identity, the tables of the last few blocks.
+_cache: dict[int, list[WuManber]] = {}
 
-    def run(texts: pa.Array, state: pa.Array | None = None) -> pa.Array:
-        searchers = _compiled(broadcast) if broadcast is not None else []
-        before = state.to_pylist() if state is not None else [None] * len(texts)
-        out = []
-        for t, b in zip(as_bytes(texts), before, strict=True):
-            w = words_of(t)
-            items = set(b["items"]) if b else set()
-            mark = scan(searchers, w, bytearray(b["mark"]) if b and b["mark"] else None, items)
-            out.append((len(w), bytes(mark) if mark is not None else None, sorted(items)))
-        if last:
-            return _digest(out)
-        kinds = [("n_words", pa.int64()), ("mark", pa.binary()), ("items", pa.list_(pa.string()))]
-        return _struct(out, kinds)
 
-    return run
+def _compiled(broadcast) -> list[WuManber]:
+    """The tables of a broadcast block, built in each Python worker."""
+    if broadcast.id not in _cache:
+        while len(_cache) >= KEPT:
+            del _cache[next(iter(_cache))]
+        block = broadcast.value
+        _cache[broadcast.id] = compile_block([(i, words_of(t)) for i, t in block])
+        vars(broadcast.broadcast).pop("_value", None)  # the texts aren't needed any more
+    return _cache[broadcast.id]
 
 
-def _struct(rows: list[tuple], kinds: list[tuple[str, pa.DataType]]) -> pa.Array:
-    return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], k) for i, (_, k) in enumerate(kinds)], [n for n, _ in kinds])
+class _Block:
+    """A broadcast with a name of its own: identities of objects in a worker may be used again."""
 
+    def __init__(self, broadcast):
+        self.id, self.broadcast = uuid.uuid4().hex, broadcast
 
-#: By the block's identity; the block is kept beside its tables, so that no other object gets its identity meanwhile.
-_cache: dict[int, tuple[list, list[WuManber]]] = {}
+    @property
+    def value(self):
+        return self.broadcast.value
 
 
-def _compiled(broadcast) -> list[WuManber]:
-    """The tables of a broadcast block, built once in each Python worker; the last few blocks are kept."""
-    block = broadcast.value
-    if id(block) not in _cache:
-        while len(_cache) > 3:
-            del _cache[next(iter(_cache))]
-        _cache[id(block)] = (block, compile_block(block))
-    return _cache[id(block)][1]
+def _searched(blocks: list, texts: list[bytes | None], states: list[dict | None]) -> list[tuple[int, bytes | None, list[str]]]:
+    """(words, mark, items) of each text after all blocks."""
+    marks = [bytearray(s["mark"]) if s and s["mark"] else None for s in states]
+    items = [set(s["items"]) if s else set() for s in states]
+    n = [0] * len(texts)
+    for k in range(0, max(1, len(blocks)), KEPT):
+        tables = [s for b in blocks[k : k + KEPT] for s in _compiled(b)]
+        for i, t in enumerate(texts):
+            w = words_of(t)
+            n[i] = len(w)
+            marks[i] = scan(tables, w, marks[i], items[i])
+    return [(k, bytes(m) if m is not None else None, sorted(x)) for k, m, x in zip(n, marks, items, strict=True)]
+
+
+def _pass(df: DataFrame, text_col: str, state: str | None, blocks: list, last: bool, name: str) -> DataFrame:
+    """df with a column for what the blocks add to the state; the last pass gives the digest."""
+    schema = T.StructType([*df.schema.fields, T.StructField(name, T._parse_datatype_string(DIGEST if last else STATE))])
+    at, before, names = df.columns.index(text_col), df.columns.index(state) if state else None, [*df.columns, name]
+
+    def one(b: pa.RecordBatch) -> pa.RecordBatch:
+        states = b.column(before).to_pylist() if before is not None else [None] * b.num_rows
+        out = _searched(blocks, as_bytes(b.column(at)), states)
+        column = _digest(out) if last else _struct(out, [("n_words", pa.int64()), ("mark", pa.binary()), ("items", pa.list_(pa.string()))])
+        return pa.RecordBatch.from_arrays([*b.columns, column], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if len(blocks) <= KEPT:
+            for b in batches:
+                yield from map(one, slices(b))
+        else:
+            held: list[pa.RecordBatch] = []
+            for b in batches:
+                held.append(b)
+                if sum(x.nbytes for x in held) >= BUFFER_BYTES:
+                    yield one(pa.concat_batches(held))
+                    held = []
+            if held:
+                yield one(pa.concat_batches(held))
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(run, schema)
+
+
+def _struct(rows: list[tuple], kinds: list[tuple[str, pa.DataType]]) -> pa.Array:
+    return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], k) for i, (_, k) in enumerate(kinds)], [n for n, _ in kinds])
 
 
 def _digest(states: list[tuple[int, bytes | None, list[str]]]) -> pa.Array:
@@ -156,18 +198,24 @@ def _digest(states: list[tuple[int, bytes | None, list[str]]]) -> pa.Array:
     return _struct(out, [("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_())])
 
 
-def with_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", block_words: int = BLOCK_WORDS, name: str = "contamination") -> tuple[DataFrame, str]:
+def with_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", block_words: int = BLOCK_WORDS, name: str = "contamination", pass_words: int = PASS_WORDS) -> tuple[DataFrame, str]:
     """docs with a struct n_words, n_hit, n_items, items_sha256, contaminated; the column's name is returned too."""
     spark, df, state = docs.sparkSession, docs, None
-    blocks = [spark.sparkContext.broadcast(b) for b in blocks_of(benchmark, item_id_col, item_text_col, block_words)]
     name = free_name(docs, name)
-    for k, b in enumerate(blocks or [None], 1):
-        last = k >= len(blocks)
-        n = name if last else free_name(df, "state")
-        nxt = with_column(df, [text_col, *([state] if state else [])], _pass(b, last), n, DIGEST if last else STATE)
-        df = nxt.drop(state) if state else nxt
-        state = n
-    return df, name
+    some: list[_Block] = []
+    words = 0
+    for n, block in blocks_of(benchmark, item_id_col, item_text_col, block_words):
+        if some and words + n > pass_words:
+            column = free_name(df, "state")
+            out = written(_pass(df, text_col, state, some, False, column), "decontaminate")
+            df = out.drop(state) if state else out
+            for b in some:
+                b.broadcast.destroy()
+            state, some, words = column, [], 0
+        some.append(_Block(spark.sparkContext.broadcast(block)))
+        words += n
+    df = _pass(df, text_col, state, some, True, name)
+    return (df.drop(state) if state else df), name
 
 
 def oracle_sql() -> str:

@@ -7,10 +7,11 @@ shingles' SimHash. Texts that are equal but for letter case and white space are
 
 The search is the one of `simhash` with parts for `MAX_BITS` + 1: of so many parts of the pivot coordinates one agrees, nodes
 meet in a bucket for each, the pivot tables discard, and the bits decide. With more nodes a bucket's key holds more parts,
-one after the other (`levels`). A bucket above `BUCKET_ROWS` is first tried with its least and greatest node only, which makes
-a dense group of copies one component; then it is dealt into pairs of blocks. A bucket gives one pair for each
-node, with the least node that it is close to; these are verified, and only close pairs that then still are in different
-components follow. No step drops a pair that links.
+one after the other (`levels`); a bucket above `BUCKET_ROWS` is dealt into pairs of blocks. The search tells which nodes are close to
+any other; only these are cut into shingles. In their buckets each is then paired with the least node that it may link to by bits,
+sizes and sketches; these pairs are verified, and only possible pairs that then still are in different components follow. So
+a bucket gives rows in proportion to its members, no step drops a pair that links, and a dense group of copies, which
+soon is one component, isn't compared pair by pair.
 
 Defined cases: a text of one to four words is one shingle; null and empty texts have the empty set and are one group; very long
 texts count whole; of a component's rows the one with the smallest id stays; a null id only where there is no other; repeated
@@ -27,13 +28,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, as_bytes, discard, written
-from .simhash import BITS, _majority, bucket_keys, close_pairs, components, dealt, digests, first_of_each
+from .common import arrow_map, as_bytes, written
+from .simhash import BITS, Pivots, _majority, bucket_keys, buckets_of, components, dealt, digests, first_of_each, small_pairs
 
 SHINGLE_WORDS = 5
 MAX_BITS = 8
 BUCKET_ROWS = 4096
-SKETCH_BITS = 4096
+SKETCH_BITS = 2048
 #: Hashes of so many different words are kept in a Python worker.
 KEPT_WORDS = 1 << 18
 
@@ -114,8 +115,8 @@ def _keyed(nodes: DataFrame, level: int, max_bits: int) -> DataFrame:
     return arrow_map(nodes.select("fp", "name"), run, "key long, fp long, name long")
 
 
-def _buckets(df: DataFrame, fn: Callable[[pa.Table], Iterator[pa.Table]], schema: str) -> DataFrame:
-    """fn over whole buckets, sorted by key (the first column) and name; one that an Arrow batch cuts is carried into the next."""
+def _buckets(df: DataFrame, fn: Callable[[pa.Table], Iterator[pa.Table]], schema: str, then: str = "name") -> DataFrame:
+    """fn over whole buckets, sorted by key (the first column); one that an Arrow batch cuts is carried into the next."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -141,39 +142,88 @@ def _buckets(df: DataFrame, fn: Callable[[pa.Table], Iterator[pa.Table]], schema
         if held:
             yield from out()
 
-    return df.repartition("key").sortWithinPartitions("key", "name").mapInArrow(run, schema)
+    return df.repartition("key").sortWithinPartitions("key", then, "name").mapInArrow(run, schema)
+
+
+def with_neighbour(key: np.ndarray, fp: np.ndarray, max_bits: int) -> np.ndarray:
+    """Whether each row is close to another one of its bucket. Pairs of rows that both are known to be aren't looked at."""
+    pivots, found = Pivots(fp, max_bits), np.zeros(len(key), bool)
+    small, large = buckets_of(key)
+    for a, b in small_pairs(key, small, pivots):
+        found[a] = found[b] = True
+    for bucket in large:
+        for start in range(bucket.start, bucket.stop, 256):
+            rows, cols = np.arange(start, min(start + 256, bucket.stop)), np.arange(start, bucket.stop)
+            was = found[rows]
+            for some, others in ((rows[~was], cols), (rows[was], cols[~found[cols]])):
+                for a, b in pivots.between(some, others):
+                    found[a] = found[b] = True
+    return found
+
+
+def _searched(max_bits: int) -> Callable[[pa.Table], Iterator[pa.Table]]:
+    def run(t: pa.Table) -> Iterator[pa.Table]:
+        key, fp = t.column("key").to_numpy(), t.column("fp").to_numpy()
+        yield t.filter(pa.array(with_neighbour(key, fp, max_bits)))
+
+    return run
 
 
-_FOUND = "kind int, u long, v long, fp long"
+class _Bucketed:
+    """Rows key, name, fp, n, sketch, sorted by key."""
 
+    def __init__(self, t: pa.Table, max_bits: int):
+        self.key, self.name, self.fp = (t.column(c).to_numpy() for c in ("key", "name", "fp"))
+        self.n = t.column("n").to_numpy().astype(np.int64)
+        self.bits = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(len(self.key), -1)
+        self.pivots = Pivots(self.fp, max_bits)
+        self.small, self.large = buckets_of(self.key)
 
-def _tried(max_bits: int, every: bool) -> Callable[[pa.Table], Iterator[pa.Table]]:
-    """Over rows key, name, fp, comp: pairs (kind 0, u, v) of close nodes in different components. Without `every` each node comes
-    with the least one that it is close to; both ends of what is left out come as (kind 1, key, name, fp)."""
+    def possible(self, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for a, b in pairs:
+            for i in range(0, len(a), 1 << 14):
+                x, y = a[i : i + (1 << 14)], b[i : i + (1 << 14)]
+                good = _possible(self.n, self.bits, x, y) & (self.name[x] != self.name[y])
+                yield x[good], y[good]
+
+
+def _with_least(max_bits: int) -> Callable[[pa.Table], Iterator[pa.Table]]:
+    """u, v: each node with the least one of its bucket that it may link to."""
 
     def run(t: pa.Table) -> Iterator[pa.Table]:
-        key, name, fp, comp = (t.column(c).to_numpy() for c in ("key", "name", "fp", "comp"))
-        least = np.full(len(key), len(key))
-        rest = np.zeros(len(key), bool)
-
-        def table(kind: int, u: np.ndarray, v: np.ndarray, f: np.ndarray) -> pa.Table:
-            return pa.table([pa.array(np.full(len(u), kind, np.int32)), pa.array(u), pa.array(v), pa.array(f)], ["kind", "u", "v", "fp"])
-
-        for a, b in close_pairs(key, fp, max_bits):
-            differ = (comp[a] != comp[b]) & (name[a] != name[b])
-            a, b = a[differ], b[differ]  # a is the lesser name, as rows are sorted
-            if every:
-                yield table(0, name[a], name[b], fp[a])
-                continue
-            before = least[b].copy()
-            np.minimum.at(least, b, a)
-            for x in (a[a > least[b]], before[(before < len(key)) & (before > least[b])]):
-                rest[x] = True
-            rest[b[(a > least[b]) | (before < len(key)) & (before != least[b])]] = True
-        if not every:
-            v = np.flatnonzero(least < len(key))
-            yield table(0, name[least[v]], name[v], fp[v])
-            yield table(1, key[rest], name[rest], fp[rest])
+        b = _Bucketed(t, max_bits)
+        least = np.full(len(b.key), len(b.key))
+        for u, v in b.possible(small_pairs(b.key, b.small, b.pivots)):
+            np.minimum.at(least, v, u)
+        for bucket in b.large:
+            for start in range(bucket.start, bucket.stop, 64):
+                left = np.arange(start, bucket.stop)
+                left = left[least[left] == len(b.key)]  # the others have theirs, among lesser names
+                for u, v in b.possible(b.pivots.between(np.arange(start, min(start + 64, bucket.stop)), left)):
+                    np.minimum.at(least, v, u)
+        v = np.flatnonzero(least < len(b.key))
+        yield pa.table([pa.array(b.name[least[v]]), pa.array(b.name[v])], ["u", "v"])
+
+    return run
+
+
+def _across(max_bits: int) -> Callable[[pa.Table], Iterator[pa.Table]]:
+    """u, v: all pairs of a bucket that may link and are in different components. Rows come sorted by key and component, so a
+    row's own component ends before the rows that it is compared with."""
+
+    def run(t: pa.Table) -> Iterator[pa.Table]:
+        b, comp = _Bucketed(t, max_bits), t.column("comp").to_numpy()
+
+        def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            yield from small_pairs(b.key, b.small, b.pivots)
+            for bucket in b.large:
+                for start in range(bucket.start, bucket.stop, 64):
+                    own = start + int(np.searchsorted(comp[start : bucket.stop], comp[start], side="right"))
+                    yield from b.pivots.between(np.arange(start, min(start + 64, bucket.stop)), np.arange(own, bucket.stop))
+
+        for u, v in b.possible((u[comp[u] != comp[v]], v[comp[u] != comp[v]]) for u, v in pairs()):
+            u, v = b.name[u], b.name[v]
+            yield pa.table([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
 
     return run
 
@@ -212,58 +262,35 @@ class Texts:
         out = arrow_map(src, run, "name long, n int, sketch binary, s binary")
         return written(out.join(wanted.select("name"), "name", "left_semi").dropDuplicates(["name"]), "near-sets")
 
-    def linked(self, pairs: DataFrame) -> DataFrame:
-        """The pairs u, v that link, as a written table."""
-        pairs = written(pairs.distinct(), "near-pairs")
-        sets = self.sets(pairs.select(F.col("u").alias("name")).union(pairs.select("v")).distinct())
-
-        def near(b: pa.RecordBatch) -> pa.RecordBatch:
-            k = b.num_rows
-            n = np.concatenate([b.column(2).to_numpy(), b.column(3).to_numpy()]).astype(np.int64)
-            bits = np.frombuffer(b"".join([*b.column(4).to_pylist(), *b.column(5).to_pylist()]), np.uint64).reshape(2 * k, -1)
-            return b.select(["u", "v"]).filter(pa.array(_possible(n, bits, np.arange(k), np.arange(k, 2 * k))))
+    @staticmethod
+    def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """Of the pairs u, v, whose sets are among sets, those that link, as a written table."""
 
         def same(b: pa.RecordBatch) -> pa.RecordBatch:
             x, y = ([np.frombuffer(s, np.uint64) for s in b.column(i).to_pylist()] for i in (2, 3))
             return b.select(["u", "v"]).filter(pa.array([linked(i, j) for i, j in zip(x, y, strict=True)], pa.bool_()))
 
-        def both(pairs: DataFrame, *columns: str) -> DataFrame:
-            side = lambda name, end: sets.select(F.col("name").alias(name), *(F.col(c).alias(c + end) for c in columns))
-            out = pairs.join(side("u", "1"), "u").join(side("v", "2"), "v")
-            return out.select("u", "v", *(c + end for c in columns for end in "12"))
-
-        # Sketches first: whole sets are costly to send.
-        pairs = written(arrow_map(both(pairs, "n", "sketch"), near, "u long, v long"), "near-sketched")
-        out = written(arrow_map(both(pairs, "s"), same, "u long, v long").distinct(), "near-edges")
-        discard(sets)
-        return out
+        side = lambda name: sets.select(F.col("name").alias(name), F.col("s").alias(f"s_{name}"))
+        pairs = written(pairs.distinct(), "near-pairs")
+        both = pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "s_u", "s_v")
+        return written(arrow_map(both, same, "u long, v long").distinct(), "near-edges")
 
 
 def links(nodes: DataFrame, n: int, texts: Texts, max_bits: int = MAX_BITS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Edges (u, v) between names whose components are those of the relation. nodes: name, fp; n: how many."""
     keyed = _keyed(nodes, levels(n, max_bits, bucket_rows), max_bits)
     hot = written(keyed.groupBy("key").count().where(F.col("count") > bucket_rows), "near-hot")
-    edges = None
-    with_comp = lambda d, roots: d.join(roots, d.name == roots.node, "left").select(*d.columns, F.coalesce("root", "name").alias("comp"))
-    members = keyed
-    if hot.take(1):
-        over = keyed.join(hot, "key", "left_semi")
-        ends = over.groupBy("key").agg(F.min(F.struct("name", "fp")).alias("a"), F.max(F.struct("name", "fp")).alias("b"))
-        ends = written(ends.select("key", F.explode(F.array("a", "b")).alias("end")), "near-ends")
-        pairs = over.join(ends, "key").where(F.bit_count(F.col("fp").bitwiseXOR(F.col("end.fp"))) <= max_bits).where("name <> end.name")
-        edges = texts.linked(pairs.select(F.least("name", "end.name").alias("u"), F.greatest("name", "end.name").alias("v")))
-        members = dealt(keyed, hot, bucket_rows, "name")
-    members = members.withColumn("comp", F.col("name")) if edges is None else with_comp(members, written(components(edges), "near-roots"))
-    found = written(_buckets(members.select("key", "name", "fp", "comp"), _tried(max_bits, False), _FOUND), "near-found")
-    tried = found.where("kind = 0").select("u", "v")
-    first = texts.linked(tried)
-    edges = first if edges is None else edges.unionByName(first)
-    rest = found.where("kind = 1").select(F.col("u").alias("key"), F.col("v").alias("name"), "fp")
-    if not rest.take(1):
-        return edges
-    rest = with_comp(rest, written(components(edges), "near-roots"))
-    more = _buckets(rest.select("key", "name", "fp", "comp"), _tried(max_bits, True), _FOUND).select("u", "v").distinct()
-    return edges.unionByName(texts.linked(more.join(tried.distinct(), ["u", "v"], "left_anti")))
+    members = dealt(keyed, hot, bucket_rows, "name") if hot.take(1) else keyed
+    close = written(_buckets(members.select("key", "name", "fp"), _searched(max_bits), "key long, name long, fp long"), "near-close")
+    sets = texts.sets(close.select("name").distinct())
+    known = written(close.join(sets.select("name", "n", "sketch"), "name").select("key", "name", "fp", "n", "sketch"), "near-known")
+    tried = written(_buckets(known, _with_least(max_bits), "u long, v long").distinct(), "near-tried")
+    edges = texts.linked(tried, sets)
+    roots = written(components(edges), "near-roots")
+    comps = known.join(roots, known.name == roots.node, "left").select("key", F.coalesce("root", "name").alias("comp"), "name", "fp", "n", "sketch")
+    mixed = comps.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("key")
+    more = _buckets(comps.join(mixed, "key", "left_semi"), _across(max_bits), "u long, v long", "comp").distinct()
+    return edges.unionByName(texts.linked(more.join(tried, ["u", "v"], "left_anti"), sets))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:

@@ -27,9 +27,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, hash_sample
+from .common import arrow_map, hash_sample, one_document, one_label
 
 SAMPLE_ROWS = 20_000
+POOL_ROWS = 20_000
 ROUNDS = 5
 #: Pseudo-labels that a view gives in a round, and the least probability of each.
 PER_ROUND, SURE = 500, 0.95
@@ -200,13 +201,12 @@ def _numbers(df: DataFrame) -> DataFrame:
     return arrow_map(df, run, _ROW)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
-    known = labels.select(F.col("doc_id").alias("id"), (F.col("quality") > 0).cast("long").alias("y")).dropna()
-    sample = F.broadcast(hash_sample(known.distinct(), ["id"], sample_rows))
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, pool_rows: int = POOL_ROWS) -> Model:
+    sample = hash_sample(one_label(labels, "quality", "y"), ["id"], sample_rows)
     parts = docs.select(F.col("doc_id").alias("id"), "text", "source", "lang", F.col("n_chars").cast("long").alias("n_chars"))
     order = ["y", "text", "source", "lang", "n_chars"]
-    labelled = sorted((tuple(r.t), tuple(r.p), r.y) for r in _numbers(parts.join(sample, "id").select(order)).distinct().collect())
-    free = hash_sample(parts, ["id", "text", "source"], sample_rows).join(sample.select("id"), "id", "left_anti").withColumn("y", F.lit(0).cast("long"))
+    labelled = sorted((tuple(r.t), tuple(r.p), r.y) for r in _numbers(one_document(parts, sample).select(order)).distinct().collect())
+    free = hash_sample(parts, ["id", "text", "source"], pool_rows).join(F.broadcast(sample.select("id")), "id", "left_anti").withColumn("y", F.lit(0).cast("long"))
     pool = sorted((tuple(r.t), tuple(r.p)) for r in _numbers(free.select(order)).distinct().collect())
     # Order by a hash of the row, so that the held-out fifth is like the rest.
     labelled.sort(key=lambda r: xxhash.xxh64_intdigest(repr(r)))

@@ -160,44 +160,75 @@ def dealt(members: DataFrame, hot: DataFrame, bucket_rows: int, by: str) -> Data
     return members.join(hot, "key", "left_anti").unionByName(over)
 
 
-def close_pairs(key: np.ndarray, fp: np.ndarray, max_bits: int = MAX_BITS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows of one bucket that differ in max_bits at most; rows come sorted by key. The pivot table discards pairs, the
-    rest are verified."""
-    bits = fp.view(np.uint64)
-    table = pivot_distances(fp, WALSH).astype(np.uint8)
-    columns, lifted = table.T.copy(), (table + np.uint8(max_bits)).T.copy()
-
-    def verified(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        good = np.bitwise_count(bits[a] ^ bits[b]) <= max_bits
+class Pivots:
+    """The pivot table of some fingerprints, which discards pairs; those left are verified bit by bit."""
+
+    def __init__(self, fp: np.ndarray, max_bits: int):
+        table = pivot_distances(fp, WALSH).astype(np.uint8)
+        self.bits, self.max_bits = fp.view(np.uint64), max_bits
+        self.columns, self.lifted = table.T.copy(), (table + np.uint8(max_bits)).T.copy()
+
+    def verified(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        good = np.bitwise_count(self.bits[a] ^ self.bits[b]) <= self.max_bits
         return a[good], b[good]
 
-    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-    sizes = np.diff(np.append(starts, len(key)))
-    large = sizes > 64
-    at, shift = np.flatnonzero(np.repeat(~large, sizes)), 1
-    while len(at := at[at + shift < len(key)]) and len(at := at[key[at] == key[at + shift]]):
-        kept = at
+    def among(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the pairs a, b the close ones."""
         for j in range(len(WALSH)):  # most pairs go with the first pivots
-            kept = kept[(lifted[j, kept] - columns[j, kept + shift]) <= 2 * max_bits]
-        yield verified(kept, kept + shift)
-        shift += 1
-    difference, good, every = np.empty(TILE, np.uint8), np.empty(TILE, bool), np.empty(TILE, bool)
-    for start, size in zip(starts[large], sizes[large], strict=True):
-        end = start + size
-        for c in range(start, end, 1 << 12):  # tiles that stay in the processor's cache
-            width = min(1 << 12, end - c)
-            height = TILE // width
-            for a in range(start, c + width, height):
-                rows = min(height, c + width - a)
-                d, g, e = (x[: rows * width].reshape(rows, width) for x in (difference, good, every))
-                np.less(np.arange(a, a + rows)[:, None], np.arange(c, c + width)[None, :], out=e)
+            good = (self.lifted[j, a] - self.columns[j, b]) <= 2 * self.max_bits
+            a, b = a[good], b[good]
+        return self.verified(a, b)
+
+    def between(self, rows: np.ndarray, cols: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Close pairs of one of rows and a later one of cols; in the order of rows, some at a time."""
+        width = max(1, min(len(cols), 1 << 12))
+        height = TILE // width
+        difference, good, every = np.empty(TILE, np.uint8), np.empty(TILE, bool), np.empty(TILE, bool)
+        for r in range(0, len(rows), height):
+            some = rows[r : r + height]
+            lifted = self.lifted[:, some]
+            later = cols[np.searchsorted(cols, some[0], side="right") :]
+            for c in range(0, len(later), width):  # tiles that stay in the processor's cache
+                other = later[c : c + width]
+                columns = self.columns[:, other]
+                d, g, e = (x[: len(some) * len(other)].reshape(len(some), len(other)) for x in (difference, good, every))
+                np.less(some[:, None], other[None, :], out=e)
                 for j in range(len(WALSH)):
-                    np.subtract(lifted[j, a : a + rows, None], columns[j, None, c : c + width], out=d)
-                    np.less_equal(d, np.uint8(2 * max_bits), out=g)
+                    np.subtract(lifted[j, :, None], columns[j, None, :], out=d)
+                    np.less_equal(d, np.uint8(2 * self.max_bits), out=g)
                     np.logical_and(e, g, out=e)
                 found = np.flatnonzero(e)
                 if len(found):
-                    yield verified(found // width + a, found % width + c)
+                    yield self.verified(some[found // len(other)], other[found % len(other)])
+
+
+#: Buckets up to this size are compared all together, row by next row; larger ones by tiles.
+SMALL = 64
+
+
+def buckets_of(key: np.ndarray) -> tuple[np.ndarray, list[range]]:
+    """(rows of small buckets, the large buckets), of rows that come sorted by key."""
+    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(starts, len(key)))
+    large = sizes > SMALL
+    return np.flatnonzero(np.repeat(~large, sizes)), [range(a, a + n) for a, n in zip(starts[large], sizes[large], strict=True)]
+
+
+def small_pairs(key: np.ndarray, small: np.ndarray, pivots: Pivots) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    at, shift = small, 1
+    while len(at := at[at + shift < len(key)]) and len(at := at[key[at] == key[at + shift]]):
+        yield pivots.among(at, at + shift)
+        shift += 1
+
+
+def close_pairs(key: np.ndarray, fp: np.ndarray, max_bits: int = MAX_BITS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one bucket that differ in max_bits at most; rows come sorted by key."""
+    pivots = Pivots(fp, max_bits)
+    small, large = buckets_of(key)
+    yield from small_pairs(key, small, pivots)
+    for bucket in large:
+        every = np.arange(bucket.start, bucket.stop)
+        yield from pivots.between(every, every)
 
 
 def linked_in(key: np.ndarray, fp: np.ndarray, max_bits: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray]:
