@@ -38,6 +38,35 @@ def test_scan_equals_a_loop(spark, tmp_path, block_bytes):
     assert scanned(spark, tmp_path, arrays, block_bytes=block_bytes) == {i: loop(a) for i, a in enumerate(arrays)}
 
 
+@pytest.mark.parametrize("dtype, block_bytes, range_bytes", [("<u2", 8, 64), ("<u2", 1 << 20, 100), ("<u4", 12, 90), ("<u2", 1 << 20, 1 << 27)])
+def test_ranges_of_a_file_are_tasks(spark, tmp_path, dtype, block_bytes, range_bytes):
+    """Ids whose bytes look like separators across their edges, or like the byte that cuts, in files that several tasks read."""
+    rng = np.random.default_rng(1)
+    pool = np.array([0, 1, 0x0A, 0x0A00, 0x100, 0x0A0A, 0xFF, 3], np.int64)
+    arrays = [rng.choice(pool, n, p=[0.2, *[0.8 / 7] * 7]) for n in (1, 7, 400, 1000)]
+    arrays += [[0], [0, 0, 0], [0x0A00] * 300, [0x0A] * 299 + [0], [0] * 20 + [10] + [0] * 200, [7] * 500 + [0] + [0x100, 0]]
+    for i, a in enumerate(arrays):
+        np.array(a, dtype).tofile(tmp_path / f"{i}.bin")
+    (tmp_path / "50.bin").write_bytes(np.array([5, 0, 6], dtype).tobytes() + b"\0")
+    (tmp_path / "51.bin").write_bytes(b"")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", range_bytes)
+    try:
+        pieces = tokens.ranges(spark, str(tmp_path))
+        if range_bytes < 1 << 20:
+            assert pieces.where(F.col("path").endswith("/3.bin")).select("start").distinct().count() > 3
+        out = {}
+        for r in tokens.count_tokens(pieces, dtype=dtype, block_bytes=block_bytes).collect():
+            out.setdefault(int(os.path.basename(r.path).split(".")[0]), {})[r.ordinal] = r.n_tokens
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    got = {f: [n for _, n in sorted(d.items())] for f, d in out.items()}
+    assert got == {i: loop(a) for i, a in enumerate(arrays)} | {50: [1, 1]}
+
+
+def test_large_vocabularies_take_four_bytes():
+    assert tokens.id_type(b"YQ== 0\nYg== 65534") == "<u2" and tokens.id_type(b"YQ== 65535") == "<u4"
+
+
 def test_other_id_widths_and_separators(spark, tmp_path):
     a = [5, 70_000, 99, 0, 1, 99]
     assert scanned(spark, tmp_path, [a], "<u4", 99, 8) == {0: loop(a, 99)}
