@@ -6,9 +6,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tomeflow.functions import text
-from tomeflow.operators import compile, embed, lint, manifest, search
-from tomeflow.sources import eventlog, files
+from tomeflow.functions import payload, text
+from tomeflow.operators import compile, embed, lint, manifest, search, store
+from tomeflow.sources import eventlog, files, paths, vault
 
 NOW = datetime.datetime(2024, 1, 1)
 
@@ -96,3 +96,134 @@ def test_index_and_blob_text(spark, tmp_path):
     b = spark.range(1).select(eventlog.blob_text(F.lit("raw_1"), F.lit("u"), F.lit("sha256:x"), F.lit("now"), F.lit("# T\nbody")).alias("b")).first().b
     row = spark.createDataFrame([(b,)], "b string").select(text.raw_body(F.col("b")).alias("body")).first()
     assert row.body == "\n# T\nbody"
+
+
+def test_payloads_are_whole_or_nothing(spark):
+    ok = '{"action": "CREATE_OR_UPDATE", "path": "a", "content": "c"}'
+    whole = lambda *ops: '{"operations": [' + ", ".join(ops) + "]}"
+    cases = [
+        (whole(ok), True),
+        (f"```json\n{whole(ok)}\n```", True),
+        ('{"operations": []}', True),
+        (whole(ok) + " trailing", False),
+        (whole(ok) + "] [{}", False),
+        (whole(ok) + ', "x"', False),
+        ("Sure: " + whole(ok), False),
+        (whole('{"action": "CREATE_OR_UPDATE", "path": "a", "content": 5}'), False),
+        (whole('{"action": "CREATE_OR_UPDATE", "path": "a"}'), False),
+        (whole('{"action": "DELETE", "path": "a"}'), False),
+        (whole('{"action": "DELETE", "path": "a", "reason": "r"}'), True),
+        (whole('{"action": "RENAME", "path": "a"}'), False),
+        (whole(ok, '{"action": "DELETE", "path": 1, "reason": "r"}'), False),
+        ('{"operations": null}', False),
+        ("[]", False),
+        ("{not json", False),
+        ("", False),
+        (None, False),
+    ]
+    df = spark.createDataFrame([(i, p) for i, (p, _) in enumerate(cases)], "source_seq long, payload string")
+    got = {r.source_seq: r.valid for r in df.select("source_seq", payload.operations(F.col("payload"))["valid"].alias("valid")).collect()}
+    assert [got[i] for i in range(len(cases))] == [v for _, v in cases]
+    assert {r.source_seq for r in compile.parse_results(df).collect()} == {0, 1, 10}
+
+
+def test_paths_that_leave_the_vault_fail_their_source(spark):
+    def synthesise(p):
+        bad = "bad" in p
+        return json.dumps({"operations": [{"action": "CREATE_OR_UPDATE", "path": "wiki/./x/../a.md", "content": p[:9]}] + [{"action": "DELETE", "path": "../../etc/passwd", "reason": "r"}] * bad})
+
+    kind = "source_seq long, uri string, raw_id string, active string, old_id string, superseded string, related array<struct<path:string,content:string>>"
+    sources = spark.createDataFrame([(1, "a", "r1", "good", None, None, []), (2, "b", "r2", "bad", None, None, [])], kind)
+    after, outcomes = compile.compile_sources(sources, synthesise, spark.createDataFrame([("wiki/a.md", "old")], "path string, content string"))
+    assert {r.path: r.content for r in after.collect()} == {"wiki/a.md": "# Source\n"}
+    assert {r.uri: r.error for r in outcomes.collect()} == {"a": None, "b": "a path leaves the vault"}
+
+
+def test_a_stopped_run_goes_on_where_it_was(spark, tmp_path):
+    """The second save fails, as at a crash: what was saved before stays compiled, and no later source is asked."""
+    calls = tmp_path / "asked"
+    calls.mkdir()
+
+    def synthesise(p):
+        uri = p.split("id: ")[1].split("\n")[0]
+        (calls / uri).write_text("")
+        return json.dumps({"operations": [{"action": "CREATE_OR_UPDATE", "path": f"wiki/{uri}.md", "content": uri}]})
+
+    log, folder = str(tmp_path / "log"), str(tmp_path / "pages")
+    eventlog.append(eventlog.ingest(eventlog.load(spark, log), docs(spark, *((u, u) for u in "abcd")), NOW), log)
+    saved = []
+
+    def save(pages, outcomes):
+        if len(saved) == 1:
+            raise OSError("disk full")
+        path = f"{folder}/{len(saved)}"
+        pages.write.parquet(path)
+        eventlog.append(eventlog.compiled(eventlog.load(spark, log), outcomes, NOW), log)
+        saved.append(path)
+        return spark.read.parquet(path)
+
+    def pending():
+        entries = manifest.entries(eventlog.load(spark, log)).where("pending").select("uri")
+        rows = [(i, r.uri, r.uri, r.uri, None, None, []) for i, r in enumerate(entries.orderBy("uri").collect())]
+        return spark.createDataFrame(rows, "source_seq long, uri string, raw_id string, active string, old_id string, superseded string, related array<struct<path:string,content:string>>")
+
+    none = spark.createDataFrame([], "path string, content string")
+    with pytest.raises(OSError):
+        compile.compile_in_waves(pending(), synthesise, none, save)
+    assert sorted(p.name for p in calls.iterdir()) == ["a", "b"] and [r.uri for r in pending().collect()] == ["b", "c", "d"]
+    saved.append("crash")
+    pages = spark.read.parquet(saved[0])
+    done = compile.compile_in_waves(pending(), synthesise, pages, save, workers=2)
+    assert done.where("error IS NULL").count() == 3 and pending().count() == 0
+    assert sorted(r.path for r in spark.read.parquet(saved[-1]).collect()) == [f"wiki/{u}.md" for u in "abcd"]
+
+
+def test_registry_verbs(tmp_path):
+    registry, folder = str(tmp_path / "r.toml"), tmp_path / "v"
+    paths.create_vault(registry, "v", str(folder), "mine")
+    assert (folder / "wiki/concepts").is_dir() and (folder / "raw").is_dir()
+    with pytest.raises(ValueError):
+        paths.create_vault(registry, "w", str(folder))
+    paths.add_vault(registry, "w", "/elsewhere")
+    with pytest.raises(LookupError):
+        paths.default_vault(registry, "x")
+    paths.default_vault(registry, "v")
+    assert {n: v["is_default"] for n, v in paths.registry(registry).items()} == {"v": True, "w": False}
+    with pytest.raises(PermissionError):
+        paths.delete_vault(registry, "v")
+    paths.delete_vault(registry, "v", force=True)
+    assert not folder.exists() and list(paths.registry(registry)) == ["w"] and not paths.registry(registry)["w"]["is_default"]
+    paths.remove_vault(registry, "w")
+    assert paths.registry(registry) == {}
+
+
+def test_reports_are_whole(spark):
+    rows = [("orphan_page", f"p{i:04d}", None) for i in range(1_500)] + [("broken_link", 'a"b', "x"), ("pending_compile", "u", None)]
+    found = spark.createDataFrame(rows, "kind string, page string, target string")
+    text_, cut = lint.report(found).split("\n"), lint.report(found, limit=10).split("\n")
+    assert len(text_) == 1_500 + 2 + 3 + 1 and len(cut) < 20 and "  and 1490 more" in cut
+    whole = json.loads(lint.report_document(found))
+    assert whole["broken_links"] == [['a"b', "x"]] and whole["pending_compiles"] == ["u"] and len(whole["orphan_pages"]) == 1_500 and whole["missing_sources"] == []
+
+
+def test_one_bad_page_doesnt_end_the_job(spark):
+    def convert(html):
+        if "bad" in html:
+            raise ValueError("no")
+        return html.upper()
+
+    got = {r.uri: (r.content, r.error) for r in vault.web_documents(spark.createDataFrame([("u", "x"), ("v", "bad"), ("w", None)], "url string, html string"), convert).collect()}
+    assert got == {"u": ("X", None), "v": (None, "ValueError: no"), "w": (None, "no content")}
+
+
+def test_changes_of_one_key(spark):
+    old = spark.createDataFrame([("a", 1), ("b", 1)], "path string, v int")
+    new = spark.createDataFrame([("b", 9, 1), ("b", 2, 2), ("c", 2, 1)], "path string, v int, at int")
+    assert {tuple(r) for r in store.upsert(old, new, order="at").collect()} == {("a", 1), ("b", 2), ("c", 2)}
+
+
+def test_a_batch_says_what_is_left(spark):
+    pending = spark.createDataFrame([("u2",), ("u1",), ("u3",)], "uri string")
+    fixes = spark.createDataFrame([("s1", False), ("s2", True)], "slug string, ready boolean")
+    assert [tuple(r) for r in compile.next_batch(pending, fixes, 2).collect()] == [("compile", "u1", 1), ("compile", "u2", 1)]
+    assert [tuple(r) for r in compile.next_batch(pending.limit(0), fixes, 9).collect()] == [("fix_link", "s2", 0)]

@@ -63,3 +63,55 @@ def test_fusion(spark):
     assert got["b"] > got["a"] > got["c"] and abs(got["b"] - (1 / 61 + 1 / 62)) < 1e-9
     shuffled = search.fuse(both.orderBy(F.rand(3)))
     assert {r["item"]: r.score for r in shuffled.collect()} == got
+
+
+def test_an_index_answers_like_its_documents(spark, tmp_path):
+    rng = random.Random(3)
+    docs = spark.createDataFrame([(f"p{i}", rng.choice(["a b", None, ""]), " ".join(rng.choice("abcde") for _ in range(rng.randrange(9)))) for i in range(50)], "path string, title string, body string")
+    queries = spark.createDataFrame([(1, "a c"), (2, "zz"), (3, "e e E")], "query_id long, text string")
+    index = search.write_index(docs, str(tmp_path / "i"))
+    key = lambda rows: sorted(map(tuple, rows))
+    assert key(search.search_index(index, queries, 9).collect()) == key(search.bm25(docs.repartition(7), queries, 9).collect())
+    assert key(search.search_index(search.read_index(spark, str(tmp_path / "i")), queries, 9).collect()) == key(search.search_index(index, queries, 9).collect())
+    got = {(r.path, r.term): r.tf for r in index.postings.join(index.docs, "doc").where("field = 'body'").collect()}
+    want = {(r.path, t): r.body.split().count(t) for r in docs.collect() for t in set(r.body.split())}
+    assert got == want
+    assert "MapInArrow" not in search.search_index(index, queries, 9)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_each_vault_has_its_own_statistics(spark):
+    docs = spark.createDataFrame([("a", "x", "", "soup"), ("a", "y", "", "soup and rice"), ("b", "x", "", "soup"), ("b", "z", "", "rice")], "vault string, path string, title string, body string")
+    queries = spark.createDataFrame([(1, "soup")], "query_id long, text string")
+    got = {(r.vault, r.path): r.score for r in search.bm25(docs, queries, 5, group=("vault",)).collect()}
+    alone = {(v, r.path): r.score for v in "ab" for r in search.bm25(docs.where(F.col("vault") == v), queries, 5).collect()}
+    assert got == alone and got["a", "x"] != got["b", "x"]
+
+
+def test_federated_search_leaves_a_broken_vault_out(spark):
+    def vault(path, body, vector):
+        return lambda: (spark.createDataFrame([(path, "T" + path, body)], "path string, title string, body string"), spark.createDataFrame([(path + "#0", path, vector)], "section_key string, path string, vector array<double>"))
+
+    def broken():
+        raise OSError("no such folder")
+
+    docs, sections, errors = search.open_vaults({"b": vault("p", "soup", [0.0, 1.0]), "a": vault("p", "rice", [5.0, 5.0]), "c": broken})
+    assert errors == {"c": "OSError: no such folder"}
+    tq = spark.createDataFrame([(1, "soup")], "query_id long, text string")
+    vq = spark.createDataFrame([(1, [0.0, 1.0])], "query_id long, vector array<double>")
+    got = [(r.vault, r.path, r.title, round(r.score, 6)) for r in search.federated(docs, sections, tq, vq, 5).orderBy("rank").collect()]
+    assert got == [("b", "p", "Tp", round(2 / 61, 6)), ("a", "p", "Tp", round(1 / 61, 6))]
+
+
+def test_nearest_with_equal_and_far_vectors(spark):
+    """Ties by key, large values, and more queries than a block of the product."""
+    rng = np.random.default_rng(2)
+    v = np.round(rng.normal(size=(300, 3)) * 1000, 1)
+    v[50:90] = v[50]
+    s = spark.createDataFrame([(f"s{i:03d}", "p", [float(x) for x in v[i]]) for i in range(300)], "section_key string, path string, vector array<double>")
+    q = spark.createDataFrame([(i, [float(x) for x in v[i]]) for i in range(150)], "query_id long, vector array<double>")
+    got = {}
+    for r in search.nearest(s, q, 7, 64).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = r.section_key
+    for i in range(150):
+        order = sorted(range(300), key=lambda j: (round(float(np.sqrt(((v[j] - v[i]) ** 2).sum())), 6), f"s{j:03d}"))[:7]
+        assert [got[i][k] for k in range(1, 8)] == [f"s{j:03d}" for j in order]

@@ -124,7 +124,7 @@ def test_jobs_run_apart_and_batches_move_on(spark):
     def synthesise(p):
         if p == "boom":
             raise RuntimeError("no")
-        return '{"operations": [{"action": "CREATE_OR_UPDATE", "path": "a.md", "content": "new"}, {"action": "DELETE", "path": "gone.md"}]}'
+        return '{"operations": [{"action": "CREATE_OR_UPDATE", "path": "a.md", "content": "new"}, {"action": "DELETE", "path": "gone.md", "reason": "merged"}]}'
 
     results = compile.run_jobs(jobs, synthesise, 2)
     assert {r.source_seq: r.error for r in results.collect()} == {1: None, 2: "RuntimeError: no"}

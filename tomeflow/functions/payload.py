@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column
@@ -11,28 +13,25 @@ from pyspark.sql import types as T
 
 from .text import SENSITIVE, strip_code_fence
 
-OPERATIONS = T.StructType(
-    [
-        T.StructField(
-            "operations",
-            T.ArrayType(
-                T.StructType([T.StructField("action", T.StringType()), T.StructField("path", T.StringType()), T.StructField("content", T.StringType()), T.StructField("reason", T.StringType())])
-            ),
-        )
-    ]
-)
-ACTIONS = ("CREATE_OR_UPDATE", "DELETE")
+ACTIONS = {"CREATE_OR_UPDATE": "content", "DELETE": "reason"}
+OPERATIONS = "array<struct<action:string,path:string,content:string,reason:string>>"
 
 
 def operations(payload: Column) -> Column:
-    """struct<operations,valid>: the operations of a payload, with or without a code fence; valid only if it is one JSON
-    object whose operations are all known and complete."""
-    parsed = F.from_json(strip_code_fence(payload), OPERATIONS)["operations"]
-    good = F.forall(
-        parsed,
-        lambda o: o["path"].isNotNull() & ((o["action"] == "CREATE_OR_UPDATE") & o["content"].isNotNull() | (o["action"] == "DELETE")),
-    )
-    return F.struct(parsed.alias("operations"), F.coalesce(parsed.isNotNull() & good, F.lit(False)).alias("valid"))
+    """struct<operations,valid>: the operations of a payload, with or without a code fence. Valid is only what is one JSON object
+    and nothing else, whose operations all have a known action, a path, and what the action needs (content of a page to write, the reason of
+    a removal), each a string. A payload that isn't valid has no operations."""
+    bare = strip_code_fence(payload)
+    # With its own digest behind it in one array, nothing that follows the object goes unnoticed.
+    seal = F.sha2(bare, 256)
+    sealed = F.try_parse_json(F.concat(F.lit("["), bare, F.lit(',"'), seal, F.lit('"]')))
+    whole = (F.try_variant_get(sealed, "$[1]", "string") == seal) & F.try_variant_get(sealed, "$[2]", "variant").isNull() & bare.startswith("{") & bare.endswith("}")
+    listed = F.try_variant_get(sealed, "$[0].operations", "array<variant>")
+    text = lambda o, key: F.when(F.schema_of_variant(F.try_variant_get(o, f"$.{key}", "variant")) == "STRING", F.try_variant_get(o, f"$.{key}", "string"))
+    read = F.transform(listed, lambda o: F.struct(*(text(o, k).alias(k) for k in ("action", "path", "content", "reason"))))
+    good = F.forall(read, lambda o: F.coalesce(o["path"].isNotNull() & reduce(or_, ((o["action"] == a) & o[need].isNotNull() for a, need in ACTIONS.items())), F.lit(False)))
+    valid = F.coalesce(whole & listed.isNotNull() & good, F.lit(False))
+    return F.struct(F.when(valid, read).alias("operations"), valid.alias("valid"))
 
 
 def _clean(value):

@@ -162,6 +162,12 @@ def inside_vault(path: Column) -> Column:
     return ~path.startswith("/") & (F.aggregate(F.split(path, "/"), start, walk)["least"] >= 0)
 
 
+def normal_path(path: Column) -> Column:
+    """The path without empty and . steps, each .. taken together with the step before it; of paths inside the vault only."""
+    step = lambda acc, p: F.when(p.isin("", "."), acc).when(p == "..", F.slice(acc, F.lit(1), F.size(acc) - 1)).otherwise(F.concat(acc, F.array(p)))
+    return F.when(inside_vault(path), F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/"))
+
+
 #: A key that holds one of these, in any case, is sensitive.
 SENSITIVE = ("password", "token", "secret", "authorization", "apikey", "api_key", "api-key", "credential")
 

@@ -68,16 +68,37 @@ def compile_sources(sources: DataFrame, synthesise: Callable[[str], str], pages:
     related array<struct<path,content>>). A source whose answer can't be used is an error of its own, and stays pending."""
     fitted = fit_blobs(sources, budget)
     jobs = fitted.select("source_seq", "uri", prompt(F.col("raw_id"), F.col("active"), F.col("old_id"), F.col("superseded"), F.col("related")).alias("prompt"))
-    spark = sources.sparkSession
-    path = f"{checkpoint_dir(spark)}/answers-{uuid.uuid4().hex}"
-    answers = run_jobs(jobs, synthesise, workers).withColumn("valid", payload.operations(F.col("payload"))["valid"])
-    answers.write.parquet(path)  # each source is asked once, whatever reads its answer
-    answers = spark.read.schema(answers.schema).parquet(path)
-    error = F.coalesce("error", F.when(~F.col("valid"), F.lit("the answer isn't a valid payload")))
-    outcomes = jobs.select("source_seq", "uri").join(answers.select("source_seq", error.alias("error")), "source_seq")
+    # Each source is asked once, whatever reads its answer.
+    answers = _written(run_jobs(jobs, synthesise, workers), "answers")
+    checked = answers.withColumn("_p", payload.operations(F.col("payload")))
+    outside = F.exists("_p.operations", lambda o: ~text.inside_vault(o["path"]))
+    error = F.coalesce("error", F.when(~F.col("_p.valid"), F.lit("the answer isn't a valid payload")), F.when(outside, F.lit("a path leaves the vault")))
+    outcomes = jobs.select("source_seq", "uri").join(checked.select("source_seq", error.alias("error")), "source_seq")
     return apply_operations(pages, parse_results(answers)), outcomes
 
 
+def _written(df: DataFrame, what: str) -> DataFrame:
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def compile_in_waves(sources: DataFrame, synthesise: Callable[[str], str], pages: DataFrame, save: Callable[[DataFrame, DataFrame], DataFrame], workers: int = 1, wave: int | None = None, budget: int = text.PROMPT_BUDGET) -> DataFrame:
+    """source_seq, uri, error of every source that was asked, in the order of source_seq, `wave` of them at a time (by default as many
+    as there are workers). After each wave save(pages, outcomes) makes its results last and returns the pages to go on with; so a
+    run that is stopped has lost one wave at most, and where saving fails no further source is asked."""
+    seqs = [r.source_seq for r in sources.select("source_seq").orderBy("source_seq").collect()]  # a synthesiser reads each: few
+    spark, step, done = sources.sparkSession, wave or max(1, workers), None
+    for i in range(0, len(seqs), step):
+        some = sources.where(F.col("source_seq").between(seqs[i], seqs[min(i + step, len(seqs)) - 1]))
+        after, outcomes = compile_sources(some, synthesise, pages, workers, budget)
+        outcomes = _written(outcomes, "outcomes")
+        pages = save(after, outcomes)
+        done = outcomes if done is None else done.unionByName(outcomes)
+    return done if done is not None else spark.createDataFrame([], "source_seq long, uri string, error string")
+
+
 def touched(operations: DataFrame) -> DataFrame:
     """path of every page that operations name, once."""
     return operations.select("path").distinct()
@@ -94,11 +115,18 @@ def parse_results(results: DataFrame) -> DataFrame:
     return parsed.select("source_seq", F.posexplode("_p.operations").alias("op_seq", "_o")).select("source_seq", "op_seq", "_o.action", "_o.path", "_o.content")
 
 
+def sandboxed(operations: DataFrame) -> DataFrame:
+    """operations with normal paths, without those of sources of which any operation's path leaves the vault."""
+    escaping = operations.where(~text.inside_vault(F.col("path"))).select("source_seq").distinct()
+    return operations.join(escaping, "source_seq", "left_anti").withColumn("path", text.normal_path(F.col("path")))
+
+
 def apply_operations(pages: DataFrame, operations: DataFrame) -> DataFrame:
-    """path, content after all operations in order: the last one for a path holds; deleting what isn't there is fine.
+    """path, content after all operations in order: the last one for a path holds; deleting what isn't there is fine. A source that
+    names a path outside the vault changes nothing.
 
     The last operation is an aggregate, not a window: a path that very many operations touch is reduced before the shuffle."""
-    last = operations.groupBy("path").agg(F.max_by(F.struct("action", "content"), F.struct("source_seq", "op_seq")).alias("_o"))
+    last = sandboxed(operations).groupBy("path").agg(F.max_by(F.struct("action", "content"), F.struct("source_seq", "op_seq")).alias("_o"))
     both = pages.select("path", F.col("content").alias("_old"), F.lit(True).alias("_there")).join(last, "path", "full_outer")
     both = both.where("_o IS NULL OR _o.action <> 'DELETE'")
     return both.select("path", F.when(F.col("_o").isNotNull(), F.col("_o.content")).otherwise(F.col("_old")).alias("content"))
@@ -121,12 +149,16 @@ def run_jobs(jobs: DataFrame, synthesise: Callable[[str], str], workers: int) ->
 
 
 def next_batch(pending: DataFrame, jobs: DataFrame, batch: int) -> DataFrame:
-    """kind, key: the next sources to compile, or once there are none the missing slugs that can be written."""
+    """kind, key, remaining: the next sources to compile, or once there are none the missing slugs that can be written; and how
+    many are left after these."""
     n = max(1, min(50, batch))
-    first = pending.select(F.lit("compile").alias("kind"), F.col("uri").alias("key")).orderBy("key").limit(n)
-    if first.take(1):
-        return first
-    return jobs.where("ready").select(F.lit("fix_link").alias("kind"), F.col("slug").alias("key")).orderBy("key").limit(n)
+
+    def first(kind: str, some: DataFrame, key: str) -> DataFrame:
+        left = F.lit(some.count()) - F.lit(n)
+        return some.select(F.lit(kind).alias("kind"), F.col(key).alias("key"), F.greatest(left, F.lit(0)).cast("long").alias("remaining")).orderBy("key").limit(n)
+
+    found = first("compile", pending, "uri")
+    return found if found.take(1) else first("fix_link", jobs.where("ready"), "slug")
 
 
 def evict(jobs: DataFrame, now: Column, ttl_seconds: int = 1_800, cap: int = 500) -> DataFrame:

@@ -6,10 +6,14 @@ duplicates; a link's slug may be hot, but only distinct slugs are on the other s
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import wikilinks
+from ..sources.partitions import checkpoint_dir
 
 
 def links(pages: DataFrame) -> DataFrame:
@@ -46,14 +50,20 @@ def pending(entries: DataFrame) -> DataFrame:
 
 
 def findings(pages: DataFrame, provenance: DataFrame, files: DataFrame, entries: DataFrame) -> DataFrame:
-    """kind, page, target: everything that a lint finds, as one table."""
-    found = links(pages)
+    """kind, page, target: everything that a lint finds, as one table. Bodies are parsed once: links and the pages' own slugs are
+    written side by side to the shared folder, and all checks of links read that table."""
+    own = F.array(F.struct(F.lit(None).cast("int").alias("pos"), F.lit("page").alias("kind"), F.lit(None).cast("string").alias("vault"), F.col("slug").alias("slug")))
+    spark = pages.sparkSession
+    path = f"{checkpoint_dir(spark)}/links-{uuid.uuid4().hex}"
+    pages.select("path", F.inline(F.concat(own, wikilinks(F.col("body"))))).write.parquet(path)
+    table = spark.read.parquet(path)
+    found, named = table.where("kind <> 'page'"), table.where("kind = 'page'").select("path", "slug")
     none = F.lit(None).cast("string").alias("target")
     parts = [
         ("pending_compile", pending(entries).select("page", none)),
-        ("broken_link", broken_links(found, pages)),
+        ("broken_link", broken_links(found, named)),
         ("missing_source", missing_sources(provenance, files)),
-        ("orphan_page", orphans(found, pages).select("page", none)),
+        ("orphan_page", orphans(found, named).select("page", none)),
         ("cross_vault_link", cross_vault(found)),
     ]
     out = None
@@ -105,27 +115,51 @@ def link_fix_jobs(broken: DataFrame, provenance: DataFrame, blobs: DataFrame) ->
     return pages.join(sources, "slug", "left").select("slug", "n_pages", F.coalesce("n_sources", F.lit(0)).cast("long").alias("n_sources"), F.col("n_sources").isNotNull().alias("ready"))
 
 
-# The lines of a report, in the order of its parts.
+# The lines of a report, in the order of its parts; what to do about pending sources the caller says.
 _TITLES = {
-    "pending_compile": ("Pending compile ({n} source(s) not compiled at their current content):", "  {page}"),
+    "pending_compile": ("Pending compile ({n} source(s) not yet fully compiled — {hint}):", "  {page}"),
     "broken_link": ("Broken links ({n}):", "  {page} -> [[{target}]] (target does not exist)"),
     "missing_source": ("Missing provenance sources ({n}):", "  {page}: sources entry '{target}' does not exist"),
     "orphan_page": ("Orphan pages ({n}, warning):", "  {page} is not linked from any other page"),
     "cross_vault_link": ("Cross-vault links ({n}, informational):", "  {page} -> [[{target}]]"),
 }
+_EMPTY = "OK: no lint issues found."
+_FAILED = "FAILED: fix broken links and missing sources above."
+_PASSED = "OK: no blocking issues (see warnings above)."
+_FIELDS = {"pending_compile": "pending_compiles", "broken_link": "broken_links", "missing_source": "missing_sources", "orphan_page": "orphan_pages", "cross_vault_link": "cross_vault_links"}
 
 
-def report(findings_: DataFrame, limit: int = 1_000) -> str:
-    """The findings as text, at most `limit` lines of each kind: a report is for reading. Counts are of all."""
+def report(findings_: DataFrame, limit: int | None = None, hint: str = "compile them") -> str:
+    """The findings as text, in parts by kind, sorted; with a limit no more lines of a kind, and a line that says how many are left out."""
     counts = {r.kind: r["count"] for r in findings_.groupBy("kind").count().collect()}
     if not counts:
-        return "OK: no lint issues found."
+        return _EMPTY
     lines = []
     for kind, (title, line) in _TITLES.items():
         if kind in counts:
-            lines.append(title.format(n=counts[kind]))
-            rows = findings_.where(F.col("kind") == kind).orderBy("page", "target").limit(limit).collect()
+            lines.append(title.format(n=counts[kind], hint=hint))
+            rows = findings_.where(F.col("kind") == kind).orderBy("page", "target")
+            rows = rows.collect() if limit is None else rows.limit(limit).collect()
             lines += [line.format(page=r.page, target=r.target) for r in rows]
+            if len(rows) < counts[kind]:
+                lines.append(f"  and {counts[kind] - len(rows)} more")
     failed = counts.keys() & {"broken_link", "missing_source"}
-    lines.append("FAILED: fix broken links and missing sources above." if failed else "OK: no blocking issues (see warnings above).")
+    lines.append(_FAILED if failed else _PASSED)
     return "\n".join(lines)
+
+
+def report_json(findings_: DataFrame) -> DataFrame:
+    """part, value: for each of a report's five lists its entries, as JSON: a page, or [page, target]. Sorted by these two columns it is
+    the whole report, however long."""
+    two = F.to_json(F.array("page", "target"))
+    one = F.regexp_extract(F.to_json(F.array("page")), r"^\[(.*)\]$", 1)
+    part = F.create_map(*(F.lit(x) for pair in _FIELDS.items() for x in pair))[F.col("kind")]
+    return findings_.select(part.alias("part"), F.when(F.col("kind").isin("pending_compile", "orphan_page"), one).otherwise(two).alias("value"))
+
+
+def report_document(findings_: DataFrame) -> str:
+    """The same as one JSON object, made on the driver."""
+    found: dict[str, list] = {name: [] for name in _FIELDS.values()}
+    for r in report_json(findings_).orderBy("part", "value").toLocalIterator():
+        found[r.part].append(json.loads(r.value))
+    return json.dumps(found, ensure_ascii=False, indent=2)

@@ -42,10 +42,11 @@ def outcomes(events: DataFrame, width: int = WIDTH) -> DataFrame:
     )
 
 
-def versions(events: DataFrame, width: int = WIDTH) -> DataFrame:
-    """uri, version_no, seq, hash, raw_id, status, by_raw_id, tombstoned_seq: every version since the uri's last purge."""
+def versions(events: DataFrame, width: int = WIDTH, outcomes_: DataFrame | None = None) -> DataFrame:
+    """uri, version_no, seq, hash, raw_id, status, by_raw_id, tombstoned_seq: every version since the uri's last purge. Outcomes
+    that the caller has already aren't computed again."""
     purged = events.where("op = 'purge'").groupBy("uri").agg(F.max("seq").alias("purged"))
-    live = outcomes(events, width).where(F.col("outcome").isin("new", "superseded", "tombstoned"))
+    live = (outcomes(events, width) if outcomes_ is None else outcomes_).where(F.col("outcome").isin("new", "superseded", "tombstoned"))
     live = live.join(purged, "uri", "left").where("purged IS NULL OR seq > purged").drop("purged")
     live = neighbour(live, ["uri"], "seq", F.struct("op", "raw_id", "seq"), "following", before=False, width=width)
     ingests = numbered(live.where("op = 'ingest'"), ["uri"], "seq", "version_no", width)
@@ -77,9 +78,10 @@ def compiled(events: DataFrame) -> DataFrame:
     return marks.select("uri").join(seen, "uri", "left").select("uri", "compiled_hash")
 
 
-def entries(events: DataFrame, width: int = WIDTH) -> DataFrame:
-    """uri, n_versions, active_hash, compiled_hash, pending: a row for each source that is known."""
-    v = versions(events, width)
+def entries(events: DataFrame, width: int = WIDTH, versions_: DataFrame | None = None) -> DataFrame:
+    """uri, n_versions, active_hash, compiled_hash, pending: a row for each source that is known. Versions that the caller has
+    already aren't computed again."""
+    v = versions(events, width) if versions_ is None else versions_
     known = v.groupBy("uri").agg(F.count("*").alias("n_versions"), F.max(F.when(F.col("status") == "ACTIVE", F.col("hash"))).alias("active_hash"))
     done = F.coalesce(F.col("compiled_hash") == F.col("active_hash"), F.lit(False))
     return known.join(compiled(events), "uri", "left").select("uri", "n_versions", "active_hash", "compiled_hash", (F.col("active_hash").isNotNull() & ~done).alias("pending"))
@@ -92,9 +94,12 @@ def superseded_previous(versions_: DataFrame) -> DataFrame:
 
 
 def purged_blobs(events: DataFrame, width: int = WIDTH) -> DataFrame:
-    """raw_id, hash of blobs that only purged histories name: the ones that may be unlinked."""
-    v = outcomes(events, width).where(F.col("outcome").isin("new", "superseded")).select("hash", "raw_id").distinct()
-    return v.join(versions(events, width).select("hash").distinct(), "hash", "left_anti").select("raw_id", "hash")
+    """raw_id, hash of blobs that only purged histories name: the ones that may be unlinked. A blob that any event since the
+    last purge brought, or brought again, is still named."""
+    done = outcomes(events, width).where(F.col("outcome").isin("new", "superseded"))
+    purged = events.where("op = 'purge'").groupBy("uri").agg(F.max("seq").alias("purged"))
+    named = F.bool_or(F.col("purged").isNull() | (F.col("seq") > F.col("purged")))
+    return done.join(purged, "uri", "left").groupBy("hash", "raw_id").agg(named.alias("_named")).where("NOT _named").select("raw_id", "hash")
 
 
 def needing_embedding(stored: DataFrame, current: DataFrame) -> DataFrame:

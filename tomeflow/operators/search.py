@@ -1,176 +1,158 @@
 """Search: BM25 over terms, nearest sections by vector, and rank fusion - for one query or many at once.
 
-Queries are a DataFrame (query_id, text) or (query_id, vector). The BM25 scan sends the queries' terms to the documents
-rather than postings across the network: statistics are of the queries' terms only, each document is scored in the task
-that reads it, and a task passes on no more than its best `limit` documents for each query.
+Queries are a DataFrame (query_id, text) or (query_id, vector). BM25 answers from an index on disk: postings, document
+frequencies and lengths, all of which are made once and don't depend on queries; texts aren't read again. A query's
+terms meet their postings in one join, scores add up under numbers that stand for documents, and a task passes on its best
+of each query. With `group`, as for several vaults, statistics, rankings and limits are each group's own.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
-import re
-from collections import Counter
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import MAX_TERM_BYTES, terms
+from ..functions.text import terms
+from ..sources.partitions import checkpoint_dir
 
 K1, B = 1.2, 0.75
 RRF_K = 60
 DIGITS = 6
-#: Queries are sent to all tasks in blocks; terms times queries of a block are at most so many.
-BLOCK_CELLS = 4_000_000
-CHUNK_DOCS = 256
 SHARD_ROWS = 16_384
-_TERM = re.compile(r"[^\W_]+")
+#: Up to so many different terms of all queries are pushed down to the scan of postings.
+PUSHED_TERMS = 1_000
+#: Up to so many are sent to every task, with what is known of them; beyond, postings are shuffled by term.
+BROADCAST_TERMS = 100_000
+FIELDS = ("title", "body")
 
 
-def postings(docs: DataFrame, fields: tuple[str, ...] = ("title", "body")) -> DataFrame:
+def _fields(docs: DataFrame, fields: tuple[str, ...], keys: tuple[str, ...]) -> DataFrame:
+    """A row for each field of each document: its terms and their number."""
+    each = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), terms(F.col(f)).alias("terms")) for f in fields)))
+    return docs.select(*keys, each.alias("f")).select(*keys, "f.field", "f.terms", F.size("f.terms").cast("long").alias("doc_len"))
+
+
+def _counted(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    t = rows.select(*keys, "field", "doc_len", F.explode("terms").alias("term"))
+    return t.groupBy(*keys, "field", "term", "doc_len").agg(F.count("*").alias("tf"))
+
+
+def postings(docs: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """path, field, term, tf, doc_len: the inverted index as a table."""
-    out = None
-    for f in fields:
-        t = docs.select("path", F.lit(f).alias("field"), terms(F.col(f)).alias("_t")).withColumn("doc_len", F.size("_t").cast("long"))
-        t = t.select("path", "field", "doc_len", F.explode("_t").alias("term")).groupBy("path", "field", "term", "doc_len").agg(F.count("*").alias("tf"))
-        out = t if out is None else out.unionByName(t)
-    return out.select("path", "field", "term", "tf", "doc_len")
+    return _counted(_fields(docs, fields, ("path",)), ("path",)).select("path", "field", "term", "tf", "doc_len")
 
 
 def write_postings(docs: DataFrame, path: str) -> None:
-    """The whole index anew, sorted by term within files so that a term's rows lie together."""
+    """The whole table anew, sorted by term within files so that a term's rows lie together."""
     postings(docs).repartition("field", "term").sortWithinPartitions("field", "term").write.mode("overwrite").parquet(path)
 
 
+@dataclass
+class Index:
+    """docs(group, doc, path), postings(group, doc, field, term, tf, doc_len), terms(group, field, term, df),
+    lengths(group, field, n, mean)."""
+
+    docs: DataFrame
+    postings: DataFrame
+    terms: DataFrame
+    lengths: DataFrame
+    group: tuple[str, ...]
+
+
+def _runs(docs: DataFrame, fields: tuple[str, ...], keys: tuple[str, ...]) -> DataFrame:
+    """For each field of each document its number of terms and, sorted, (term, tf). A document's terms are counted where it is read:
+    sorted, the equal ones stand side by side. Explodes keep arrays from being computed again for each element."""
+    each = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.sort_array(terms(F.col(f))).alias("terms")) for f in fields)))
+    rows = docs.select(*keys, each.alias("f")).select(*keys, "f.field", "f.terms", F.size("f.terms").alias("n"))
+    begins = lambda i: (i == 1) | (F.element_at("terms", i) != F.element_at("terms", F.greatest(i - 1, F.lit(1))))
+    first = F.when(F.col("n") > 0, F.filter(F.sequence(F.lit(1), F.greatest("n", F.lit(1))), begins)).otherwise(F.array().cast("array<int>"))
+    rows = rows.select(*keys, "field", "n", "terms", F.explode(F.array(first)).alias("at"))
+    after = F.concat(F.slice("at", F.lit(2), F.greatest(F.size("at") - 1, F.lit(0))), F.array(F.col("n") + 1))
+    runs = F.zip_with("at", after, lambda a, z: F.struct(F.element_at("terms", a).alias("term"), (z - a).cast("long").alias("tf")))
+    return rows.select(*keys, "field", F.col("n").cast("long").alias("doc_len"), F.when(F.col("n") > 0, runs).alias("runs"))
+
+
+def write_index(docs: DataFrame, path: str, fields: tuple[str, ...] = FIELDS, group: tuple[str, ...] = ()) -> Index:
+    """The index of documents (group, path, fields), anew. Texts are read once and nothing but counts is shuffled: each file of postings
+    holds whole documents, sorted by term, so that a search skips the pages without its terms, and adds up a document's
+    scores where its postings are."""
+    spark = docs.sparkSession
+    put = lambda df, what: df.write.mode("overwrite").parquet(f"{path}/{what}")
+    # Numbers of documents hold for good once they are written.
+    put(_runs(docs.withColumn("doc", F.monotonically_increasing_id()), fields, (*group, "doc", "path")), "rows")
+    rows = spark.read.parquet(f"{path}/rows")
+    put(rows.where(F.col("field") == fields[0]).select(*group, "doc", "path"), "docs")
+    sums = rows.groupBy(*group, "field").agg(F.count("*").alias("n"), F.sum("doc_len").alias("_sum"))
+    put(sums.select(*group, "field", "n", (F.greatest("_sum", F.lit(1)) / F.col("n")).alias("mean")), "lengths")
+    put(rows.select(*group, "doc", "field", "doc_len", F.inline("runs")).sortWithinPartitions("term", "field", "doc"), "postings")
+    put(spark.read.parquet(f"{path}/postings").groupBy(*group, "field", "term").agg(F.count("*").alias("df")), "terms")
+    return read_index(spark, path, group)
+
+
+def read_index(spark: SparkSession, path: str, group: tuple[str, ...] = ()) -> Index:
+    own = "".join(f"{g} string, " for g in group)
+    kinds = {
+        "docs": f"{own}doc long, path string",
+        "postings": f"{own}doc long, field string, doc_len long, term string, tf long",
+        "terms": f"{own}field string, term string, df long",
+        "lengths": f"{own}field string, n long, mean double",
+    }
+    return Index(*(spark.read.schema(k).parquet(f"{path}/{t}") for t, k in kinds.items()), group)
+
+
 def term_statistics(postings_: DataFrame) -> DataFrame:
     """field, term, df."""
     return postings_.groupBy("field", "term").agg(F.count("*").alias("df"))
 
 
-def top(df: DataFrame, limit: int, *order, by: str = "query_id") -> DataFrame:
+def top(df: DataFrame, limit: int, *order, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
     """The first `limit` rows of each query, with their rank. Spark keeps no more than that from each task."""
-    return df.withColumn("rank", F.row_number().over(W.partitionBy(by).orderBy(*order)).cast("int")).where(F.col("rank") <= limit)
-
-
-def _words(text: str | None) -> list[str]:
-    """The same terms as text.terms: runs of letters and digits, lower-cased, without those of 40 bytes or more."""
-    found = _TERM.findall(text.lower()) if text else []
-    if any(len(t) > 9 and len(t.encode()) >= MAX_TERM_BYTES for t in found):
-        found = [t for t in found if len(t.encode()) < MAX_TERM_BYTES]
-    return found
+    return df.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(*order)).cast("int")).where(F.col("rank") <= limit)
 
 
-def _query_blocks(queries: DataFrame) -> Iterator[tuple[list[int], dict[str, int], np.ndarray]]:
-    """(ids, column of each term, which query asks for which term) of blocks whose table has BLOCK_CELLS cells at most."""
-    asked, terms_ = [], set()
-    for r in queries.select("query_id", "text").toLocalIterator():
-        own = set(_words(r.text))
-        if asked and (len(asked) + 1) * len(terms_ | own) > BLOCK_CELLS:
-            yield _block(asked, terms_)
-            asked, terms_ = [], set()
-        asked.append((r.query_id, own))
-        terms_ |= own
-    if asked:
-        yield _block(asked, terms_)
-
-
-def _block(asked: list[tuple[int, set[str]]], terms_: set[str]) -> tuple[list[int], dict[str, int], np.ndarray]:
-    at = {t: i for i, t in enumerate(sorted(terms_))}
-    table = np.zeros((len(at), len(asked)), bool)
-    for q, (_, own) in enumerate(asked):
-        table[[at[t] for t in own], q] = True
-    return [q for q, _ in asked], at, table
-
-
-def bm25(docs: DataFrame, queries: DataFrame, limit: int, fields: tuple[str, ...] = ("title", "body")) -> DataFrame:
+def search_index(index: Index, queries: DataFrame, limit: int) -> DataFrame:
     """query_id, path, score (rounded to six digits), rank; documents that share a term with the query, best first, ties by
     path. Scores add up over fields; lengths are exact. A query without terms finds nothing."""
-    spark, out = docs.sparkSession, None
-    texts = docs.select("path", *fields)
-    for ids, at, table in _query_blocks(queries):
-        if not at:
-            continue
-        sent = spark.sparkContext.broadcast((at, table))
-
-        def statistics(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            """For each field and term the documents that have it; under -1 the field's length, under -2 all documents."""
-            at = sent.value[0]
-            df = np.zeros((len(fields), len(at) + 2), np.int64)
-            for b in batches:
-                for f in range(len(fields)):
-                    for t in b.column(1 + f).to_pylist():
-                        found = _words(t)
-                        df[f, -1] += len(found)
-                        df[f, -2] += 1
-                        df[f, [at[t] for t in at.keys() & found]] += 1
-            f, i = np.nonzero(df)
-            yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(np.where(i < len(at), i, i - len(at) - 2)), pa.array(df[f, i])], ["f", "i", "df"])
-
-        df = np.zeros((len(fields), len(at) + 2))
-        for r in texts.mapInArrow(statistics, "f long, i long, df long").groupBy("f", "i").agg(F.sum("df").alias("df")).collect():
-            df[r.f, r.i] = r.df  # at most a row for each term of the block and field
-        n = df[:, -2:-1]
-        mean = np.maximum(df[:, -1], 1) / np.maximum(n[:, 0], 1)
-        idf = spark.sparkContext.broadcast((np.log1p((n - df[:, :-2] + 0.5) / (df[:, :-2] + 0.5)), mean))
-
-        def scored(batches: Iterator[pa.RecordBatch], sent=sent, idf=idf, ids=ids) -> Iterator[pa.RecordBatch]:
-            (at, table), (weight, mean) = sent.value, idf.value
-            table = table.astype(float)
-            best: list[list[tuple[float, _Last, str]]] = [[] for _ in ids]
-            least = np.zeros(len(ids))
-            for b in (x.slice(i, CHUNK_DOCS) for x in batches for i in range(0, x.num_rows, CHUNK_DOCS)):
-                paths, w = b.column(0).to_pylist(), np.zeros((b.num_rows, len(at)))
-                for f in range(len(fields)):
-                    for d, t in enumerate(b.column(1 + f).to_pylist()):
-                        found = _words(t)
-                        counts = Counter(filter(at.__contains__, found))
-                        if counts:
-                            i = [at[t] for t in counts]
-                            tf = np.fromiter(counts.values(), float, len(counts))
-                            w[d, i] += weight[f, i] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(found) / mean[f]))
-                raw = w @ table
-                scores = np.round(raw, DIGITS)
-                for d, q in zip(*np.nonzero((raw > 0) & (scores >= least)), strict=True):
-                    heap, item = best[q], (float(scores[d, q]), _Last(paths[d]), paths[d])
-                    if len(heap) < limit:
-                        heapq.heappush(heap, item)
-                    elif item > heap[0]:
-                        heapq.heapreplace(heap, item)
-                    if len(heap) == limit:
-                        least[q] = heap[0][0]
-            rows = [(ids[q], p, s) for q, heap in enumerate(best) for s, _, p in heap]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.float64())], ["query_id", "path", "score"])
-
-        part = texts.mapInArrow(scored, "query_id long, path string, score double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = spark.createDataFrame([], "query_id long, path string, score double")
-    return top(out, limit, F.desc("score"), "path").select("query_id", "path", "score", "rank")
-
-
-class _Last(str):
-    """Text in reverse order: of equal scores, a heap drops the greatest path first."""
-
-    __slots__ = ()
-
-    def __lt__(self, other: str) -> bool:
-        return str.__gt__(self, other)
-
-    def __gt__(self, other: str) -> bool:
-        return str.__lt__(self, other)
-
-
-def nearest(sections: DataFrame, queries: DataFrame, limit: int, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    group = index.group
+    asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
+    asked = asked.groupBy("term").agg(F.collect_list("query_id").alias("queries"))
+    found = index.postings
+    n = asked.count()
+    small = F.broadcast if n <= BROADCAST_TERMS else (lambda d: d)
+    if n <= PUSHED_TERMS:  # then the scan skips what holds none of them
+        found = found.where(F.col("term").isin([r.term for r in asked.select("term").collect()]))
+    known = index.terms.join(small(asked), "term").join(F.broadcast(index.lengths), [*group, "field"])
+    idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    known = known.select(*group, "field", "term", "mean", "queries", idf.alias("idf"))
+    tf = F.col("tf").cast("double")
+    weight = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("doc_len") / F.col("mean")))
+    found = found.join(small(known), [*group, "field", "term"])
+    scores = found.select("doc", weight.alias("weight"), F.explode("queries").alias("query_id")).groupBy("query_id", "doc").agg(F.round(F.sum("weight"), DIGITS).alias("score"))
+    named = scores.join(index.docs, "doc")
+    return top(named, limit, F.desc("score"), "path", by=("query_id", *group)).select(*group, "query_id", "path", "score", "rank")
+
+
+def bm25(docs: DataFrame, queries: DataFrame, limit: int, fields: tuple[str, ...] = FIELDS, group: tuple[str, ...] = ()) -> DataFrame:
+    """search_index over documents that have no index yet: it is made in the shared folder."""
+    path = f"{checkpoint_dir(docs.sparkSession)}/index-{uuid.uuid4().hex}"
+    return search_index(write_index(docs, path, fields, group), queries, limit)
+
+
+def nearest(sections: DataFrame, queries: DataFrame, limit: int, shard_rows: int = SHARD_ROWS, group: tuple[str, ...] = ()) -> DataFrame:
     """query_id, section_key, path, distance (Euclidean, rounded to six digits), rank: each query's nearest sections, ties
     by key. sections(section_key, path, vector), queries(query_id, vector); exact.
 
     Sections are dealt to shards and queries to blocks of bounded size; a task holds one of each and passes on the best
     `limit` of its shard for every query. Null vectors, and those of another length than the query's, take no part."""
-    s = sections.where("vector IS NOT NULL").select("section_key", "path", F.col("vector").cast("array<double>").alias("vector"))
+    s = sections.where("vector IS NOT NULL").select(*group, "section_key", "path", F.col("vector").cast("array<double>").alias("vector"))
     q = queries.where("vector IS NOT NULL").select("query_id", F.col("vector").cast("array<double>").alias("vector"))
     shards, blocks = (max(1, math.ceil(d.count() / shard_rows)) for d in (s, q))
     spread = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
@@ -179,25 +161,45 @@ def nearest(sections: DataFrame, queries: DataFrame, limit: int, shard_rows: int
     left = q.withColumn("block", spread("query_id", blocks)).withColumn("shard", every(shards))
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        out = []
+        ids, where, far = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         if a.num_rows and b.num_rows:
-            keys, ids = np.array(b.column("section_key").to_pylist(), object), a.column("query_id").to_pylist()
+            b = b.sort_by("section_key")
             x, y = _matrix(a.column("vector")), _matrix(b.column("vector"))
-            order = np.argsort(keys, kind="stable")
-            keys, y = keys[order], y[order]
-            paths = [b.column("path")[int(i)].as_py() for i in order]
-            for i in range(len(ids)):
-                d = np.round(np.sqrt(((y - x[i]) ** 2).sum(axis=1)), DIGITS)
-                for j in np.argsort(d, kind="stable")[:limit]:
-                    out.append((ids[i], keys[j], paths[j], float(d[j])))
-        kinds = [pa.int64(), pa.string(), pa.string(), pa.float64()]
-        names = ["query_id", "section_key", "path", "distance"]
-        return pa.table([pa.array([r[c] for r in out], k) for c, k in enumerate(kinds)], names)
+            names = [pa.compute.rank(pa.concat_arrays(b.column(g).cast("string").chunks), tiebreaker="dense").to_numpy() for g in group]
+            _, part = np.unique(np.array(names), axis=1, return_inverse=True) if group else (None, np.zeros(len(y), np.int64))
+            own = a.column("query_id").to_numpy()
+            for g in np.unique(part):
+                rows = np.flatnonzero(part == g)
+                for i in range(0, len(x), 64):
+                    who, j, d = _closest(x[i : i + 64], y[rows], limit)
+                    ids.append(own[i + who])
+                    where.append(rows[j])
+                    far.append(d)
+        out = b.select([*group, "section_key", "path"]).take(pa.array(np.concatenate(where)))
+        return out.add_column(0, "query_id", pa.array(np.concatenate(ids), pa.int64())).append_column("distance", pa.array(np.concatenate(far)))
 
     left, right = (d.withColumn("dim", F.size("vector")) for d in (left, right))
     by = ("block", "shard", "dim")
-    found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(run, "query_id long, section_key string, path string, distance double")
-    return top(found, limit, "distance", "section_key").select("query_id", "section_key", "path", "distance", "rank")
+    kinds = dict(sections.dtypes)
+    schema = ", ".join(["query_id long", *(f"{g} {kinds[g]}" for g in group), "section_key string", "path string", "distance double"])
+    found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(run, schema)
+    return top(found, limit, "distance", "section_key", by=("query_id", *group)).select(*group, "query_id", "section_key", "path", "distance", "rank")
+
+
+def _closest(x: np.ndarray, y: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of x, row of y, distance) of the nearest `limit` rows of y for each row of x, ties by place: one matrix product finds
+    those that can be among them, and only their distances are computed exactly."""
+    xx, yy = (x**2).sum(axis=1), (y**2).sum(axis=1)
+    rough = np.maximum(xx[:, None] + yy[None, :] - 2 * (x @ y.T), 0)
+    k = min(limit, len(y)) - 1
+    error = 1e-12 * x.shape[1] * (xx[:, None] + yy.max(initial=0))  # of the product, and of rounding to six digits
+    least = np.sqrt(np.partition(rough, k, axis=1)[:, k, None] + error) + 2 * 10.0**-DIGITS
+    who, j = np.nonzero(rough <= least**2 + error)
+    d = np.round(np.sqrt(((y[j] - x[who]) ** 2).sum(axis=1)), DIGITS)
+    order = np.lexsort((j, d, who))
+    who, j, d = who[order], j[order], d[order]
+    kept = np.arange(len(who)) - np.searchsorted(who, who) < limit
+    return who[kept], j[kept], d[kept]
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -206,33 +208,54 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return flat.reshape(len(lists), -1)
 
 
-def best_sections(hits: DataFrame) -> DataFrame:
+def best_sections(hits: DataFrame, group: tuple[str, ...] = ()) -> DataFrame:
     """query_id, path, distance, section_key: of each path its nearest section."""
-    best = hits.groupBy("query_id", "path").agg(F.min(F.struct("distance", "section_key")).alias("b"))
-    return best.select("query_id", "path", "b.distance", "b.section_key")
+    best = hits.groupBy(*group, "query_id", "path").agg(F.min(F.struct("distance", "section_key")).alias("b"))
+    return best.select(*group, "query_id", "path", "b.distance", "b.section_key")
 
 
-def fuse(lists: DataFrame, k: int = RRF_K) -> DataFrame:
+def fuse(lists: DataFrame, k: int = RRF_K, group: tuple[str, ...] = ()) -> DataFrame:
     """query_id, item, score: reciprocal ranks added up. lists(query_id, item, rank)."""
-    return lists.groupBy("query_id", "item").agg(F.round(F.sum(1 / (F.lit(k) + F.col("rank"))), 9).alias("score"))
+    return lists.groupBy(*group, "query_id", "item").agg(F.round(F.sum(1 / (F.lit(k) + F.col("rank"))), 9).alias("score"))
 
 
-def hybrid(docs: DataFrame, sections: DataFrame, text_queries: DataFrame, vector_queries: DataFrame, limit: int) -> DataFrame:
-    """query_id, path, score, rank, title, section_key: both rankings, twice as deep as asked for, fused.
+def hybrid(docs: DataFrame, sections: DataFrame, text_queries: DataFrame, vector_queries: DataFrame, limit: int, group: tuple[str, ...] = (), index: Index | None = None) -> DataFrame:
+    """query_id, path, score, rank, title, section_key: both rankings, twice as deep as asked for, fused. Without an index of the
+    documents one is made.
 
     The limit of the vector side counts sections, so a path with many near ones leaves room for fewer others."""
-    text = bm25(docs, text_queries, 2 * limit)
-    hits = best_sections(nearest(sections, vector_queries, 2 * limit))
-    near = hits.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("distance", "path")).cast("int"))
-    both = text.select("query_id", F.col("path").alias("item"), "rank").unionByName(near.select("query_id", F.col("path").alias("item"), "rank"))
-    found = top(fuse(both), limit, F.desc("score"), "item").withColumnRenamed("item", "path")
-    found = found.join(hits.select("query_id", "path", "section_key"), ["query_id", "path"], "left")
+    own = ("query_id", *group)
+    text = search_index(index, text_queries, 2 * limit) if index else bm25(docs, text_queries, 2 * limit, group=group)
+    hits = best_sections(nearest(sections, vector_queries, 2 * limit, group=group), group)
+    near = hits.withColumn("rank", F.row_number().over(W.partitionBy(*own).orderBy("distance", "path")).cast("int"))
+    both = text.select(*own, F.col("path").alias("item"), "rank").unionByName(near.select(*own, F.col("path").alias("item"), "rank"))
+    found = top(fuse(both, group=group), limit, F.desc("score"), "item", by=own).withColumnRenamed("item", "path")
+    found = found.join(hits.select(*own, "path", "section_key"), [*own, "path"], "left")
     # At most `limit` rows a query are left, so titles are looked up for few paths.
-    titles = docs.join(found.select("path").distinct(), "path", "left_semi").select("path", "title")
-    return found.join(titles, "path", "left").select("query_id", "path", "score", "rank", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("section_key", F.lit("")).alias("section_key"))
-
-
-def federated(by_vault: DataFrame, limit: int) -> DataFrame:
-    """The best of several vaults' results (vault, query_id, path, score), each cut to `limit` first."""
-    cut = by_vault.withColumn("_r", F.row_number().over(W.partitionBy("vault", "query_id").orderBy(F.desc("score"), "path"))).where(F.col("_r") <= limit).drop("_r")
-    return top(cut, limit, F.desc("score"), "vault", "path")
+    titles = docs.join(found.select(*group, "path").distinct(), [*group, "path"], "left_semi").select(*group, "path", "title")
+    found = found.join(titles, [*group, "path"], "left")
+    return found.select(*own, "path", "score", "rank", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("section_key", F.lit("")).alias("section_key"))
+
+
+def federated(docs: DataFrame, sections: DataFrame, text_queries: DataFrame, vector_queries: DataFrame, limit: int, index: Index | None = None) -> DataFrame:
+    """vault, query_id, path, score, rank, title, section_key: the best of what a hybrid search of each vault finds, each with its
+    own statistics and cut to `limit`; ties by vault and path. docs and sections have a column vault."""
+    found = hybrid(docs, sections, text_queries, vector_queries, limit, ("vault",), index).drop("rank")
+    return top(found, limit, F.desc("score"), "vault", "path")
+
+
+def open_vaults(vaults: dict[str, Callable[[], tuple[DataFrame, DataFrame]]]) -> tuple[DataFrame, DataFrame, dict[str, str]]:
+    """(docs, sections, errors) of several vaults for `federated`, by functions that open them; a vault that can't be opened is
+    left out, and errors say why."""
+    docs = sections = None
+    errors = {}
+    for name, open_ in sorted(vaults.items()):
+        try:
+            pair = [x.withColumn("vault", F.lit(name)) for x in open_()]
+        except Exception as e:
+            errors[name] = f"{type(e).__name__}: {e}"
+            continue
+        docs, sections = pair if docs is None else (docs.unionByName(pair[0]), sections.unionByName(pair[1]))
+    if docs is None:
+        raise LookupError(f"no vault can be opened: {errors}")
+    return docs, sections, errors

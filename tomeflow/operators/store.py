@@ -8,14 +8,21 @@ from pyspark.sql import functions as F
 from .manifest import needing_embedding
 
 
-def upsert(stored: DataFrame, changes: DataFrame, key: str = "path") -> DataFrame:
-    """stored with changes on top; both have the same columns."""
-    return stored.join(changes.select(key).distinct(), key, "left_anti").unionByName(changes)
+def upsert(stored: DataFrame, changes: DataFrame, key: str = "path", order: str | None = None) -> DataFrame:
+    """stored with changes on top, one row a key: of changes of one key the last by the column order, which only they have (without
+    one, the greatest by their other columns)."""
+    row = F.struct(*(c for c in stored.columns if c != key))
+    last = changes.groupBy(key).agg((F.max_by(row, order) if order else F.max(row)).alias("_last")).select(key, "_last.*")
+    return _replaced(stored, last, key).select(*stored.columns)
+
+
+def _replaced(stored: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    return stored.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
 
 
 def replace_sections(stored: DataFrame, new: DataFrame) -> DataFrame:
     """All sections of the paths in new go, its own come."""
-    return upsert(stored, new, "path")
+    return _replaced(stored, new, "path")
 
 
 def remove(stored: DataFrame, gone: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import payload, text
-from ..operators import budget, bundle, compile, lint, manifest, search, store
+from ..operators import bundle, compile, lint, manifest, search, store
 from ..streaming import state
 from . import derived as d
 
@@ -170,11 +170,11 @@ def purged_blobs(spark, sf):
     return manifest.purged_blobs(d.events(spark, sf))
 
 
-@query(f"WITH {d.ENTRIES}, {d.PROVENANCE} SELECT uri, raw_id FROM vs JOIN et USING (uri) WHERE status = 'ACTIVE' AND pending AND raw_id NOT IN (SELECT regexp_extract(resource, '([^/]+?)(\\.[^./]*)?$', 1) FROM pv WHERE page LIKE '%7.md')")
+@query(f"WITH {d.ENTRIES}, {d.PROVENANCE} SELECT uri, raw_id FROM vs JOIN et USING (uri) WHERE status = 'ACTIVE' AND pending AND raw_id NOT IN (SELECT regexp_extract(resource, '([^/]+?)(\\.[^./]*)?$', 1) FROM pv)")
 def select_sources_diff(spark, sf):
     e = d.events(spark, sf)
-    cited = d.provenance(spark, sf).where(F.col("page").like("%7.md"))
-    return compile.select_sources(manifest.active(manifest.versions(e)), manifest.entries(e), cited)
+    v = manifest.versions(e)
+    return compile.select_sources(manifest.active(v), manifest.entries(e, versions_=v), d.provenance(spark, sf))
 
 
 @query("SELECT 'raw_' || substr(sha256(text), 1, 10) AS raw_id, 'sha256:' || sha256(text) AS hash, count(*) AS n_documents, min(doc_id) AS first_doc FROM documents GROUP BY ALL")
@@ -312,12 +312,12 @@ def truncate_marker(spark, sf):
 _RELATED = "re AS (SELECT query_id, path, rank, CAST(ceil(length(body) / 4) AS BIGINT) AS tokens FROM bm JOIN (SELECT 'p' || doc_id AS path, text AS body FROM documents) USING (path))"
 
 
-@query(f"WITH {d.BM25.format(n=LIMIT)}, {_RELATED}, ru AS (SELECT *, CAST(sum(tokens) OVER (PARTITION BY query_id ORDER BY rank) AS BIGINT) AS running_tokens FROM re) SELECT * FROM ru WHERE 100 + running_tokens <= 2000")
+@query(f"WITH {d.RELATED.format(n=LIMIT)}, {_RELATED}, ru AS (SELECT *, CAST(sum(tokens) OVER (PARTITION BY query_id ORDER BY rank) AS BIGINT) AS running_tokens FROM re) SELECT * FROM ru WHERE 100 + running_tokens <= 2000")
 def trim_related(spark, sf):
     docs = d.search_docs(spark, sf)
-    found = search.bm25(docs, d.text_queries(spark, sf), LIMIT)
+    found = search.search_index(d.index(spark, sf), d.related_queries(spark, sf), LIMIT)
     sized = found.join(docs.select("path", text.estimate_tokens(F.col("body")).alias("tokens")), "path")
-    return budget.trim_related(sized.select("query_id", "path", "rank", "tokens"), F.lit(100), 2_000)
+    return compile.trim_related(sized.select("query_id", "path", "rank", "tokens"), F.lit(100), 2_000)
 
 
 @query(
@@ -353,12 +353,12 @@ def term_statistics(spark, sf):
 
 @query(f"WITH {d.BM25.format(n=LIMIT)} SELECT query_id, path, score, rank FROM bm")
 def bm25_topk(spark, sf):
-    return search.bm25(d.search_docs(spark, sf), d.text_queries(spark, sf), LIMIT)
+    return search.search_index(d.index(spark, sf), d.text_queries(spark, sf), LIMIT)
 
 
-@query(f"WITH {d.BM25.format(n=5)} SELECT query_id, path, score, rank FROM bm")
+@query(f"WITH {d.RELATED.format(n=5)} SELECT query_id, path, score, rank FROM bm")
 def related_batch(spark, sf):
-    return search.bm25(d.search_docs(spark, sf), d.text_queries(spark, sf), 5)
+    return search.search_index(d.index(spark, sf), d.related_queries(spark, sf), 5)
 
 
 @query(f"WITH {d.KNN.format(n=LIMIT)} SELECT * FROM kn")
@@ -388,7 +388,7 @@ def _asked_vectors(spark, sf):
 
 @query(f"WITH {_FUSED} SELECT query_id, item, score FROM fu")
 def rrf_merge(spark, sf):
-    text_list = search.bm25(d.search_docs(spark, sf), d.text_queries(spark, sf), 2 * LIMIT).select("query_id", F.col("path").alias("item"), "rank")
+    text_list = search.search_index(d.index(spark, sf), d.text_queries(spark, sf), 2 * LIMIT).select("query_id", F.col("path").alias("item"), "rank")
     best = search.best_sections(search.nearest(d.vectors(spark, sf), _asked_vectors(spark, sf), 2 * LIMIT))
     near = best.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("distance", "path")).cast("int"))
     return search.fuse(text_list.unionByName(near.select("query_id", F.col("path").alias("item"), "rank")))
@@ -401,18 +401,34 @@ def rrf_merge(spark, sf):
     LEFT JOIN (SELECT query_id // 50 AS query_id, path AS item, section_key FROM be) USING (query_id, item)"""
 )
 def hybrid_search(spark, sf):
-    return search.hybrid(d.search_docs(spark, sf), d.vectors(spark, sf), d.text_queries(spark, sf), _asked_vectors(spark, sf), LIMIT)
+    return search.hybrid(d.search_docs(spark, sf), d.vectors(spark, sf), d.text_queries(spark, sf), _asked_vectors(spark, sf), LIMIT, index=d.index(spark, sf))
 
 
 @query(
-    f"""WITH {d.BM25.format(n=50)}, vr AS (SELECT lang AS vault, query_id, path, score FROM bm JOIN (SELECT 'p' || doc_id AS path, lang FROM documents) USING (path)),
-    cu AS (SELECT * FROM vr QUALIFY row_number() OVER (PARTITION BY vault, query_id ORDER BY score DESC, path) <= {LIMIT})
-    SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vault, path) AS INTEGER) AS rank FROM cu QUALIFY rank <= {LIMIT}"""
+    f"""WITH {d.BM25_BY_VAULT.format(n=2 * LIMIT)}, sv AS (
+        SELECT 'p' || (vec_id // 5) || '#' || (vec_id % 5) AS section_key, 'p' || (vec_id // 5) AS path, coalesce(lang, 'none') AS vault, CAST(embedding AS DOUBLE[]) AS v
+        FROM embeddings LEFT JOIN documents ON doc_id = vec_id // 5
+    ), dist AS (
+        SELECT vault, q.vec_id // 50 AS query_id, section_key, path, round(list_distance(CAST(q.embedding AS DOUBLE[]), v), 6) AS distance
+        FROM (SELECT * FROM embeddings WHERE vec_id % 50 = 0 AND vec_id // 50 IN (SELECT item_id FROM benchmark)) q, sv
+    ), kn AS (
+        SELECT * FROM dist QUALIFY row_number() OVER (PARTITION BY vault, query_id ORDER BY distance, section_key) <= {2 * LIMIT}
+    ), be AS (
+        SELECT vault, query_id, path, min(distance) AS distance, arg_min(section_key, (distance, section_key)) AS section_key FROM kn GROUP BY ALL
+    ), ls AS (
+        SELECT vault, query_id, path, rank FROM bm
+        UNION ALL SELECT vault, query_id, path, row_number() OVER (PARTITION BY vault, query_id ORDER BY distance, path) FROM be
+    ), fu AS (
+        SELECT * FROM (SELECT vault, query_id, path, round(sum(1 / (60 + rank)), 9) AS score FROM ls GROUP BY ALL)
+        QUALIFY row_number() OVER (PARTITION BY vault, query_id ORDER BY score DESC, path) <= {LIMIT}
+    )
+    SELECT vault, query_id, path, score, coalesce(title, '') AS title, coalesce(section_key, '') AS section_key,
+           CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vault, path) AS INTEGER) AS rank
+    FROM fu LEFT JOIN (SELECT lang AS vault, 'p' || doc_id AS path, string_split(text, chr(10))[1] AS title FROM documents) USING (vault, path)
+    LEFT JOIN be USING (vault, query_id, path) QUALIFY rank <= {LIMIT}"""
 )
 def federated_search(spark, sf):
-    found = search.bm25(d.search_docs(spark, sf), d.text_queries(spark, sf), 50)
-    langs = d.read(spark, sf, "documents").select(F.concat(F.lit("p"), "doc_id").alias("path"), F.col("lang").alias("vault"))
-    return search.federated(found.join(langs, "path").select("vault", "query_id", "path", "score"), LIMIT)
+    return search.federated(d.search_docs(spark, sf), d.section_vaults(spark, sf), d.text_queries(spark, sf), _asked_vectors(spark, sf), LIMIT, d.index(spark, sf, by_vault=True))
 
 
 # ---- operations, jobs, folds, streams ---------------------------------------------------------------------------
@@ -429,13 +445,55 @@ def apply_ops_latest(spark, sf):
     return compile.apply_operations(pages, d.operations(spark, sf))
 
 
-@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN true WHEN 1 THEN true ELSE false END AS valid, CASE event_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 END AS n_operations FROM events""")
+@query("""WITH op AS (
+        SELECT doc_id AS source_seq, CASE doc_id % 4 WHEN 0 THEN './wiki//concepts/x/../d' || doc_id % 300 || '.md' WHEN 1 THEN '../../etc/d' || doc_id WHEN 2 THEN '/etc/d' || doc_id ELSE 'wiki/concepts/d' || doc_id % 300 || '.md' END AS path,
+               'a' || doc_id AS content, 0 AS op_seq FROM documents
+        UNION ALL SELECT doc_id, 'wiki/entities/e' || doc_id % 50 || '.md', 'b' || doc_id, 1 FROM documents
+    ), ok AS (SELECT * FROM op WHERE source_seq % 4 IN (0, 3))
+    SELECT CASE WHEN starts_with(path, './') THEN 'wiki/concepts/d' || source_seq % 300 || '.md' ELSE path END AS path, arg_max(content, (source_seq, op_seq)) AS content FROM ok GROUP BY 1""")
+def apply_ops_sandboxed(spark, sf):
+    """A third of the sources name a path outside the vault, and change nothing."""
+    docs, i = d.read(spark, sf, "documents"), F.col("doc_id")
+    plain = F.concat(F.lit("wiki/concepts/d"), i % 300, F.lit(".md"))
+    first = F.when(i % 4 == 0, F.concat(F.lit("./wiki//concepts/x/../d"), i % 300, F.lit(".md"))).when(i % 4 == 1, F.concat(F.lit("../../etc/d"), i)).when(i % 4 == 2, F.concat(F.lit("/etc/d"), i)).otherwise(plain)
+    make = lambda path, content: F.struct(F.lit("CREATE_OR_UPDATE").alias("action"), path.alias("path"), F.concat(F.lit(content), i).alias("content"))
+    ops = F.array(make(first, "a"), make(F.concat(F.lit("wiki/entities/e"), i % 50, F.lit(".md")), "b"))
+    done = docs.select(i.alias("source_seq"), F.posexplode(ops).alias("op_seq", "o")).select("source_seq", "op_seq", "o.*")
+    return compile.apply_operations(spark.createDataFrame([], "path string, content string"), done)
+
+
+@query("""WITH s AS (SELECT 'u' || user_id AS path, event_type AS hash FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) = 1),
+          c AS (SELECT 'u' || user_id % 700 AS path, arg_max(event_type || event_id, event_id) AS hash FROM events GROUP BY 1)
+          SELECT path, coalesce(c.hash, s.hash) AS hash FROM s FULL JOIN c USING (path)""")
+def upsert_documents(spark, sf):
+    """Many changes of one key; the last holds."""
+    e = d.read(spark, sf, "events")
+    stored = e.groupBy(F.concat(F.lit("u"), "user_id").alias("path")).agg(F.min_by("event_type", "event_id").alias("hash"))
+    changes = e.select(F.concat(F.lit("u"), F.col("user_id") % 700).alias("path"), F.concat("event_type", "event_id").alias("hash"), "event_id")
+    return store.upsert(stored, changes, order="event_id")
+
+
+@query("""SELECT event_id, event_id % 12 IN (0, 1, 9, 10) AS valid, CASE event_id % 12 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 9 THEN 0 WHEN 10 THEN 1 END AS n_operations FROM events""")
 def parse_payloads(spark, sf):
-    i = F.col("event_id") % 4
+    i = F.col("event_id") % 12
     one = F.format_string('{"action": "CREATE_OR_UPDATE", "path": "wiki/%s.md", "content": "x"}', "event_type")
     gone = F.lit('{"action": "DELETE", "path": "wiki/gone.md", "reason": "merged"}')
     whole = lambda *ops: F.concat(F.lit('{"operations": ['), F.concat_ws(", ", *ops), F.lit("]}"))
-    p = F.when(i == 0, F.concat(F.lit("```json\n"), whole(one), F.lit("\n```"))).when(i == 1, whole(one, gone)).when(i == 2, whole(F.lit('{"action": "RENAME", "path": "a"}'))).otherwise("Here is the payload you asked for.")
+    made = [
+        F.concat(F.lit("```json\n"), whole(one), F.lit("\n```")),
+        whole(one, gone),
+        whole(F.lit('{"action": "RENAME", "path": "a"}')),
+        F.lit("Here is the payload you asked for."),
+        F.concat(whole(one), F.lit("\nThat is all.")),
+        whole(F.lit('{"action": "CREATE_OR_UPDATE", "path": "a", "content": 5}')),
+        whole(F.lit('{"action": "DELETE", "path": "a"}')),
+        whole(F.lit('{"action": "DELETE", "path": null, "reason": "r"}')),
+        F.lit('{"operations": {"action": "DELETE"}}'),
+        F.lit('{"operations": []}'),
+        F.concat(F.lit('{"note": 1, "operations": ['), one, F.lit("]}")),
+        F.concat(whole(one), F.lit(","), whole(one)),
+    ]
+    p = F.get(F.array(*made), i.cast("int"))
     parsed = d.read(spark, sf, "events").select("event_id", payload.operations(p).alias("p"))
     return parsed.select("event_id", F.col("p.valid").alias("valid"), F.when(F.col("p.valid"), F.size("p.operations")).alias("n_operations"))
 
@@ -508,9 +566,9 @@ def stream_manifest(spark, sf):
     return state.run_to_end(d.events(spark, sf), state.manifest_stream).select("uri", "seq", "op", "outcome")
 
 
-@query()
+@query("""SELECT event_id, '{"api_key": "[REDACTED]", "props": ' || props || '}' AS props FROM events""")
 def redact_props(spark, sf):
-    """Arbitrary nesting isn't SQL; tests hold it against a recursive function."""
+    """The tables' props are flat; tests hold other nesting against a recursive function."""
     e = d.read(spark, sf, "events")
     return e.select("event_id", payload.redact(F.concat(F.lit('{"api_key": "k", "props": '), "props", F.lit("}"))).alias("props"))
 
@@ -520,12 +578,36 @@ def _calls(spark, sf):
     return e.select("user_id", F.col("event_id").alias("call_id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"), (F.col("value") < F.lit(30.0)).alias("failed"))
 
 
-@query()
+_CALLS = """ca AS (
+        SELECT user_id, event_id AS call_id, epoch_us(ts) / 1e6 AS t, value < 30 AS failed, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS n FROM events
+    )"""
+
+
+@query(
+    f"""WITH RECURSIVE {_CALLS}, fo AS (
+        SELECT user_id, call_id, n, [t] AS passed, true AS result FROM ca WHERE n = 1
+        UNION ALL
+        SELECT user_id, call_id, n, CASE WHEN len(live) < 3 THEN list_append(live, t) ELSE live END, len(live) < 3
+        FROM (SELECT ca.user_id, ca.call_id, ca.n, ca.t, list_filter(fo.passed, lambda p: ca.t - p < 86400) AS live FROM fo JOIN ca ON ca.user_id = fo.user_id AND ca.n = fo.n + 1)
+    ) SELECT user_id, call_id, result FROM fo"""
+)
 def rate_limiter(spark, sf):
-    """A refused call leaves no trace, so this is a sequential fold; tests hold it against a plain loop."""
+    """A refused call leaves no trace, so this is a sequential fold."""
     return state.rate_limiter(_calls(spark, sf), "user_id", limit=3, window=86_400.0)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_CALLS}, fo AS (
+        SELECT user_id, n, call_id, 'closed' AS result, failed::INT AS failures, 'closed' AS state, t AS since FROM ca WHERE n = 1
+        UNION ALL
+        SELECT user_id, n, call_id, met, CASE WHEN met = 'open' THEN failures WHEN failed THEN failures + 1 ELSE 0 END,
+               CASE WHEN met = 'open' THEN state WHEN NOT failed THEN 'closed' WHEN met = 'half_open' OR failures + 1 >= 3 THEN 'open' ELSE met END,
+               CASE WHEN met <> 'open' AND failed AND (met = 'half_open' OR failures + 1 >= 3) THEN t ELSE since END
+        FROM (
+            SELECT ca.*, fo.failures, fo.state, fo.since, CASE WHEN fo.state <> 'open' THEN fo.state WHEN ca.t - fo.since < 86400 THEN 'open' ELSE 'half_open' END AS met
+            FROM fo JOIN ca ON ca.user_id = fo.user_id AND ca.n = fo.n + 1
+        )
+    ) SELECT user_id, call_id, result FROM fo"""
+)
 def circuit_breaker(spark, sf):
     return state.circuit_breaker(_calls(spark, sf), "user_id", threshold=3, reset=86_400.0)

@@ -5,12 +5,15 @@ The tables hold prose without wiki syntax, so links, provenance and the event lo
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..operators import search
 from ..operators.ordered import numbered
-from ..sources.partitions import spread
+from ..sources.partitions import checkpoint_dir, spread
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -162,32 +165,58 @@ FILES = "fl AS (SELECT DISTINCT 'raw/raw_' || substr(sha256(text), 1, 10) || '.m
 
 def search_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "documents")
-    return d.select(F.concat(F.lit("p"), "doc_id").alias("path"), F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("body"))
+    return d.select(F.concat(F.lit("p"), "doc_id").alias("path"), F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("body"), F.col("lang").alias("vault"))
+
+
+_indexes: dict[tuple, str] = {}
+
+
+def index(spark: SparkSession, sf_dir: str, by_vault: bool = False) -> search.Index:
+    """The text index of the documents, made by the first query of a session that needs it, as long as the table's files stay the same."""
+    table = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
+    files = table.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(table)
+    key = (spark.sparkContext.applicationId, by_vault, tuple(sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files)))
+    group = ("vault",) if by_vault else ()
+    if key not in _indexes:
+        path = f"{checkpoint_dir(spark)}/index-{uuid.uuid4().hex}"
+        search.write_index(search_docs(spark, sf_dir), path, group=group)
+        _indexes[key] = path
+    return search.read_index(spark, _indexes[key], group)
 
 
 def text_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """query_id, text: the benchmark's items, whole as to their number."""
-    return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), text.query_text(F.col("text")).alias("text"))
-
-
-_BM25_FIELD = """{f}t AS (SELECT 'p' || doc_id AS path, list_filter(string_split_regex(lower({e}), '[^\\pL\\pN]+'), lambda t: t <> '' AND strlen(t) < 40) AS ts FROM documents),
-{f}s AS (SELECT count(*) AS n, coalesce(nullif(avg(len(ts)), 0), 1) AS mean FROM {f}t),
-{f}p AS (SELECT path, len(ts) AS dl, unnest(ts) AS term FROM {f}t),
-{f}c AS (SELECT path, dl, term, count(*) AS tf FROM {f}p WHERE term IN (SELECT term FROM qt) GROUP BY ALL),
-{f}d AS (SELECT term, count(*) AS df FROM {f}c GROUP BY term),
-{f}x AS (SELECT query_id, path, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean)) AS s
-         FROM {f}c JOIN {f}d USING (term) JOIN qt USING (term), {f}s)"""
-BM25 = (
-    """qt AS (SELECT DISTINCT item_id AS query_id, term FROM (SELECT item_id, unnest(string_split_regex(lower(substr(text, 1, 500)), '[^\\pL\\pN]+')) AS term FROM benchmark) WHERE term <> '' AND strlen(term) < 40),
-"""
-    + _BM25_FIELD.format(f="ti", e="string_split(text, chr(10))[1]")
-    + ",\n"
-    + _BM25_FIELD.format(f="bo", e="text")
-    + """,
-bs AS (SELECT query_id, path, round(sum(s), 6) AS score FROM (SELECT * FROM tix UNION ALL SELECT * FROM box) GROUP BY ALL),
-bm AS (SELECT query_id, path, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path) AS INTEGER) AS rank FROM bs
-       QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path) <= {n})"""
-)
+    """query_id, text: the benchmark's items, whole."""
+    return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+def related_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, cut as the search for related pages cuts them."""
+    return text_queries(spark, sf_dir).withColumn("text", text.query_text(F.col("text")))
+
+
+def _bm25_sql(query_text: str, documents: str, by: str = "") -> str:
+    """bm: the best {n} of each query (and of each group, by a column that `documents` has)."""
+    g, using = (f"{by}, ", f"JOIN {{x}} USING ({by})") if by else ("", ", {x}")
+
+    def field(f: str, e: str) -> str:
+        return f"""{f}t AS (SELECT {g}'p' || doc_id AS path, list_filter(string_split_regex(lower({e}), '[^\\pL\\pN]+'), lambda t: t <> '' AND strlen(t) < 40) AS ts FROM {documents}),
+{f}s AS (SELECT {g}count(*) AS n, coalesce(nullif(avg(len(ts)), 0), 1) AS mean FROM {f}t {f"GROUP BY {by}" if by else ""}),
+{f}p AS (SELECT {g}path, len(ts) AS dl, unnest(ts) AS term FROM {f}t),
+{f}c AS (SELECT {g}path, dl, term, count(*) AS tf FROM {f}p WHERE term IN (SELECT term FROM qt) GROUP BY ALL),
+{f}d AS (SELECT {g}term, count(*) AS df FROM {f}c GROUP BY ALL),
+{f}x AS (SELECT {g}query_id, path, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean)) AS s
+         FROM {f}c JOIN {f}d USING ({g}term) JOIN qt USING (term) {using.format(x=f + "s")})"""
+
+    return f"""qt AS (SELECT DISTINCT item_id AS query_id, term FROM (SELECT item_id, unnest(string_split_regex(lower({query_text}), '[^\\pL\\pN]+')) AS term FROM benchmark) WHERE term <> '' AND strlen(term) < 40),
+{field("ti", "string_split(text, chr(10))[1]")}, {field("bo", "text")},
+bs AS (SELECT {g}query_id, path, round(sum(s), 6) AS score FROM (SELECT * FROM tix UNION ALL SELECT * FROM box) GROUP BY ALL),
+bm AS (SELECT {g}query_id, path, score, CAST(row_number() OVER (PARTITION BY {g}query_id ORDER BY score DESC, path) AS INTEGER) AS rank FROM bs
+       QUALIFY row_number() OVER (PARTITION BY {g}query_id ORDER BY score DESC, path) <= {{n}})"""
+
+
+BM25 = _bm25_sql("text", "documents")
+RELATED = _bm25_sql("substr(text, 1, 500)", "documents")
+BM25_BY_VAULT = _bm25_sql("text", "(SELECT *, lang AS vault FROM documents)", "vault")
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -196,6 +225,12 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.concat(path, F.lit("#"), i % 5).alias("section_key"), path.alias("path"), F.col("embedding").alias("vector"), i)
 
 
+def section_vaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vectors with their document's language as the vault; those of no document are in the vault 'none'."""
+    langs = read(spark, sf_dir, "documents").select(F.concat(F.lit("p"), "doc_id").alias("path"), F.col("lang").alias("vault"))
+    return vectors(spark, sf_dir).join(langs, "path", "left").withColumn("vault", F.coalesce("vault", F.lit("none")))
+
+
 def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """query_id, vector: every fiftieth vector."""
     return read(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
@@ -210,6 +245,10 @@ kn AS (
 )"""
 
 
+#: Sections that a turn has at most: a text of less than 2 GB can't have more headings.
+PARTS = 1 << 30
+
+
 def chat_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """path, i, heading, text: the sections of each conversation's transcript, where every turn is a heading and a text.
 
@@ -217,8 +256,9 @@ def chat_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read(spark, sf_dir, "conversations")
     cut = F.posexplode(text.sections(F.concat(F.lit("## "), "role", F.lit("\n"), "text"))).alias("k", "s")
     t = c.select(F.concat(F.lit("chat"), "conv_id").alias("path"), "turn", cut).where("s.text <> ''")
-    t = t.select("path", (F.col("turn") * 1_000_000 + F.col("k")).alias("at"), "s.heading", "s.text")
-    return numbered(t, ["path"], "at", "i").select("path", (F.col("i") - 1).alias("i"), "heading", "text")
+    t = t.select("path", (F.col("turn") * PARTS + F.col("k")).alias("at"), "s.heading", "s.text")
+    # Order values lie PARTS apart, so a chunk holds some thousand turns.
+    return numbered(t, ["path"], "at", "i", width=PARTS << 12).select("path", (F.col("i") - 1).alias("i"), "heading", "text")
 
 
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -229,14 +269,14 @@ def operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """source_seq, op_seq, action, path, content: two operations for each document, on few paths."""
     d, i = read(spark, sf_dir, "documents"), F.col("doc_id")
     ops = F.array(
-        F.struct(F.lit("CREATE_OR_UPDATE").alias("action"), F.concat(F.lit("wiki/concepts/d"), (i * 7) % 300, F.lit(".md")).alias("path"), F.substring("text", 1, 20).alias("content")),
+        F.struct(F.lit("CREATE_OR_UPDATE").alias("action"), F.concat(F.lit("wiki/concepts/d"), (i * 7) % 300, F.lit(".md")).alias("path"), F.col("text").alias("content")),
         F.struct(F.when(i % 5 == 1, "DELETE").otherwise("CREATE_OR_UPDATE").alias("action"), F.concat(F.lit("wiki/concepts/d"), (i * 11) % 400, F.lit(".md")).alias("path"), F.when(i % 5 != 1, F.col("lang")).alias("content")),
     )
     return d.select(i.alias("source_seq"), F.posexplode(ops).alias("op_seq", "o")).select("source_seq", "op_seq", "o.*")
 
 
 OPERATIONS = """op AS (
-    SELECT doc_id AS source_seq, 0 AS op_seq, 'CREATE_OR_UPDATE' AS action, 'wiki/concepts/d' || ((doc_id * 7) % 300) || '.md' AS path, substr(text, 1, 20) AS content FROM documents
+    SELECT doc_id AS source_seq, 0 AS op_seq, 'CREATE_OR_UPDATE' AS action, 'wiki/concepts/d' || ((doc_id * 7) % 300) || '.md' AS path, text AS content FROM documents
     UNION ALL
     SELECT doc_id, 1, CASE WHEN doc_id % 5 = 1 THEN 'DELETE' ELSE 'CREATE_OR_UPDATE' END, 'wiki/concepts/d' || ((doc_id * 11) % 400) || '.md', CASE WHEN doc_id % 5 <> 1 THEN lang END FROM documents
 )"""

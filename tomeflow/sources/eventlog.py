@@ -37,6 +37,14 @@ def delete(log: DataFrame, uris: DataFrame, at, reason: str | None = None, purge
     return uris.select("uri", (F.lit(last + 1) + F.col("position")).alias("seq"), F.lit("purge" if purge else "delete").alias("op"), F.lit(None).cast("string").alias("hash"), F.lit(reason).alias("reason"), F.lit(at).cast("timestamp").alias("at"))
 
 
+def compiled(log: DataFrame, outcomes: DataFrame, at) -> DataFrame:
+    """Events that mark the sources of a run (source_seq, uri, error) compiled at their current content, but for failed ones."""
+    last = log.agg(F.coalesce(F.max("seq"), F.lit(-1))).first()[0]
+    none = F.lit(None).cast("string")
+    done = outcomes.where("error IS NULL")
+    return done.select("uri", (F.lit(last + 1) + F.col("source_seq")).alias("seq"), F.lit("compile").alias("op"), none.alias("hash"), none.alias("reason"), F.lit(at).cast("timestamp").alias("at"))
+
+
 def outcomes_of(log: DataFrame, new: DataFrame) -> DataFrame:
     """What the new events do on top of the log: only the logs of the uris that they name are looked at."""
     own = log.join(new.select("uri").distinct(), "uri", "left_semi").unionByName(new)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tomllib
 from pathlib import Path, PurePosixPath
 
@@ -56,6 +57,51 @@ def save_registry(path: str, vaults: dict[str, dict]) -> None:
     os.replace(path + ".tmp", path)
 
 
+def add_vault(registry_path: str, name: str, path: str, description: str | None = None) -> None:
+    """Registers a folder under a name; a name that is known gets the new folder, and stays the default if it was."""
+    vaults = registry(registry_path)
+    vaults[name] = {"path": path, "description": description, "is_default": vaults.get(name, {}).get("is_default", False)}
+    save_registry(registry_path, vaults)
+
+
+def create_vault(registry_path: str, name: str, path: str, description: str | None = None, marker: str = MARKER) -> None:
+    """Makes the folders of a new vault and registers it; a folder that holds anything is refused."""
+    if os.path.isdir(path) and os.listdir(path):
+        raise ValueError(f"{path} isn't empty: add it as a vault that exists")
+    for folder in (marker, "wiki/concepts", "raw"):
+        os.makedirs(os.path.join(path, folder), exist_ok=True)
+    add_vault(registry_path, name, path, description)
+
+
+def _known(registry_path: str, name: str) -> dict[str, dict]:
+    vaults = registry(registry_path)
+    if name not in vaults:
+        raise LookupError(f"no vault is registered as {name}")
+    return vaults
+
+
+def remove_vault(registry_path: str, name: str) -> None:
+    """Takes a name from the registry, and with it the default if it was that; the folder stays."""
+    vaults = _known(registry_path, name)
+    del vaults[name]
+    save_registry(registry_path, vaults)
+
+
+def delete_vault(registry_path: str, name: str, force: bool = False) -> None:
+    """Removes a vault's folder for good, then its name, so that a removal that fails can be tried again."""
+    path = _known(registry_path, name)[name]["path"]
+    if not force:
+        raise PermissionError(f"{path} and everything in it would be deleted: needs force")
+    if os.path.isdir(path):
+        shutil.rmtree(path)
+    remove_vault(registry_path, name)
+
+
+def default_vault(registry_path: str, name: str) -> None:
+    vaults = _known(registry_path, name)
+    save_registry(registry_path, {n: v | {"is_default": n == name} for n, v in vaults.items()})
+
+
 def registry_table(spark: SparkSession, vaults: dict[str, dict]) -> DataFrame:
     rows = [(n, v["path"], v.get("description"), bool(v.get("is_default"))) for n, v in sorted(vaults.items())]
     return spark.createDataFrame(rows, "name string, path string, description string, is_default boolean")

@@ -6,6 +6,7 @@ import io
 import re
 import zipfile
 from collections.abc import Callable, Iterator
+from functools import partial
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -27,11 +28,11 @@ def raw_files(spark: SparkSession, root: str) -> DataFrame:
     return files.select("path", text.file_stem(F.col("path")).alias("raw_id"), text.raw_title(body).alias("title"), body.alias("body"))
 
 
-def wiki_pages(spark: SparkSession, root: str) -> DataFrame:
+def wiki_pages(spark: SparkSession, root: str, version_field: str = "version") -> DataFrame:
     """path, content and the fields of wiki/concepts and wiki/entities, with parse_error where a page can't be read; each
-    consumer decides what to do with those."""
+    consumer decides what to do with those. The format's version is read from the field that the caller names."""
     files = _markdown(spark, f"{root}/wiki/concepts").unionByName(_markdown(spark, f"{root}/wiki/entities"))
-    return files.mapInPandas(_parse_pages, f"path string, content string, {PAGE_FIELDS}")
+    return files.mapInPandas(partial(_parse_pages, version_field=version_field), f"path string, content string, {PAGE_FIELDS}")
 
 
 def _markdown(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
@@ -44,7 +45,7 @@ def _markdown(spark: SparkSession, folder: str, recursive: bool = True) -> DataF
     return found.select(relative.alias("path"), F.col("content").cast("string").alias("content"))
 
 
-def parse_page(content: str) -> dict:
+def parse_page(content: str, version_field: str = "version") -> dict:
     """The fields of a page; parse_error says which of the three ways of being unreadable it is."""
     if not content.startswith("---\n"):
         return {"parse_error": "no front matter"}
@@ -57,7 +58,7 @@ def parse_page(content: str) -> dict:
             raise ValueError("type and title are required")
         sources = [s["resource"] for s in meta.get("sources") or []]
         optional = {k: None if meta.get(k) is None else str(meta[k]) for k in ("description", "id", "timestamp")}
-        optional["version"] = next((str(v) for k, v in meta.items() if str(k).endswith("_version") and v is not None), None)
+        optional["version"] = None if meta.get(version_field) is None else str(meta[version_field])
         tags = [str(t) for t in meta.get("tags") or []]
     except Exception as e:
         return {"parse_error": f"bad front matter: {str(e).splitlines()[0]}"}
@@ -87,10 +88,10 @@ def repair_ids(pages: DataFrame) -> DataFrame:
     return pages.where("parse_error IS NOT NULL").select("path", "content").mapInPandas(run, "path string, content string")
 
 
-def _parse_pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _parse_pages(batches: Iterator[pd.DataFrame], version_field: str) -> Iterator[pd.DataFrame]:
     names = [f.split()[0] for f in PAGE_FIELDS.split(", ")]
     for b in batches:
-        parsed = [parse_page(c or "") for c in b["content"]]
+        parsed = [parse_page(c or "", version_field) for c in b["content"]]
         for n in names[1:]:
             b[n] = [p.get(n) for p in parsed]
         b["slug"] = [p.rsplit("/", 1)[-1].removesuffix(".md") for p in b["path"]]
@@ -143,13 +144,20 @@ def split_sources(sources: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def web_documents(pages: DataFrame, to_markdown: Callable[[str], str]) -> DataFrame:
-    """uri, content of fetched pages (url, html) by a converter."""
+    """uri, content, error of fetched pages (url, html) by a converter; a page that it fails on is a row with an error."""
+
+    def one(html: str | None) -> tuple[str | None, str | None]:
+        try:
+            return (to_markdown(html), None) if html is not None else (None, "no content")
+        except Exception as e:
+            return None, f"{type(e).__name__}: {e}"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"uri": b["url"], "content": [to_markdown(h) if h is not None else None for h in b["html"]]})
+            rows = [(u, *one(h)) for u, h in zip(b["url"], b["html"], strict=True)]
+            yield pd.DataFrame(rows, columns=["uri", "content", "error"])
 
-    return pages.select("url", "html").mapInPandas(run, "uri string, content string")
+    return pages.select("url", "html").mapInPandas(run, "uri string, content string, error string")
 
 
 def append_blobs(documents: DataFrame, path: str) -> None:
