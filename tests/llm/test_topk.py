@@ -1,3 +1,6 @@
+import math
+from fractions import Fraction
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -43,6 +46,37 @@ def test_large_components_stay_exact(spark, scale):
     assert run(spark, rows, shard_rows=30) == brute(rows)
 
 
+def test_components_of_any_size(spark):
+    """Beyond 2**62 after scaling, beyond a double after scaling, and scores beyond a long: these count as the nearest long."""
+    rows = [(0, [1e17, -2.5]), (20, [1.0, 0.5]), (40, [1e308, 1.0]), (1, [3e17, 1.25]), (2, [-1e300, 7.0]), (3, [0.0, 1e-300]), (60, [1.7e308, -1.7e308]), (61, [0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    ints = {i: [math.floor(Fraction(x) * 64) for x in v] for i, v in rows}
+    want = []
+    for i in (0, 20, 40, 60):
+        score = {j: max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(ints[i], w, strict=True)))) for j, w in ints.items() if j != i}
+        want += [(i, r + 1, j, score[j]) for r, j in enumerate(sorted(score, key=lambda j: (-score[j], j)))]
+    for shard_rows in (3, 100):
+        assert sorted(tuple(r) for r in topk.top_k(df, shard_rows=shard_rows).collect()) == want
+
+
+def test_seeds_of_ids_with_several_vectors(spark):
+    """A kth score that one of an id's vectors finds holds for the merged list of all."""
+    rng = np.random.default_rng(6)
+    rows = [(int(i), [float(x) for x in rng.integers(-9, 10, 2) / 64]) for i in rng.integers(0, 90, 400)]
+    good = {(i, tuple(int(64 * x) for x in v)) for i, v in rows}
+    want = []
+    for i in sorted({i for i, _ in good if i % 20 == 0}):
+        best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), j) for own, v in good if own == i for j, w in good if j != i)[:20]
+        want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(best)]
+    assert run(spark, rows, shard_rows=50, block_queries=4) == want
+
+
+def test_trees_are_built_once(spark):
+    df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(200)], ROWS)
+    plan = topk.top_k(df, shard_rows=20, block_queries=2)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FlatMapCoGroupsInArrow") == 1 and "FlatMapGroupsInArrow" not in plan
+
+
 def test_bounds_hold_and_boxes_are_tight():
     rng = np.random.default_rng(3)
     vecs = rng.integers(-64, 65, (1000, 8))
