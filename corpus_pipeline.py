@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tomeflow.llm import decontaminate, mixing, near_copies, pii, toxicity
-from tomeflow.llm.common import table, written
+from tomeflow.llm.common import discard, table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,8 +57,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mix of documents; what each stage keeps is written to the shared folder before the next begins."""
-    docs = table(spark, sf_dir, "documents")
+    """The mix of documents; what each stage keeps is written to the shared folder before the next begins, and what it was made
+    from is removed."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -84,3 +84,49 @@ def test_features():
     f = quality.text_features("AB ab 12!\nAB ab 12!\né|")
     assert f.shape == (quality.TEXT_FEATURES,) and f[1] > 0 and f[14] == pytest.approx(1 / 3)
     assert not quality.text_features(None).any()
+
+
+def brute_features(text):
+    """The text view's numbers, by plain loops."""
+    if not text:
+        return [0.0] * quality.TEXT_FEATURES
+    raw = text.encode()
+    kinds = [lambda c: chr(c) in "#$%&*@^~\\", lambda c: c == 33, lambda c: c == 124, lambda c: 65 <= c <= 90, lambda c: 97 <= c <= 122, lambda c: 48 <= c <= 57, lambda c: c >= 128, lambda c: c in (9, 10, 13, 32), lambda c: chr(c) in ".,;:?"]
+    shares = [sum(map(k, raw)) / len(raw) for k in kinds]
+    w = raw.split()
+    n = max(1, len(w))
+    lines = raw.split(b"\n")
+    top = max((w.count(x) for x in set(w)), default=0) / n
+    again = sum(w[i] == w[i + 1] for i in range(len(w) - 1)) / n
+    return [*shares, again, np.log(1 + len(w)), sum(len(x) for x in w) / n, top if n > 20 else 0.0, len(set(w)) / n if n > 20 else 1.0, 1 - len(set(lines)) / len(lines)]
+
+
+def test_scores_of_a_whole_table_by_brute_force(spark):
+    """Each document's additive model by its bins, both calibrations and their weights, one after another."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    m = quality.train(docs, labels)
+    got = {r.doc_id: r for r in quality.score(docs, labels, m).collect()}
+
+    def bin_of(edges, x):
+        return sum(x >= e for e in edges)
+
+    for r in docs.collect():
+        if len(r.text or "") > 3_000:
+            continue
+        z = m.text_w[-1] + sum(m.text_w[m.text.offsets[i] + bin_of(m.text.edges[i], x)] for i, x in enumerate(brute_features(r.text)))
+        source, lang, size = quality.page_features(r.source, r.lang, r.n_chars)
+        y = m.page_w[-1] + m.page_w[bin_of(m.page.edges[0], size)] + m.page_w[m.page.offsets[1] + source] + m.page_w[m.page.offsets[2] + lang]
+        views = [m.platt[0][0] * z + m.platt[0][1], m.platt[1][0] * y + m.platt[1][1]]
+        sure = lambda x: 1 / (1 + np.exp(-x))
+        want = [sure(views[0]), sure(views[1]), sure(m.mix[0] * views[0] + m.mix[1] * views[1] + m.mix[2])]
+        assert np.allclose([got[r.doc_id].p_text, got[r.doc_id].p_page, got[r.doc_id].score], want, atol=1e-5)
+
+
+def test_ids_with_both_labels_or_several_texts(spark):
+    docs, labels = corpus(300)
+    more = labels + [(0, 1, 0), (0, 0, 0), (1, None, 0)] + labels[:50]
+    again = docs + [(2, "another text of a labelled id", "en", "s1", 9)]
+    a = quality.train(spark.createDataFrame(again, DOCS).repartition(3), spark.createDataFrame(more, LABELS))
+    b = quality.train(spark.createDataFrame(again, DOCS).repartition(5), spark.createDataFrame([x for x in more if x[0] != 0], LABELS))
+    assert np.allclose(a.text_w, b.text_w, atol=0.2) and len(a.page_w) == len(b.page_w)

@@ -95,3 +95,77 @@ def test_labels_of_one_kind_or_none(spark, labels):
     rows = toxicity.score(df, spark.createDataFrame(labels, LABELS)).collect()
     assert len(rows) == 2 and not any(r.toxic for r in rows)
     assert toxicity.score(df.limit(0), spark.createDataFrame(labels, LABELS)).count() == 0
+
+
+def brute_features(text):
+    """Words, their first letters, and families, letter by letter."""
+    found, word = set(), b""
+    for c in (text or "").lower().encode() + b" ":
+        if 97 <= c <= 122 or c >= 128:
+            word += bytes([c])
+        elif word:
+            found.add(word)
+            word = b""
+    out = set(found)
+    for w in found:
+        for k in (3, 4, 5, 6, 7):
+            if len(w) > k:
+                out.add(w[:k] + b"*")
+        if len(w) > 6 and sum(v[:6] == w[:6] and len(v) > 6 for v in found) > 1:
+            out.add(w[:6] + b"**")
+    return out
+
+
+def test_scores_of_a_whole_table_by_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    model = toxicity.train(docs, labels, least_texts=1, least_z=1.0)
+    assert len(model.vocabulary) > 5
+    rows = docs.select("doc_id", "text").collect()
+    got = {r.doc_id: r.severity for r in toxicity.with_severity(docs, model)[0].collect()}
+    for r in rows:
+        z = sum(model.weights[model.vocabulary[f]] for f in brute_features(r.text) if f in model.vocabulary)
+        assert got[r.doc_id] == pytest.approx(sum(1 / (1 + np.exp(-(z - t))) for t in model.thresholds), abs=1e-5)
+
+
+def test_vocabulary_by_brute_force(spark):
+    docs, labels = corpus(400)
+    model = toxicity.train(spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS))
+    toxic = {i for i, _, t in labels if t}
+    n = [len(docs) - len(toxic), len(toxic)]
+    seen = {}
+    for i, t in docs:
+        for f in brute_features(t):
+            seen.setdefault(f, [0, 0])[i in toxic] += 1
+    want = set()
+    for f, (c, t) in seen.items():
+        mean = (c + t) / sum(n)
+        z = (t / n[1] - c / n[0]) / np.sqrt(mean * (1 - mean) * (1 / n[0] + 1 / n[1]) + 1e-12)
+        if t >= toxicity.LEAST_TEXTS and z >= toxicity.LEAST_Z:
+            want.add(f)
+    assert want <= set(model.vocabulary)
+    assert all(model.weights[model.vocabulary[f]] == 0 for f in set(model.vocabulary) - want)
+
+
+def test_grades_are_thirds_of_held_out_scores():
+    rng = np.random.default_rng(2)
+    at = [tuple(sorted(rng.choice(6, rng.integers(0, 4), replace=False).tolist())) for _ in range(300)]
+    toxic = np.array([3 in x or 4 in x for x in at])
+    rows = toxicity.Rows(at, toxic, np.ones(300), rng.integers(0, 2, 300))
+    every = np.ones(6, bool)
+    grade = toxicity.grades_of(rows, [every, every])
+    assert (grade[~toxic] == 0).all() and set(grade[toxic]) == {1, 2, 3}
+    score = rows.held_out(toxic.astype(int), [every, every], 2)
+    for g in (1, 2):
+        assert score[grade == g].max() < score[grade == g + 1].min()
+    w, t = rows.fitted(grade, every, 4)
+    assert 0 < toxicity.cut_of(rows, grade, [every, every], t) < 3
+
+
+def test_ids_with_both_labels_or_several_texts(spark):
+    docs, labels = corpus(400)
+    more = labels + [(0, 1, 0), (0, 1, 1), (1, 1, None)] + labels[:50]
+    again = docs + [(2, "another text of a labelled id"), (2, "and one more")]
+    a = toxicity.train(spark.createDataFrame(again, DOCS).repartition(3), spark.createDataFrame(more, LABELS))
+    b = toxicity.train(spark.createDataFrame(again, DOCS).repartition(5), spark.createDataFrame([x for x in more if x[0] != 0], LABELS))
+    assert a.vocabulary == b.vocabulary and np.allclose(a.weights, b.weights) and a.cut == pytest.approx(b.cut)

@@ -7,12 +7,14 @@ documents of an unlabelled pool of which it is surest, in the classes' known pro
 the other. Each view's log-odds are then calibrated on a fifth of the labels, kept out of the fit (Platt scaling), and
 both are combined by weights that are fitted on the same fifth. Every document is scored.
 
-Fitting uses at most about `SAMPLE_ROWS` labelled rows and as many unlabelled ones, chosen by a hash; what reaches the driver
-of each is a fixed number of numbers, and rows with the same numbers count once.
-
-Defined cases: a null or empty text has zero features; a null source, language or length is a bucket of its own; labels
-with a null id or label, or without a document, are ignored; without labels of both classes every document scores the share
-of good labels, or a half without any; repeated rows give repeated rows; extra columns are ignored.
+Fitting uses about `SAMPLE_ROWS` labelled rows and `POOL_ROWS` unlabelled ones, chosen by a hash; what reaches the driver of each
+is a fixed number of numbers, and rows with the same numbers count once.
+
+Defined cases: a null or empty text has zero features; very long texts count whole; a null source, language or length is a bucket of
+its own; labels with a null id or label, or without a document, are ignored, and so are those of an id that has both; of documents
+that share a labelled id one, chosen by their hashes, is fitted; equal scores in a round are taken by the rows' order, which
+their numbers give; without labels of both classes every document scores the share of good labels, or a half without any; repeated
+rows give repeated rows, with equal scores; an empty table gives an empty one; extra columns, with whatever names, are ignored.
 """
 
 from __future__ import annotations
