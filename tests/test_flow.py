@@ -227,3 +227,14 @@ def test_a_batch_says_what_is_left(spark):
     fixes = spark.createDataFrame([("s1", False), ("s2", True)], "slug string, ready boolean")
     assert [tuple(r) for r in compile.next_batch(pending, fixes, 2).collect()] == [("compile", "u1", 1), ("compile", "u2", 1)]
     assert [tuple(r) for r in compile.next_batch(pending.limit(0), fixes, 9).collect()] == [("fix_link", "s2", 0)]
+
+
+def test_tags_of_blobs(spark, tmp_path):
+    some = spark.createDataFrame([(["a", "b"],), ([],), (None,)], "tags array<string>")
+    heads = [r.b.split("\n---\n")[0].split("now")[1] for r in some.select(eventlog.blob_text(F.lit("r"), F.lit("u"), F.lit("h"), F.lit("now"), F.lit("x"), F.col("tags")).alias("b")).collect()]
+    assert heads == ["\ntags:\n- a\n- b", "", ""]
+    docs_ = spark.createDataFrame([("v", "u", "x", "now", ["a"]), ("v", "w", "y", "now", None)], "vault string, uri string, content string, ingested_at string, tags array<string>")
+    vault.append_blobs(docs_, str(tmp_path / "blobs"))
+    assert {r.source_url: r.tags for r in spark.read.parquet(str(tmp_path / "blobs")).collect()} == {"u": ["a"], "w": []}
+    ops = spark.createDataFrame([("v", "a"), ("v", "b"), ("w", "a")], "vault string, path string")
+    assert sorted(r.vault for r in compile.touched_vaults(ops).collect()) == ["v", "w"]

@@ -104,6 +104,11 @@ def touched(operations: DataFrame) -> DataFrame:
     return operations.select("path").distinct()
 
 
+def touched_vaults(operations: DataFrame) -> DataFrame:
+    """vault of every vault whose index page is to be made anew, once."""
+    return operations.select("vault").distinct()
+
+
 def publishable(summary: DataFrame, counts: DataFrame) -> bool:
     """Whether a run may be published: no failed source and no lint error."""
     return not summary.first().has_errors and not counts.first().failed

@@ -51,7 +51,10 @@ def outcomes_of(log: DataFrame, new: DataFrame) -> DataFrame:
     return manifest.outcomes(own).join(new.select("uri", "seq"), ["uri", "seq"], "left_semi")
 
 
-def blob_text(raw_id, uri, checksum, ingested_at, content):
-    """The text of a raw blob's file: front matter, an empty line, the content as it came."""
-    head = F.concat_ws("\n", F.lit("---"), F.lit("type: raw_source"), F.concat(F.lit("id: "), raw_id), F.concat(F.lit("source_url: "), uri), F.concat(F.lit("checksum: "), checksum), F.concat(F.lit("ingested_at: "), ingested_at), F.lit("---"))
-    return F.concat(head, F.lit("\n\n"), content)
+def blob_text(raw_id, uri, checksum, ingested_at, content, tags=None):
+    """The text of a raw blob's file: front matter, an empty line, the content as it came. Tags (array<string>) that are empty or
+    null have no line."""
+    lines = [F.lit("---"), F.lit("type: raw_source"), F.concat(F.lit("id: "), raw_id), F.concat(F.lit("source_url: "), uri), F.concat(F.lit("checksum: "), checksum), F.concat(F.lit("ingested_at: "), ingested_at)]
+    if tags is not None:
+        lines.append(F.when(F.size(tags) > 0, F.concat(F.lit("tags:\n"), F.array_join(F.transform(tags, lambda t: F.concat(F.lit("- "), t)), "\n"))))
+    return F.concat(F.concat_ws("\n", *lines, F.lit("---")), F.lit("\n\n"), content)

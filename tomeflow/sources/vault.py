@@ -161,10 +161,11 @@ def web_documents(pages: DataFrame, to_markdown: Callable[[str], str]) -> DataFr
 
 
 def append_blobs(documents: DataFrame, path: str) -> None:
-    """documents(vault, uri, content, ingested_at) as blobs, partitioned by vault; the front matter that a file would have
-    is columns here."""
+    """documents(vault, uri, content, ingested_at, and tags if there are any) as blobs, partitioned by vault; the front matter that a file
+    would have is columns here."""
     h = text.content_hash(F.col("content"))
-    blobs = documents.select("vault", text.raw_id(h).alias("raw_id"), h.alias("checksum"), F.col("uri").alias("source_url"), "ingested_at", "content")
+    tags = F.coalesce("tags", F.array().cast("array<string>")) if "tags" in documents.columns else F.array().cast("array<string>")
+    blobs = documents.select("vault", text.raw_id(h).alias("raw_id"), h.alias("checksum"), F.col("uri").alias("source_url"), "ingested_at", tags.alias("tags"), "content")
     blobs.dropDuplicates(["vault", "checksum"]).write.mode("append").partitionBy("vault").parquet(path)
 
 
