@@ -19,10 +19,10 @@ def referenced_ids(provenance: DataFrame) -> DataFrame:
     return provenance.select(text.file_stem(F.col("resource")).alias("raw_id")).distinct()
 
 
-def select_sources(active: DataFrame, entries: DataFrame, provenance: DataFrame) -> DataFrame:
-    """uri, raw_id of active sources that are pending and that no page cites yet."""
-    pending = entries.where("pending").select("uri")
-    return active.join(pending, "uri", "left_semi").join(referenced_ids(provenance), "raw_id", "left_anti").select("uri", "raw_id")
+def select_sources(entries: DataFrame, provenance: DataFrame) -> DataFrame:
+    """uri, raw_id of active sources that are pending and that no page cites yet. entries: those of `manifest.entries`."""
+    pending = entries.where("pending").select("uri", F.col("active_raw_id").alias("raw_id"))
+    return pending.join(referenced_ids(provenance), "raw_id", "left_anti").select("uri", "raw_id")
 
 
 def trim_related(related: DataFrame, base_tokens: Column, budget: int = text.PROMPT_BUDGET, by: str = "query_id") -> DataFrame:

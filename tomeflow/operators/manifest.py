@@ -79,12 +79,13 @@ def compiled(events: DataFrame) -> DataFrame:
 
 
 def entries(events: DataFrame, width: int = WIDTH, versions_: DataFrame | None = None) -> DataFrame:
-    """uri, n_versions, active_hash, compiled_hash, pending: a row for each source that is known. Versions that the caller has
-    already aren't computed again."""
+    """uri, n_versions, active_hash, active_raw_id, compiled_hash, pending: a row for each source that is known. Versions that the
+    caller has already aren't computed again."""
     v = versions(events, width) if versions_ is None else versions_
-    known = v.groupBy("uri").agg(F.count("*").alias("n_versions"), F.max(F.when(F.col("status") == "ACTIVE", F.col("hash"))).alias("active_hash"))
+    known = v.groupBy("uri").agg(F.count("*").alias("n_versions"), F.max(F.when(F.col("status") == "ACTIVE", F.struct("hash", "raw_id"))).alias("_active"))
+    known = known.select("uri", "n_versions", F.col("_active.hash").alias("active_hash"), F.col("_active.raw_id").alias("active_raw_id"))
     done = F.coalesce(F.col("compiled_hash") == F.col("active_hash"), F.lit(False))
-    return known.join(compiled(events), "uri", "left").select("uri", "n_versions", "active_hash", "compiled_hash", (F.col("active_hash").isNotNull() & ~done).alias("pending"))
+    return known.join(compiled(events), "uri", "left").select("uri", "n_versions", "active_hash", "active_raw_id", "compiled_hash", (F.col("active_hash").isNotNull() & ~done).alias("pending"))
 
 
 def superseded_previous(versions_: DataFrame) -> DataFrame:

@@ -157,7 +157,7 @@ def manifest_active(spark, sf):
 
 @query(f"WITH {d.ENTRIES} SELECT uri, n_versions, active_hash, compiled_hash, pending FROM et")
 def manifest_entries(spark, sf):
-    return manifest.entries(d.events(spark, sf))
+    return manifest.entries(d.events(spark, sf)).drop("active_raw_id")
 
 
 @query(f"WITH {d.VERSIONS} SELECT uri, raw_id FROM vs JOIN (SELECT uri, max(version_no) - 1 AS version_no FROM vs GROUP BY uri) USING (uri, version_no)")
@@ -172,9 +172,7 @@ def purged_blobs(spark, sf):
 
 @query(f"WITH {d.ENTRIES}, {d.PROVENANCE} SELECT uri, raw_id FROM vs JOIN et USING (uri) WHERE status = 'ACTIVE' AND pending AND raw_id NOT IN (SELECT regexp_extract(resource, '([^/]+?)(\\.[^./]*)?$', 1) FROM pv)")
 def select_sources_diff(spark, sf):
-    e = d.events(spark, sf)
-    v = manifest.versions(e)
-    return compile.select_sources(manifest.active(v), manifest.entries(e, versions_=v), d.provenance(spark, sf))
+    return compile.select_sources(manifest.entries(d.events(spark, sf)), d.provenance(spark, sf))
 
 
 @query("SELECT 'raw_' || substr(sha256(text), 1, 10) AS raw_id, 'sha256:' || sha256(text) AS hash, count(*) AS n_documents, min(doc_id) AS first_doc FROM documents GROUP BY ALL")
