@@ -85,11 +85,11 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sch
     return df.mapInArrow(run, schema)
 
 
-def hash_sample(df: DataFrame, key: list[str], bound: int) -> DataFrame:
-    """About `bound` different rows, chosen by a hash of the key columns, so the choice is the same on every run.
+def hash_sample(df: DataFrame, key: list[str], bound: int | None) -> DataFrame:
+    """About `bound` different rows (all, if it is None), chosen by a hash of the key columns, so the choice is the same on every run.
     Copies of a row are chosen or left together."""
-    n = df.count()
-    if n <= bound:
+    n = 0 if bound is None else df.count()
+    if bound is None or n <= bound:
         return df
     steps = 1 << 40
     return df.where(F.pmod(F.xxhash64(*key), F.lit(steps)) < math.floor(bound / n * steps))

@@ -203,7 +203,7 @@ def _numbers(df: DataFrame) -> DataFrame:
     return arrow_map(df, run, _ROW)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, pool_rows: int = POOL_ROWS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int | None = SAMPLE_ROWS, pool_rows: int | None = POOL_ROWS) -> Model:
     sample = hash_sample(one_label(labels, "quality", "y"), ["id"], sample_rows)
     parts = docs.select(F.col("doc_id").alias("id"), "text", "source", "lang", F.col("n_chars").cast("long").alias("n_chars"))
     order = ["y", "text", "source", "lang", "n_chars"]

@@ -172,7 +172,7 @@ def cut_of(rows: Rows, grade: np.ndarray, allowed: list[np.ndarray], thresholds:
     return float(_above(np.array([middle + thresholds[0]]), thresholds).sum())
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, vocabulary_size: int | None = VOCABULARY, least_texts: int = LEAST_TEXTS, least_z: float = LEAST_Z) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int | None = SAMPLE_ROWS, vocabulary_size: int | None = VOCABULARY, least_texts: int = LEAST_TEXTS, least_z: float = LEAST_Z) -> Model:
     sample = hash_sample(one_label(labels, "toxic", "toxic"), ["id"], sample_rows)
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
