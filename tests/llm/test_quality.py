@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tomeflow.llm import quality
+from tomeflow.llm.common import one_document, one_label
 
 DOCS, LABELS = "doc_id long, text string, lang string, source string, n_chars long", "doc_id long, quality int, toxic int"
 
@@ -130,3 +131,14 @@ def test_ids_with_both_labels_or_several_texts(spark):
     a = quality.train(spark.createDataFrame(again, DOCS).repartition(3), spark.createDataFrame(more, LABELS))
     b = quality.train(spark.createDataFrame(again, DOCS).repartition(5), spark.createDataFrame([x for x in more if x[0] != 0], LABELS))
     assert np.allclose(a.text_w, b.text_w, atol=0.2) and len(a.page_w) == len(b.page_w)
+
+
+def test_samples_without_a_bound(spark):
+    """All rows, as a bound above the tables' sizes takes, and no broadcast that was asked for."""
+    docs, labels = corpus(200)
+    docs, labels = spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS)
+    a, b = quality.train(docs, labels, None, None), quality.train(docs, labels, 10_000, 10_000)
+    assert np.allclose(a.text_w, b.text_w) and np.allclose(a.page_w, b.page_w) and np.allclose(a.mix, b.mix)
+    sample, parts = one_label(labels, "quality", "y"), docs.select(F.col("doc_id").alias("id"), "text")
+    hints = [one_document(parts, sample, bounded)._jdf.queryExecution().analyzed().toString().count("broadcast") for bounded in (True, False)]
+    assert hints == [1, 0]

@@ -101,11 +101,11 @@ def one_label(labels: DataFrame, column: str, name: str) -> DataFrame:
     return known.groupBy("id").agg(F.min("y").alias(name), F.max("y").alias("_most")).where(F.col(name) == F.col("_most")).drop("_most")
 
 
-def one_document(docs: DataFrame, sample: DataFrame) -> DataFrame:
-    """docs joined with a bounded sample by id, one row an id: where several documents share it, the one with the least hash of its
+def one_document(docs: DataFrame, sample: DataFrame, bounded: bool) -> DataFrame:
+    """docs joined with a sample by id, broadcast only if its size is bounded, one row an id: where several documents share it, the one with the least hash of its
     columns (the least row, where these are equal)."""
     rest = [c for c in docs.columns if c != "id"]
-    found = docs.join(F.broadcast(sample), "id").groupBy(*sample.columns).agg(F.min(F.struct(F.xxhash64(*rest).alias("_h"), *rest)).alias("_row"))
+    found = docs.join(F.broadcast(sample) if bounded else sample, "id").groupBy(*sample.columns).agg(F.min(F.struct(F.xxhash64(*rest).alias("_h"), *rest)).alias("_row"))
     return found.select(*sample.columns, *(F.col(f"_row.{c}").alias(c) for c in rest))
 
 

@@ -8,7 +8,8 @@ the other. Each view's log-odds are then calibrated on a fifth of the labels, ke
 both are combined by weights that are fitted on the same fifth. Every document is scored.
 
 Fitting uses about `SAMPLE_ROWS` labelled rows and `POOL_ROWS` unlabelled ones, chosen by a hash; what reaches the driver of each
-is a fixed number of numbers, and rows with the same numbers count once.
+is a fixed number of numbers, and rows with the same numbers count once. A bound of None takes all rows: for labels, or a pool, that
+the driver can hold as numbers; nothing is broadcast then.
 
 Defined cases: a null or empty text has zero features; very long texts count whole; a null source, language or length is a bucket of
 its own; labels with a null id or label, or without a document, are ignored, and so are those of an id that has both; of documents
@@ -207,8 +208,9 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int | None = SAMPLE_R
     sample = hash_sample(one_label(labels, "quality", "y"), ["id"], sample_rows)
     parts = docs.select(F.col("doc_id").alias("id"), "text", "source", "lang", F.col("n_chars").cast("long").alias("n_chars"))
     order = ["y", "text", "source", "lang", "n_chars"]
-    labelled = sorted((tuple(r.t), tuple(r.p), r.y) for r in _numbers(one_document(parts, sample).select(order)).distinct().collect())
-    free = hash_sample(parts, ["id", "text", "source"], pool_rows).join(F.broadcast(sample.select("id")), "id", "left_anti").withColumn("y", F.lit(0).cast("long"))
+    labelled = sorted((tuple(r.t), tuple(r.p), r.y) for r in _numbers(one_document(parts, sample, sample_rows is not None).select(order)).distinct().collect())
+    known = sample.select("id") if sample_rows is None else F.broadcast(sample.select("id"))
+    free = hash_sample(parts, ["id", "text", "source"], pool_rows).join(known, "id", "left_anti").withColumn("y", F.lit(0).cast("long"))
     pool = sorted((tuple(r.t), tuple(r.p)) for r in _numbers(free.select(order)).distinct().collect())
     # Order by a hash of the row, so that the held-out fifth is like the rest.
     labelled.sort(key=lambda r: xxhash.xxh64_intdigest(repr(r)))

@@ -11,7 +11,8 @@ these scores that they are in. The expected severity from which a document count
 value that parts the two classes with the fewest errors, when ordinal models of each half, and of the features that this half
 shows, score the other.
 
-Fitting uses about `SAMPLE_ROWS` labelled rows, chosen by a hash of the id. Of their features those stay that stand in
+Fitting uses about `SAMPLE_ROWS` labelled rows, chosen by a hash of the id (None: all, whose vocabulary columns the driver must hold;
+they aren't broadcast then). Of their features those stay that stand in
 `LEAST_TEXTS` toxic texts and are more common there by `LEAST_Z` standard errors, `VOCABULARY` at most by that measure; None keeps all
 that the other two let pass. Every document is scored.
 
@@ -180,7 +181,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         half = [xxhash.xxh64_intdigest(b" ".join(w)) & 1 for w in found]
         return pa.RecordBatch.from_arrays([b.column(0), pa.array(half, pa.int64()), pa.array(found, pa.list_(pa.binary()))], ["toxic", "half", "words"])
 
-    texts = one_document(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), sample).select("toxic", "text")
+    texts = one_document(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), sample, sample_rows is not None).select("toxic", "text")
     rows = written(arrow_map(texts, run, "toxic long, half long, words array<binary>"), "toxic-words")
     kinds = {(int(r.toxic), int(r.half)): r["count"] for r in rows.groupBy("toxic", "half").count().collect()}
     count = lambda toxic, *halves: sum(kinds.get((toxic, h), 0) for h in halves)
