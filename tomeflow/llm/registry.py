@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html, mixing, pii, quality, simhash, tokens, topk, toxicity, urls
+from . import audit, decontaminate, html, mixing, pieces, pii, quality, runs, simhash, tokens, topk, toxicity, urls
 from .common import table
 
 
@@ -50,6 +50,18 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(table(spark, sf_dir, "documents"))
 
 
+def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digest(pieces.round_trip(table(spark, sf_dir, "documents")))
+
+
+def op12_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digest(runs.periodic_runs(table(spark, sf_dir, "documents"), change=runs.planted))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_quality": op2_quality,
@@ -61,11 +73,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_tokens": op8_tokens,
     "op9_html": op9_html,
     "op10_pii": op10_pii,
+    "op11_pieces": op11_pieces,
+    "op12_audit": op12_audit,
+    "op13_runs": op13_runs,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_mixing": mixing.oracle_sql(),
     "op4_urls": urls.oracle_sql(),
     "op7_decontaminate": decontaminate.oracle_sql(),
+    "op12_audit": audit.oracle_sql(),
     "op5_topk": """
         WITH r AS (
             SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
