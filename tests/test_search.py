@@ -115,3 +115,80 @@ def test_nearest_with_equal_and_far_vectors(spark):
     for i in range(150):
         order = sorted(range(300), key=lambda j: (round(float(np.sqrt(((v[j] - v[i]) ** 2).sum())), 6), f"s{j:03d}"))[:7]
         assert [got[i][k] for k in range(1, 8)] == [f"s{j:03d}" for j in order]
+
+
+def test_pruned_search_finds_the_same_rows(spark, tmp_path):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(60)]
+    weights = [1 / (i + 1) for i in range(60)]
+    docs = [(f"p{i:04d}", " ".join(rng.choices(words, weights, k=rng.randrange(5))), " ".join(rng.choices(words, weights, k=rng.choice([0, 3, 20, 120]))), rng.choice("abc")) for i in range(1500)]
+    docs += [(f"q{i}", "", "w3 w9", "a") for i in range(40)]  # ties
+    df = spark.createDataFrame(docs, "path string, title string, body string, vault string")
+    queries = spark.createDataFrame([(i, " ".join(rng.sample(words, rng.randint(1, 9)))) for i in range(25)] + [(90, ""), (91, "nothing"), (92, "w3 w9"), (93, None)], "query_id long, text string")
+    key = lambda d: sorted(map(tuple, d.collect()))
+    for group in ((), ("vault",)):
+        index = search.write_index(df, str(tmp_path / f"i{len(group)}"), group=group)
+        for limit in (1, 4):
+            assert key(search.search_index(index, queries, limit, pruned=True)) == key(search.search_index(index, queries, limit, pruned=False))
+
+
+def test_pruned_search_scores_few_rows(spark, tmp_path, monkeypatch):
+    rng = random.Random(8)
+    docs = [(f"p{i:04d}", "", " ".join(["the", "of"] + [f"w{rng.randrange(400)}" for _ in range(rng.randrange(20))])) for i in range(3000)]
+    index = search.write_index(spark.createDataFrame(docs, "path string, title string, body string"), str(tmp_path / "i"))
+    queries = spark.createDataFrame([(i, f"the of w{i} w{i + 40}") for i in range(8)], "query_id long, text string")
+    monkeypatch.setattr(search.maxscore, "SEEDS", 4)
+    one = search.pruned_search(index, queries, 5)
+    assert sum(one.rows_scored().values()) * 5 < 8 * 2 * 3000
+    one.close()
+
+
+SYNTAX_DOCS = [
+    ("p1", "Rate limits", "we handle api rate limits with retries and back-off"),
+    ("p2", "Limits", "a limits rate table, and a rate of limits"),
+    ("p3", "Soup", "rate limits of soup: rate limits, rate limits"),
+    ("p4", "", "retries"),
+    ("p5", None, None),
+]
+
+
+def test_query_syntax(spark, tmp_path):
+    from tomeflow.operators import syntax
+
+    df = spark.createDataFrame(SYNTAX_DOCS, "path string, title string, body string")
+    index = search.write_index(df, str(tmp_path / "i"), positions=True)
+    cases = {
+        '"rate limits"': {"p1", "p3"},
+        "rate-limits": {"p1", "p3"},
+        '"limits rate"': {"p2", "p3"},
+        '"rate limits" -soup': {"p1"},
+        "+rate +retries": {"p1"},
+        "+rate soup": {"p1", "p2", "p3"},
+        "title:limits": {"p1", "p2"},
+        'title:"rate limits"': {"p1"},
+        "-title:soup rate": {"p1", "p2"},
+        "-rate": set(),
+        "+rate +unknown": set(),
+        "unknown retries": {"p1", "p4"},
+        'rate "limits': set(),
+        "nofield:rate": set(),
+        "what is: rate": set(),
+        "": set(),
+        " !! + - ": set(),
+        "RATE !!": {"p1", "p2", "p3"},
+        '"a rate of limits"': {"p2"},
+        '"back off" "a limits rate"': {"p1", "p2"},
+    }
+    queries = spark.createDataFrame([*enumerate(cases), (99, None)], "query_id long, text string")
+    got = {i: set() for i in range(len(cases))}
+    rows = syntax.search_syntax(index, queries, 10).collect()
+    for r in rows:
+        got[r.query_id].add(r.path)
+    assert got == dict(enumerate(cases.values()))
+    best = next(r.path for r in rows if r.query_id == 0 and r["rank"] == 1)
+    idf = lambda n, df_: math.log(1 + (n - df_ + 0.5) / (df_ + 0.5))
+    sizes = {f: [len([t for t in (d[f] or "").replace("-", " ").replace(",", " ").replace(":", " ").split()]) for d in SYNTAX_DOCS] for f in (1, 2)}
+    w = lambda f, k, tf, dfs: sum(idf(5, x) for x in dfs) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * sizes[f][k] / (sum(sizes[f]) / 5)))
+    score = {"p1": w(1, 0, 1, (1, 2)) + w(2, 0, 1, (3, 3)), "p3": w(2, 2, 3, (3, 3))}
+    assert best == max(score, key=score.get)
+    assert {r.path: r.score for r in rows if r.query_id == 0} == {p: round(s, 6) for p, s in score.items()}

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -11,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import payload, text
-from ..sources.partitions import checkpoint_dir
+from ..sources.partitions import fresh_path
 
 
 def referenced_ids(provenance: DataFrame) -> DataFrame:
@@ -79,7 +78,7 @@ def compile_sources(sources: DataFrame, synthesise: Callable[[str], str], pages:
 
 def _written(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    path = fresh_path(spark, what)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

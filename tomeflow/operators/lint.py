@@ -7,13 +7,12 @@ duplicates; a link's slug may be hot, but only distinct slugs are on the other s
 from __future__ import annotations
 
 import json
-import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import wikilinks
-from ..sources.partitions import checkpoint_dir
+from ..sources.partitions import fresh_path
 
 
 def links(pages: DataFrame) -> DataFrame:
@@ -54,7 +53,7 @@ def findings(pages: DataFrame, provenance: DataFrame, files: DataFrame, entries:
     written side by side to the shared folder, and all checks of links read that table."""
     own = F.array(F.struct(F.lit(None).cast("int").alias("pos"), F.lit("page").alias("kind"), F.lit(None).cast("string").alias("vault"), F.col("slug").alias("slug")))
     spark = pages.sparkSession
-    path = f"{checkpoint_dir(spark)}/links-{uuid.uuid4().hex}"
+    path = fresh_path(spark, "links")
     pages.select("path", F.inline(F.concat(own, wikilinks(F.col("body"))))).write.parquet(path)
     table = spark.read.parquet(path)
     found, named = table.where("kind <> 'page'"), table.where("kind = 'page'").select("path", "slug")

@@ -2,16 +2,15 @@
 
 Queries are a DataFrame (query_id, text) or (query_id, vector). BM25 answers from an index on disk: postings, document
 frequencies and lengths, all of which are made once and don't depend on queries; texts aren't read again. A query's
-terms meet their postings in one join, scores add up under numbers that stand for documents, and a task passes on its best
-of each query. With `group`, as for several vaults, statistics, rankings and limits are each group's own.
+terms meet their postings in one join, scores add up under numbers that stand for documents, and paths are looked up for the
+best of each query. Where many postings would be scored, `maxscore` leaves out documents that can't be among the best. With `group`, as for several vaults, statistics, rankings and limits are each group's own.
 """
 
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +20,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import terms
-from ..sources.partitions import checkpoint_dir
+from ..sources.partitions import fresh_path
+from . import maxscore
 
 K1, B = 1.2, 0.75
 RRF_K = 60
@@ -31,6 +31,8 @@ SHARD_ROWS = 16_384
 PUSHED_TERMS = 1_000
 #: Up to so many are sent to every task, with what is known of them; beyond, postings are shuffled by term.
 BROADCAST_TERMS = 100_000
+#: From so many postings on, counted for each query that asks for them, documents that can't be among the best aren't scored.
+PRUNED_ROWS = 100_000_000
 FIELDS = ("title", "body")
 
 
@@ -57,55 +59,75 @@ def write_postings(docs: DataFrame, path: str) -> None:
 
 @dataclass
 class Index:
-    """docs(group, doc, path), postings(group, doc, field, term, tf, doc_len), terms(group, field, term, df),
-    lengths(group, field, n, mean)."""
+    """docs(group, doc, path), postings(group, doc, block, field, term, tf, doc_len, positions where the index has them),
+    terms(group, field, term, df), lengths(group, field, n, mean), blocks(group, field, term, block, upper): the greatest weight
+    of a term in each block of documents."""
 
     docs: DataFrame
     postings: DataFrame
     terms: DataFrame
     lengths: DataFrame
+    blocks: DataFrame
     group: tuple[str, ...]
-
-
-def _runs(docs: DataFrame, fields: tuple[str, ...], keys: tuple[str, ...]) -> DataFrame:
-    """For each field of each document its number of terms and, sorted, (term, tf). A document's terms are counted where it is read:
-    sorted, the equal ones stand side by side. Explodes keep arrays from being computed again for each element."""
-    each = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.sort_array(terms(F.col(f))).alias("terms")) for f in fields)))
-    rows = docs.select(*keys, each.alias("f")).select(*keys, "f.field", "f.terms", F.size("f.terms").alias("n"))
-    begins = lambda i: (i == 1) | (F.element_at("terms", i) != F.element_at("terms", F.greatest(i - 1, F.lit(1))))
+    positions: bool = False
+
+
+def _runs(docs: DataFrame, fields: tuple[str, ...], keys: tuple[str, ...], positions: bool) -> DataFrame:
+    """For each field of each document its number of terms and, sorted, (term, tf), or (term, tf, positions). A document's terms are counted
+    where it is read: sorted, the equal ones stand side by side. Explodes keep arrays from being computed again for each element."""
+    placed = lambda t: F.transform(t, lambda x, i: F.struct(x.alias("term"), i.alias("at"))) if positions else t
+    each = F.array(*(F.struct(F.lit(f).alias("field"), F.sort_array(placed(terms(F.col(f)))).alias("terms")) for f in fields))
+    rows = docs.select(*keys, F.explode(F.array(each)).alias("fs"))
+    size = F.aggregate("fs", F.lit(0), lambda n, f: n + F.coalesce(F.size(f.terms), F.lit(0)))
+    rows = rows.select(*keys, maxscore.block(size).alias("block"), F.explode("fs").alias("f"))
+    rows = rows.select(*keys, "block", "f.field", "f.terms", F.size("f.terms").alias("n"))
+    term = lambda i: F.element_at("terms", i).term if positions else F.element_at("terms", i)
+    begins = lambda i: (i == 1) | (term(i) != term(F.greatest(i - 1, F.lit(1))))
     first = F.when(F.col("n") > 0, F.filter(F.sequence(F.lit(1), F.greatest("n", F.lit(1))), begins)).otherwise(F.array().cast("array<int>"))
-    rows = rows.select(*keys, "field", "n", "terms", F.explode(F.array(first)).alias("at"))
+    rows = rows.select(*keys, "block", "field", "n", "terms", F.explode(F.array(first)).alias("at"))
     after = F.concat(F.slice("at", F.lit(2), F.greatest(F.size("at") - 1, F.lit(0))), F.array(F.col("n") + 1))
-    runs = F.zip_with("at", after, lambda a, z: F.struct(F.element_at("terms", a).alias("term"), (z - a).cast("long").alias("tf")))
-    return rows.select(*keys, "field", F.col("n").cast("long").alias("doc_len"), F.when(F.col("n") > 0, runs).alias("runs"))
+    where = lambda a, z: [F.transform(F.slice("terms", a, z - a), lambda t: t["at"]).alias("positions")] if positions else []
+    runs = F.zip_with("at", after, lambda a, z: F.struct(term(a).alias("term"), (z - a).cast("long").alias("tf"), *where(a, z)))
+    return rows.select(*keys, "block", "field", F.col("n").cast("long").alias("doc_len"), F.when(F.col("n") > 0, runs).alias("runs"))
+
+
+def posting_weight(mean: str = "mean") -> Column:
+    """What a posting gives, without its term's idf."""
+    tf = F.col("tf").cast("double")
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("doc_len") / F.col(mean)))
 
 
-def write_index(docs: DataFrame, path: str, fields: tuple[str, ...] = FIELDS, group: tuple[str, ...] = ()) -> Index:
-    """The index of documents (group, path, fields), anew. Texts are read once and nothing but counts is shuffled: each file of postings
-    holds whole documents, sorted by term, so that a search skips the pages without its terms, and adds up a document's
-    scores where its postings are."""
+def write_index(docs: DataFrame, path: str, fields: tuple[str, ...] = FIELDS, group: tuple[str, ...] = (), positions: bool = False) -> Index:
+    """The index of documents (group, path, fields), anew; with positions it can answer phrases. Texts are read once and nothing but
+    counts is shuffled: each file of postings holds whole documents, sorted by term, so that a search skips the pages without its
+    terms."""
     spark = docs.sparkSession
     put = lambda df, what: df.write.mode("overwrite").parquet(f"{path}/{what}")
     # Numbers of documents hold for good once they are written.
-    put(_runs(docs.withColumn("doc", F.monotonically_increasing_id()), fields, (*group, "doc", "path")), "rows")
+    put(_runs(docs.withColumn("doc", F.monotonically_increasing_id()), fields, (*group, "doc", "path"), positions), "rows")
     rows = spark.read.parquet(f"{path}/rows")
     put(rows.where(F.col("field") == fields[0]).select(*group, "doc", "path"), "docs")
     sums = rows.groupBy(*group, "field").agg(F.count("*").alias("n"), F.sum("doc_len").alias("_sum"))
     put(sums.select(*group, "field", "n", (F.greatest("_sum", F.lit(1)) / F.col("n")).alias("mean")), "lengths")
-    put(rows.select(*group, "doc", "field", "doc_len", F.inline("runs")).sortWithinPartitions("term", "field", "doc"), "postings")
-    put(spark.read.parquet(f"{path}/postings").groupBy(*group, "field", "term").agg(F.count("*").alias("df")), "terms")
-    return read_index(spark, path, group)
+    put(rows.select(*group, "doc", "block", "field", "doc_len", F.inline("runs")).sortWithinPartitions("term", "field", "doc"), "postings")
+    # A term has as many rows here as there are blocks at most, however many documents have it.
+    key = [*group, "field", "term"]
+    found = spark.read.parquet(f"{path}/postings").join(spark.read.parquet(f"{path}/lengths"), [*group, "field"])
+    put(found.groupBy(*key, "block").agg(F.count("*").alias("df"), F.max(posting_weight()).alias("upper")), "blocks")
+    put(spark.read.parquet(f"{path}/blocks").groupBy(*key).agg(F.sum("df").alias("df")), "terms")
+    return read_index(spark, path, group, positions)
 
 
-def read_index(spark: SparkSession, path: str, group: tuple[str, ...] = ()) -> Index:
+def read_index(spark: SparkSession, path: str, group: tuple[str, ...] = (), positions: bool = False) -> Index:
     own = "".join(f"{g} string, " for g in group)
     kinds = {
         "docs": f"{own}doc long, path string",
-        "postings": f"{own}doc long, field string, doc_len long, term string, tf long",
+        "postings": f"{own}doc long, block int, field string, doc_len long, term string, tf long" + (", positions array<int>" if positions else ""),
         "terms": f"{own}field string, term string, df long",
         "lengths": f"{own}field string, n long, mean double",
+        "blocks": f"{own}field string, term string, block int, upper double",
     }
-    return Index(*(spark.read.schema(k).parquet(f"{path}/{t}") for t, k in kinds.items()), group)
+    return Index(*(spark.read.schema(k).parquet(f"{path}/{t}") for t, k in kinds.items()), group, positions)
 
 
 def term_statistics(postings_: DataFrame) -> DataFrame:
@@ -118,31 +140,62 @@ def top(df: DataFrame, limit: int, *order, by: tuple[str, ...] = ("query_id",))
     return df.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(*order)).cast("int")).where(F.col("rank") <= limit)
 
 
-def search_index(index: Index, queries: DataFrame, limit: int) -> DataFrame:
+def idf() -> Column:
+    return F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+
+
+def _small(n: int) -> Callable[[DataFrame], DataFrame]:
+    return F.broadcast if n <= BROADCAST_TERMS else (lambda d: d)
+
+
+def with_terms(index: Index, asked: DataFrame) -> Index:
+    """The index with postings of the asked terms only: few are pushed down to the scan, which then skips what holds none of them."""
+    few = [r.term for r in asked.select("term").distinct().limit(PUSHED_TERMS + 1).collect()]
+    return index if len(few) > PUSHED_TERMS else replace(index, postings=index.postings.where(F.col("term").isin(few)))
+
+
+def pruned_search(index: Index, queries: DataFrame, limit: int) -> maxscore.Search:
+    """The search that leaves out documents which can't be among the best."""
+    asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
+    known = _known(index, asked).select("query_id", *index.group, "field", "term", "idf", "mean", "df")
+    return maxscore.Search(with_terms(index, asked), known, posting_weight(), limit, _small(asked.count()))
+
+
+def _known(index: Index, asked: DataFrame) -> DataFrame:
+    """asked with what the index knows of its terms."""
+    found = index.terms.join(asked, "term").join(index.lengths, [*index.group, "field"])
+    return found.withColumn("idf", idf())
+
+
+def search_index(index: Index, queries: DataFrame, limit: int, pruned: bool | None = None) -> DataFrame:
     """query_id, path, score (rounded to six digits), rank; documents that share a term with the query, best first, ties by
-    path. Scores add up over fields; lengths are exact. A query without terms finds nothing."""
+    path. Scores add up over fields; lengths are exact. A query without terms finds nothing. Whether documents that can't be
+    among the best are scored (as by default where few postings are asked for) changes no row."""
     group = index.group
     asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
     asked = asked.groupBy("term").agg(F.collect_list("query_id").alias("queries"))
-    found = index.postings
-    n = asked.count()
-    small = F.broadcast if n <= BROADCAST_TERMS else (lambda d: d)
-    if n <= PUSHED_TERMS:  # then the scan skips what holds none of them
-        found = found.where(F.col("term").isin([r.term for r in asked.select("term").collect()]))
-    known = index.terms.join(small(asked), "term").join(F.broadcast(index.lengths), [*group, "field"])
-    idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    known = known.select(*group, "field", "term", "mean", "queries", idf.alias("idf"))
-    tf = F.col("tf").cast("double")
-    weight = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("doc_len") / F.col("mean")))
-    found = found.join(small(known), [*group, "field", "term"])
-    scores = found.select("doc", weight.alias("weight"), F.explode("queries").alias("query_id")).groupBy("query_id", "doc").agg(F.round(F.sum("weight"), DIGITS).alias("score"))
-    named = scores.join(index.docs, "doc")
-    return top(named, limit, F.desc("score"), "path", by=("query_id", *group)).select(*group, "query_id", "path", "score", "rank")
+    known = _known(index, asked)
+    if pruned is None:
+        pruned = (known.agg(F.sum(F.col("df") * F.size("queries"))).first()[0] or 0) >= PRUNED_ROWS
+    if pruned:
+        scores = pruned_search(index, queries, limit).scores()
+    else:
+        found = with_terms(index, asked).postings.join(_small(asked.count())(known.select(*group, "field", "term", "mean", "queries", "idf")), [*group, "field", "term"])
+        scores = found.select(*group, "doc", (F.col("idf") * posting_weight()).alias("weight"), F.explode("queries").alias("query_id")).groupBy("query_id", *group, "doc").agg(F.sum("weight").alias("weight"))
+    return named(index, scores, limit)
+
+
+def named(index: Index, scores: DataFrame, limit: int) -> DataFrame:
+    """query_id, path, score, rank of scores(query_id, group, doc, weight). Paths are looked up for the best and for what ties with them."""
+    own = ("query_id", *index.group)
+    best = scores.select(*own, "doc", F.round("weight", DIGITS).alias("score"))
+    best = best.withColumn("place", F.rank().over(W.partitionBy(*own).orderBy(F.desc("score")))).where(F.col("place") <= limit)
+    return top(best.join(index.docs.select("doc", "path"), "doc"), limit, F.desc("score"), "path", by=own).select(*index.group, "query_id", "path", "score", "rank")
 
 
 def bm25(docs: DataFrame, queries: DataFrame, limit: int, fields: tuple[str, ...] = FIELDS, group: tuple[str, ...] = ()) -> DataFrame:
     """search_index over documents that have no index yet: it is made in the shared folder."""
-    path = f"{checkpoint_dir(docs.sparkSession)}/index-{uuid.uuid4().hex}"
+    path = fresh_path(docs.sparkSession, "index")
     return search_index(write_index(docs, path, fields, group), queries, limit)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import payload, text
-from ..operators import bundle, compile, lint, manifest, search, store
+from ..operators import bundle, compile, lint, manifest, search, store, syntax
 from ..streaming import state
 from . import derived as d
 
@@ -354,6 +354,17 @@ def bm25_topk(spark, sf):
     return search.search_index(d.index(spark, sf), d.text_queries(spark, sf), LIMIT)
 
 
+@query(f"WITH {d.SHORT.format(n=LIMIT)} SELECT query_id, path, score, rank FROM bm")
+def bm25_pruned(spark, sf):
+    return search.search_index(d.index(spark, sf), d.short_queries(spark, sf), LIMIT, pruned=True)
+
+
+@query(f"""WITH {d.SYNTAX} SELECT query_id, path, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path) AS INTEGER) AS rank FROM sf
+           QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path) <= {LIMIT}""")
+def query_syntax(spark, sf):
+    return syntax.search_syntax(d.index(spark, sf, positions=True), d.syntax_queries(spark, sf), LIMIT)
+
+
 @query(f"WITH {d.RELATED.format(n=5)} SELECT query_id, path, score, rank FROM bm")
 def related_batch(spark, sf):
     return search.search_index(d.index(spark, sf), d.related_queries(spark, sf), 5)

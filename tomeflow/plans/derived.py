@@ -5,15 +5,13 @@ The tables hold prose without wiki syntax, so links, provenance and the event lo
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import search
 from ..operators.ordered import numbered
-from ..sources.partitions import checkpoint_dir, spread
+from ..sources.partitions import fresh_path, spread
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -171,17 +169,17 @@ def search_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 _indexes: dict[tuple, str] = {}
 
 
-def index(spark: SparkSession, sf_dir: str, by_vault: bool = False) -> search.Index:
+def index(spark: SparkSession, sf_dir: str, by_vault: bool = False, positions: bool = False) -> search.Index:
     """The text index of the documents, made by the first query of a session that needs it, as long as the table's files stay the same."""
     table = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
     files = table.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(table)
-    key = (spark.sparkContext.applicationId, by_vault, tuple(sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files)))
+    key = (spark.sparkContext.applicationId, by_vault, positions, tuple(sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files)))
     group = ("vault",) if by_vault else ()
     if key not in _indexes:
-        path = f"{checkpoint_dir(spark)}/index-{uuid.uuid4().hex}"
-        search.write_index(search_docs(spark, sf_dir), path, group=group)
+        path = fresh_path(spark, "index")
+        search.write_index(search_docs(spark, sf_dir), path, group=group, positions=positions)
         _indexes[key] = path
-    return search.read_index(spark, _indexes[key], group)
+    return search.read_index(spark, _indexes[key], group, positions)
 
 
 def text_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,6 +192,26 @@ def related_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_queries(spark, sf_dir).withColumn("text", text.query_text(F.col("text")))
 
 
+def short_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 40 characters of each: a few words, as users type them."""
+    return text_queries(spark, sf_dir).withColumn("text", F.substring("text", 1, 40))
+
+
+#: Clauses that each benchmark item's words make, with x = its terms: sign, field, words. Item 7 k + 5 has a quotation mark too many, item
+#: 7 k + 6 a field that there isn't.
+def syntax_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), text.terms(F.col("text")).alias("x"))
+    i, w = F.col("query_id"), lambda k: F.coalesce(F.get("x", F.lit(k)), F.lit("zz"))
+    made = F.concat(
+        F.lit('"'), w(0), F.lit(" "), w(1), F.lit('" '),
+        F.when(i % 2 == 0, F.concat(F.lit("+"), w(2), F.lit(" "))).otherwise(F.lit("")),
+        F.when(i % 3 == 0, F.concat(F.lit("-"), w(3), F.lit(" "))).otherwise(F.lit("")),
+        F.lit("title:"), w(4), F.lit(" "), w(5), F.lit(" !! body:"), w(6), F.lit("-"), w(7),
+        F.when(i % 7 == 5, ' "').when(i % 7 == 6, " nofield:x").otherwise(""),
+    )
+    return x.select("query_id", made.alias("text"))
+
+
 def _bm25_sql(query_text: str, documents: str, by: str = "") -> str:
     """bm: the best {n} of each query (and of each group, by a column that `documents` has)."""
     g, using = (f"{by}, ", f"JOIN {{x}} USING ({by})") if by else ("", ", {x}")
@@ -216,9 +234,38 @@ bm AS (SELECT {g}query_id, path, score, CAST(row_number() OVER (PARTITION BY {g}
 
 BM25 = _bm25_sql("text", "documents")
 RELATED = _bm25_sql("substr(text, 1, 500)", "documents")
+SHORT = _bm25_sql("substr(text, 1, 40)", "documents")
 BM25_BY_VAULT = _bm25_sql("text", "(SELECT *, lang AS vault FROM documents)", "vault")
 
 
+SYNTAX = """bt AS (SELECT item_id AS query_id, list_filter(string_split_regex(lower(text), '[^\\pL\\pN]+'), lambda t: t <> '' AND strlen(t) < 40) AS x FROM benchmark),
+cl AS (
+    SELECT query_id, 0 AS clause, '' AS sign, NULL AS limited, [coalesce(x[1], 'zz'), coalesce(x[2], 'zz')] AS ts FROM bt
+    UNION ALL SELECT query_id, 1, '+', NULL, [coalesce(x[3], 'zz')] FROM bt WHERE query_id % 2 = 0
+    UNION ALL SELECT query_id, 2, '-', NULL, [coalesce(x[4], 'zz')] FROM bt WHERE query_id % 3 = 0
+    UNION ALL SELECT query_id, 3, '', 'title', [coalesce(x[5], 'zz')] FROM bt
+    UNION ALL SELECT query_id, 4, '', NULL, [coalesce(x[6], 'zz')] FROM bt
+    UNION ALL SELECT query_id, 5, '', 'body', [coalesce(x[7], 'zz'), coalesce(x[8], 'zz')] FROM bt
+), cv AS (SELECT * FROM cl WHERE query_id % 7 < 5),
+fd AS (
+    SELECT path, field, list_filter(string_split_regex(lower(t), '[^\\pL\\pN]+'), lambda x: x <> '' AND strlen(x) < 40) AS ts
+    FROM (SELECT 'p' || doc_id AS path, 'title' AS field, string_split(text, chr(10))[1] AS t FROM documents UNION ALL SELECT 'p' || doc_id, 'body', text FROM documents)
+), st AS (SELECT field, count(*) AS n, coalesce(nullif(avg(len(ts)), 0), 1) AS mean FROM fd GROUP BY field),
+tk AS (SELECT path, field, len(ts) AS dl, unnest(ts) AS term, generate_subscripts(ts, 1) AS pos FROM fd),
+tn AS (SELECT * FROM tk WHERE term IN (SELECT unnest(ts) FROM cv)),
+df AS (SELECT field, term, ln(1 + (any_value(n) - count(DISTINCT path) + 0.5) / (count(DISTINCT path) + 0.5)) AS idf FROM tn JOIN st USING (field) GROUP BY ALL),
+oc AS (
+    SELECT query_id, clause, sign, a.field, a.path, a.dl, count(*) AS tf, any_value(d1.idf) + coalesce(any_value(d2.idf), 0) AS idf
+    FROM cv JOIN tn a ON a.term = ts[1] AND (limited IS NULL OR limited = a.field) JOIN df d1 ON d1.field = a.field AND d1.term = ts[1]
+    LEFT JOIN tn b ON b.path = a.path AND b.field = a.field AND b.pos = a.pos + 1 AND b.term = ts[2] LEFT JOIN df d2 ON d2.field = a.field AND d2.term = ts[2]
+    WHERE len(ts) = 1 OR b.path IS NOT NULL GROUP BY ALL
+), sx AS (
+    SELECT query_id, path, round(sum(CASE WHEN sign <> '-' THEN idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean)) END), 6) AS score,
+           count(*) FILTER (sign = '-') AS excluded, count(DISTINCT clause) FILTER (sign = '+') AS has
+    FROM oc JOIN st USING (field) GROUP BY ALL
+), sf AS (SELECT query_id, path, score FROM sx WHERE excluded = 0 AND score IS NOT NULL AND has = CASE WHEN query_id % 2 = 0 THEN 1 ELSE 0 END)"""
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, i = read(spark, sf_dir, "embeddings"), F.col("vec_id")
     path = F.concat(F.lit("p"), F.floor(i / 5))

@@ -7,7 +7,6 @@ maxOffsetsPerTrigger. The limiter and the breaker are folds over a table of call
 
 from __future__ import annotations
 
-import uuid
 from collections import deque
 from collections.abc import Callable, Iterator
 
@@ -15,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..sources.partitions import checkpoint_dir
+from ..sources.partitions import fresh_path
 
 OUT_MANIFEST = "uri string, seq long, op string, outcome string, active_hash string"
 STATE_MANIFEST = "seq long, known boolean, active_hash string, compiled_hash string"
@@ -57,7 +56,7 @@ def run_to_end(events: DataFrame, transform: Callable[[DataFrame], DataFrame]) -
     """The output of a stream over a table's rows: the table is written once, read as a stream in one trigger, and the
     output written by the file sink, all in the shared folder."""
     spark = events.sparkSession
-    base = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    base = fresh_path(spark, "stream")
     events.write.parquet(f"{base}/in")
     out = transform(spark.readStream.schema(events.schema).parquet(f"{base}/in"))
     run = out.writeStream.format("parquet").option("checkpointLocation", f"{base}/checkpoint").option("path", f"{base}/out").outputMode("append").trigger(availableNow=True).start()
