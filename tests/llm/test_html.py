@@ -56,7 +56,7 @@ def test_names_around_the_only_article_dont_hide_it():
 
 
 def test_adverts_and_comments_inside_the_article_go():
-    inner = f"<p>{LONG}</p><div class='ad'>Buy</div><p>{LONG}</p><div class='newsletter-signup'>Join</div><div id=comments><p>{LONG * 4}</p></div><p>End</p>"
+    inner = f"<p>{LONG}</p><div class='ad'>Buy</div><p>{LONG}</p><div class='newsletter-signup'>Join <input name=mail></div><div id=comments><p>{LONG * 4}</p></div><p>End</p>"
     assert html.main_text(page(inner)) == f"{LONG.strip()}\n{LONG.strip()}\nEnd"
 
 
@@ -82,11 +82,44 @@ def test_class_words_are_whole():
 def test_a_name_inside_a_class_is_no_name():
     for name in ("share-price", "ad-hoc-report", "related-work", "comment-period", "cookie-recipe", "notice-of-sale"):
         assert html.main_text(page(f"<p>{LONG}</p><div class='{name}'><p>Kept.</p></div>")) == f"{LONG.strip()}\nKept.", name
-    for name in ("ad-box", "relatedLinks", "reader-comments", "cookie_notice", "share buttons"):
+    for name in ("ad-box", "reader-comments", "cookie_notice"):
         assert html.main_text(page(f"<p>{LONG}</p><div class='{name}'><p>Gone.</p></div>")) == LONG.strip(), name
     assert html.main_text(page("<div class='page-header'><h1>T</h1></div><p data-class='ad' title='class=ad'>x</p>")) == "T\nx"
 
 
+def test_furniture_inside_an_article_goes_by_what_it_holds():
+    for name in ("widget", "login", "relatedLinks", "share buttons", "social", "signup", "subscribe-box", "overlay"):
+        kept = f"<p>{LONG}</p><section id='{name}'><p>How to log in is explained here.</p><p>See <a href='/x'>there</a> too.</p></section><p>End.</p>"
+        assert html.main_text(page(kept)) == f"{LONG.strip()}\nHow to log in is explained here.\nSee there too.\nEnd.", name
+        for inner in ("<a href='/a'>Gone</a> <a href='/b'>too</a>", "Gone: <ul><li><a href='/a'>what was read most</a></li></ul>", "<p>Your address <input name=mail></p>", "<p>Go <button>now</button></p>"):
+            assert html.main_text(page(f"<p>{LONG}</p><div class='{name}'>{inner}</div><p>End.</p>")) == f"{LONG.strip()}\nEnd.", (name, inner)
+
+
+def test_a_form_that_is_the_page_is_no_form():
+    login = "<form>Name <input> and word <input></form>"
+    body = f"<div><h1>Title</h1><p>{LONG}</p><p>End.</p></div>"
+    want = f"Title\n{LONG.strip()}\nEnd."
+    assert html.main_text(f"<body><form action='/'>{body}</form></body>") == want
+    assert html.main_text(f"<body><form action='/'><div>{login}</div>{body}</form></body>").endswith(want)
+    assert html.main_text(f"<body>{login}{body}</body>") == want
+    assert html.main_text(f"<body><form><article>{body}{login}</article></form></body>") == want
+
+
+def test_short_lines_beside_a_surge_stay():
+    assert html.main_text(f"<body><h1>Title</h1><p>Intro.</p><p>More.</p><p>Again.</p><p>{LONG}</p><p>b</p><p>c</p><p>d</p><p>End.</p></body>") == f"Title\nIntro.\nMore.\nAgain.\n{LONG.strip()}\nb\nc\nd\nEnd."
+    assert html.main_text(f"<body><div>My site</div><h1>Title</h1><div><p>Intro.</p><p>{LONG}</p><p>End.</p></div><div>Imprint</div></body>") == f"Title\nIntro.\n{LONG.strip()}\nEnd."
+    menu = "<a href='/'>Home</a>"
+    assert html.main_text(f"<body>{menu}<p>Intro.</p><p>{LONG}</p><p>End.</p>{menu}</body>") == f"Intro.\n{LONG.strip()}\nEnd."
+
+
+def test_articles_side_by_side_all_stay():
+    one, two = f"<article><h2>One</h2><p>{LONG * 2}</p></article>", f"<article><h2>Two</h2><p>{LONG}</p></article>"
+    want = f"One\n{(LONG * 2).strip()}\nTwo\n{LONG.strip()}"
+    assert html.main_text(f"<body><div>{one}<div>Between.</div>{two}</div></body>") == want
+    assert html.main_text(f"<body><main>{one}{two}</main></body>") == want
+    assert html.main_text(f"<body><div>{one}</div><div>{two}</div></body>") == want.split("\nTwo")[0]
+
+
 def test_what_is_text_of_an_article():
     inner = f"<p>{LONG}<button>press</button></p><math><mi>x</mi></math><svg><title>t</title><text>label</text></svg><canvas>old</canvas><object>old</object><p>End.</p>"
     assert html.main_text(page(inner)) == f"{LONG.strip()}\nx\nlabel\nEnd."
@@ -182,8 +215,24 @@ class Brute(HTMLParser):
                 break
         marked = [r for r in runs if within[at[r[0]]]]
         if marked:
-            runs = [max(marked, key=lambda r: sum(size(k) for k in at[r[0] : r[1]]))]
-        return "\n".join(rows[k][0] for k in at[runs[0][0] : runs[-1][1]] if k is not None) if runs else ""
+            best = max(marked, key=lambda r: sum(size(k) for k in at[r[0] : r[1]]))
+
+            def place(r):  # of the outermost article: itself, what holds it
+                path = [(n, i) for n, i, _ in rows[at[r[0]]][1] if n in html.HOLDERS]
+                k = [n for n, _ in path].index("article")
+                return path[k], path[k - 1]
+
+            runs = [r for r in marked if r == best or (place(r)[0] != place(best)[0] and place(r)[1] == place(best)[1])]
+            return "\n".join(rows[k][0] for r in runs for k in at[r[0] : r[1]] if k is not None)
+        if not runs:
+            return ""
+        keep = [k for k in at[runs[0][0] : runs[-1][1]] if k is not None]
+        holder = lambda k: [i for n, i, _ in rows[k][1] if n in html.HOLDERS][-1]
+        while keep[0] > 0 and holder(keep[0] - 1) == holder(keep[0]) and rows[keep[0] - 1][2] < len(rows[keep[0] - 1][0]):
+            keep.insert(0, keep[0] - 1)
+        while keep[-1] + 1 < len(rows) and holder(keep[-1] + 1) == holder(keep[-1]) and rows[keep[-1] + 1][2] < len(rows[keep[-1] + 1][0]):
+            keep.append(keep[-1] + 1)
+        return "\n".join(rows[k][0] for k in keep)
 
 
 def random_page(r):

@@ -2,15 +2,18 @@
 
 Markup is stripped to lines: a block element begins a line, inline elements and <br> don't. What the page itself marks as
 menu, header, footer, sidebar, notice, advert, form or comments - by element, role, or a class or id that is made of such
-names only - is stripped with the markup. Borders of containers leave empty lines: `WINDOW` at the borders of an article or
+names only - is stripped with the markup. Inside an article only names of these kinds count; an element with another name of page furniture
+(widget, share, login ...) goes there if it holds a control or is links for the most part. A form that holds most of a page's text is
+no form. Borders of containers leave empty lines: `WINDOW` at the borders of an article or
 main and where nothing smaller than the page holds both sides, two for each border crossed elsewhere, none inside an
 article. A container without containers is a paragraph of the one around it.
 
 A line's length is its text's, less that of links outside an article. A line's block is the sum of lengths over the
 window of `WINDOW` lines that it begins. The text surges where the sums rise from zero to more than `SURGE` (inside an
 article, to anything; on a page without a surge, everywhere), and dives where they are zero again. Where a surge lies in an
-article or main, the one with the most text is the page's and what lies between it and its dive is kept; otherwise what
-lies between the first surge and the last dive.
+article or main, the one with the most text is the page's, and what lies between it and its dive is kept, with that of all articles
+beside it in the same element; otherwise what lies between the first surge and the last dive, and the lines next to them in the same
+element (short first and last paragraphs) with a main heading before them.
 
 What is text: of elements that show something else than their content (iframe, object, video, audio, canvas) the content
 isn't, nor that of script, style, noscript, template, title; button, select and textarea are parts of forms; formulas
@@ -68,6 +71,10 @@ PLAIN = frozenset(
     "area articles bar block blocks bottom box buttons col column container footer form global group icons inner item items left links list main media "
     "module outer page panel posts reader readers right row section sections site slot stories thread top unit user users wrap wrapper zone".split()
 )
+#: Of those, names of what an article holds too: inside one they count only where there are controls or mostly links.
+WEAK = frozenset("disclaimer login newsletter overlay related respond share sharing shares signup skip social subscribe subscription widget widgets".split())
+#: Elements that one fills in or presses.
+CONTROLS = frozenset("button input select textarea".split())
 #: Names that mean an article's own title inside one.
 TITLES = frozenset("banner header masthead".split())
 
@@ -80,18 +87,26 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 class _Holder:
-    """An open element. own: it is boilerplate by itself; firm: so by more than its name; articles: those around it."""
+    """An open element. own: it is boilerplate by itself; firm: so by more than its name; weak: perhaps by its name."""
 
-    __slots__ = ("name", "parent", "boiler", "firm", "free", "article", "box", "depth", "plain", "page")
+    __slots__ = ("name", "parent", "boiler", "firm", "free", "article", "outer", "box", "depth", "plain", "page", "form", "weak", "chars", "links", "control")
 
-    def __init__(self, name: str, parent: _Holder | None, own: bool = False, firm: bool = False):
+    def __init__(self, name: str, parent: _Holder | None, own: bool = False, firm: bool = False, weak: bool = False):
         self.name, self.parent = name, parent
+        #: The outermost form around it that isn't in an article; what is boilerplate only by that isn't marked so here.
+        self.form = parent.form if parent else None
+        if name == "form" and not (parent and parent.article):
+            self.form, own = self.form or self, False
+        #: The innermost element around it that is perhaps boilerplate; characters in it, those of links, and whether it has controls.
+        self.weak = self if weak else parent.weak if parent else None
+        self.chars, self.links, self.control = 0, 0, False
         self.boiler = own or bool(parent and parent.boiler)
         self.firm = firm or bool(parent and parent.firm)
         outermost = name in ARTICLES and not (parent and parent.article)
         #: Boilerplate, if the names around the outermost article or main don't count.
         self.free = self.firm if outermost else own or bool(parent and parent.free)
         self.article = name in ARTICLES or bool(parent and parent.article)
+        self.outer = self if outermost else parent.outer if parent else None
         self.page = parent is None or name == "body"
         self.plain = True  # holds no container
         self.box, self.depth = self, parent.depth + 1 if parent else 0
@@ -101,38 +116,55 @@ class _Holder:
             parent.box.plain = False
 
 
+    def furniture(self) -> bool:
+        """Whether an element around it with a name of page furniture has controls, or is links for the most part."""
+        h = self.weak
+        while h is not None:
+            if h.control or 2 * h.links > h.chars:
+                return True
+            h = h.parent.weak if h.parent else None
+        return False
+
+
 class Line:
-    """A line of text: its holder, the characters of its links, and the outermost container between it and the line before."""
+    """A line of text: its holder, the characters of its links, the outermost container between it and the line before, and whether it is
+    a main heading."""
 
-    __slots__ = ("text", "holder", "links", "between")
+    __slots__ = ("text", "holder", "links", "between", "heading")
 
-    def __init__(self, text: str, holder: _Holder, links: int, between: _Holder):
-        self.text, self.holder, self.links, self.between = text, holder, links, between
+    def __init__(self, text: str, holder: _Holder, links: int, between: _Holder, heading: bool):
+        self.text, self.holder, self.links, self.between, self.heading = text, holder, links, between, heading
 
 
-def _named(value: str, inside_article: bool) -> bool:
+def _named(value: str, inside_article: bool) -> tuple[bool, bool]:
+    """(a class or id is a name of boilerplate, perhaps is one)."""
+    weak = False
     for token in value.split():
         parts = [w.lower() for w in _WORD.findall(token)]
         names = {"".join(parts)} & NAMES or (set(parts) & NAMES if PLAIN.union(NAMES).issuperset(parts) else set())
-        if names and not (inside_article and names <= TITLES):
-            return True
-    return False
+        if names and inside_article and names <= WEAK | TITLES:
+            weak = weak or not names <= TITLES
+        elif names:
+            return True, False
+    return False, weak
 
 
-def _is_boilerplate(name: str, attributes: str, inside_article: bool) -> tuple[bool, bool]:
-    """(is boilerplate, by more than a name that the page chose)."""
+def _is_boilerplate(name: str, attributes: str, inside_article: bool) -> tuple[bool, bool, bool]:
+    """(is boilerplate, by more than a name that the page chose, perhaps is by its name)."""
     if name == "form":  # some pages are one form
-        return True, inside_article
+        return True, inside_article, False
     if name in BOILERPLATE or (name == "header" and not inside_article):
-        return True, True
-    own = False
+        return True, True, False
+    own = weak = False
     if name not in ARTICLES and name != "body":
         for key, value in _ATTRIBUTE.findall(attributes):
             key, value = key.lower(), value.strip("\"'")
             if key == "hidden" or key == "role" and value.lower() in ROLES:
-                return True, True
-            own = own or key in ("class", "id") and _named(value, inside_article)
-    return own, False
+                return True, True, False
+            if key in ("class", "id"):
+                found = _named(value, inside_article)
+                own, weak = own or found[0], weak or found[1]
+    return own, False, weak
 
 
 def lines_of(html: str) -> list[Line]:
@@ -142,15 +174,19 @@ def lines_of(html: str) -> list[Line]:
     text: list[str] = []
     links: list[str] = []
     opened: dict[str, int] = {}
-    in_link = False
+    in_link = heading = False
     pos, n = 0, len(html)
 
     def flush() -> None:
         nonlocal between, in_link
         if text:
             if line := " ".join(unescape("".join(text)).split()):
-                lines.append(Line(line, at, sum(len(" ".join(unescape(x).split())) for x in links), between))
-                between = at.box
+                n_links = sum(len(" ".join(unescape(x).split())) for x in links)
+                lines.append(Line(line, at, n_links, between, heading))
+                between, weak = at.box, at.weak
+                while weak is not None:
+                    weak.chars, weak.links = weak.chars + len(line), weak.links + n_links
+                    weak = weak.parent.weak if weak.parent else None
             text.clear()
             links.clear()
         in_link = False
@@ -172,6 +208,8 @@ def lines_of(html: str) -> list[Line]:
         if not name:
             continue
         name = name.lower()
+        if name in CONTROLS and at.weak is not None:
+            at.weak.control = True
         if name in SKIPPED and not closing:
             if name in BLOCKS:
                 flush()
@@ -196,6 +234,7 @@ def lines_of(html: str) -> list[Line]:
                     between = at.box
         elif name in BLOCKS:
             flush()
+            heading = name == "h1" and not closing
         elif name == "br":
             text.append(" ")
         elif name == "a":
@@ -232,18 +271,41 @@ def regions(lengths: list[int], least: list[int], window: int = WINDOW) -> list[
     return out
 
 
+def _own_lines(lines: list[Line]) -> list[Line]:
+    """Those that the page doesn't mark as something else than its text."""
+    chars = sum(len(x.text) for x in lines if not x.holder.boiler)
+    forms: dict[_Holder, int] = {}
+    for x in lines:
+        if x.holder.form and not x.holder.boiler:
+            forms[x.holder.form] = forms.get(x.holder.form, 0) + len(x.text)
+    left_out = {f for f, n in forms.items() if 2 * n <= chars}
+    boiler = [x.holder.boiler or x.holder.form in left_out or x.holder.furniture() for x in lines]
+    if not any(x.holder.article and not b for x, b in zip(lines, boiler, strict=True)):
+        # The names of what is around the page's only articles or main don't make them boilerplate, nor does a form.
+        boiler = [x.holder.free or x.holder.furniture() if x.holder.article else b for x, b in zip(lines, boiler, strict=True)]
+    return [x for x, b in zip(lines, boiler, strict=True) if not b]
+
+
+def _beside(at: list[Line | None], places: range, holder: _Holder) -> int | None:
+    """The farthest of the places up to which lines are in the holder itself, and aren't links only."""
+    last = None
+    for i in places:
+        x = at[i]
+        if x is not None:
+            if x.holder is not holder or x.links >= len(x.text):
+                break
+            last = i
+    return last
+
+
 def main_text(html: str | None) -> str:
-    lines = lines_of(html or "")
-    articles = [x for x in lines if x.holder.article]
-    if not any(not x.holder.boiler for x in articles):
-        # The names of what is around the page's only articles or main don't make them boilerplate.
-        for x in articles:
-            x.holder.boiler = x.holder.free
+    every = lines_of(html or "")
+    kept = set(map(id, _own_lines(every)))
     at: list[Line | None] = []  # lines and empty lines
     last, between = None, None
-    for x in lines:
+    for x in every:
         between = x.between if between is None or x.between.depth < between.depth else between
-        if x.holder.boiler:
+        if id(x) not in kept:
             continue
         if last is not None:
             at += [None] * empty_lines(last, x, between)
@@ -254,10 +316,16 @@ def main_text(html: str | None) -> str:
     found = found or regions(lengths, [0] * (len(at) + 1))
     inside = [(a, z) for a, z in found if at[a].holder.article]
     if inside:
-        a, z = max(inside, key=lambda r: sum(lengths[slice(*r)]))
-    else:
-        a, z = (found[0][0], found[-1][1]) if found else (0, 0)
-    return "\n".join(x.text for x in at[a:z] if x is not None)
+        best = max(inside, key=lambda r: sum(lengths[slice(*r)]))
+        outer = at[best[0]].holder.outer
+        found = [r for r in inside if r == best or at[r[0]].holder.outer is not outer and at[r[0]].holder.outer.parent is outer.parent]
+    elif found:
+        a, z = found[0][0], found[-1][1]
+        up, down = _beside(at, range(a - 1, -1, -1), at[a].holder), _beside(at, range(z, len(at)), next(at[i] for i in range(z - 1, a - 1, -1) if at[i]).holder)
+        a, z = a if up is None else up, z if down is None else down + 1
+        before = next((i for i in range(a - 1, -1, -1) if at[i] is not None), None)
+        found = [(before if before is not None and at[before].heading and not at[a].heading else a, z)]
+    return "\n".join(x.text for a, z in found for x in at[a:z] if x is not None)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
