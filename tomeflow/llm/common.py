@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import math
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,58 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.partitions import checkpoint_dir, spread
-
-_written: list[tuple[SparkSession, str]] = []
-
+from ..sources.partitions import discard, drop_path, fresh_path, spread, written  # noqa: F401
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share."""
-    return checkpoint_dir(spark)
-
-
-def fresh_path(spark: SparkSession, what: str) -> str:
-    """A new path below the shared folder; it is removed when the driver's Python ends."""
-    path = f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
-    if not _written:
-        atexit.register(_remove_written)
-    _written.append((spark, path))
-    return path
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def _remove_written() -> None:
-    for spark, path in _written:
-        try:
-            drop_path(spark, path)
-        except Exception:  # the session may have ended before; then the shared folder's owner cleans up
-            return
-
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage, and a lost executor loses none of it."""
-    spark = df.sparkSession
-    path = fresh_path(spark, what)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._written_to = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Removes the files of a written table that nothing reads any more."""
-    drop_path(df.sparkSession, df._written_to)
-
-
 #: Python makes objects of about so many bytes of Arrow data at a time, whatever a batch's rows are.
 SLICE_BYTES = 1 << 20
 
