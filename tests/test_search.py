@@ -192,3 +192,41 @@ def test_query_syntax(spark, tmp_path):
     score = {"p1": w(1, 0, 1, (1, 2)) + w(2, 0, 1, (3, 3)), "p3": w(2, 2, 3, (3, 3))}
     assert best == max(score, key=score.get)
     assert {r.path: r.score for r in rows if r.query_id == 0} == {p: round(s, 6) for p, s in score.items()}
+
+
+def test_nearest_by_cells_equals_all_pairs(spark, monkeypatch):
+    from tomeflow.operators import routing
+
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(12, 6)) * 20
+    v = centres[rng.integers(0, 12, 900)] + rng.normal(size=(900, 6))
+    v[100:160] = v[100]  # copies: one cell of many shards
+    rows = [(f"s{i:04d}", f"p{i // 3}", v[i].tolist(), "abc"[i % 3] if i % 50 else None) for i in range(900)]
+    rows += [("t1", "p", [1.0, 2.0], "a"), ("t2", "p", None, "a"), ("t3", "p", [0.0] * 6, "d")]
+    s = spark.createDataFrame(rows, "section_key string, path string, vector array<double>, vault string")
+    q = spark.createDataFrame([(i, v[i * 20].tolist()) for i in range(40)] + [(100, v[100].tolist()), (101, [0.0, 0.0]), (102, [1.0])], "query_id long, vector array<double>")
+    known = s.where("vault IS NOT NULL")
+    key = lambda d: sorted(map(tuple, d.collect()))
+    for group, table in (((), s), (("vault",), known)):
+        want = key(search.nearest(table, q, 6, 5_000, group))
+        assert key(search.nearest(table, q, 6, 30, group)) == want and len(want) > 200
+    with monkeypatch.context() as m:  # too many cells to plan with
+        m.setattr(routing, "CELLS", 3)
+        assert key(search.nearest(s, q, 6, 30)) == key(search.nearest(s, q, 6, 5_000))
+
+
+def test_few_pairs_of_queries_and_cells_are_left(spark):
+    from tomeflow.operators import routing
+
+    rng = np.random.default_rng(4)
+    v = (rng.normal(size=(50, 8)) * 20)[rng.integers(0, 50, 4_000)] + rng.normal(size=(4_000, 8))
+    s = spark.createDataFrame([(f"s{i}", "p", v[i].tolist()) for i in range(4_000)], "section_key string, path string, vector array<double>")
+    q = s.limit(40).select(F.substring("section_key", 2, 9).cast("long").alias("query_id"), "vector")
+    router = routing.Router(s, 4_000, 100, 10, ())
+    own = router.pairs(q)
+    assert own.count() == 40
+    found = search._in_cells(router, own, 10, 1)
+    reached = search.top(found, 10, "distance", "section_key").groupBy("query_id").agg(F.max("distance").alias("kth")).withColumn("g", F.lit(0))
+    asked = 40 + router.pairs(q, reached).count()
+    assert asked * 5 < 40 * router.n_cells
+    router.close()

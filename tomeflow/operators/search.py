@@ -18,10 +18,11 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import terms
-from ..sources.partitions import fresh_path
-from . import maxscore
+from ..sources.partitions import fresh_path, written
+from . import maxscore, routing
 
 K1, B = 1.2, 0.75
 RRF_K = 60
@@ -203,16 +204,47 @@ def nearest(sections: DataFrame, queries: DataFrame, limit: int, shard_rows: int
     """query_id, section_key, path, distance (Euclidean, rounded to six digits), rank: each query's nearest sections, ties
     by key. sections(section_key, path, vector), queries(query_id, vector); exact.
 
-    Sections are dealt to shards and queries to blocks of bounded size; a task holds one of each and passes on the best
-    `limit` of its shard for every query. Null vectors, and those of another length than the query's, take no part."""
+    A table of more than one shard is cut into cells of neighbours, and a query meets only the cells that can hold its nearest ones
+    (`routing`); a task has a cell's shard and a block of queries, and passes on the best `limit` for every query. Null vectors, and those
+    of another length than the query's, take no part."""
     s = sections.where("vector IS NOT NULL").select(*group, "section_key", "path", F.col("vector").cast("array<double>").alias("vector"))
     q = queries.where("vector IS NOT NULL").select("query_id", F.col("vector").cast("array<double>").alias("vector"))
-    shards, blocks = (max(1, math.ceil(d.count() / shard_rows)) for d in (s, q))
-    spread = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    n, blocks = s.count(), max(1, math.ceil(q.count() / shard_rows))
+    router = routing.Router(s, n, shard_rows, limit, group) if n > shard_rows else None
+    found = _routed(router, q, limit, blocks) if router and router.by_dim else _everywhere(s, q, limit, max(1, math.ceil(n / shard_rows)), blocks, group)
+    return top(found, limit, "distance", "section_key", by=("query_id", *group)).select(*group, "query_id", "section_key", "path", "distance", "rank")
+
+
+def _deal(c: str, n: int) -> Column:
+    return F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+
+
+def _everywhere(s: DataFrame, q: DataFrame, limit: int, shards: int, blocks: int, group: tuple[str, ...]) -> DataFrame:
+    """query_id, group, section_key, path, distance of the best of each shard, which every query meets."""
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    right = s.withColumn("shard", spread("section_key", shards)).withColumn("block", every(blocks))
-    left = q.withColumn("block", spread("query_id", blocks)).withColumn("shard", every(shards))
+    right = s.withColumn("shard", _deal("section_key", shards)).withColumn("block", every(blocks))
+    left = q.withColumn("block", _deal("query_id", blocks)).withColumn("shard", every(shards))
+    left, right = (d.withColumn("dim", F.size("vector")) for d in (left, right))
+    return _meet(left, right, ("block", "shard", "dim"), limit, group, s.schema)
+
 
+def _routed(router: routing.Router, q: DataFrame, limit: int, blocks: int) -> DataFrame:
+    """The same from the cells that each query must ask."""
+    own = written(_in_cells(router, router.pairs(q), limit, blocks), "nearest-own")
+    best = top(own, limit, "distance", "section_key", by=("query_id", *router.group)).groupBy("query_id", *router.group)
+    reached = best.agg(F.count("*").alias("n"), F.max("distance").alias("kth")).where(F.col("n") == limit)
+    reached = reached.join(F.broadcast(router.groups), list(router.group)) if router.group else reached.withColumn("g", F.lit(0))
+    return own.unionByName(_in_cells(router, router.pairs(q, reached.select("query_id", "g", "kth")), limit, blocks))
+
+
+def _in_cells(router: routing.Router, pairs: DataFrame, limit: int, blocks: int) -> DataFrame:
+    left = pairs.withColumn("block", _deal("query_id", blocks)).withColumn("split", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)))
+    # Of the sections only cells that are asked move, once for each block of queries that does.
+    right = router.sections.join(pairs.select("cell", _deal("query_id", blocks).alias("block")).distinct(), "cell")
+    return _meet(left.drop("splits"), right, ("cell", "split", "block", "dim"), limit, router.group, router.sections.schema)
+
+
+def _meet(left: DataFrame, right: DataFrame, by: tuple[str, ...], limit: int, group: tuple[str, ...], schema: T.StructType) -> DataFrame:
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         ids, where, far = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         if a.num_rows and b.num_rows:
@@ -231,12 +263,8 @@ def nearest(sections: DataFrame, queries: DataFrame, limit: int, shard_rows: int
         out = b.select([*group, "section_key", "path"]).take(pa.array(np.concatenate(where)))
         return out.add_column(0, "query_id", pa.array(np.concatenate(ids), pa.int64())).append_column("distance", pa.array(np.concatenate(far)))
 
-    left, right = (d.withColumn("dim", F.size("vector")) for d in (left, right))
-    by = ("block", "shard", "dim")
-    kinds = dict(sections.dtypes)
-    schema = ", ".join(["query_id long", *(f"{g} {kinds[g]}" for g in group), "section_key string", "path string", "distance double"])
-    found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(run, schema)
-    return top(found, limit, "distance", "section_key", by=("query_id", *group)).select(*group, "query_id", "section_key", "path", "distance", "rank")
+    kinds = ", ".join(["query_id long", *(f"{g} {schema[g].dataType.simpleString()}" for g in group), "section_key string", "path string", "distance double"])
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(run, kinds)
 
 
 def _closest(x: np.ndarray, y: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
