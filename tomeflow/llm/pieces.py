@@ -263,9 +263,10 @@ class Codec:
         if len(self.kept) > self.kept_chunks:
             self.kept.clear()
         self.kept[""] = b""
-        found = [list(map(self.kept.get, cs)) for cs in cut]
-        lacking = [k for k, f in enumerate(found) if None in f]
-        new = list(set().union(*(cut[k] for k in lacking)).difference(self.kept))
+        # Each chunk of the batch is looked up once in what is kept, then in the batch's own.
+        every = set().union(*cut)
+        found = {c: x for c, x in zip(every, map(self.kept.get, every), strict=True) if x is not None}
+        new = list(every.difference(found))
         if new:
             own = self.ids(new)
             theirs = self._library_ids(new)
@@ -273,10 +274,11 @@ class Codec:
             if not same:
                 c, a, b = next((c, a, b) for c, a, b in zip(new, own, theirs, strict=True) if np.frombuffer(a, "<i4").tolist() != b)
                 raise ValueError(f"the library encodes {c!r} as {b}, not as {np.frombuffer(a, '<i4').tolist()}")
-            self.kept.update(zip(new, own, strict=True))
-            for k in lacking:
-                found[k] = list(map(self.kept.__getitem__, cut[k]))
-        return [np.frombuffer(b"".join(f), "<i4") for f in found]
+            coded = dict(zip(new, own, strict=True))
+            self.kept.update(coded)
+            found.update(coded)
+        get = found.__getitem__
+        return [np.frombuffer(b"".join(map(get, cs)), "<i4") for cs in cut]
 
     def _library_ids(self, chunks: list[str]) -> list[list[int]]:
         """What the library makes of each chunk. It puts a space before every text, so a chunk without one goes in after a line end."""
