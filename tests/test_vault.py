@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tomeflow.operators import bundle, compile, lint, store
 from tomeflow.sources import paths, vault
+from tomeflow.streaming import breaker as chunked
 from tomeflow.streaming import state
 
 PAGE = '---\ntype: concept\ntitle: A\nsources:\n  - resource: "/raw/r1"\ntags: [x]\n---\nbody [[b]] [[missing]]'
@@ -174,8 +175,42 @@ def test_folds_equal_plain_loops(spark):
     calls = [(rng.choice(["a", "b"]), i, round(rng.random() * 100, 3), rng.random() < 0.6) for i in range(600)]
     df = spark.createDataFrame(calls, "k string, call_id long, t double, failed boolean").repartition(7)
     allowed = {r.call_id: r.result for r in state.rate_limiter(df, "k", 5, 2.0).collect()}
-    met = {r.call_id: r.result for r in state.circuit_breaker(df, "k", 3, 1.5).collect()}
+    met = {r.call_id: r.result for r in chunked.circuit_breaker(df, "k", 3, 1.5).collect()}
     for k in "ab":
         own = sorted((c for c in calls if c[0] == k), key=lambda c: (c[2], c[1]))
         assert [allowed[c[1]] for c in own] == limiter([c[2] for c in own], 5, 2.0)
         assert [met[c[1]] for c in own] == breaker([(c[2], c[3]) for c in own], 3, 1.5)
+
+
+def test_a_breaker_in_chunks_meets_what_one_fold_meets(spark):
+    rng = random.Random(6)
+    key = lambda: rng.choice(["hot", "hot", "hot", "a", "Z", "é", None])
+    calls = [(key(), i, float(rng.randrange(200)) / 3, rng.random() < 0.7) for i in range(900)]
+    df = spark.createDataFrame(calls, "k string, call_id long, t double, failed boolean").repartition(5)
+    for threshold, reset, rows in ((3, 1.5, 40), (1, 10.0, 40), (5, 0.0, 40), (2, 5.0, 10_000)):
+        met = {r.call_id: r.result for r in chunked.circuit_breaker(df, "k", threshold, reset, rows).collect()}
+        assert len(met) == 900
+        for k in {c[0] for c in calls}:
+            own = sorted((c for c in calls if c[0] == k), key=lambda c: (c[2], c[1]))
+            assert [met[c[1]] for c in own] == breaker([(c[2], c[3]) for c in own], threshold, reset)
+    assert chunked.circuit_breaker(df.limit(0), "k").count() == 0
+
+
+def test_a_chunk_is_a_function_of_the_state_before():
+    rng = random.Random(2)
+    for _ in range(300):
+        times = sorted(rng.randrange(60) / 2 for _ in range(rng.randint(1, 25)))
+        failed = [rng.random() < 0.6 for _ in times]
+        threshold, reset = rng.randint(1, 4), rng.choice([0.0, 1.0, 4.5])
+        made = chunked.summary(times, failed, threshold, reset)
+        for state_ in [(f, 0.0) for f in range(threshold)] + [(chunked.OPEN, times[0] - rng.randrange(12) / 2) for _ in range(5)]:
+            assert chunked.through(state_, *made, reset) == chunked.fold(state_, times, failed, threshold, reset)[0]
+    # States meet: a long chunk is few numbers.
+    assert len(chunked.summary([float(i) for i in range(5_000)], [i % 7 > 0 for i in range(5_000)], 5, 30.0)[1]) < 50
+
+
+def test_one_key_with_all_calls_is_dealt_to_several_tasks(spark):
+    df = spark.range(4_000).selectExpr("'k' AS k", "id AS call_id", "id * 0.5D AS t", "id % 3 > 0 AS failed")
+    found = chunked.circuit_breaker(df, "k", 2, 5.0, chunk_rows=500)
+    met = {r.call_id: r.result for r in found.collect()}
+    assert [met[i] for i in range(4_000)] == breaker([(i * 0.5, i % 3 > 0) for i in range(4_000)], 2, 5.0)

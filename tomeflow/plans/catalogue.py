@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import payload, text
 from ..operators import bundle, compile, lint, manifest, search, store, syntax
-from ..streaming import state
+from ..streaming import breaker, state
 from . import derived as d
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -375,6 +375,12 @@ def knn_topk(spark, sf):
     return search.nearest(d.vectors(spark, sf), d.vector_queries(spark, sf), LIMIT)
 
 
+@query(f"WITH {d.KNN.format(n=LIMIT)} SELECT * FROM kn")
+def knn_routed(spark, sf):
+    """The same in small cells, so that routes are planned for tables of any size."""
+    return search.nearest(d.vectors(spark, sf), d.vector_queries(spark, sf), LIMIT, shard_rows=128)
+
+
 _BEST = "be AS (SELECT query_id, path, min(distance) AS distance, arg_min(section_key, (distance, section_key)) AS section_key FROM kn GROUP BY ALL)"
 
 
@@ -619,4 +625,4 @@ def rate_limiter(spark, sf):
     ) SELECT user_id, call_id, result FROM fo"""
 )
 def circuit_breaker(spark, sf):
-    return state.circuit_breaker(_calls(spark, sf), "user_id", threshold=3, reset=86_400.0)
+    return breaker.circuit_breaker(_calls(spark, sf), "user_id", threshold=3, reset=86_400.0)

@@ -1,8 +1,8 @@
-"""Event logs as streams: the manifest's state, a rate limiter and a circuit breaker.
+"""Event logs as streams: the manifest's state, and a rate limiter.
 
 Each key's state is one small row, however many events it has. Streams order a key's events of one micro-batch by seq, in
 memory, and refuse those at or below the last one seen: bound micro-batches by the source's maxFilesPerTrigger or
-maxOffsetsPerTrigger. The limiter and the breaker are folds over a table of calls.
+maxOffsetsPerTrigger. The limiter is a fold over a table of calls; the breaker is in `breaker`.
 """
 
 from __future__ import annotations
@@ -100,29 +100,3 @@ def rate_limiter(calls: DataFrame, key: str, limit: int = 100, window: float = 1
         return one
 
     return _fold(calls, key, ["t"], f"{key} {dict(calls.dtypes)[key]}, call_id long, result boolean", step)
-
-
-def circuit_breaker(calls: DataFrame, key: str, threshold: int = 5, reset: float = 30.0) -> DataFrame:
-    """key, call_id, result (what the call meets) of calls(key, call_id, t, failed)."""
-
-    def step():
-        state, failures, since = "closed", 0, 0.0
-
-        def one(row) -> str:
-            nonlocal state, failures, since
-            if state == "open":
-                if row.t - since < reset:
-                    return "open"
-                state = "half_open"
-            met = state
-            if not row.failed:
-                state, failures = "closed", 0
-            else:
-                failures += 1
-                if state == "half_open" or failures >= threshold:
-                    state, since = "open", row.t
-            return met
-
-        return one
-
-    return _fold(calls, key, ["t", "failed"], f"{key} {dict(calls.dtypes)[key]}, call_id long, result string", step)
