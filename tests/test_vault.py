@@ -205,7 +205,7 @@ def test_a_chunk_is_a_function_of_the_state_before():
         made = chunked.summary(times, failed, threshold, reset)
         for state_ in [(f, 0.0) for f in range(threshold)] + [(chunked.OPEN, times[0] - rng.randrange(12) / 2) for _ in range(5)]:
             assert chunked.through(state_, *made, reset) == chunked.fold(state_, times, failed, threshold, reset)[0]
-    # States meet: a long chunk is few numbers.
+    # Only calls within the time to reset matter to a breaker that opened before: a long chunk is few numbers.
     assert len(chunked.summary([float(i) for i in range(5_000)], [i % 7 > 0 for i in range(5_000)], 5, 30.0)[1]) < 50
 
 

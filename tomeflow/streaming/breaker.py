@@ -4,7 +4,8 @@ Calls are dealt by ranges of (key, time, call), so a key with very many has many
 a function which can be written down without knowing that state: one exit for each number of failures so far, and, for a breaker that
 opened some time before, an exit for each stretch of times, because only the first call that may try again matters, and
 what follows from there was worked out backwards once for all. The functions of all chunks are then applied one after the other - a row
-for each chunk, few numbers in each, as states soon meet - and every chunk is gone through once more from its true state.
+for each chunk, with at most as many stretches as it has calls within the time to reset from its first - and every chunk is gone
+through once more from its true state.
 """
 
 from __future__ import annotations
@@ -62,7 +63,8 @@ def summary(times: list[float], failed: list[bool], threshold: int, reset: float
         else:
             tries[j], closed = closed[0], [closed[0]] * threshold
     stretches: list[tuple[float, tuple[int, float]]] = []
-    for t, e in zip(times, tries, strict=True):
+    # It opened before the chunk began, so it tries again within the time to reset from there.
+    for t, e in zip(times[: _first_after(times, times[0], reset) + 1], tries, strict=False):
         if stretches and stretches[-1][1] == e:
             stretches[-1] = (t, e)
         else:
