@@ -19,7 +19,7 @@ OPERATIONS = "array<struct<action:string,path:string,content:string,reason:strin
 
 def operations(payload: Column) -> Column:
     """struct<operations,valid>: the operations of a payload, with or without a code fence. Valid is only what is one JSON object
-    and nothing else, whose operations all have a known action, a path, and what the action needs (content of a page to write, the reason of
+    and nothing else, whose operations all have a known action, a path that isn't empty, and what the action needs (content of a page to write, the reason of
     a removal), each a string. A payload that isn't valid has no operations."""
     bare = strip_code_fence(payload)
     # With its own digest behind it in one array, nothing that follows the object goes unnoticed.
@@ -29,7 +29,7 @@ def operations(payload: Column) -> Column:
     listed = F.try_variant_get(sealed, "$[0].operations", "array<variant>")
     text = lambda o, key: F.when(F.schema_of_variant(F.try_variant_get(o, f"$.{key}", "variant")) == "STRING", F.try_variant_get(o, f"$.{key}", "string"))
     read = F.transform(listed, lambda o: F.struct(*(text(o, k).alias(k) for k in ("action", "path", "content", "reason"))))
-    good = F.forall(read, lambda o: F.coalesce(o["path"].isNotNull() & reduce(or_, ((o["action"] == a) & o[need].isNotNull() for a, need in ACTIONS.items())), F.lit(False)))
+    good = F.forall(read, lambda o: F.coalesce((o["path"] != "") & reduce(or_, ((o["action"] == a) & o[need].isNotNull() for a, need in ACTIONS.items())), F.lit(False)))
     valid = F.coalesce(whole & listed.isNotNull() & good, F.lit(False))
     return F.struct(F.when(valid, read).alias("operations"), valid.alias("valid"))
 

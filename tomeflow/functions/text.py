@@ -168,6 +168,11 @@ def normal_path(path: Column) -> Column:
     return F.when(inside_vault(path), F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/"))
 
 
+def writable(path: Column) -> Column:
+    """Whether a page can be written there: inside the vault, and not the vault's own folder."""
+    return inside_vault(path) & (normal_path(path) != "")
+
+
 #: A key that holds one of these, in any case, is sensitive.
 SENSITIVE = ("password", "token", "secret", "authorization", "apikey", "api_key", "api-key", "credential")
 

@@ -31,8 +31,20 @@ def index_lines(pages: DataFrame) -> DataFrame:
     return pages.select("title", "path", "description", F.concat(F.lit("- ["), "title", F.lit("]("), "path", F.lit(")"), tail).alias("line"))
 
 
-def write_index(pages: DataFrame, path: str) -> None:
-    index_lines(pages).orderBy("title", "path", "description").select("line").write.mode("overwrite").text(path)
+def index_head(field: str, version: str, title: str) -> str:
+    """What stands before an index page's lines: front matter with the format's version, under the caller's name of that field, and a
+    heading."""
+    return f'---\n{field}: "{version}"\n---\n\n# {title}\n\n'
+
+
+def write_index(pages: DataFrame, path: str, head: str | None = None) -> None:
+    """The index page as text files whose names keep the order of titles; with a head, that comes first."""
+    lines = index_lines(pages).select(F.lit(1).alias("part"), "title", "path", "description", "line")
+    if head is not None:
+        none = F.lit(None).cast("string")
+        first = pages.sparkSession.range(1).select(F.lit(0).alias("part"), *(none.alias(c) for c in ("title", "path", "description")), F.lit(head.removesuffix("\n")).alias("line"))
+        lines = lines.unionByName(first)
+    lines.orderBy("part", "title", "path", "description").select("line").write.mode("overwrite").text(path)
 
 
 def resolve(pages: DataFrame, asked: DataFrame) -> DataFrame:

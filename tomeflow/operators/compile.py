@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,6 +14,10 @@ from ..functions import payload, text
 from ..sources.partitions import fresh_path
 
 
+#: So many open jobs are sent to every task.
+BROADCAST_JOBS = 100_000
+
+
 def referenced_ids(provenance: DataFrame) -> DataFrame:
     """raw_id: what pages cite."""
     return provenance.select(text.file_stem(F.col("resource")).alias("raw_id")).distinct()
@@ -70,7 +75,7 @@ def compile_sources(sources: DataFrame, synthesise: Callable[[str], str], pages:
     # Each source is asked once, whatever reads its answer.
     answers = _written(run_jobs(jobs, synthesise, workers), "answers")
     checked = answers.withColumn("_p", payload.operations(F.col("payload")))
-    outside = F.exists("_p.operations", lambda o: ~text.inside_vault(o["path"]))
+    outside = F.exists("_p.operations", lambda o: ~text.writable(o["path"]))
     error = F.coalesce("error", F.when(~F.col("_p.valid"), F.lit("the answer isn't a valid payload")), F.when(outside, F.lit("a path leaves the vault")))
     outcomes = jobs.select("source_seq", "uri").join(checked.select("source_seq", error.alias("error")), "source_seq")
     return apply_operations(pages, parse_results(answers)), outcomes
@@ -120,14 +125,14 @@ def parse_results(results: DataFrame) -> DataFrame:
 
 
 def sandboxed(operations: DataFrame) -> DataFrame:
-    """operations with normal paths, without those of sources of which any operation's path leaves the vault."""
-    escaping = operations.where(~text.inside_vault(F.col("path"))).select("source_seq").distinct()
+    """operations with normal paths, without those of sources of which any operation's path leaves the vault or is its own folder."""
+    escaping = operations.where(~text.writable(F.col("path"))).select("source_seq").distinct()
     return operations.join(escaping, "source_seq", "left_anti").withColumn("path", text.normal_path(F.col("path")))
 
 
 def apply_operations(pages: DataFrame, operations: DataFrame) -> DataFrame:
     """path, content after all operations in order: the last one for a path holds; deleting what isn't there is fine. A source that
-    names a path outside the vault changes nothing.
+    names a path outside the vault, or the vault's own folder, changes nothing.
 
     The last operation is an aggregate, not a window: a path that very many operations touch is reduced before the shuffle."""
     last = sandboxed(operations).groupBy("path").agg(F.max_by(F.struct("action", "content"), F.struct("source_seq", "op_seq")).alias("_o"))
@@ -177,6 +182,44 @@ def match_submissions(submitted: DataFrame, jobs: DataFrame) -> DataFrame:
     return found.select("job_id", F.col("_k").alias("kind"), F.when(F.col("_k").isNull(), F.concat(F.lit("unknown job "), F.col("job_id").cast("string"))).alias("error"))
 
 
+@dataclass
+class Submission:
+    """What a batch of answers did. results(position, job_id, status, error, touched array<string>), pages(vault, path, content) after
+    it, jobs that are still open, compiled(vault, key) of sources whose content is compiled now, vaults(vault) whose index page is to be
+    made anew, once each."""
+
+    results: DataFrame
+    pages: DataFrame
+    jobs: DataFrame
+    compiled: DataFrame
+    vaults: DataFrame
+
+
+def submit(submitted: DataFrame, jobs: DataFrame, pages: DataFrame, now: Column, ttl_seconds: int = 1_800, cap: int = 500) -> Submission:
+    """Applies submitted(position, job_id, payload) to jobs(job_id, kind, key, vault, created_at) and pages(vault, path, content), as if
+    one after the other by position. An answer that isn't valid, names a path that can't be written, or whose job isn't known or is too old is
+    an error of its own, and the others are applied; its job stays open for another try, a later one of the same batch too. An applied job is
+    closed, so what comes after it finds none."""
+    open_ = _written(evict(jobs, now, ttl_seconds, cap).select(*jobs.columns), "open-jobs")
+    known = open_.select("job_id", "kind", "key", "vault")
+    own = submitted.join(F.broadcast(known) if cap <= BROADCAST_JOBS else known, "job_id", "left").withColumn("_p", payload.operations(F.col("payload")))
+    bad_path = F.exists("_p.operations", lambda o: ~text.writable(o["path"]))
+    why = F.when(F.col("vault").isNull(), "job not found or expired").when(~F.col("_p.valid"), "the answer isn't a valid payload").when(bad_path, "a path leaves the vault")
+    own = own.select("position", "job_id", "kind", "key", "vault", "_p.operations", why.alias("error"))
+    own = _written(own, "submitted")
+    first = own.where("error IS NULL").groupBy("job_id").agg(F.min("position").alias("_applied"))
+    own = own.join(first, "job_id", "left").withColumn("error", F.when(F.col("position") > F.col("_applied"), "job not found or expired").otherwise(F.col("error")))
+    applied = own.where("error IS NULL")
+    touched = F.array_sort(F.array_distinct(F.transform("operations", lambda o: text.normal_path(o["path"]))))
+    results = own.select("position", "job_id", F.when(F.col("error").isNull(), "applied").otherwise("error").alias("status"), "error", F.when(F.col("error").isNull(), touched).alias("touched"))
+    ops = applied.select("vault", "position", F.posexplode("operations").alias("op_seq", "_o")).select("vault", "position", "op_seq", "_o.action", text.normal_path(F.col("_o.path")).alias("path"), "_o.content")
+    last = ops.groupBy("vault", "path").agg(F.max_by(F.struct("action", "content"), F.struct("position", "op_seq")).alias("_o"))
+    both = pages.select("vault", "path", F.col("content").alias("_old")).join(last, ["vault", "path"], "full_outer").where("_o IS NULL OR _o.action <> 'DELETE'")
+    after = both.select("vault", "path", F.when(F.col("_o").isNotNull(), F.col("_o.content")).otherwise(F.col("_old")).alias("content"))
+    compiled = applied.where("kind = 'compile'").select("vault", "key").distinct()
+    return Submission(results, after, open_.join(applied.select("job_id"), "job_id", "left_anti"), compiled, touched_vaults(applied))
+
+
 def health(checks: DataFrame, by: list[str]) -> DataFrame:
     """status of each group of checks(critical, status): unhealthy if a critical one is, degraded if any isn't healthy."""
     bad = F.bool_or(F.col("critical") & (F.col("status") == "unhealthy"))

@@ -477,6 +477,36 @@ def apply_ops_sandboxed(spark, sf):
     return compile.apply_operations(spark.createDataFrame([], "path string, content string"), done)
 
 
+_SUBMITTED = """jb AS (SELECT doc_id AS job_id, CASE WHEN doc_id % 3 = 0 THEN 'fix_link' ELSE 'compile' END AS kind, lang AS vault FROM documents WHERE doc_id % 5 <> 4 AND doc_id % 13 <> 12),
+    sb AS (SELECT doc_id * 2 AS position, doc_id AS job_id, CASE WHEN doc_id % 7 = 0 THEN 'prose' WHEN doc_id % 7 = 1 THEN 'outside' WHEN doc_id % 7 = 2 THEN 'empty' ELSE 'good' END AS made FROM documents
+           UNION ALL SELECT doc_id * 2 + 1, doc_id, 'good' FROM documents WHERE doc_id % 2 = 0),
+    ck AS (SELECT position, sb.job_id, kind, vault, CASE WHEN vault IS NULL THEN 'job not found or expired' WHEN made = 'prose' OR made = 'empty' THEN 'the answer isn''t a valid payload' WHEN made = 'outside' THEN 'a path leaves the vault' END AS why
+           FROM sb LEFT JOIN jb USING (job_id)),
+    rs AS (SELECT position, job_id, vault, CASE WHEN position > min(position) FILTER (why IS NULL) OVER (PARTITION BY job_id) THEN 'job not found or expired' ELSE why END AS error FROM ck)"""
+
+
+def _submission(spark, sf):
+    """Jobs of documents, some of which are too old or unknown; one answer or two for each, some of them unusable."""
+    docs, i = d.read(spark, sf, "documents"), F.col("doc_id")
+    day = F.timestamp_seconds(F.lit(86_400) - F.when(i % 13 == 12, 7_200).otherwise(0))
+    jobs = docs.where(i % 5 != 4).select(i.alias("job_id"), F.when(i % 3 == 0, "fix_link").otherwise("compile").alias("kind"), F.concat(F.lit("doc://"), i).alias("key"), F.col("lang").alias("vault"), day.alias("created_at"))
+    path = lambda p: F.concat(F.lit('{"operations": [{"action": "CREATE_OR_UPDATE", "path": "'), p, F.lit('", "content": "c'), i, F.lit('"}]}'))
+    good = path(F.concat(F.lit("wiki/./d"), i % 300, F.lit(".md")))
+    first = F.when(i % 7 == 0, F.lit("Here it is.")).when(i % 7 == 1, path(F.lit("wiki/.."))).when(i % 7 == 2, path(F.lit(""))).otherwise(good)
+    answers = docs.select((i * 2).alias("position"), i.alias("job_id"), first.alias("payload")).unionByName(docs.where(i % 2 == 0).select((i * 2 + 1).alias("position"), i.alias("job_id"), good.alias("payload")))
+    return compile.submit(answers, jobs, spark.createDataFrame([], "vault string, path string, content string"), F.timestamp_seconds(F.lit(86_460)), cap=1 << 30)
+
+
+@query(f"WITH {_SUBMITTED} SELECT position, job_id, CASE WHEN error IS NULL THEN 'applied' ELSE 'error' END AS status, error, CASE WHEN error IS NULL THEN 'wiki/d' || (job_id % 300) || '.md' END AS touched FROM rs")
+def submit_batch(spark, sf):
+    return _submission(spark, sf).results.withColumn("touched", F.array_join("touched", ","))
+
+
+@query(f"WITH {_SUBMITTED} SELECT vault, 'wiki/d' || (job_id % 300) || '.md' AS path, 'c' || arg_max(job_id, position) AS content FROM rs WHERE error IS NULL GROUP BY vault, job_id % 300")
+def submit_pages(spark, sf):
+    return _submission(spark, sf).pages
+
+
 @query("""WITH s AS (SELECT 'u' || user_id AS path, event_type AS hash FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) = 1),
           c AS (SELECT 'u' || user_id % 700 AS path, arg_max(event_type || event_id, event_id) AS hash FROM events GROUP BY 1)
           SELECT path, coalesce(c.hash, s.hash) AS hash FROM s FULL JOIN c USING (path)""")
