@@ -48,8 +48,8 @@ def test_views_teach_each_other():
     t, p = rows(3000, bad)
     few = np.arange(60)
     p[few, 0] = 7  # the labelled documents all have one source
-    alone = quality.co_train(t[few], p[few], (~bad[few]).astype(float), t[:0], p[:0], 0)
-    both = quality.co_train(t[few], p[few], (~bad[few]).astype(float), t[60:], p[60:], 5)
+    alone = quality.co_train(t[few], p[few], (~bad[few]).astype(float), quality.Held(t[:0], p[:0]), 0)
+    both = quality.co_train(t[few], p[few], (~bad[few]).astype(float), quality.Held(t[60:], p[60:]), 5)
     page = lambda m: quality.log_odds(m.page(p[60:, 2:3], p[60:, :2].astype(int)), m.page_w)
     right = lambda z: np.mean((z > 0) == ~bad[60:])
     assert right(page(both)) > 0.95 > right(page(alone))
@@ -137,8 +137,38 @@ def test_samples_without_a_bound(spark):
     """All rows, as a bound above the tables' sizes takes, and no broadcast that was asked for."""
     docs, labels = corpus(200)
     docs, labels = spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS)
-    a, b = quality.train(docs, labels, None, None), quality.train(docs, labels, 10_000, 10_000)
+    a, b = quality.train(docs, labels, None), quality.train(docs, labels, 10_000)
     assert np.allclose(a.text_w, b.text_w) and np.allclose(a.page_w, b.page_w) and np.allclose(a.mix, b.mix)
     sample, parts = one_label(labels, "quality", "y"), docs.select(F.col("doc_id").alias("id"), "text")
     hints = [one_document(parts, sample, bounded)._jdf.queryExecution().analyzed().toString().count("broadcast") for bounded in (True, False)]
     assert hints == [1, 0]
+
+
+def test_a_table_teaches_like_rows_in_memory(spark):
+    rng = np.random.default_rng(1)
+    bad = rng.random(900) < 0.4
+    t = rng.normal(size=(900, quality.TEXT_FEATURES)) + np.where(bad[:, None], 2.5, 0.0)
+    p = np.stack([np.where(bad, rng.integers(0, 20, 900), rng.integers(20, 60, 900)), np.zeros(900), rng.normal(size=900)], axis=1).astype(float)
+    y = (~bad).astype(float)
+    rows = spark.createDataFrame([(a, b, 1) for a, b in zip(t.tolist(), p.tolist(), strict=True)], "t array<double>, p array<double>, n long").repartition(3)
+    table = quality.Table(rows.where("p[2] < 99").select("t", "p"), rows)
+    held = quality.Held(t, p)
+    ours, theirs = table.edges(t[:0], p[:0]), held.edges(t[:0], p[:0])
+    for i, (a, b) in enumerate(zip(ours, theirs, strict=True)):
+        x = t[:, i] if i < quality.TEXT_FEATURES else p[:, 2]
+        assert len(a) == len(b) and np.abs(np.searchsorted(np.sort(x), a) - np.searchsorted(np.sort(x), b)).max() <= 4
+    binner = quality.Binner(theirs[:-1])
+    w = quality.logistic(binner(t[:200]), y[:200], np.ones(200), binner)
+    for _ in range(3):  # what was given once isn't given again
+        a, b = table.surest(0, binner, w, 30, 40), held.surest(0, binner, w, 30, 40)
+        assert sorted(map(tuple, np.round(a[0], 9))) == sorted(map(tuple, np.round(b[0], 9))) and a[2].tolist() == b[2].tolist()
+
+
+def test_repeated_labelled_rows_weigh_as_often_as_they_are(spark):
+    docs, labels = corpus(200)
+    twice = docs + [(1_000 + i, *rest) for i, *rest in docs]
+    both = labels + [(1_000 + i, q, x) for i, q, x in labels]
+    frames = [spark.createDataFrame(d, DOCS) for d in (docs, twice)], [spark.createDataFrame(x, LABELS) for x in (labels, both)]
+    a, b = quality.train(frames[0][0], frames[1][0]), quality.train(frames[0][1], frames[1][1])
+    assert [x.tolist() for x in a.text.edges] == [x.tolist() for x in b.text.edges]
+    assert np.sign(a.platt[:, 0]).tolist() == np.sign(b.platt[:, 0]).tolist() and np.abs(b.text_w).max() >= np.abs(a.text_w).max()
