@@ -31,8 +31,12 @@ def raw_files(spark: SparkSession, root: str) -> DataFrame:
 def wiki_pages(spark: SparkSession, root: str, version_field: str = "version") -> DataFrame:
     """path, content and the fields of wiki/concepts and wiki/entities, with parse_error where a page can't be read; each
     consumer decides what to do with those. The format's version is read from the field that the caller names."""
-    files = _markdown(spark, f"{root}/wiki/concepts").unionByName(_markdown(spark, f"{root}/wiki/entities"))
-    return files.mapInPandas(partial(_parse_pages, version_field=version_field), f"path string, content string, {PAGE_FIELDS}")
+    return parsed_pages(_markdown(spark, f"{root}/wiki/concepts").unionByName(_markdown(spark, f"{root}/wiki/entities")), version_field)
+
+
+def parsed_pages(files: DataFrame, version_field: str = "version") -> DataFrame:
+    """The same of pages(path, content) from anywhere."""
+    return files.select("path", "content").mapInPandas(partial(_parse_pages, version_field=version_field), f"path string, content string, {PAGE_FIELDS}")
 
 
 def _markdown(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
