@@ -63,7 +63,7 @@ class Search:
         found = self.postings.join(self.small(lists), [*self.group, "field", "term"])
         asking = F.col("queries")
         if wanted is not None:
-            by_doc = wanted.withColumn("part", F.col("part")).groupBy("doc", "part").agg(F.collect_list("query_id").alias("wanting"))
+            by_doc = wanted.groupBy("doc", "part").agg(F.collect_list("query_id").alias("wanting"))
             found, asking = found.join(by_doc, ["doc", "part"]), F.array_intersect("queries", "wanting")
         rows = found.select(*self.group, "doc", "block", "part", (F.col("idf") * self.weight).alias("weight"), F.explode(asking).alias("query_id"))
         self.scored.append((stage, rows))
