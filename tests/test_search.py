@@ -230,3 +230,29 @@ def test_few_pairs_of_queries_and_cells_are_left(spark):
     asked = 40 + router.pairs(q, reached).count()
     assert asked * 5 < 40 * router.n_cells
     router.close()
+
+
+def test_postings_are_counted_where_texts_are_read(spark, monkeypatch):
+    from tomeflow.operators import counting
+
+    rng = random.Random(5)
+    texts = [(f"p{i}", rng.choice(["a b", "", None, "Ä-ß x" + "y" * 40]), " ".join(rng.choices(["a", "b", "É", "７", "z" * 39, "z" * 40, "--"], k=rng.choice([0, 1, 9, 300])))) for i in range(60)]
+    docs = spark.createDataFrame([*texts, ("q", None, None)], "path string, title string, body string")
+
+    def want(rows):
+        out = {}
+        for path, *own in rows:
+            for field, text in zip(("title", "body"), own, strict=True):
+                found = [t for t in (text or "").lower().replace("-", " ").split() if len(t.encode()) < 40]
+                for t in set(found):
+                    key = (path, field, t, len(found))
+                    out[key] = out.get(key, 0) + found.count(t)
+        return out
+
+    got = lambda d: {(r.path, r.field, r.term, r.doc_len): r.tf for r in search.postings(d).collect()}
+    for chunk in (50, 1 << 23):
+        monkeypatch.setattr(counting, "CHUNK", chunk)
+        assert got(docs) == want(texts)
+    assert "Exchange" not in search.postings(docs)._jdf.queryExecution().executedPlan().toString()
+    again = [*texts, *texts[:7], ("p1", "b", texts[1][2])]
+    assert got(spark.createDataFrame(again, docs.schema)) == want(again)

@@ -9,6 +9,7 @@ CHARS_PER_TOKEN = 4
 SNIPPET_CHARS = 280
 QUERY_CHARS = 500
 MAX_TERM_BYTES = 40
+BETWEEN_TERMS = r"[^\p{L}\p{N}]+"
 PROMPT_BUDGET = 100_000
 
 
@@ -123,7 +124,12 @@ def query_text(body: Column) -> Column:
 
 def terms(text: Column) -> Column:
     """Search terms: lower-cased runs of letters and digits, without those of 40 bytes or more."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: (t != "") & (F.octet_length(t) < MAX_TERM_BYTES))
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), BETWEEN_TERMS), lambda t: (t != "") & (F.octet_length(t) < MAX_TERM_BYTES))
+
+
+def spaced(text: Column) -> Column:
+    """The same runs, of any length, with a space between them: one value to hand on, where terms would be thousands."""
+    return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), BETWEEN_TERMS, " ")
 
 
 def strip_code_fence(text: Column) -> Column:

@@ -30,30 +30,26 @@ SLACK = 2e-6
 QUERIES_A_PART = 4_096
 
 
-def block(length: Column) -> Column:
-    """The number of a document's block by its length: four for each doubling."""
-    return F.floor(4 * F.log2(length + 1)).cast("int")
-
-
 class Search:
     """One search: terms_(query_id, part, group, field, term, idf, mean, df, upper, below) has a query's terms, with the sum of its
     weaker terms' bounds and its own; bounds(query_id, group, field, term, block, upper)."""
 
-    def __init__(self, index, asked: DataFrame, weight: Column, limit: int, small):
-        """asked(query_id, group, field, term, idf, mean, df) of an index; weight of a posting without idf."""
+    def __init__(self, index, asked: DataFrame, blocks: DataFrame, weight: Column, limit: int, small):
+        """asked(query_id, group, field, term, idf, mean, df) of an index; blocks(group, field, term, block, upper) of these terms, a written table;
+        weight of a posting without idf."""
         self.group, self.postings, self.weight, self.limit, self.small = index.group, index.postings, weight, limit, small
         self.own = ("query_id", *self.group)
-        self.kept: list[DataFrame] = []
+        self.kept: list[DataFrame] = [blocks]
         term = (*self.group, "field", "term")
         parts = max(1, math.ceil(asked.select("query_id").distinct().count() / QUERIES_A_PART))
         asked = asked.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int"))
-        reach = index.blocks.groupBy(*term).agg(F.max("upper").alias("upper"))
+        reach = blocks.groupBy(*term).agg(F.max("upper").alias("upper"))
         known = asked.join(reach, list(term)).withColumn("upper", F.col("upper") * F.col("idf"))
         # Left out first: terms that give little for the many documents that have them.
         weakest = W.partitionBy(*self.own).orderBy(F.col("upper") / F.col("df"), "field", "term").rowsBetween(W.unboundedPreceding, 0)
         strongest = W.partitionBy(*self.own).orderBy(F.desc("upper"), "field", "term").rowsBetween(W.unboundedPreceding, -1)
         self.terms_ = self._keep(known.select("*", F.sum("upper").over(weakest).alias("below"), F.coalesce(F.sum("df").over(strongest), F.lit(0)).alias("seen")), "query-terms")
-        self.bounds = index.blocks.join(self.terms_.select(*self.own, "field", "term", "idf"), list(term)).select(*self.own, "field", "term", "block", (F.col("upper") * F.col("idf")).alias("upper"))
+        self.bounds = blocks.join(self.terms_.select(*self.own, "field", "term", "idf"), list(term)).select(*self.own, "field", "term", "block", (F.col("upper") * F.col("idf")).alias("upper"))
         self.scored: list[tuple[str, DataFrame]] = []
 
     def _weights(self, terms_: DataFrame, wanted: DataFrame | None, stage: str) -> DataFrame:

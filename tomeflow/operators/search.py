@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import terms
 from ..sources.partitions import fresh_path, written
-from . import maxscore, routing
+from . import counting, maxscore, routing
 
 K1, B = 1.2, 0.75
 RRF_K = 60
@@ -37,20 +37,14 @@ PRUNED_ROWS = 100_000_000
 FIELDS = ("title", "body")
 
 
-def _fields(docs: DataFrame, fields: tuple[str, ...], keys: tuple[str, ...]) -> DataFrame:
-    """A row for each field of each document: its terms and their number."""
-    each = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), terms(F.col(f)).alias("terms")) for f in fields)))
-    return docs.select(*keys, each.alias("f")).select(*keys, "f.field", "f.terms", F.size("f.terms").cast("long").alias("doc_len"))
-
-
-def _counted(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    t = rows.select(*keys, "field", "doc_len", F.explode("terms").alias("term"))
-    return t.groupBy(*keys, "field", "term", "doc_len").agg(F.count("*").alias("tf"))
-
-
 def postings(docs: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
-    """path, field, term, tf, doc_len: the inverted index as a table."""
-    return _counted(_fields(docs, fields, ("path",)), ("path",)).select("path", "field", "term", "tf", "doc_len")
+    """path, field, term, tf, doc_len: the inverted index as a table. Rows of documents under one path add up where their field is of one
+    length; only then they are shuffled."""
+    names = ("path", "field", "term", "tf", "doc_len")
+    found = counting.counted(docs, fields, ("path",)).where("term != ''").select(*names)
+    if docs.groupBy("path").count().where("count > 1").isEmpty():
+        return found
+    return found.groupBy("path", "field", "term", "doc_len").agg(F.sum("tf").alias("tf")).select(*names)
 
 
 def write_postings(docs: DataFrame, path: str) -> None:
@@ -61,35 +55,18 @@ def write_postings(docs: DataFrame, path: str) -> None:
 @dataclass
 class Index:
     """docs(group, doc, path), postings(group, doc, block, field, term, tf, doc_len, positions where the index has them),
-    terms(group, field, term, df), lengths(group, field, n, mean), blocks(group, field, term, block, upper): the greatest weight
-    of a term in each block of documents."""
+    lengths(group, field, n, mean)."""
 
     docs: DataFrame
     postings: DataFrame
-    terms: DataFrame
     lengths: DataFrame
-    blocks: DataFrame
     group: tuple[str, ...]
     positions: bool = False
 
-
-def _runs(docs: DataFrame, fields: tuple[str, ...], keys: tuple[str, ...], positions: bool) -> DataFrame:
-    """For each field of each document its number of terms and, sorted, (term, tf), or (term, tf, positions). A document's terms are counted
-    where it is read: sorted, the equal ones stand side by side. Explodes keep arrays from being computed again for each element."""
-    placed = lambda t: F.transform(t, lambda x, i: F.struct(x.alias("term"), i.alias("at"))) if positions else t
-    each = F.array(*(F.struct(F.lit(f).alias("field"), F.sort_array(placed(terms(F.col(f)))).alias("terms")) for f in fields))
-    rows = docs.select(*keys, F.explode(F.array(each)).alias("fs"))
-    size = F.aggregate("fs", F.lit(0), lambda n, f: n + F.coalesce(F.size(f.terms), F.lit(0)))
-    rows = rows.select(*keys, maxscore.block(size).alias("block"), F.explode("fs").alias("f"))
-    rows = rows.select(*keys, "block", "f.field", "f.terms", F.size("f.terms").alias("n"))
-    term = lambda i: F.element_at("terms", i).term if positions else F.element_at("terms", i)
-    begins = lambda i: (i == 1) | (term(i) != term(F.greatest(i - 1, F.lit(1))))
-    first = F.when(F.col("n") > 0, F.filter(F.sequence(F.lit(1), F.greatest("n", F.lit(1))), begins)).otherwise(F.array().cast("array<int>"))
-    rows = rows.select(*keys, "block", "field", "n", "terms", F.explode(F.array(first)).alias("at"))
-    after = F.concat(F.slice("at", F.lit(2), F.greatest(F.size("at") - 1, F.lit(0))), F.array(F.col("n") + 1))
-    where = lambda a, z: [F.transform(F.slice("terms", a, z - a), lambda t: t["at"]).alias("positions")] if positions else []
-    runs = F.zip_with("at", after, lambda a, z: F.struct(term(a).alias("term"), (z - a).cast("long").alias("tf"), *where(a, z)))
-    return rows.select(*keys, "block", "field", F.col("n").cast("long").alias("doc_len"), F.when(F.col("n") > 0, runs).alias("runs"))
+    @property
+    def terms(self) -> DataFrame:
+        """group, field, term, df of all terms. A search counts those that it asks for."""
+        return self.postings.groupBy(*self.group, "field", "term").agg(F.count("*").alias("df"))
 
 
 def posting_weight(mean: str = "mean") -> Column:
@@ -99,23 +76,17 @@ def posting_weight(mean: str = "mean") -> Column:
 
 
 def write_index(docs: DataFrame, path: str, fields: tuple[str, ...] = FIELDS, group: tuple[str, ...] = (), positions: bool = False) -> Index:
-    """The index of documents (group, path, fields), anew; with positions it can answer phrases. Texts are read once and nothing but
-    counts is shuffled: each file of postings holds whole documents, sorted by term, so that a search skips the pages without its
+    """The index of documents (group, path, fields), anew; with positions it can answer phrases. Texts are read once and no terms
+    are shuffled: each file of postings holds whole documents, sorted by term in long runs, so that a search skips the pages without its
     terms."""
     spark = docs.sparkSession
     put = lambda df, what: df.write.mode("overwrite").parquet(f"{path}/{what}")
     # Numbers of documents hold for good once they are written.
-    put(_runs(docs.withColumn("doc", F.monotonically_increasing_id()), fields, (*group, "doc", "path"), positions), "rows")
-    rows = spark.read.parquet(f"{path}/rows")
-    put(rows.where(F.col("field") == fields[0]).select(*group, "doc", "path"), "docs")
-    sums = rows.groupBy(*group, "field").agg(F.count("*").alias("n"), F.sum("doc_len").alias("_sum"))
+    put(counting.counted(docs.withColumn("doc", F.monotonically_increasing_id()), fields, (*group, "doc"), ("path",), positions), "rows")
+    heads = spark.read.parquet(f"{path}/rows").where("term = ''")
+    put(heads.where(F.col("field") == fields[0]).select(*group, "doc", "path"), "docs")
+    sums = heads.groupBy(*group, "field").agg(F.count("*").alias("n"), F.sum("doc_len").alias("_sum"))
     put(sums.select(*group, "field", "n", (F.greatest("_sum", F.lit(1)) / F.col("n")).alias("mean")), "lengths")
-    put(rows.select(*group, "doc", "block", "field", "doc_len", F.inline("runs")).sortWithinPartitions("term", "field", "doc"), "postings")
-    # A term has as many rows here as there are blocks at most, however many documents have it.
-    key = [*group, "field", "term"]
-    found = spark.read.parquet(f"{path}/postings").join(spark.read.parquet(f"{path}/lengths"), [*group, "field"])
-    put(found.groupBy(*key, "block").agg(F.count("*").alias("df"), F.max(posting_weight()).alias("upper")), "blocks")
-    put(spark.read.parquet(f"{path}/blocks").groupBy(*key).agg(F.sum("df").alias("df")), "terms")
     return read_index(spark, path, group, positions)
 
 
@@ -123,12 +94,11 @@ def read_index(spark: SparkSession, path: str, group: tuple[str, ...] = (), posi
     own = "".join(f"{g} string, " for g in group)
     kinds = {
         "docs": f"{own}doc long, path string",
-        "postings": f"{own}doc long, block int, field string, doc_len long, term string, tf long" + (", positions array<int>" if positions else ""),
-        "terms": f"{own}field string, term string, df long",
+        "rows": f"{own}doc long, block int, field string, doc_len long, term string, tf long" + (", positions array<int>" if positions else ""),
         "lengths": f"{own}field string, n long, mean double",
-        "blocks": f"{own}field string, term string, block int, upper double",
     }
-    return Index(*(spark.read.schema(k).parquet(f"{path}/{t}") for t, k in kinds.items()), group, positions)
+    docs, rows, lengths = (spark.read.schema(k).parquet(f"{path}/{t}") for t, k in kinds.items())
+    return Index(docs, rows.where("term != ''"), lengths, group, positions)
 
 
 def term_statistics(postings_: DataFrame) -> DataFrame:
@@ -158,31 +128,37 @@ def with_terms(index: Index, asked: DataFrame) -> Index:
 def pruned_search(index: Index, queries: DataFrame, limit: int) -> maxscore.Search:
     """The search that leaves out documents which can't be among the best."""
     asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    known = _known(index, asked).select("query_id", *index.group, "field", "term", "idf", "mean", "df")
-    return maxscore.Search(with_terms(index, asked), known, posting_weight(), limit, _small(asked.count()))
+    blocks, known = statistics(index, asked)
+    return maxscore.Search(with_terms(index, asked), known.select("query_id", *index.group, "field", "term", "idf", "mean", "df"), blocks, posting_weight(), limit, _small(asked.count()))
 
 
-def _known(index: Index, asked: DataFrame) -> DataFrame:
-    """asked with what the index knows of its terms."""
-    found = index.terms.join(asked, "term").join(index.lengths, [*index.group, "field"])
-    return found.withColumn("idf", idf())
+def statistics(index: Index, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of the asked terms: blocks(group, field, term, block, df, upper), with the greatest weight of a term in each block of documents;
+    and asked with n, mean, df and idf of each field (and group) that has the term."""
+    key = [*index.group, "field", "term"]
+    wanted = asked.select("term").distinct()
+    found = with_terms(index, asked).postings.join(_small(wanted.count())(wanted), "term").join(F.broadcast(index.lengths), key[:-1])
+    # A term has as many rows here as there are blocks at most, however many documents have it.
+    blocks = written(found.groupBy(*key, "block").agg(F.count("*").alias("df"), F.max(posting_weight()).alias("upper")), "asked-blocks")
+    sums = blocks.groupBy(*key).agg(F.sum("df").alias("df"))
+    return blocks, sums.join(asked, "term").join(F.broadcast(index.lengths), key[:-1]).withColumn("idf", idf())
 
 
 def search_index(index: Index, queries: DataFrame, limit: int, pruned: bool | None = None) -> DataFrame:
     """query_id, path, score (rounded to six digits), rank; documents that share a term with the query, best first, ties by
     path. Scores add up over fields; lengths are exact. A query without terms finds nothing. Whether documents that can't be
     among the best are scored (as by default where few postings are asked for) changes no row."""
+    if pruned:
+        return named(index, pruned_search(index, queries, limit).scores(), limit)
     group = index.group
     asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
     asked = asked.groupBy("term").agg(F.collect_list("query_id").alias("queries"))
-    known = _known(index, asked)
-    if pruned is None:
-        pruned = (known.agg(F.sum(F.col("df") * F.size("queries"))).first()[0] or 0) >= PRUNED_ROWS
-    if pruned:
-        scores = pruned_search(index, queries, limit).scores()
-    else:
-        found = with_terms(index, asked).postings.join(_small(asked.count())(known.select(*group, "field", "term", "mean", "queries", "idf")), [*group, "field", "term"])
-        scores = found.select(*group, "doc", (F.col("idf") * posting_weight()).alias("weight"), F.explode("queries").alias("query_id")).groupBy("query_id", *group, "doc").agg(F.sum("weight").alias("weight"))
+    known = written(statistics(index, asked)[1].select(*group, "field", "term", "df", "mean", "queries", "idf"), "asked-terms")
+    size = known.agg(F.sum(F.col("df") * F.size("queries")).alias("pairs")).first()
+    if pruned is None and (size.pairs or 0) >= PRUNED_ROWS:
+        return named(index, pruned_search(index, queries, limit).scores(), limit)
+    found = with_terms(index, asked).postings.join(_small(known.count())(known), [*group, "field", "term"])
+    scores = found.select(*group, "doc", (F.col("idf") * posting_weight()).alias("weight"), F.explode("queries").alias("query_id")).groupBy("query_id", *group, "doc").agg(F.sum("weight").alias("weight"))
     return named(index, scores, limit)
 
 

@@ -44,7 +44,7 @@ def matches(index: search.Index, asked: DataFrame) -> DataFrame:
         raise ValueError("phrases need an index with positions")
     group, place = index.group, ("query_id", "clause")
     each = asked.select(*place, "sign", F.col("field").alias("only"), F.size("terms").alias("n_terms"), F.posexplode("terms").alias("offset", "term"))
-    known = search._known(index, each).where("only IS NULL OR only = field")
+    known = search.statistics(index, each)[1].where("only IS NULL OR only = field")
     own = W.partitionBy(*place, *group, "field")
     # A clause with a term that the field hasn't got occurs nowhere in it.
     known = known.withColumns({"have": F.count("*").over(own), "idf": F.sum("idf").over(own), "rank": F.row_number().over(own.orderBy("df", "offset"))}).where("have = n_terms")
