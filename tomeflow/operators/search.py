@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import terms
 from ..sources.partitions import fresh_path, written
-from . import counting, maxscore, routing
+from . import bydoc, counting, maxscore, routing
 
 K1, B = 1.2, 0.75
 RRF_K = 60
@@ -32,7 +32,11 @@ SHARD_ROWS = 16_384
 PUSHED_TERMS = 1_000
 #: Up to so many are sent to every task, with what is known of them; beyond, postings are shuffled by term.
 BROADCAST_TERMS = 100_000
-#: From so many postings on, counted for each query that asks for them, documents that can't be among the best aren't scored.
+#: From so many postings on, counted for each query that asks for them, all queries' scores of a document are computed at once.
+DEALT_ROWS = 20_000_000
+#: As long as queries ask for no more terms than so many, counted for each query and field: every task has them.
+DEALT_ASKED = 1_000_000
+#: Else, from so many postings on, documents that can't be among the best aren't scored.
 PRUNED_ROWS = 100_000_000
 FIELDS = ("title", "body")
 
@@ -146,17 +150,20 @@ def statistics(index: Index, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def search_index(index: Index, queries: DataFrame, limit: int, pruned: bool | None = None) -> DataFrame:
     """query_id, path, score (rounded to six digits), rank; documents that share a term with the query, best first, ties by
-    path. Scores add up over fields; lengths are exact. A query without terms finds nothing. Whether documents that can't be
-    among the best are scored (as by default where few postings are asked for) changes no row."""
+    path. Scores add up over fields; lengths are exact. A query without terms finds nothing. How documents are scored (pruned; else
+    document by document where many postings are asked for, unless too many queries ask) changes no row."""
     if pruned:
         return named(index, pruned_search(index, queries, limit).scores(), limit)
     group = index.group
     asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
     asked = asked.groupBy("term").agg(F.collect_list("query_id").alias("queries"))
     known = written(statistics(index, asked)[1].select(*group, "field", "term", "df", "mean", "queries", "idf"), "asked-terms")
-    size = known.agg(F.sum(F.col("df") * F.size("queries")).alias("pairs")).first()
-    if pruned is None and (size.pairs or 0) >= PRUNED_ROWS:
-        return named(index, pruned_search(index, queries, limit).scores(), limit)
+    size = known.agg(F.sum(F.col("df") * F.size("queries")).alias("pairs"), F.sum("df").alias("rows"), F.sum(F.size("queries")).alias("asked")).first()
+    if pruned is None and (size.pairs or 0) >= DEALT_ROWS:
+        if size.asked <= DEALT_ASKED:
+            return named(index, bydoc.scores(with_terms(index, asked), known, posting_weight(), limit, size.rows), limit)
+        if size.pairs >= PRUNED_ROWS:
+            return named(index, pruned_search(index, queries, limit).scores(), limit)
     found = with_terms(index, asked).postings.join(_small(known.count())(known), [*group, "field", "term"])
     scores = found.select(*group, "doc", (F.col("idf") * posting_weight()).alias("weight"), F.explode("queries").alias("query_id")).groupBy("query_id", *group, "doc").agg(F.sum("weight").alias("weight"))
     return named(index, scores, limit)
