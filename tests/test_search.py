@@ -280,3 +280,30 @@ def test_scores_by_document_are_those_of_the_join(spark, tmp_path, monkeypatch):
     known = search.statistics(index, queries.where("query_id = 92").select("query_id", F.explode(search.terms(F.col("text"))).alias("term")))[1]
     known = known.groupBy("vault", "field", "term", "mean", "idf").agg(F.collect_list("query_id").alias("queries"))
     assert search.bydoc.scores(index, known, search.posting_weight(), 3, 10).groupBy("vault", F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 12
+
+
+def test_query_syntax_by_document_is_that_of_the_join(spark, tmp_path, monkeypatch):
+    from tomeflow.operators import syntax
+
+    rng = random.Random(4)
+    words = ["a", "b", "c", "d", "e"]
+    docs = [(f"p{i:03d}", " ".join(rng.choices(words, k=rng.randrange(4))), " ".join(rng.choices(words, k=rng.choice([0, 3, 9]))), rng.choice("xy")) for i in range(150)]
+    docs += [(f"q{i:02d}", "a", "b b a b b", "x") for i in range(30)]
+    df = spark.createDataFrame(docs, "path string, title string, body string, vault string")
+
+    def clause():
+        body = rng.choice(["{0}", '"{0} {1}"', '"{0} {0} {1}"', "{0}-{1}"]).format(*rng.sample(words, 2))
+        return rng.choice(["", "", "+", "-"]) + rng.choice(["", "", "title:", "body:"]) + body
+
+    texts = [" ".join(clause() for _ in range(rng.randint(1, 4))) for _ in range(20)] + ["+a +a b", "-a", "a zz", "+zz a", '"b b"']
+    queries = spark.createDataFrame(list(enumerate(texts)), "query_id long, text string")
+    key = lambda d: sorted(map(tuple, d.collect()))
+    for group, limit, cells in (((), 5, 400), (("vault",), 500, 1 << 20)):
+        index = search.write_index(df, str(tmp_path / f"i{len(group)}"), group=group, positions=True)
+        want = key(syntax.search_syntax(index, queries, limit))
+        with monkeypatch.context() as m:
+            m.setattr(search, "DEALT_ROWS", 1)
+            m.setattr(search.bydoc, "CELLS", cells)
+            found = syntax.search_syntax(index, queries, limit)
+            assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
+            assert key(found) == want and len(want) > 50

@@ -8,7 +8,7 @@ the first `limit` by path. Equal documents have exactly equal scores, as terms a
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,19 +38,27 @@ def scores(index, known: DataFrame, weight: Column, limit: int, rows: int) -> Da
     key = [*group, "field", "term"]
     schema = T.StructType([*(known.schema[c] for c in (*key, "mean", "idf")), T.StructField("number", T.IntegerType())])
     numbered = spark.createDataFrame([(*(r[c] for c in (*key, "mean", "idf")), i) for i, r in enumerate(lists)], schema)
-    found = index.postings.join(F.broadcast(numbered), key).select(*group, "doc", "number", (F.col("idf") * weight).alias("weight"), F.lit(None).cast("string").alias("path"))
-    both = found.unionByName(index.docs.select(*group, "doc", F.lit(-1).alias("number"), F.lit(0.0).alias("weight"), "path"))
-    parts = max(spark.sparkContext.defaultParallelism, math.ceil(rows / POSTINGS))
+    found = index.postings.join(F.broadcast(numbered), key).select(*group, "doc", "number", (F.col("idf") * weight).alias("weight"))
+    best = dealt(index, found, rows, lambda t: _best(t, shared.value, limit))
+    return best.join(F.broadcast(ids), "query").drop("query")
+
+
+def dealt(index, found: DataFrame, rows: int, best: Callable[[pa.Table], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> DataFrame:
+    """query, group, doc, weight: what best makes of the rows of one group's documents. found(group, doc, number, ...) are some `rows` rows, which come
+    with a row of each document that has its path, and the number -1."""
+    group = index.group
+    parts = max(index.docs.sparkSession.sparkContext.defaultParallelism, math.ceil(rows / POSTINGS))
+    both = found.unionByName(index.docs.select(*group, "doc", F.lit(-1).alias("number"), "path"), allowMissingColumns=True)
     out = T.StructType([T.StructField("query", T.LongType()), *(index.docs.schema[g] for g in group), T.StructField("doc", T.LongType()), T.StructField("weight", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         for part in _groups(pa.Table.from_batches(held), group) if held else ():
-            query, doc, w = _best(part, shared.value, limit)
+            query, doc, w = best(part)
             own = [part[g].combine_chunks().take(pa.array(np.zeros(len(query), np.int64))) for g in group]
             yield pa.RecordBatch.from_arrays([pa.array(query), *own, pa.array(doc), pa.array(w)], out.names)
 
-    return both.repartition(parts, "doc").mapInArrow(run, out).join(F.broadcast(ids), "query").drop("query")
+    return both.repartition(parts, "doc").mapInArrow(run, out)
 
 
 def _groups(t: pa.Table, group: tuple[str, ...]) -> Iterator[pa.Table]:
@@ -64,40 +72,51 @@ def _groups(t: pa.Table, group: tuple[str, ...]) -> Iterator[pa.Table]:
         yield part
 
 
-def _best(t: pa.Table, shared: tuple[int, np.ndarray, np.ndarray], limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, doc, weight) of the best of one group's rows."""
-    n, asking, first = shared
+def placed(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(docs, rows, place): the numbers of the documents, sorted by path, which rows are postings, and the place of each one's document."""
     number = t["number"].to_numpy()
     heads = np.flatnonzero(number < 0)
     heads = heads[pc.array_sort_indices(pa.concat_arrays(t["path"].take(pa.array(heads)).chunks)).to_numpy()]
-    docs = t["doc"].to_numpy()[heads]  # by path
+    docs, rows = t["doc"].to_numpy()[heads], np.flatnonzero(number >= 0)
     by_id = np.argsort(docs)
-    rows = np.flatnonzero(number >= 0)
-    number, weight = number[rows].astype(np.int64), t["weight"].to_numpy()[rows]
-    place = by_id[np.searchsorted(docs, t["doc"].to_numpy()[rows], sorter=by_id)]
+    return docs, rows, by_id[np.searchsorted(docs, t["doc"].to_numpy()[rows], sorter=by_id)]
+
+
+class Best:
+    """The best documents of n queries, from matrices of scores (0: not found)."""
+
+    def __init__(self, n: int, limit: int):
+        self.limit, self.least = limit, np.zeros(n)
+        self.who, self.where, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+
+    def add(self, sums: np.ndarray, a: int) -> None:
+        """sums has a row for each document from place a on."""
+        if len(sums) >= self.limit:
+            self.least = np.maximum(self.least, np.partition(sums, -self.limit, axis=0)[-self.limit])
+        d, q = np.nonzero((sums > 0) & (sums >= self.least - SLACK))
+        who, where, score = np.append(self.who, q), np.append(self.where, d + a), np.append(self.score, sums[d, q])
+        order = np.lexsort((where, -score, who))
+        who, where, score = who[order], where[order], score[order]
+        last = np.arange(len(who)) - np.searchsorted(who, who) == self.limit - 1
+        self.least[who[last]] = np.maximum(self.least[who[last]], score[last])
+        same = np.flatnonzero(np.append(True, (who[1:] != who[:-1]) | (score[1:] != score[:-1]))[: len(who)])
+        tied = np.arange(len(who)) - np.repeat(same, np.diff(np.append(same, len(who))))
+        kept = (score >= self.least[who] - SLACK) & (tied < self.limit)
+        self.who, self.where, self.score = who[kept], where[kept], score[kept]
+
+
+def _best(t: pa.Table, shared: tuple[int, np.ndarray, np.ndarray], limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, doc, weight) of the best of one group's rows."""
+    n, asking, first = shared
+    docs, rows, place = placed(t)
+    number, weight = t["number"].to_numpy()[rows].astype(np.int64), t["weight"].to_numpy()[rows]
     order = np.argsort(place * len(first) + number)
     place, number, weight = place[order], number[order], weight[order]
-    step = max(1, CELLS // n)
-    who, where, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    least = np.zeros(n)
-    sizes = np.diff(first)
+    step, sizes, best = max(1, CELLS // n), np.diff(first), Best(n, limit)
     for a in range(0, len(docs), step):
         i, z = np.searchsorted(place, (a, a + step))
         own = sizes[number[i:z]]
         query = asking[np.repeat(first[number[i:z]], own) + np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)]
         cells = np.repeat((place[i:z] - a) * n, own) + query
-        sums = np.bincount(cells, np.repeat(weight[i:z], own), min(step, len(docs) - a) * n).reshape(-1, n)
-        if len(sums) >= limit:
-            least = np.maximum(least, np.partition(sums, -limit, axis=0)[-limit])
-        d, q = np.nonzero((sums > 0) & (sums >= least - SLACK))
-        who, where, score = np.append(who, q), np.append(where, d + a), np.append(score, sums[d, q])
-        order = np.lexsort((where, -score, who))
-        who, where, score = who[order], where[order], score[order]
-        rank = np.arange(len(who)) - np.searchsorted(who, who)
-        last = rank == limit - 1
-        least[who[last]] = np.maximum(least[who[last]], score[last])
-        same = np.flatnonzero(np.append(True, (who[1:] != who[:-1]) | (score[1:] != score[:-1])))
-        tied = np.arange(len(who)) - np.repeat(same, np.diff(np.append(same, len(who)))) if len(who) else rank
-        kept = (score >= least[who] - SLACK) & (tied < limit)
-        who, where, score = who[kept], where[kept], score[kept]
-    return who, docs[where], score
+        best.add(np.bincount(cells, np.repeat(weight[i:z], own), min(step, len(docs) - a) * n).reshape(-1, n), a)
+    return best.who, docs[best.where], best.score
