@@ -307,3 +307,15 @@ def test_query_syntax_by_document_is_that_of_the_join(spark, tmp_path, monkeypat
             found = syntax.search_syntax(index, queries, limit)
             assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
             assert key(found) == want and len(want) > 50
+
+
+def test_an_index_keeps_no_blocks_and_a_search_counts_asked_terms_only(spark, tmp_path):
+    import os
+
+    docs = spark.createDataFrame([(f"p{i}", "a", f"a b w{i}") for i in range(30)], "path string, title string, body string")
+    index = search.write_index(docs, str(tmp_path / "i"))
+    assert sorted(os.listdir(tmp_path / "i")) == ["docs", "lengths", "rows"]
+    blocks, known = search.statistics(index, spark.createDataFrame([(1, "a"), (1, "w3"), (1, "zz"), (2, "a")], "query_id long, term string"))
+    assert sorted((r.query_id, r.field, r.term, r.df) for r in known.collect()) == [(1, "body", "a", 30), (1, "body", "w3", 1), (1, "title", "a", 30), (2, "body", "a", 30), (2, "title", "a", 30)]
+    assert {r.term for r in blocks.collect()} == {"a", "w3"}
+    assert {(r.field, r.term): r.df for r in index.terms.where("term < 'w'").collect()} == {("body", "a"): 30, ("title", "a"): 30, ("body", "b"): 30}
