@@ -319,3 +319,14 @@ def test_an_index_keeps_no_blocks_and_a_search_counts_asked_terms_only(spark, tm
     assert sorted((r.query_id, r.field, r.term, r.df) for r in known.collect()) == [(1, "body", "a", 30), (1, "body", "w3", 1), (1, "title", "a", 30), (2, "body", "a", 30), (2, "title", "a", 30)]
     assert {r.term for r in blocks.collect()} == {"a", "w3"}
     assert {(r.field, r.term): r.df for r in index.terms.where("term < 'w'").collect()} == {("body", "a"): 30, ("title", "a"): 30, ("body", "b"): 30}
+
+
+def test_hybrid_search_computes_each_side_once(spark, monkeypatch):
+    docs = spark.createDataFrame([(f"p{i}", "T", f"soup w{i}") for i in range(20)], "path string, title string, body string")
+    sections = spark.createDataFrame([(f"p{i}#0", f"p{i}", [float(i), 1.0]) for i in range(20)], "section_key string, path string, vector array<double>")
+    tq, vq = spark.createDataFrame([(1, "soup w3")], "query_id long, text string"), spark.createDataFrame([(1, [3.0, 1.0])], "query_id long, vector array<double>")
+    monkeypatch.setattr(search, "DEALT_ROWS", 1)
+    found = search.hybrid(docs, sections, tq, vq, 4)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "CoGroup" not in plan
+    assert found.orderBy("rank").first()[:5] == (1, "p3", round(2 / 61, 9), 1, "T")

@@ -290,11 +290,12 @@ def hybrid(docs: DataFrame, sections: DataFrame, text_queries: DataFrame, vector
     The limit of the vector side counts sections, so a path with many near ones leaves room for fewer others."""
     own = ("query_id", *group)
     text = search_index(index, text_queries, 2 * limit) if index else bm25(docs, text_queries, 2 * limit, group=group)
-    hits = best_sections(nearest(sections, vector_queries, 2 * limit, group=group), group)
+    # Both are read more than once, and small: some rows a query.
+    hits = written(best_sections(nearest(sections, vector_queries, 2 * limit, group=group), group), "near-sections")
     near = hits.withColumn("rank", F.row_number().over(W.partitionBy(*own).orderBy("distance", "path")).cast("int"))
     both = text.select(*own, F.col("path").alias("item"), "rank").unionByName(near.select(*own, F.col("path").alias("item"), "rank"))
     found = top(fuse(both, group=group), limit, F.desc("score"), "item", by=own).withColumnRenamed("item", "path")
-    found = found.join(hits.select(*own, "path", "section_key"), [*own, "path"], "left")
+    found = written(found.join(hits.select(*own, "path", "section_key"), [*own, "path"], "left"), "found")
     # At most `limit` rows a query are left, so titles are looked up for few paths.
     titles = docs.join(found.select(*group, "path").distinct(), [*group, "path"], "left_semi").select(*group, "path", "title")
     found = found.join(titles, [*group, "path"], "left")
