@@ -330,3 +330,24 @@ def test_hybrid_search_computes_each_side_once(spark, monkeypatch):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" not in plan and "CoGroup" not in plan
     assert found.orderBy("rank").first()[:5] == (1, "p3", round(2 / 61, 9), 1, "T")
+
+
+def test_an_index_has_lists_that_are_dealt_whole(spark, tmp_path, monkeypatch):
+    rng = random.Random(6)
+    docs = [(f"p{i:03d}", rng.choice(["a b", "É-b", None]), " ".join(rng.choices("abcdeé", k=rng.choice([0, 2, 9, 40]))), rng.choice(["x", "y", "z"])) for i in range(200)]
+    df = spark.createDataFrame(docs, "path string, title string, body string, vault string").repartition(2)
+    want = {(v, p, f, t): (x.lower().replace("-", " ").split().count(t), len(x.replace("-", " ").split())) for p, *texts, v in docs for f, x in zip(("title", "body"), (x or "" for x in texts), strict=True) for t in x.lower().replace("-", " ").split()}
+    for chunk, most in ((500, 10_000), (1 << 24, 2 * 3 * 2 * 6)):  # parts, vaults, fields, terms
+        monkeypatch.setattr(search.counting, "CHUNK", chunk)
+        index = search.write_index(df, str(tmp_path / f"i{chunk}"), group=("vault",), positions=True)
+        rows = index.postings.join(index.docs, ["vault", "doc"]).collect()
+        assert {(r.vault, r.path, r.field, r.term): (r.tf, r.doc_len) for r in rows} == want and len(rows) == len(want)
+        assert all(len(r.positions) == r.tf and r.block == int(4 * math.log2(1 + sum(len((x or "").replace("-", " ").split()) for x in docs[int(r.path[1:])][1:3]))) for r in rows)
+        assert index.lists.count() <= most and index.docs.count() == 200
+        # Only lists that are asked for are cut up, and none for counts or for scores by document.
+        asked = spark.createDataFrame([(1, "a"), (1, "é")], "query_id long, term string")
+        known = search.frequencies(index, asked)
+        assert {(r.vault, r.field, r.term, r.df) for r in known.collect()} == {(r.vault, r.field, r.term, r.df) for r in search.statistics(index, asked)[1].collect()}
+        lists = known.groupBy("vault", "field", "term", "mean", "idf").agg(F.collect_list("query_id").alias("queries"))
+        plans = {"counts": known, "scores": search.bydoc.scores(index, lists, search.posting_weight(), 3, 10)}
+        assert all("Generate" not in p._jdf.queryExecution().executedPlan().toString() for p in plans.values())

@@ -10,6 +10,8 @@ SNIPPET_CHARS = 280
 QUERY_CHARS = 500
 MAX_TERM_BYTES = 40
 BETWEEN_TERMS = r"[^\p{L}\p{N}]+"
+#: The same for ASCII, which needs no pattern: what each byte becomes.
+ASCII_SPACED = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 PROMPT_BUDGET = 100_000
 
 
@@ -128,8 +130,8 @@ def terms(text: Column) -> Column:
 
 
 def spaced(text: Column) -> Column:
-    """The same runs, of any length, with a space between them: one value to hand on, where terms would be thousands."""
-    return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), BETWEEN_TERMS, " ")
+    """The same runs, of any length, with spaces between them once ASCII_SPACED is applied: one value to hand on, where terms would be thousands."""
+    return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\x00-\x7F\p{L}\p{N}]+", " ")
 
 
 def strip_code_fence(text: Column) -> Column:

@@ -37,7 +37,7 @@ class Search:
     def __init__(self, index, asked: DataFrame, blocks: DataFrame, weight: Column, limit: int, small):
         """asked(query_id, group, field, term, idf, mean, df) of an index; blocks(group, field, term, block, upper) of these terms, a written table;
         weight of a posting without idf."""
-        self.group, self.postings, self.weight, self.limit, self.small = index.group, index.postings, weight, limit, small
+        self.group, self.index, self.weight, self.limit, self.small = index.group, index, weight, limit, small
         self.own = ("query_id", *self.group)
         self.kept: list[DataFrame] = [blocks]
         term = (*self.group, "field", "term")
@@ -56,7 +56,7 @@ class Search:
         """query_id, group, doc, block, weight: a row for each posting of a query's terms - of the wanted (query_id, doc), if these
         are given."""
         lists = terms_.groupBy(*self.group, "field", "term", "idf", "mean", "part").agg(F.collect_list("query_id").alias("queries"))
-        found = self.postings.join(self.small(lists), [*self.group, "field", "term"])
+        found = self.index.found(self.small(lists), [*self.group, "field", "term"])
         asking = F.col("queries")
         if wanted is not None:
             by_doc = wanted.groupBy("doc", "part").agg(F.collect_list("query_id").alias("wanting"))

@@ -1,9 +1,9 @@
 """Search: BM25 over terms, nearest sections by vector, and rank fusion - for one query or many at once.
 
-Queries are a DataFrame (query_id, text) or (query_id, vector). BM25 answers from an index on disk: postings, document
+Queries are a DataFrame (query_id, text) or (query_id, vector). BM25 answers from an index on disk: lists of postings, document
 frequencies and lengths, all of which are made once and don't depend on queries; texts aren't read again. A query's
-terms meet their postings in one join, scores add up under numbers that stand for documents, and paths are looked up for the
-best of each query. Where many postings would be scored, `maxscore` leaves out documents that can't be among the best. With `group`, as for several vaults, statistics, rankings and limits are each group's own.
+terms meet their lists in one join, and only lists that are asked for are cut up into postings; scores add up under numbers that stand for
+documents, and paths are looked up for the best of each query. Where many postings would be scored, `maxscore` leaves out documents that can't be among the best. With `group`, as for several vaults, statistics, rankings and limits are each group's own.
 """
 
 from __future__ import annotations
@@ -45,7 +45,7 @@ def postings(docs: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """path, field, term, tf, doc_len: the inverted index as a table. Rows of documents under one path add up where their field is of one
     length; only then they are shuffled."""
     names = ("path", "field", "term", "tf", "doc_len")
-    found = counting.counted(docs, fields, ("path",)).where("term != ''").select(*names)
+    found = counting.counted(docs, fields, ("path",)).select(*names)
     if docs.groupBy("path").count().where("count > 1").isEmpty():
         return found
     return found.groupBy("path", "field", "term", "doc_len").agg(F.sum("tf").alias("tf")).select(*names)
@@ -58,38 +58,65 @@ def write_postings(docs: DataFrame, path: str) -> None:
 
 @dataclass
 class Index:
-    """docs(group, doc, path), postings(group, doc, block, field, term, tf, doc_len, positions where the index has them),
-    lengths(group, field, n, mean)."""
+    """Lists of a run of documents, whose numbers are `base` and an entry of docs: heads(group, base, docs, path) of the documents, and lists(group,
+    base, field, term, df, docs, tf, doc_len, block, positions where the index has them) of a term's postings; lengths(group, field, n, mean)."""
 
-    docs: DataFrame
-    postings: DataFrame
+    heads: DataFrame
+    lists: DataFrame
     lengths: DataFrame
     group: tuple[str, ...]
     positions: bool = False
 
+    @property
+    def docs(self) -> DataFrame:
+        """group, doc, path."""
+        cut = self.heads.select(*self.group, "base", "path", F.posexplode("docs").alias("_at", "_doc"))
+        return cut.select(*self.group, (F.col("base") + F.col("_doc")).alias("doc"), F.get("path", F.col("_at")).alias("path"))
+
+    @property
+    def postings(self) -> DataFrame:
+        """group, doc, block, field, term, tf, doc_len, positions where the index has them."""
+        return self._cut(self.lists.drop("df"), [*self.group, "field", "term"])
+
+    def found(self, wanted: DataFrame, key: list[str]) -> DataFrame:
+        """postings that wanted has the key of, with its other columns."""
+        more = [c for c in wanted.columns if c not in key]
+        return self._cut(self.lists.drop("df").join(wanted, key), [*self.group, "field", "term", *more])
+
+    def _cut(self, lists: DataFrame, names: list[str]) -> DataFrame:
+        own = ["tf", "doc_len", "block", *(["positions"] if self.positions else [])]
+        cut = lists.select(*names, "base", *own, F.posexplode("docs").alias("_at", "_doc"))
+        kinds = {"tf": "long", "doc_len": "long", "block": "int", "positions": "array<int>"}
+        return cut.select(*names, (F.col("base") + F.col("_doc")).alias("doc"), *(F.get(c, F.col("_at")).cast(kinds[c]).alias(c) for c in own))
+
     @property
     def terms(self) -> DataFrame:
         """group, field, term, df of all terms. A search counts those that it asks for."""
-        return self.postings.groupBy(*self.group, "field", "term").agg(F.count("*").alias("df"))
+        return self.lists.groupBy(*self.group, "field", "term").agg(F.sum("df").alias("df"))
+
+
+def weigh(tf, doc_len, mean):
+    """What postings give, without their terms' idf: columns of Spark, or arrays."""
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * doc_len / mean))
 
 
-def posting_weight(mean: str = "mean") -> Column:
-    """What a posting gives, without its term's idf."""
-    tf = F.col("tf").cast("double")
-    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("doc_len") / F.col(mean)))
+def posting_weight() -> Callable:
+    return weigh
+
+
+def weight() -> Column:
+    return weigh(F.col("tf").cast("double"), F.col("doc_len"), F.col("mean"))
 
 
 def write_index(docs: DataFrame, path: str, fields: tuple[str, ...] = FIELDS, group: tuple[str, ...] = (), positions: bool = False) -> Index:
     """The index of documents (group, path, fields), anew; with positions it can answer phrases. Texts are read once and no terms
-    are shuffled: each file of postings holds whole documents, sorted by term in long runs, so that a search skips the pages without its
-    terms."""
+    are shuffled: each run of lists holds whole documents and is sorted by term, so that a search skips the pages without its terms."""
     spark = docs.sparkSession
     put = lambda df, what: df.write.mode("overwrite").parquet(f"{path}/{what}")
-    # Numbers of documents hold for good once they are written.
-    put(counting.counted(docs.withColumn("doc", F.monotonically_increasing_id()), fields, (*group, "doc"), ("path",), positions), "rows")
+    put(counting.listed(docs, fields, group, positions), "rows")
     heads = spark.read.parquet(f"{path}/rows").where("term = ''")
-    put(heads.where(F.col("field") == fields[0]).select(*group, "doc", "path"), "docs")
-    sums = heads.groupBy(*group, "field").agg(F.count("*").alias("n"), F.sum("doc_len").alias("_sum"))
+    put(heads.where(F.col("field") == fields[0]).select(*group, "base", "docs", "path"), "docs")
+    sums = heads.select(*group, "field", F.explode("doc_len").alias("_len")).groupBy(*group, "field").agg(F.count("*").alias("n"), F.sum("_len").alias("_sum"))
     put(sums.select(*group, "field", "n", (F.greatest("_sum", F.lit(1)) / F.col("n")).alias("mean")), "lengths")
     return read_index(spark, path, group, positions)
 
@@ -97,12 +124,12 @@ def write_index(docs: DataFrame, path: str, fields: tuple[str, ...] = FIELDS, gr
 def read_index(spark: SparkSession, path: str, group: tuple[str, ...] = (), positions: bool = False) -> Index:
     own = "".join(f"{g} string, " for g in group)
     kinds = {
-        "docs": f"{own}doc long, path string",
-        "rows": f"{own}doc long, block int, field string, doc_len long, term string, tf long" + (", positions array<int>" if positions else ""),
+        "docs": f"{own}base long, docs array<int>, path array<string>",
+        "rows": f"{own}base long, field string, term string, df int, docs array<int>, tf array<int>, doc_len array<int>, block array<tinyint>" + (", positions array<array<int>>" if positions else ""),
         "lengths": f"{own}field string, n long, mean double",
     }
-    docs, rows, lengths = (spark.read.schema(k).parquet(f"{path}/{t}") for t, k in kinds.items())
-    return Index(docs, rows.where("term != ''"), lengths, group, positions)
+    heads, rows, lengths = (spark.read.schema(k).parquet(f"{path}/{t}") for t, k in kinds.items())
+    return Index(heads, rows.where("term != ''"), lengths, group, positions)
 
 
 def term_statistics(postings_: DataFrame) -> DataFrame:
@@ -124,16 +151,16 @@ def _small(n: int) -> Callable[[DataFrame], DataFrame]:
 
 
 def with_terms(index: Index, asked: DataFrame) -> Index:
-    """The index with postings of the asked terms only: few are pushed down to the scan, which then skips what holds none of them."""
+    """The index with lists of the asked terms only: few are pushed down to the scan, which then skips what holds none of them."""
     few = [r.term for r in asked.select("term").distinct().limit(PUSHED_TERMS + 1).collect()]
-    return index if len(few) > PUSHED_TERMS else replace(index, postings=index.postings.where(F.col("term").isin(few)))
+    return index if len(few) > PUSHED_TERMS else replace(index, lists=index.lists.where(F.col("term").isin(few)))
 
 
 def pruned_search(index: Index, queries: DataFrame, limit: int) -> maxscore.Search:
     """The search that leaves out documents which can't be among the best."""
     asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
     blocks, known = statistics(index, asked)
-    return maxscore.Search(with_terms(index, asked), known.select("query_id", *index.group, "field", "term", "idf", "mean", "df"), blocks, posting_weight(), limit, _small(asked.count()))
+    return maxscore.Search(with_terms(index, asked), known.select("query_id", *index.group, "field", "term", "idf", "mean", "df"), blocks, weight(), limit, _small(asked.count()))
 
 
 def statistics(index: Index, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -141,11 +168,21 @@ def statistics(index: Index, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
     and asked with n, mean, df and idf of each field (and group) that has the term."""
     key = [*index.group, "field", "term"]
     wanted = asked.select("term").distinct()
-    found = with_terms(index, asked).postings.join(_small(wanted.count())(wanted), "term").join(F.broadcast(index.lengths), key[:-1])
+    found = with_terms(index, asked).found(_small(wanted.count())(wanted), ["term"]).join(F.broadcast(index.lengths), key[:-1])
     # A term has as many rows here as there are blocks at most, however many documents have it.
-    blocks = written(found.groupBy(*key, "block").agg(F.count("*").alias("df"), F.max(posting_weight()).alias("upper")), "asked-blocks")
-    sums = blocks.groupBy(*key).agg(F.sum("df").alias("df"))
-    return blocks, sums.join(asked, "term").join(F.broadcast(index.lengths), key[:-1]).withColumn("idf", idf())
+    blocks = written(found.groupBy(*key, "block").agg(F.count("*").alias("df"), F.max(weight()).alias("upper")), "asked-blocks")
+    return blocks, _with_idf(index, blocks.groupBy(*key).agg(F.sum("df").alias("df")), asked)
+
+
+def frequencies(index: Index, asked: DataFrame) -> DataFrame:
+    """asked with n, mean, df and idf alone, for which no posting is read."""
+    wanted = asked.select("term").distinct()
+    lists = with_terms(index, asked).lists.join(_small(wanted.count())(wanted), "term")
+    return _with_idf(index, lists.groupBy(*index.group, "field", "term").agg(F.sum("df").alias("df")), asked)
+
+
+def _with_idf(index: Index, sums: DataFrame, asked: DataFrame) -> DataFrame:
+    return sums.join(asked, "term").join(F.broadcast(index.lengths), [*index.group, "field"]).withColumn("idf", idf())
 
 
 def search_index(index: Index, queries: DataFrame, limit: int, pruned: bool | None = None) -> DataFrame:
@@ -157,15 +194,15 @@ def search_index(index: Index, queries: DataFrame, limit: int, pruned: bool | No
     group = index.group
     asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
     asked = asked.groupBy("term").agg(F.collect_list("query_id").alias("queries"))
-    known = written(statistics(index, asked)[1].select(*group, "field", "term", "df", "mean", "queries", "idf"), "asked-terms")
+    known = written(frequencies(index, asked).select(*group, "field", "term", "df", "mean", "queries", "idf"), "asked-terms")
     size = known.agg(F.sum(F.col("df") * F.size("queries")).alias("pairs"), F.sum("df").alias("rows"), F.sum(F.size("queries")).alias("asked")).first()
     if pruned is None and (size.pairs or 0) >= DEALT_ROWS:
         if size.asked <= DEALT_ASKED:
             return named(index, bydoc.scores(with_terms(index, asked), known, posting_weight(), limit, size.rows), limit)
         if size.pairs >= PRUNED_ROWS:
             return named(index, pruned_search(index, queries, limit).scores(), limit)
-    found = with_terms(index, asked).postings.join(_small(known.count())(known), [*group, "field", "term"])
-    scores = found.select(*group, "doc", (F.col("idf") * posting_weight()).alias("weight"), F.explode("queries").alias("query_id")).groupBy("query_id", *group, "doc").agg(F.sum("weight").alias("weight"))
+    found = with_terms(index, asked).found(_small(known.count())(known.drop("df")), [*group, "field", "term"])
+    scores = found.select(*group, "doc", (F.col("idf") * weight()).alias("weight"), F.explode("queries").alias("query_id")).groupBy("query_id", *group, "doc").agg(F.sum("weight").alias("weight"))
     return named(index, scores, limit)
 
 

@@ -55,7 +55,7 @@ def _known(index: search.Index, asked: DataFrame) -> DataFrame:
         raise ValueError("phrases need an index with positions")
     place = ("query_id", "clause")
     each = asked.select(*place, "sign", F.col("field").alias("only"), F.size("terms").alias("n_terms"), F.posexplode("terms").alias("offset", "term"))
-    known = search.statistics(index, each)[1].where("only IS NULL OR only = field")
+    known = search.frequencies(index, each).where("only IS NULL OR only = field")
     own = W.partitionBy(*place, *index.group, "field")
     # A clause with a term that the field hasn't got occurs nowhere in it.
     known = known.withColumns({"have": F.count("*").over(own), "idf": F.sum("idf").over(own), "rank": F.row_number().over(own.orderBy("df", "offset"))}).where("have = n_terms")
@@ -65,15 +65,15 @@ def _known(index: search.Index, asked: DataFrame) -> DataFrame:
 def matches(index: search.Index, known: DataFrame) -> DataFrame:
     """query_id, clause, sign, group, doc, weight: a row for each field of a document that a clause occurs in."""
     group, place = index.group, ("query_id", "clause")
-    posts = search.with_terms(index, known).postings.join(known.drop("df"), [*group, "field", "term"])
-    one = posts.where("n_terms = 1").select(*place, "sign", *group, "doc", (F.col("idf") * search.posting_weight()).alias("weight"))
+    posts = search.with_terms(index, known).found(known.drop("df"), [*group, "field", "term"])
+    one = posts.where("n_terms = 1").select(*place, "sign", *group, "doc", (F.col("idf") * search.weight()).alias("weight"))
     found = posts.where("n_terms > 1").select(*place, "sign", *group, "field", "doc", "doc_len", "mean", "idf", "n_terms", "rank", F.transform("positions", lambda p: p - F.col("offset")).alias("starts"))
     key = [*place, *group, "field", "doc"]
     first = found.where("rank = 1")
     others = found.where("rank > 1").join(first.select(*key), key, "left_semi").groupBy(*key).agg(F.collect_list("starts").alias("others"))
     both = first.join(others, key).where("n_terms = 1 + size(others)")
     both = both.withColumn("tf", F.size(F.aggregate("others", F.col("starts"), F.array_intersect))).where("tf > 0")
-    return one.unionByName(both.select(*place, "sign", *group, "doc", (F.col("idf") * search.posting_weight()).alias("weight")))
+    return one.unionByName(both.select(*place, "sign", *group, "doc", (F.col("idf") * search.weight()).alias("weight")))
 
 
 def _dealt(index: search.Index, known: DataFrame, needed: DataFrame, limit: int, rows: int) -> DataFrame:
@@ -101,7 +101,7 @@ def _dealt(index: search.Index, known: DataFrame, needed: DataFrame, limit: int,
     schema = T.StructType([*(known.schema[c] for c in (*key, "mean")), T.StructField("number", T.IntegerType()), T.StructField("placed", T.BooleanType())])
     numbered = spark.createDataFrame([(*m, m[-1] in phrases) for m in means], schema)
     norm = search.K1 * (1 - search.B + search.B * F.col("doc_len") / F.col("mean"))
-    found = search.with_terms(index, known).postings.join(F.broadcast(numbered), key)
+    found = search.with_terms(index, known).found(F.broadcast(numbered), key)
     found = found.select(*group, "doc", "number", "tf", norm.alias("norm"), F.when(F.col("placed"), F.col("positions")).alias("positions"))
     return bydoc.dealt(index, found, rows, lambda t: _best(t, shared.value, limit)).join(F.broadcast(ids), "query").drop("query")
 
