@@ -351,3 +351,14 @@ def test_an_index_has_lists_that_are_dealt_whole(spark, tmp_path, monkeypatch):
         lists = known.groupBy("vault", "field", "term", "mean", "idf").agg(F.collect_list("query_id").alias("queries"))
         plans = {"counts": known, "scores": search.bydoc.scores(index, lists, search.posting_weight(), 3, 10)}
         assert all("Generate" not in p._jdf.queryExecution().executedPlan().toString() for p in plans.values())
+
+
+def test_postings_are_not_shuffled_for_few_documents(spark, tmp_path):
+    docs = [(f"p{i:04d}", "", f"the w{i % 40} w{i % 7}") for i in range(900)]
+    index = search.write_index(spark.createDataFrame(docs, "path string, title string, body string"), str(tmp_path / "i"))
+    one = search.pruned_search(index, spark.createDataFrame([(i, f"the w{i}") for i in range(8)], "query_id long, text string"), 3)
+    one.threshold()
+    stage, rows = one.scored[1]
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert stage == "seeds, whole" and "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+    one.close()

@@ -131,7 +131,8 @@ def terms(text: Column) -> Column:
 
 def spaced(text: Column) -> Column:
     """The same runs, of any length, with spaces between them once ASCII_SPACED is applied: one value to hand on, where terms would be thousands."""
-    return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\x00-\x7F\p{L}\p{N}]+", " ")
+    text = F.coalesce(text, F.lit(""))
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.regexp_replace(F.lower(text), r"[^\x00-\x7F\p{L}\p{N}]+", " "))
 
 
 def strip_code_fence(text: Column) -> Column:

@@ -23,6 +23,8 @@ from ..sources.partitions import discard, written
 
 #: The strongest terms of a query up to so many documents for each one asked for give the threshold.
 SEEDS = 32
+#: Up to so many of these documents, counted for each query, are sent to every task.
+SEEDS_SENT = 100_000
 #: Terms go into a stage as long as they and all weaker ones may reach this share of the threshold.
 CUTS = (1.0, 0.5)
 #: More than scores are rounded by, and differ by the order of additions.
@@ -52,15 +54,15 @@ class Search:
         self.bounds = blocks.join(self.terms_.select(*self.own, "field", "term", "idf"), list(term)).select(*self.own, "field", "term", "block", (F.col("upper") * F.col("idf")).alias("upper"))
         self.scored: list[tuple[str, DataFrame]] = []
 
-    def _weights(self, terms_: DataFrame, wanted: DataFrame | None, stage: str) -> DataFrame:
+    def _weights(self, terms_: DataFrame, wanted: DataFrame | None, stage: str, few: bool = False) -> DataFrame:
         """query_id, group, doc, block, weight: a row for each posting of a query's terms - of the wanted (query_id, doc), if these
-        are given."""
+        are given. Few go to every task, so that postings aren't shuffled for them."""
         lists = terms_.groupBy(*self.group, "field", "term", "idf", "mean", "part").agg(F.collect_list("query_id").alias("queries"))
         found = self.index.found(self.small(lists), [*self.group, "field", "term"])
         asking = F.col("queries")
         if wanted is not None:
             by_doc = wanted.groupBy("doc", "part").agg(F.collect_list("query_id").alias("wanting"))
-            found, asking = found.join(by_doc, ["doc", "part"]), F.array_intersect("queries", "wanting")
+            found, asking = found.join(F.broadcast(by_doc) if few else by_doc, ["doc", "part"]), F.array_intersect("queries", "wanting")
         rows = found.select(*self.group, "doc", "block", "part", (F.col("idf") * self.weight).alias("weight"), F.explode(asking).alias("query_id"))
         self.scored.append((stage, rows))
         return rows
@@ -80,9 +82,9 @@ class Search:
     def threshold(self) -> DataFrame:
         """query_id, group, least: what the limit-th best document surely reaches; 0 where fewer are known."""
         seeds = self.terms_.where(F.col("seen") < SEEDS * self.limit)
-        first = self._best(self._sums(self._weights(seeds, None, "seeds")), 4 * self.limit)
+        first = self._keep(self._best(self._sums(self._weights(seeds, None, "seeds")), 4 * self.limit), "seeds")
         rest = self.terms_.where(F.col("seen") >= SEEDS * self.limit)
-        whole = self._sums(first.unionByName(self._weights(rest, first, "seeds, whole").select(*first.columns)))
+        whole = self._sums(first.unionByName(self._weights(rest, first, "seeds, whole", first.count() <= SEEDS_SENT).select(*first.columns)))
         return self.terms_.select(*self.own).distinct().join(self._reached(whole), list(self.own), "left").fillna(0.0, "least")
 
     def scores(self) -> DataFrame:
