@@ -359,6 +359,9 @@ def test_postings_are_not_shuffled_for_few_documents(spark, tmp_path):
     one = search.pruned_search(index, spark.createDataFrame([(i, f"the w{i}") for i in range(8)], "query_id long, text string"), 3)
     one.threshold()
     stage, rows = one.scored[1]
+    # As for tables too large to be sent to every task unless the plan says so.
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     plan = rows._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert stage == "seeds, whole" and "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
     one.close()
